@@ -43,7 +43,7 @@ KINDS = (
     Kind("ip", _run("0-9") + r"[0-9]++(?:\.[0-9]++){3}", ".", ("ip", "host", "server", "address"), 0.5),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", ("card", "visa", "credit", "payment"), 0.7),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", ("phone", "call", "tel", "mobile"), 0.6),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", ("iban", "account", "bank"), 0.7, False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "", ("iban", "account", "bank"), 0.7, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", ("ssn", "social", "security"), 0.3, False),
 )
 #: Words that speak against personal data, and how far before a span words count.
