@@ -10,3 +10,23 @@ with d as (
 ), g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from d group by 1)
 select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, text_sha256 from d join g using (text_sha256)
 """
+
+#: Links are confirmed by joining on shared shingles; only pairs that share a shingle can link.
+SQL["op2_hyperminhash"] = r"""
+with recursive w as (
+  select doc_id, string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') as ws from documents
+), s as (
+  select distinct doc_id, unnest(case when len(ws) = 1 then case when ws[1] = '' then [] else [ws[1]] end
+    else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end) as sh from w
+), n as (select doc_id, count(*) as n_shingles from s group by 1
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2
+), e as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 80 * (x.n_shingles + y.n_shingles - common)
+), both_ways as (select a, b from e union all select b, a from e
+), reach as (
+  select doc_id, doc_id as r from documents union select reach.doc_id, both_ways.b from reach join both_ways on both_ways.a = reach.r
+), c as (select doc_id, min(r) as component_id from reach group by 1)
+select d.doc_id, coalesce(n.n_shingles, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join n using (doc_id) join c using (doc_id)
+"""

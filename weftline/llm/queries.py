@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_automaton, exact_dedup, mixing, oracles, pii, secret_scan, toxicity
+from weftline.llm import bpe_automaton, exact_dedup, hyperminhash, mixing, oracles, pii, secret_scan, toxicity
 from weftline.llm.common import joined_spans
 
 
@@ -19,6 +19,11 @@ def _of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hyperminhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans, base = F.col("spans"), [r.kind for r in secret_scan.BASE]
@@ -65,7 +70,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secrets, op4_bpe_automaton, op5_exact_dedup, op6_pii, op9_toxicity, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_hyperminhash, op3_secrets, op4_bpe_automaton, op5_exact_dedup, op6_pii, op9_toxicity, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
