@@ -286,3 +286,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     linked = filled.select("doc_id", "text_key", "n_shingles", "set_key").join(ids, "set_key").drop("set_key")
     alone = rows.filter("set_key is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_first(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay when of each group of near duplicates only the smallest doc_id stays."""
+    found = near_duplicates(docs, text, size, percent)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.md5(text_of(text).cast("binary")) == F.col("__key"))
+    return docs.join(gone, same, "left_anti")

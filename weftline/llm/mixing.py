@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WORD, Scratch, text_of
+from weftline.llm.common import SPACE, WORD, Scratch, text_of
 
 #: Step of the golden-ratio sequence in 32-bit integers, odd and nearest to 2^32 / 1.618...
 GOLDEN = 2654435769
@@ -71,14 +71,19 @@ def mix(
     least_block: int = LEAST_BLOCK,
     most_slots: int = MOST_SLOTS,
     seed: str = "mix-1",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, taken, first_slot (when the mix first reads it)."""
+    """One row for each document: doc_id, source, size, source_size, target, taken, first_slot (when the mix first reads it).
+
+    carry: further columns of docs to hand through.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sized = scratch.table(
         docs.select(
             "doc_id",
             "source",
+            *carry,
             F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("order"),
         )
@@ -92,7 +97,7 @@ def mix(
     digits = max(0, math.ceil(math.log(max(1, most_rows / CHUNK), 16)))
 
     named = sized.join(per.select("source", "source_no", "source_size", "target"), sized["source"].eqNullSafe(per["source"]), "left").select(
-        sized["doc_id"], sized["source"], "size", "order", "source_no", "source_size", "target", F.substring("order", 1, digits).alias("bucket")
+        sized["doc_id"], sized["source"], *carry, "size", "order", "source_no", "source_size", "target", F.substring("order", 1, digits).alias("bucket")
     )
     local = W.partitionBy("source_no", "bucket").orderBy("order", "size", "doc_id")
     placed = named.withColumn("place", F.row_number().over(local)).withColumn("inside", F.sum("size").over(local.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
@@ -115,7 +120,7 @@ def mix(
         F.explode_outer(F.when(F.col("to") > F.col("from"), F.sequence(F.expr(f"`from` div {block}"), F.expr(f"(`to` - 1) div {block}")))),
     )
     words = F.least(F.col("to"), (F.col("block") + 1) * block) - F.greatest(F.col("from"), F.col("block") * block)
-    key = ["source_no", "bucket", "place", "doc_id", "source", "size", "source_size", "target"]
+    key = ["source_no", "bucket", "place", "doc_id", *carry, "source", "size", "source_size", "target"]
     joined = pieces.join(slots, ["source_no", "block"], "left")
     return (
         joined.groupBy(*key)
@@ -123,10 +128,30 @@ def mix(
             F.sum(F.when(F.col("slot").isNotNull(), words).otherwise(0)).alias("taken"),
             F.min("slot").alias("first_slot"),
         )
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
+        .select("doc_id", "source", *carry, "size", "source_size", "target", "taken", "first_slot")
     )
 
 
+def apply(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mixed rows with docs' columns: a document once for each epoch in which the mix takes all its words; where it
+    takes only the first of them, a row with these words (and their length in n_chars, if docs has it). Rows that are
+    equal in doc_id and text share evenly what the mix takes of them."""
+    key = "__key"
+    rows = docs.withColumn(key, F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text_of(text))))
+    plan = mix(rows, text, carry=(key,), **options).groupBy(key).agg(F.max("size").alias("__size"), F.avg("taken").cast("long").alias("__taken"))
+    found = rows.join(plan.filter("__taken > 0"), key)
+    times = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
+    found = found.withColumn("__epoch", F.explode(F.sequence(F.lit(1), times)))
+    left = F.col("__taken") - (F.col("__epoch") - 1) * F.col("__size")
+    first = F.regexp_substr(F.col(text), F.concat(F.lit(rf"^(?:{SPACE}*+{WORD[:-1]}++){{"), left.cast("string"), F.lit("}")))
+    found = found.withColumn("__text", F.when(left < F.col("__size"), first).otherwise(F.col(text)))
+    out = [F.col("__text").alias(text) if c == text else F.col(c) for c in docs.columns]
+    if "n_chars" in docs.columns:
+        cut = F.when(left < F.col("__size"), F.length("__text").cast("long")).otherwise(F.col("n_chars"))
+        out = [cut.alias("n_chars") if c == "n_chars" else o for c, o in zip(docs.columns, out, strict=True)]
+    return found.select(*out)
+
+
 def schedule(spark, per: DataFrame, slots_n: int, scratch: Scratch) -> DataFrame:
     """The slots: slot, source_no, block (the slot's rank among those of its source, from 0).
 

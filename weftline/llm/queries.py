@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_automaton, exact_dedup, hyperminhash, mixing, oracles, pii, repeated_windows, secret_scan, toxicity
+from weftline.llm import bpe_automaton, exact_dedup, hyperminhash, mixing, oracles, pii, repeated_windows, secret_scan, toxicity, url_templates
 from weftline.llm.common import joined_spans
 
 
@@ -19,6 +19,10 @@ def _of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hyperminhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -75,7 +79,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_hyperminhash, op3_secrets, op4_bpe_automaton, op5_exact_dedup, op6_pii, op8_repeated_windows, op9_toxicity, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_url_templates, op2_hyperminhash, op3_secrets, op4_bpe_automaton, op5_exact_dedup, op6_pii, op8_repeated_windows, op9_toxicity, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
