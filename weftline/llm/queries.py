@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_automaton, exact_dedup, hyperminhash, mixing, oracles, pii, repeated_windows, secret_scan, toxicity, url_templates
+from weftline.llm import bpe_automaton, exact_dedup, hyperminhash, media, mixing, oracles, pii, repeated_windows, secret_scan, toxicity, url_templates
 from weftline.llm.common import joined_spans
 
 
@@ -62,6 +62,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return media.copies(media.render(vectors)).select(F.col("id").alias("vec_id"), "class_id", "n_links")
+
+
 def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_windows.repeated_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -79,7 +84,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_templates, op2_hyperminhash, op3_secrets, op4_bpe_automaton, op5_exact_dedup, op6_pii, op8_repeated_windows, op9_toxicity, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_url_templates, op2_hyperminhash, op3_secrets, op4_bpe_automaton, op5_exact_dedup, op6_pii, op7_media, op8_repeated_windows, op9_toxicity, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
