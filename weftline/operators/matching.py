@@ -134,7 +134,8 @@ def candidates(source: DataFrame, target: DataFrame, with_sequence: bool = True,
     right = target.select("pair", *[F.col(c).alias(f"t_{c}") for c in names], keys.alias("lookup_keys")).withColumnRenamed("t_id", "target_id")
     variants = lambda side: F.concat(F.array(f"{side}_name"), F.coalesce(f"{side}_aliases", F.expr("cast(array() as array<string>)")))
     pairs = left.join(right, "pair").withColumn("s_variants", variants("s")).withColumn("t_variants", variants("t"))
-    scored = name_scores(pairs, with_sequence).withColumn("lookup", lookup_path(F.col("lookup_keys")))
+    scored = name_scores(pairs, with_sequence).withColumn("s_words", F.array_distinct(tokens(normalize_name(F.col("s_name")))))
+    scored = scored.withColumn("lookup", lookup_path(F.col("lookup_keys"), F.col("s_words"))).drop("s_words")
     type_score = type_compatibility(F.col("s_data_type"), F.col("t_data_type"))
     role_score = F.when(F.col("s_role") == F.col("t_role"), 1.0).otherwise(ROLE_MISMATCH)
     lifted = lambda c: F.when(F.col("lookup"), F.greatest(c, F.lit(LOOKUP_LIFT))).otherwise(c)
@@ -148,9 +149,8 @@ def candidates(source: DataFrame, target: DataFrame, with_sequence: bool = True,
     return joined.withColumn("score", F.coalesce(mixed, F.col("det")))
 
 
-def lookup_path(keys: Column) -> Column:
+def lookup_path(keys: Column, source_words: Column) -> Column:
     """Whether a natural key of the source reaches the target's foreign key by a unique key of fitting type and name."""
-    source_words = F.array_distinct(tokens(normalize_name(F.col("s_name"))))
     fitting = F.filter(keys, lambda k: copy_safe_column(F.col("s_data_type"), k["data_type"]))
     near = F.exists(fitting, lambda k: JACCARD * jaccard(source_words, F.array_distinct(tokens(F.trim(F.lower(F.regexp_replace(k["name"], "[^A-Za-z0-9]+", " ")))))) >= LOOKUP_NAME)
     return ~F.col("s_sensitivity").isin(*NOT_TRANSFORMABLE) & (F.col("s_role") == "natural_key") & (F.col("t_role") == "foreign_key") & near
