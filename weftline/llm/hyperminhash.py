@@ -25,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ ZERO_BITS, MANTISSA_BITS = 5, 11
 #: Standard deviations below the threshold down to which an estimate is handed to the full comparison.
 SIGMAS = 5
 #: Members of a bucket that are compared in one block.
-BLOCK = 512
+BLOCK = 4096
 #: Ids that may be broadcast (8 bytes each in the plan's terms); beyond it the join is an ordinary one.
 BROADCAST_ROWS = 200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -146,10 +147,10 @@ def sketches(docs: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """set_key and band keys: one row for each band of each class."""
+    """set_key, band (key) and no (number of the band): one row for each band of each class."""
     width = ROWS * 2
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(BANDS)])
-    return classes.select(F.explode(keys).alias("band"), "set_key")
+    return classes.select(F.posexplode(keys).alias("no", "band"), "set_key")
 
 
 def equal_registers(a: Column, b: Column) -> Column:
@@ -219,13 +220,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
 
 
-def block_pairs(members: DataFrame, need: int) -> DataFrame:
-    """Pairs (a, b) of different components, in buckets (band, set_key, label, registers), that agree in `need` registers.
+def block_pairs(members: DataFrame, need: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, in buckets (band, no, first, set_key, label, registers, n_shingles), that agree in `need` registers.
 
-    A bucket is dealt into blocks of about BLOCK members; each pair of blocks is compared in one task, as matrices.
+    A bucket is dealt into blocks of about BLOCK members; each pair of blocks is compared in one task, as matrices. Pairs
+    with the bucket's first class have been judged before. A pair that meets in several buckets is handed on in the one
+    with the lowest band number; pairs whose sizes alone keep them under the threshold are not handed on.
     """
     ship(members.sparkSession)
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("label").alias("labels")).filter("labels > 1 and size > 2")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "band").withColumn("mine", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     # A member goes to the blocks' pairs (i, j) with i <= j that hold its own block.
@@ -233,20 +236,28 @@ def block_pairs(members: DataFrame, need: int) -> DataFrame:
     dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
     def compare(table: pa.Table) -> pa.Table:
-        keys, labels, mine = (table.column(c).to_pylist() for c in ("set_key", "label", "mine"))
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(keys), -1)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        rows = [k for k in range(len(keys)) if mine[k] == i]
-        columns = np.array([k for k in range(len(keys)) if mine[k] == j])
-        names = {label: n for n, label in enumerate(set(labels))}
-        group = np.array([names[x] for x in labels])
+        table = table.filter(pa.compute.not_equal(table.column("set_key"), table.column("first")))
         a, b = [], []
-        for k in rows:
-            other = columns[(group[columns] != group[k]) & ((columns > k) if i == j else True)]
-            for x in other[(regs[other] == regs[k]).sum(axis=1) >= need]:
-                pair = sorted((keys[k], keys[x]))
-                a.append(pair[0])
-                b.append(pair[1])
+        if table.num_rows:
+            keys, labels = table.column("set_key").to_pylist(), table.column("label").to_pylist()
+            mine, n = np.array(table.column("mine").to_pylist()), np.array(table.column("n_shingles").to_pylist())
+            regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(keys), -1)
+            i, j, no = (table.column(c)[0].as_py() for c in ("i", "j", "no"))
+            columns = np.flatnonzero(mine == j)
+            names = {label: at for at, label in enumerate(set(labels))}
+            group = np.array([names[x] for x in labels])
+            for k in np.flatnonzero(mine == i):
+                other = columns[(group[columns] != group[k]) & ((columns > k) if i == j else True)]
+                low, high = np.minimum(n[other], n[k]), np.maximum(n[other], n[k])
+                other = other[100 * low >= percent * high]
+                same = regs[other] == regs[k]
+                near = same.sum(axis=1) >= need
+                other, same = other[near], same[near]
+                before = same.reshape(len(other), BANDS, ROWS)[:, :no].all(axis=2).any(axis=1)
+                for x in other[~before]:
+                    pair = sorted((keys[k], keys[x]))
+                    a.append(pair[0])
+                    b.append(pair[1])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
@@ -258,22 +269,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     need = least_equal(percent / 100)
     rows = scratch.table(sketches(docs, text, size))
     filled = rows.filter("set_key is not null")
-    classes = scratch.table(filled.groupBy("set_key").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("cdoc"), F.first("registers").alias("registers")))
+    classes = scratch.table(filled.groupBy("set_key").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("cdoc"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles")))
 
     buckets = bands(classes)
     firsts = buckets.groupBy("band").agg(F.min("set_key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = scratch.table(buckets.join(firsts.select("band", "first"), "band"))
     stars = members.filter("set_key != first").select(F.col("first").alias("a"), F.col("set_key").alias("b")).distinct()
-    known = classes.select("set_key", "registers")
-    stars = stars.join(known.select(F.col("set_key").alias("a"), F.col("registers").alias("ra")), "a").join(known.select(F.col("set_key").alias("b"), F.col("registers").alias("rb")), "b")
+    known = classes.select("set_key", "registers", "n_shingles")
+    side = lambda x: known.select(F.col("set_key").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
+    stars = stars.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     candidates = scratch.table(stars.filter(equal_registers(F.col("ra"), F.col("rb")) >= need).select("a", "b"))
     links = confirm(candidates, classes, docs, text, size, percent, scratch)
     found = components(links, scratch)
 
-    labelled = members.select("band", "set_key").join(found, F.col("set_key") == F.col("node"), "left").select("band", "set_key", F.coalesce("label", "set_key").alias("label"))
+    labelled = members.join(found, F.col("set_key") == F.col("node"), "left").select("band", "no", "first", "set_key", F.coalesce("label", "set_key").alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y and n > 2").select("band")
     open_ = labelled.join(mixed, "band", "left_semi").join(known, "set_key")
-    more = scratch.table(block_pairs(open_, need).join(candidates, ["a", "b"], "left_anti"))
+    more = scratch.table(block_pairs(open_, need, percent).join(candidates, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         extra = confirm(more, classes, docs, text, size, percent, scratch)
         if extra.limit(1).count():
