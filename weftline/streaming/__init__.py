@@ -1 +1 @@
-
+"""Deliveries as streams."""
