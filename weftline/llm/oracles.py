@@ -30,3 +30,60 @@ with recursive w as (
 select d.doc_id, coalesce(n.n_shingles, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
 from documents d left join n using (doc_id) join c using (doc_id)
 """
+
+
+def _secret_sql() -> str:
+    """Spans from the pieces between matches and the matches' lengths; the same rules without possessive quantifiers."""
+    from weftline.llm.secret_scan import BASE, MORE
+
+    plain = lambda p: p.replace("*+", "*").replace("++", "+").replace("}+", "}").replace("'", "''")
+    parts = []
+    for rank, rule in enumerate(BASE + MORE):
+        keep = f"length(regexp_extract(hit, '{plain(rule.value)}', 1)) >= {rule.least}" if rule.least else "true"
+        parts.append(f"""
+  select doc_id, {rank} as rank, '{rule.kind}' as kind, pos as start, pos + length(hit) as "end" from (
+    select doc_id, hits[i] as hit, list_sum(list_transform(pieces[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0) as pos
+    from (select doc_id, hits, pieces, unnest(range(1, len(hits) + 1)) as i from (
+      select doc_id, regexp_extract_all(t, '{plain(rule.pattern)}') as hits, string_split_regex(t, '{plain(rule.pattern)}') as pieces from d))) where {keep}""")
+    counts = ", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.kind}" for r in BASE)
+    joined = "string_agg(kind || ':' || start || ':' || \"end\", ',' order by start, rank)"
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents), s as (select doc_id, rank, kind, cast(start as bigint) as start, cast("end" as bigint) as "end" from ({" union all ".join(parts)})),
+g as (select doc_id, {counts}, coalesce({joined} filter (where kind in ({base})), '') as b, {joined} as spans from s group by 1)
+select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE)}, sha256(coalesce(b, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"""
+
+
+SQL["op3_secrets"] = _secret_sql()
+
+
+def _mix_sql() -> str:
+    """The same schedule; slots are counted instead of ranked, as the first n blocks of a tape are the ones that are taken."""
+    from weftline.llm.mixing import GOLDEN, LEAST_BLOCK, MAX_REPEATS, MOST_SLOTS, SPAN, WEIGHTS
+
+    return f"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, md5('mix-1:' || coalesce(cast(doc_id as varchar), '')) as ord from documents
+), t as (select sum(size)::bigint as total, greatest({LEAST_BLOCK}, ceil(sum(size) / {MOST_SLOTS}.0))::bigint as block from d
+), p0 as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source is null, encode(source)) as rk from d group by 1
+), p1 as (select *, (list_value({", ".join(map(str, WEIGHTS))})[(rk - 1) % {len(WEIGHTS)} + 1])::bigint as w, source_size * {MAX_REPEATS} as cap from p0
+), p2 as (select *, cap / w as fills, total from p1, t
+), p3 as (
+  select *, (total - coalesce(sum(cap) over f, 0)) / (sum(w) over () - coalesce(sum(w) over f, 0)) as level from p2 window f as (order by fills, rk rows between unbounded preceding and 1 preceding)
+), p4 as (select *, (select arg_min(level, (fills, rk)) from p3 where level <= fills) as water from p3
+), p5 as (select *, least(cap::double, water * w) as target from p4
+), p6 as (select *, coalesce(floor(sum(target) over (order by rk rows unbounded preceding) / nullif(sum(target) over (), 0) * {SPAN}), 0)::bigint as high from p5
+), p7 as (select *, coalesce(lag(high) over (order by rk), 0) as low from p6
+), u as (select ((i + 1) * {GOLDEN}) % {SPAN} as u from (select unnest(range(0, ceil(total / block::double)::bigint)) as i from t)
+), n as (select rk, count(u) as slots from p7 left join u on u >= low and u < high group by 1
+), e as (select p7.*, least(slots * block, cap) as tape_end from p7 join n using (rk)
+), b as (
+  select d.doc_id, d.size, e.source_size, e.target, e.tape_end, sum(d.size) over (partition by e.rk order by d.ord, d.size, d.doc_id rows unbounded preceding) - d.size as start
+  from d join e on d.source is not distinct from e.source
+)
+select doc_id, size, source_size, target,
+  ({" + ".join(f"greatest(0, least(start + {k} * source_size + size, tape_end) - (start + {k} * source_size))" for k in range(MAX_REPEATS))})::bigint as taken from b"""
+
+
+SQL["op10_mix_sources"] = _mix_sql()
