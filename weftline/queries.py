@@ -330,7 +330,7 @@ def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.decide(matching.candidates(source, target)).select("source_id", "target_id", "status")
 
 
-@query("""select 5 as fields, 4 as automatic, 0 as unsafe_automatic, 1.0 as auto_precision, 1.0 as auto_coverage, 1.0 as suggestion_accuracy""")
+@query("""select 5::bigint as fields, 4::bigint as automatic, 0::bigint as unsafe_automatic, 1.0::double as auto_precision, 1.0::double as auto_coverage, 1.0::double as suggestion_accuracy""")
 def mapping_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = [("c1", "customer_number"), ("c2", "amount"), ("c3", "ordered_on"), ("c4", "api_token"), ("c5", None)]
     source, target = _fields(spark)
@@ -437,7 +437,7 @@ def batch_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.recommend_batch(_profile(spark, sf_dir), 200)
 
 
-@query("""select o_orderpriority, sum(f) as fields, sum(a) as accepted, sum(c) as corrected, sum(b) as abstained, count(*) filter (where a + c + b = f) as consistent, round(sum(f) / sum(m), 6) as fields_per_minute
+@query("""select o_orderpriority, sum(f)::bigint as fields, sum(a)::bigint as accepted, sum(c)::bigint as corrected, sum(b)::bigint as abstained, count(*) filter (where a + c + b = f) as consistent, round(sum(f) / sum(m), 6) as fields_per_minute
 from (select o_orderpriority, o_orderkey % 7 + 3 as f, o_orderkey % 7 as a, 2 as c, case when o_orderkey % 5 = 0 then 0 else 1 end as b, o_orderkey % 9 + 1 as m from orders) q group by 1""")
 def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -459,8 +459,8 @@ def metadata_policy_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- state
 
 
-@query("""select source, doc_id, running, place from (select source, doc_id, sum(n_chars) over (partition by source order by doc_id rows unbounded preceding) as running,
-row_number() over (partition by source order by doc_id) as place from documents) q where running <= 50000 and place <= 20""")
+@query("""select source, doc_id, running, place from (select source, doc_id, cast(sum(n_chars) over (partition by source order by doc_id rows unbounded preceding) as bigint) as running,
+cast(row_number() over (partition by source order by doc_id) as integer) as place from documents) q where running <= 50000 and place <= 20""")
 def outbox_pending_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     return state.pending_prefix(docs, ["source"], ["doc_id"], "n_chars", 50_000, 20).select("source", "doc_id", "running", "place")
@@ -469,7 +469,7 @@ def outbox_pending_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with recursive d as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id) as i from documents),
 c as (select source, doc_id, n_chars, i, 1 as n, n_chars as used, 1 as chunk from d where i = 1
 union all select d.source, d.doc_id, d.n_chars, d.i, case when c.n >= 10 or c.used + d.n_chars > 20000 then 1 else c.n + 1 end, case when c.n >= 10 or c.used + d.n_chars > 20000 then d.n_chars else c.used + d.n_chars end,
-case when c.n >= 10 or c.used + d.n_chars > 20000 then c.chunk + 1 else c.chunk end from c join d on d.source = c.source and d.i = c.i + 1) select source, doc_id, n_chars, chunk from c""")
+case when c.n >= 10 or c.used + d.n_chars > 20000 then c.chunk + 1 else c.chunk end from c join d on d.source = c.source and d.i = c.i + 1) select source, doc_id, n_chars, chunk::bigint as chunk from c""")
 def delivery_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.chunks(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 10, 20_000)
 
@@ -516,7 +516,7 @@ def relay_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.unionByName(again).select("event_id", "attempt", "outcome")
 
 
-@query("""select o_custkey, o_orderkey, row_number() over w as generation, sum(o_orderkey % 100) over (w rows unbounded preceding) as committed_records from orders window w as (partition by o_custkey order by o_orderkey)""")
+@query("""select o_custkey, o_orderkey, row_number() over w as generation, cast(sum(o_orderkey % 100) over (w rows unbounded preceding) as bigint) as committed_records from orders window w as (partition by o_custkey order by o_orderkey)""")
 def checkpoint_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 100).alias("committed"))
     return state.checkpoints(runs, "o_custkey", ["o_orderkey"], "committed").select("o_custkey", "o_orderkey", "generation", "committed_records")
