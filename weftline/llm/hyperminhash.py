@@ -272,7 +272,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     classes = scratch.table(filled.groupBy("set_key").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("cdoc"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles")))
 
     buckets = bands(classes)
-    firsts = buckets.groupBy("band").agg(F.min("set_key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written first, so that the join deals both sides anew and a hot bucket's members can be split.
+    firsts = scratch.table(buckets.groupBy("band").agg(F.min("set_key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = scratch.table(buckets.join(firsts.select("band", "first"), "band"))
     stars = members.filter("set_key != first").select(F.col("first").alias("a"), F.col("set_key").alias("b")).distinct()
     known = classes.select("set_key", "registers", "n_shingles")
