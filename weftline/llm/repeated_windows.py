@@ -227,10 +227,12 @@ def repeated_windows(docs: DataFrame, text: str = "text", depth: int = DEPTH, gr
 
     # First digit: keep runs whose digit is elsewhere too; mixed: not all of the group's runs are equal as a whole.
     firsts = every.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).filter("n > 1").select("g", (F.col("x") != F.col("y")).alias("mixed"))
+    # Counts are written before they are joined, so that the join deals both sides anew and a hot digit can be split.
+    firsts = scratch.table(firsts)
     shared = scratch.table(every.join(firsts, "g"))
-    times = shared.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
+    times = scratch.table(shared.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")))
     counted = scratch.table(shared.join(times, ["g", "c"]).filter("n > 1 or mixed"))
-    scratch.drop(shared)
+    scratch.drop(shared, firsts, times)
     whole = counted.filter("n > 1").select("key", "low", (F.col("high") + depth).alias("end")).distinct()
 
     # Runs of mixed groups, each text of a run once, with their bytes.
@@ -243,9 +245,9 @@ def repeated_windows(docs: DataFrame, text: str = "text", depth: int = DEPTH, gr
     for size in blocks:
         cut = scratch.table(blocks_of(parts, depth, size))
         names = ["g", "block", "digit"]
-        groups = cut.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).filter("n > 1")
+        groups = scratch.table(cut.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).filter("n > 1"))
         judged = scratch.table(cut.join(groups.select(*names, "mixed"), names).select("g", "c", "s1", "s2", "mixed"))
-        scratch.drop(cut)
+        scratch.drop(cut, groups)
         done = judged.filter("not mixed").select("g", "c", "s1", "s2")
         settled = done if settled is None else settled.unionByName(done)
         open_ = judged.filter("mixed").groupBy("g", "c").agg(F.collect_list(F.struct("s1", "s2")).alias("parts"))
