@@ -5,9 +5,10 @@ everything else into single blanks. Lexicon entries are whole words or word begi
 the exception list take back the weight of what they cover. The weights' sum is set against the text's length and mapped
 to a score by a logistic curve.
 
-The lexicon is the fixed list below plus terms learned from labelled rows: word beginnings and words that many toxic
-documents and hardly any other document hold. Labels are learned from at most `most_rows` labelled rows, chosen by hash.
-A term's weight is its smoothed log odds, lessened by its overlap with shorter terms. The curve is fitted on the same rows.
+The lexicon is the fixed list below plus terms learned from labelled rows: word beginnings and words whose part in toxic
+documents is beyond chance. Labels are learned from at most `most_rows` labelled rows, chosen by hash. Of near copies
+among them (documents whose smallest hash over pairs of words is the same) one counts, as copies would make all their
+words telling. A term's weight is its smoothed log odds. The curve is fitted on the same rows.
 
 Defined cases: null and empty texts score like texts without any lexicon entry; without labels the fixed list is used with
 its default weights; rows with null or repeated doc_ids are scored like others and a repeated label counts once (the larger one).
@@ -17,11 +18,13 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +39,12 @@ HOMOGLYPHS = {
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
 
-#: Bound on labelled rows to learn from, least toxic documents of a learned term, most learned terms, beginnings' lengths.
+#: Bound on labelled rows to learn from; least toxic documents, log odds and evidence (likelihood ratio against chance) of
+#: a learned term; most learned terms; beginnings' lengths.
 MOST_ROWS = 60_000
 LEAST_DOCS = 4
+LEAST_ODDS = 2.5
+LEAST_EVIDENCE = 16.0
 MOST_TERMS = 4_000
 BEGINNINGS = (3, 4, 5, 6, 7)
 DEFAULT_WEIGHT = 4.0
@@ -113,6 +119,19 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def family(folded: str) -> int:
+    """The smallest hash over a folded text's pairs of words: near copies mostly share it."""
+    words = folded.split()
+    pairs = zip(words, words[1:], strict=False) if len(words) > 1 else [(folded, "")]
+    return min(xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in pairs) - (1 << 63)
+
+
+def _term_counts(counts: Counter) -> pa.RecordBatch:
+    keys = list(counts)
+    columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["term", "toxic", "n"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Lexicon:
     """A lexicon from labelled rows that are not held out: docs (doc_id, text), labels (doc_id, toxic)."""
     spark = docs.sparkSession
@@ -120,7 +139,19 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Lex
     scratch = Scratch(spark)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    sample = scratch.table(docs.select("doc_id", text_of().alias("text")).join(known, "doc_id").select("toxic", "text"))
+    # At most most_rows ids, so they may be broadcast at any size of the corpus.
+    chosen_docs = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id").select("toxic", "text")
+
+    def families(batches):
+        from weftline.llm import toxicity
+
+        for batch in batches:
+            folded = [toxicity.fold(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folded, pa.string()), pa.array(map(toxicity.family, folded), pa.int64())], ["toxic", "text", "family"])
+
+    every = scratch.table(chosen_docs.mapInArrow(families, "toxic int, text string, family long").withColumn("row", F.monotonically_increasing_id()))
+    one = every.groupBy("family", "toxic").agg(F.min("row").alias("row"))
+    sample = scratch.table(every.join(F.broadcast(one.select("row")), "row", "left_semi").select("toxic", "text"))
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic_n, other_n = n.get(1, 0), n.get(0, 0)
     out = Lexicon({f" {w} ": DEFAULT_WEIGHT for w in LEXICON})
@@ -130,21 +161,27 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Lex
     def terms(batches):
         from weftline.llm import toxicity
 
+        # Counts of a few thousand documents at a time leave the worker, not each document's terms.
+        counts: Counter = Counter()
         for batch in batches:
-            seen_terms, seen_toxic = [], []
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(toxicity.fold(text).split())
+                words = set(text.split())
                 found = {f" {w} " for w in words}
                 for k in toxicity.BEGINNINGS:
                     found.update(" " + w[:k] for w in words if len(w) >= k)
-                seen_terms += found
-                seen_toxic += [toxic] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(seen_terms, pa.string()), pa.array(seen_toxic, pa.int32())], ["term", "toxic"])
-
-    counts = sample.mapInArrow(terms, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+                counts.update((t, toxic) for t in found)
+                if len(counts) > 300_000:
+                    yield _term_counts(counts)
+                    counts.clear()
+        yield _term_counts(counts)
+
+    counts = sample.mapInArrow(terms, "term string, toxic int, n long").groupBy("term")
+    counts = counts.agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (toxic_n + 1.0)) - F.log((F.col("good") + 0.5) / (other_n + 1.0))
-    chosen = counts.filter(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).filter("odds > 1.5")
-    # By how much the term tells, then shorter ones first: a beginning speaks for all words under it.
+    prior = toxic_n / (toxic_n + other_n)
+    both = F.col("bad") + F.col("good")
+    evidence = 2 * (F.col("bad") * F.log(F.col("bad") / (both * prior)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * (1 - prior)))).otherwise(0.0))
+    chosen = counts.filter(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).filter((F.col("odds") > LEAST_ODDS) & (evidence > LEAST_EVIDENCE))
     chosen = chosen.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), F.length("term"), "term").limit(MOST_TERMS).collect()
     weights: dict[str, float] = {}
     for r in sorted(chosen, key=lambda r: (len(r["term"]), r["term"])):
@@ -156,15 +193,13 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Lex
 
     def measures(batches):
         automaton = given.value.automaton()
-        from weftline.llm import toxicity
-
         for batch in batches:
-            m = [given.value.measure(toxicity.fold(t), automaton) for t in batch.column(1).to_pylist()]
+            m = [given.value.measure(t, automaton) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m, pa.float64())], ["toxic", "measure"])
 
     rows = sample.mapInArrow(measures, "toxic int, measure double").toPandas()
     out.bias, out.slope = _logistic(rows["measure"].to_numpy(), rows["toxic"].to_numpy())
-    scratch.drop(sample)
+    scratch.drop(every, sample)
     return out
 
 
