@@ -305,6 +305,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
 def keep_first(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay when of each group of near duplicates only the smallest doc_id stays."""
     found = near_duplicates(docs, text, size, percent)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    gone = Scratch(docs.sparkSession).table(found.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    # Few enough of them, counted, are broadcast, and the texts stay where they are; else both sides are dealt out.
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.md5(text_of(text).cast("binary")) == F.col("__key"))
     return docs.join(gone, same, "left_anti")
