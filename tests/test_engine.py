@@ -161,3 +161,22 @@ def test_scalars(spark):
     rows = df.select(scalars.padded_integer(F.col("v"), 4), scalars.origin(F.col("u")), scalars.choice(F.lit(" A "), ("a",), "a").value).collect()
     assert [tuple(r) for r in rows] == [("-0007", "https://example.org", "a"), ("12345", None, "a")]
     assert [r["n"] for r in scalars.numbered(spark.range(50).withColumnRenamed("id", "x"), "x", "n").orderBy("x").collect()] == list(range(1, 51))
+
+
+def test_planning_repair_and_recipes(spark, tmp_path):
+    from weftline.plans import planning
+    from weftline.queries import ORDERS_SOURCE, ORDERS_TARGET
+
+    plan = planning.build(ORDERS_SOURCE, ORDERS_TARGET, [("price", "total", "auto"), ("customer", "customer_id", "review")], allow_review=True)
+    assert [r.transform for r in plan.rules] == ["copy", "copy"]
+    with pytest.raises(planning.PlanRefused):
+        planning.build(ORDERS_SOURCE, ORDERS_TARGET, [("key", "order_id", "auto")])
+    moved = mapping.Schema("orders-source", (mapping.Field("k", "order number", "string", False, role="natural_key"), mapping.Field("price", "Total", "integer", False), ORDERS_SOURCE.fields[2]))
+    first = mapping.plan_for(ORDERS_SOURCE, ORDERS_TARGET, (mapping.Rule("key", "order_id", "parse_integer"), mapping.Rule("price", "total")))
+    fixed, findings = planning.repair(first, ORDERS_SOURCE, moved, ORDERS_TARGET)
+    assert [r.source for r in fixed.rules] == ["k", "price"] and fixed.version == 2
+    assert {(f.code, f.severity) for f in findings} == {("field_moved", "safe"), ("field_type_changed", "review")}
+    planning.recipe(spark, "r", first, ORDERS_SOURCE, ORDERS_TARGET, "me").write.parquet(str(tmp_path / "recipes"))
+    stored = spark.read.parquet(str(tmp_path / "recipes"))
+    assert planning.rebind(stored, ORDERS_SOURCE, ORDERS_TARGET).rules == first.rules
+    assert planning.rebind(stored, moved, ORDERS_TARGET) is None

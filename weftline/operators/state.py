@@ -178,3 +178,35 @@ def relay_offers(offers: DataFrame, queued: DataFrame, dead: DataFrame, identity
     joined = offers.join(q, identity, "left").join(d, identity, "left")
     outcome = F.when(F.col("__dead"), "replay_detected").when(F.col("__queued").isNull(), "enqueued").when(F.col("__queued") == F.col(digest), "duplicate").otherwise("replay_detected")
     return joined.withColumn("outcome", outcome).drop("__queued", "__dead")
+
+
+def pending(outbox: DataFrame, acks: DataFrame, key: str) -> DataFrame:
+    """Staged rows without an acknowledgement."""
+    return outbox.join(acks.select(key).distinct(), key, "left_anti")
+
+
+def bound(records: DataFrame, tenant: str, destination: str, plans: tuple[str, ...] = ()) -> DataFrame:
+    """Records of one route; no plans named means any plan."""
+    out = records.filter((F.col("tenant") == tenant) & (F.col("destination") == destination))
+    return out.filter(F.col("plan_digest").isin(*plans)) if plans else out
+
+
+#: States from which a write may be tried again without an idempotency contract.
+REPLAY_SAFE = ("quarantined", "replay_quarantined")
+
+
+def replayable(state: Column, has_contract: Column) -> Column:
+    """Whether a delivery may be run again: never when committed; after an unknown outcome only under a contract."""
+    return F.when(state == "committed", False).when(state.isin(*REPLAY_SAFE), True).otherwise(has_contract)
+
+
+def end_state(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
+    """missing, unexpected and differing rows between what should be and what is, in one pass over both."""
+    rest = [c for c in expected.columns if c not in keys]
+    packed = lambda df, name: df.select(*keys, F.struct(*rest).alias(name))
+    joined = packed(expected, "want").join(packed(actual, "have"), keys, "full")
+    return joined.agg(
+        F.count_if(F.col("have").isNull()).alias("missing"),
+        F.count_if(F.col("want").isNull()).alias("unexpected"),
+        F.count_if(F.col("want").isNotNull() & F.col("have").isNotNull() & (F.col("want") != F.col("have"))).alias("differing"),
+    )

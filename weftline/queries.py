@@ -590,3 +590,54 @@ def delimited_text_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     docs = table(spark, sf_dir, "documents").select("doc_id", lines.alias("ls"))
     return docs.select("doc_id", ((F.size("ls") >= 2) & (F.size(F.filter("ls", lambda x: x.contains("|"))) >= 0.8 * F.size("ls"))).alias("delimited"))
+
+
+@query("""select o_orderkey from orders where o_orderkey % 3 <> 0""")
+def outbox_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return state.pending(orders, orders.filter("o_orderkey % 3 = 0"), "o_orderkey")
+
+
+@query("""select o_orderkey from orders where o_orderstatus = 'O' and o_custkey % 4 = 1 and o_orderpriority in ('1-URGENT', '2-HIGH')""")
+def route_binding_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderstatus").alias("tenant"), (F.col("o_custkey") % 4).cast("string").alias("destination"), F.col("o_orderpriority").alias("plan_digest")
+    )
+    return state.bound(records, "O", "1", ("1-URGENT", "2-HIGH")).select("o_orderkey")
+
+
+@query("""select count(*) filter (where o_orderkey % 10 = 0) as missing, 0::bigint as unexpected, count(*) filter (where o_orderkey % 10 <> 0 and o_orderkey % 7 = 0) as differing from orders""")
+def workflow_end_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    actual = expected.filter("o_orderkey % 10 <> 0").withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 == 0, -1).otherwise(F.col("o_custkey")))
+    return state.end_state(expected, actual, ["o_orderkey"])
+
+
+@query("""select user_id, min(case when rn = 1 then event_type end) = max(case when rn = 1 then event_type end) and count(*) > 0 and min(case when rn = 1 then event_type end) = 'view' and max(case when rn = n then event_type end) in ('purchase')
+and count(*) filter (where event_type = 'view') = 1 and count(*) filter (where event_type = 'purchase') = 1 as valid
+from (select user_id, event_type, row_number() over (partition by user_id order by event_id) as rn, count(*) over (partition by user_id) as n from events) q group by 1""")
+def run_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.lifecycle(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", "view", ("purchase",))
+
+
+@query("""select field, distinct_keys, uniq as unique, nulls from (
+select 'o_orderkey' as field, count(distinct o_orderkey) as distinct_keys, count(*) = count(distinct o_orderkey) as uniq, count(*) - count(o_orderkey) as nulls from orders
+union all select 'o_custkey', count(distinct o_custkey), count(*) = count(distinct o_custkey), count(*) - count(o_custkey) from orders) q""")
+def lookup_key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.sources.database import unique_keys
+
+    return unique_keys(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey"])
+
+
+@query("""select * from (values ('c1', 'customer_number', 'copy'), ('c2', 'amount', 'copy'), ('c3', 'ordered_on', 'copy'), ('c4', 'api_token', 'opaque_forward')) v(source_id, target_id, transform)""")
+def plan_from_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of the matcher compiled to a plan's rules."""
+    from weftline.plans import planning
+
+    def schema(name: str, rows: list[tuple]) -> mapping.Schema:
+        return mapping.Schema(name, tuple(mapping.Field(r[1], r[2], r[4], r[5], r[6], r[7], tuple(r[3])) for r in rows))
+
+    source, target = _fields(spark)
+    decisions = [(r["source_id"], r["target_id"], r["status"]) for r in matching.decide(matching.candidates(source, target)).collect()]
+    plan = planning.build(schema("source", _SOURCE_FIELDS), schema("target", _TARGET_FIELDS), sorted(decisions))
+    return spark.createDataFrame([(r.source, r.target, r.transform) for r in plan.rules], "source_id string, target_id string, transform string")
