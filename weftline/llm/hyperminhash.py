@@ -6,7 +6,7 @@ further rounds the set is hashed again and fills, with that round's smallest has
 that each bucket agrees between two sets with the probability of their Jaccard similarity.
 
 1. Documents with equal sets are one class. Classes are sketched, and bands of compressed registers are their keys.
-2. In each bucket the members are linked to the bucket's smallest class. Registers of both are compared; the share of
+2. In each bucket of the first STAR_BANDS bands the members are linked to the bucket's smallest class. Registers of both are compared; the share of
    equal ones, corrected for chance collisions of compressed registers, must come near the threshold.
 3. What is left is confirmed on the full sets, and the confirmed links give components (alternating large and small stars).
 4. Buckets whose members still lie in several components are compared in blocks of bounded size inside tasks, which hand
@@ -39,6 +39,8 @@ REGISTERS = BANDS * ROWS
 ZERO_BITS, MANTISSA_BITS = 5, 11
 #: Standard deviations below the threshold down to which an estimate is handed to the full comparison.
 SIGMAS = 5
+#: Bands whose buckets are linked to their first class before any blocks are compared: enough to join nearly all copies.
+STAR_BANDS = 12
 #: Members of a bucket that are compared in one block.
 BLOCK = 4096
 #: Ids that may be broadcast (8 bytes each in the plan's terms); beyond it the join is an ordinary one.
@@ -225,7 +227,7 @@ def block_pairs(members: DataFrame, need: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components, in buckets (band, no, first, set_key, label, registers, n_shingles), that agree in `need` registers.
 
     A bucket is dealt into blocks of about BLOCK members; each pair of blocks is compared in one task, as matrices. Pairs
-    with the bucket's first class have been judged before. A pair that meets in several buckets is handed on in the one
+    with the bucket's first class have been judged before in the first STAR_BANDS bands. A pair that meets in several buckets is handed on in the one
     with the lowest band number; pairs whose sizes alone keep them under the threshold are not handed on.
     """
     ship(members.sparkSession)
@@ -237,7 +239,8 @@ def block_pairs(members: DataFrame, need: int, percent: int) -> DataFrame:
     dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.filter(pa.compute.not_equal(table.column("set_key"), table.column("first")))
+        if table.column("no")[0].as_py() < STAR_BANDS:
+            table = table.filter(pa.compute.not_equal(table.column("set_key"), table.column("first")))
         a, b = [], []
         if table.num_rows:
             keys, labels = table.column("set_key").to_pylist(), table.column("label").to_pylist()
@@ -276,7 +279,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     # Written first, so that the join deals both sides anew and a hot bucket's members can be split.
     firsts = scratch.table(buckets.groupBy("band").agg(F.min("set_key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = scratch.table(buckets.join(firsts.select("band", "first"), "band"))
-    stars = members.filter("set_key != first").select(F.col("first").alias("a"), F.col("set_key").alias("b")).distinct()
+    stars = members.filter((F.col("set_key") != F.col("first")) & (F.col("no") < STAR_BANDS)).select(F.col("first").alias("a"), F.col("set_key").alias("b")).distinct()
     known = classes.select("set_key", "registers", "n_shingles")
     side = lambda x: known.select(F.col("set_key").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
     stars = stars.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
@@ -285,7 +288,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     found = components(links, scratch)
 
     labelled = members.join(found, F.col("set_key") == F.col("node"), "left").select("band", "no", "first", "set_key", F.coalesce("label", "set_key").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y and n > 2").select("band")
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.min("no").alias("no"))
+    mixed = mixed.filter((F.col("x") != F.col("y")) & ((F.col("n") > 2) | (F.col("no") >= STAR_BANDS))).select("band")
     open_ = labelled.join(mixed, "band", "left_semi").join(known, "set_key")
     more = scratch.table(block_pairs(open_, need, percent).join(candidates, ["a", "b"], "left_anti"))
     if more.limit(1).count():
