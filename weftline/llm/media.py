@@ -2,11 +2,11 @@
 
 Images with equal pixels are one class. Each class gets corners on several scales (Harris response, local maxima), each
 corner an orientation (intensity centroid) and 256 binary intensity tests turned by it. Two descriptors within RADIUS
-bits of each other agree in at least one of TABLES equal parts of their bits; the parts are the keys of Hamming tables, on
-which classes meet. As a link takes VOTES agreeing corners, a class may leave out the VOTES - 1 of its descriptors whose
-keys are the most common and still meets every class it can link to. Pairs that met are compared with all descriptors;
-their matches vote for a scale, a turn and a shift, and a pair is linked when VOTES of them agree, which holds for crops
-and for changes of brightness and contrast.
+bits of each other agree in at least one of TABLES equal parts of their bits; the parts are the keys of Hamming tables.
+Descriptors that share a cell are compared in whole, cells of more than BLOCK descriptors in pairs of blocks, so that all
+matches of all classes are found, each in the first table that holds it. The matches of two classes vote for a scale, a
+turn and a shift, and a pair is linked when VOTES of them agree, which holds for crops, for changes of brightness and
+contrast, and for noise, recompression and rescaling that leave VOTES corners within RADIUS.
 
 Images are given as bytes (PNG with 8 bits a channel and no interlace, PGM, PPM). Defined cases: null, empty or unreadable
 bytes have no class and no links; images without corners link with nothing but their own class; rows with null or repeated
@@ -32,12 +32,18 @@ SCALES = (1.0, 0.71, 0.5)
 CORNERS = 24
 PATCH = 8
 BITS = 256
-TABLES = 2
-RADIUS = TABLES - 1
+#: Bits by which descriptors of one corner may differ; sized for edits (noise, recompression, rescaling).
+RADIUS = 7
+#: One more than RADIUS, so that descriptors within RADIUS agree in a table.
+TABLES = 8
+PART = BITS // 8 // TABLES
+#: Cells of a table with more descriptors than this are compared in pairs of blocks.
+BLOCK = 2048
 VOTES = 4
 #: Steps of the votes: scale (log 2), turn (radians) and shift (share of the larger side).
 STEP_SCALE, STEP_TURN, STEP_SHIFT = 0.5, math.pi / 6, 0.125
 RECORD = struct.Struct("<ffff32s")
+PLACE = struct.Struct("<ffff")
 
 
 def _pattern() -> np.ndarray:
@@ -154,31 +160,43 @@ def features(image: np.ndarray) -> list[tuple[float, float, float, float, bytes]
         ys, xs = ys[best], xs[best]
         grid = np.arange(-PATCH + 1, PATCH)
         disk_y, disk_x = (g[np.hypot(*np.meshgrid(grid, grid, indexing="ij")) < PATCH] for g in np.meshgrid(grid, grid, indexing="ij"))
-        values = level[ys[:, None] + disk_y, xs[:, None] + disk_x]
-        angle = np.arctan2((values * disk_y).sum(1), (values * disk_x).sum(1))
-        cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        dy, dx = TESTS[None, :, :, 0], TESTS[None, :, :, 1]
-        py = np.clip(np.rint(ys[:, None, None] + sin * dx + cos * dy).astype(int), 0, h - 1)
-        px = np.clip(np.rint(xs[:, None, None] + cos * dx - sin * dy).astype(int), 0, w - 1)
         smooth = _box(level, 1)
-        bits = np.packbits(smooth[py[:, :, 0], px[:, :, 0]] < smooth[py[:, :, 1], px[:, :, 1]], axis=1)
-        out += [(float(x / scale), float(y / scale), scale, float(a), d.tobytes()) for x, y, a, d in zip(xs, ys, angle, bits, strict=True)]
+        # In parts, as a large image has many corners.
+        for at in range(0, len(ys), 2048):
+            out += _described(level, smooth, ys[at : at + 2048], xs[at : at + 2048], disk_y, disk_x, scale)
     return out
 
 
-_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-def agree(a: bytes, b: bytes, votes: int = VOTES) -> int:
-    """The most matches of two classes' features that agree in scale, turn and shift."""
-    fa, fb = list(RECORD.iter_unpack(a)), list(RECORD.iter_unpack(b))
-    da = np.frombuffer(b"".join(f[4] for f in fa), np.uint8).reshape(-1, BITS // 8)
-    db = np.frombuffer(b"".join(f[4] for f in fb), np.uint8).reshape(-1, BITS // 8)
-    i, j = np.nonzero(_COUNT[da[:, None, :] ^ db[None, :, :]].sum(axis=2, dtype=np.int32) <= RADIUS)
+def _described(level: np.ndarray, smooth: np.ndarray, ys: np.ndarray, xs: np.ndarray, disk_y: np.ndarray, disk_x: np.ndarray, scale: float) -> list[tuple]:
+    h, w = level.shape
+    values = level[ys[:, None] + disk_y, xs[:, None] + disk_x]
+    angle = np.arctan2((values * disk_y).sum(1), (values * disk_x).sum(1))
+    cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+    dy, dx = TESTS[None, :, :, 0], TESTS[None, :, :, 1]
+    py = np.clip(np.rint(ys[:, None, None] + sin * dx + cos * dy).astype(int), 0, h - 1)
+    px = np.clip(np.rint(xs[:, None, None] + cos * dx - sin * dy).astype(int), 0, w - 1)
+    bits = np.packbits(smooth[py[:, :, 0], px[:, :, 0]] < smooth[py[:, :, 1], px[:, :, 1]], axis=1)
+    return [(float(x / scale), float(y / scale), scale, float(a), d.tobytes()) for x, y, a, d in zip(xs, ys, angle, bits, strict=True)]
+
+
+def _near(a: np.ndarray, b: np.ndarray, words: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the descriptors of a and b (rows of four words) within RADIUS; two words are compared first."""
+    found_i, found_j = [], []
+    for at in range(0, len(a), 256):
+        part = a[at : at + 256]
+        first = np.bitwise_count(part[:, None, words[0]] ^ b[None, :, words[0]]) + np.bitwise_count(part[:, None, words[1]] ^ b[None, :, words[1]])
+        i, j = np.nonzero(first <= RADIUS)
+        close = np.bitwise_count(part[i] ^ b[j]).sum(axis=1, dtype=np.int32) <= RADIUS
+        found_i.append(i[close] + at), found_j.append(j[close])
+    return np.concatenate(found_i or [np.zeros(0, np.int64)]), np.concatenate(found_j or [np.zeros(0, np.int64)])
+
+
+def voted(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, votes: int = VOTES) -> int:
+    """The most of the matches (i, j) that agree in scale, turn and shift; a, b: rows of x, y, scale, angle."""
     if len(i) < votes:
         return 0
-    xa, ya, sa, ta = np.array([f[:4] for f in fa])[i].T
-    xb, yb, sb, tb = np.array([f[:4] for f in fb])[j].T
+    xa, ya, sa, ta = a[i].astype(float).T
+    xb, yb, sb, tb = b[j].astype(float).T
     scale, turn = np.log2(sa / sb), (tb - ta + math.pi) % (2 * math.pi) - math.pi
     grow = 2.0**scale
     moved_x = xb - grow * (np.cos(turn) * xa - np.sin(turn) * ya)
@@ -193,30 +211,39 @@ def agree(a: bytes, b: bytes, votes: int = VOTES) -> int:
     return best
 
 
+def _parts(feats: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y, scale, angle) and descriptors (four words) of packed features."""
+    rows = np.frombuffer(feats, np.uint8).reshape(-1, RECORD.size)
+    return np.ascontiguousarray(rows[:, : PLACE.size]).view("<f4"), np.ascontiguousarray(rows[:, PLACE.size :]).view(np.uint64)
+
+
+def agree(a: bytes, b: bytes, votes: int = VOTES) -> int:
+    """The most matches of two classes' features that agree in scale, turn and shift."""
+    (pa_, da), (pb_, db) = _parts(a), _parts(b)
+    return voted(pa_, pb_, *_near(da, db), votes)
+
+
 def describe(images: DataFrame) -> DataFrame:
-    """images (id, image) to id, pixels (16 bytes, null without a readable image), feats, keys array<long> (one for each table and corner)."""
+    """images (id, image) to id, pixels (16 bytes, null without a readable image), feats (packed), places (those of feats)."""
 
     def work(batches):
         from weftline.llm import media as m
 
         for batch in batches:
-            pixels, feats, keys, known = [], [], [], {}
+            pixels, feats, places, known = [], [], [], {}
             for raw in batch.column(1).to_pylist():
                 image = m.read_image(raw)
                 if image is None:
-                    pixels.append(None), feats.append(None), keys.append([])
+                    pixels.append(None), feats.append(None), places.append(None)
                     continue
                 key = xxhash.xxh3_128_digest(str(image.shape).encode() + np.ascontiguousarray(image).tobytes())
                 if key not in known:
                     found = m.features(image)
-                    packed = b"".join(m.RECORD.pack(*f) for f in found)
-                    part = m.BITS // 8 // m.TABLES
-                    cells = [xxhash.xxh3_64_intdigest(bytes([t]) + f[4][t * part : (t + 1) * part]) - (1 << 63) for f in found for t in range(m.TABLES)]
-                    known[key] = packed, cells
-                pixels.append(key), feats.append(known[key][0]), keys.append(known[key][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pixels, pa.binary()), pa.array(feats, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "pixels", "feats", "keys"])
+                    known[key] = b"".join(m.RECORD.pack(*f) for f in found), b"".join(m.PLACE.pack(*f[:4]) for f in found)
+                pixels.append(key), feats.append(known[key][0]), places.append(known[key][1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pixels, pa.binary()), pa.array(feats, pa.binary()), pa.array(places, pa.binary())], ["id", "pixels", "feats", "places"])
 
-    return images.mapInArrow(work, "id long, pixels binary, feats binary, keys array<long>")
+    return images.mapInArrow(work, "id long, pixels binary, feats binary, places binary")
 
 
 def copies(images: DataFrame, votes: int = VOTES) -> DataFrame:
@@ -228,43 +255,127 @@ def copies(images: DataFrame, votes: int = VOTES) -> DataFrame:
     scratch = Scratch(images.sparkSession)
     rows = scratch.table(describe(images.select(F.col("id").cast("long").alias("id"), "image")))
     seen = rows.filter("pixels is not null")
-    classes = scratch.table(seen.groupBy("pixels").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats"), F.first("keys").alias("keys")))
+    classes = seen.groupBy("pixels").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats"), F.first("places").alias("places"))
+    classes = scratch.table(classes.withColumn("number", F.monotonically_increasing_id()))
     pairs = scratch.table(verified(meetings(classes, votes, scratch), classes, votes))
-    ends = pairs.select(F.col("a").alias("pixels")).unionByName(pairs.select(F.col("b").alias("pixels")))
-    counts = ends.groupBy("pixels").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("pixels", "class_id").join(counts, "pixels", "left")
+    ends = pairs.select(F.col("a").alias("number")).unionByName(pairs.select(F.col("b").alias("number")))
+    counts = ends.groupBy("number").agg(F.count(F.lit(1)).alias("n_links"))
+    named = classes.select("pixels", "number", "class_id").join(counts, "number", "left").drop("number")
     found = seen.select("id", "pixels").join(named, "pixels").select("id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     blank = rows.filter("pixels is null").select("id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(blank)
 
 
 def meetings(classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of classes that share a key of a descriptor, the votes - 1 most common descriptors of each left out."""
-    cells = classes.select("pixels", F.posexplode("keys").alias("at", "cell")).withColumn("corner", F.expr(f"at div {TABLES}"))
-    cells = scratch.table(cells.select("pixels", "corner", "cell"))
-    common = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = cells.join(common, "cell")
-    # A descriptor is as common as its most common key; corners that share no key with another descriptor meet nothing.
-    weight = shared.groupBy("pixels", "corner").agg(F.max("n").alias("weight"))
-    ranked = weight.groupBy("pixels").agg(F.slice(F.sort_array(F.collect_list(F.struct("weight", "corner")), asc=False), 1, votes - 1)["corner"].alias("skip"))
-    used = shared.join(ranked, "pixels").filter(~F.array_contains("skip", F.col("corner"))).select("cell", "pixels").distinct()
-    return used.alias("l").join(used.alias("r"), F.expr("l.cell = r.cell and l.pixels < r.pixels")).select(F.col("l.pixels").alias("a"), F.col("r.pixels").alias("b")).distinct()
+    """Pairs (a, b) of classes by number that have at least `votes` matches, with matches array<long> (corner of a << 32 | corner of b)."""
+    size, lead = RECORD.size, PLACE.size
+    corners = classes.filter("length(feats) > 0").select("number", "feats", F.explode(F.expr(f"sequence(0, cast(length(feats) div {size} as int) - 1)")).alias("corner"))
+    corners = corners.select("number", "corner", F.expr(f"substring(feats, corner * {size} + {lead + 1}, {size - lead})").alias("bits"))
+    found = None
+    for t in range(TABLES):
+        # One table after the other, so that only one is on the disk at a time.
+        cells = corners.withColumn("cell", F.expr(f"substring(bits, {t * PART + 1}, {PART})"))
+        # Cells above BLOCK are few: at most a share of 1 / BLOCK of the descriptors.
+        large = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+        dealt = cells.join(F.broadcast(large), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("mine", F.expr("cast(pmod(xxhash64(number, corner), blocks) as int)"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        dealt = dealt.select("cell", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "number", "corner", "bits")
+        dealt = dealt.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+        matches = scratch.table(dealt.select("low", "high", "mine", "number", "corner", "bits").mapInArrow(_matcher(t), "a long, b long, corners long"))
+        found = matches if found is None else found.unionByName(matches)
+        # Lets Spark's cleaner remove the table's shuffle files.
+        classes.sparkSession._jvm.System.gc()
+    pairs = found.repartition("a", "b").groupBy("a", "b").agg(F.collect_list("corners").alias("matches"))
+    return pairs.filter(F.size("matches") >= votes)
+
+
+def _matcher(t: int):
+    def work(batches):
+        from weftline.llm import media as m
+
+        rest = None
+        for batch in batches:
+            low, high, mine, number, corner = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, m.BITS // 64)
+            rows = [low, high, mine, number, corner, bits]
+            rows = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            cell = rows[5].view(np.uint32)[:, t]
+            new = np.flatnonzero((cell[1:] != cell[:-1]) | (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+            # The last group may go on in the next batch.
+            end = new[-1] if len(new) else 0
+            rest = [x[end:] for x in rows]
+            if end:
+                yield m.matched([x[:end] for x in rows], np.concatenate(([0], new)), t)
+        if rest is not None and len(rest[0]):
+            yield m.matched(rest, np.array([0, len(rest[0])]), t)
+
+    return work
+
+
+def matched(rows: list[np.ndarray], ends: np.ndarray, t: int) -> pa.RecordBatch:
+    """Matches inside the groups rows[ends[k] : ends[k + 1]], without those that an earlier table than t holds."""
+    low, high, mine, number, corner, bits = rows
+    sizes = np.diff(ends)
+    left, right = [], []
+    # Small groups: rows at a distance of 1, 2, ... in the same group.
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    small = (sizes <= 48) & (low[ends[:-1]] == high[ends[:-1]])
+    at = np.flatnonzero(small[group] & (sizes[group] > 1))
+    for step in range(1, 48):
+        at = at[at + step < len(group)]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        close = at[np.bitwise_count(bits[at] ^ bits[at + step]).sum(axis=1, dtype=np.int32) <= RADIUS]
+        left.append(close), right.append(close + step)
+    # Words without the part that is equal in the whole group come first.
+    own = t * PART // 8
+    words = ((own + 1) % 4, (own + 2) % 4)
+    for k in np.flatnonzero(~small):
+        span = np.arange(ends[k], ends[k + 1])
+        if low[span[0]] == high[span[0]]:
+            for lo in range(0, len(span), 512):
+                i, j = _near(bits[span[lo : lo + 512]], bits[span[lo:]], words)
+                left.append(span[lo:][i[i < j]]), right.append(span[lo:][j[i < j]])
+        else:
+            one, two = span[mine[span] == low[span[0]]], span[mine[span] != low[span[0]]]
+            i, j = _near(bits[one], bits[two], words)
+            left.append(one[i]), right.append(two[j])
+    i, j = np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
+    parts = bits.view(np.uint8).reshape(len(bits), TABLES, PART)
+    fresh = (parts[i, :t] != parts[j, :t]).any(axis=2).all(axis=1) & (number[i] != number[j])
+    i, j = i[fresh], j[fresh]
+    turn = number[i] > number[j]
+    i, j = np.where(turn, j, i), np.where(turn, i, j)
+    packed = (corner[i].astype(np.int64) << 32) | corner[j].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(number[i], pa.int64()), pa.array(number[j], pa.int64()), pa.array(packed, pa.int64())], ["a", "b", "corners"])
 
 
 def verified(pairs: DataFrame, classes: DataFrame, votes: int) -> DataFrame:
-    feats = classes.select("pixels", "feats")
-    both = pairs.join(feats.select(F.col("pixels").alias("a"), F.col("feats").alias("fa")), "a").join(feats.select(F.col("pixels").alias("b"), F.col("feats").alias("fb")), "b")
+    """Pairs (a, b, matches) whose matches agree, with their votes."""
+    sides = [classes.select(F.col("number").alias(c), F.struct("pixels", "places").alias(f"of_{c}")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    both = both.select("a", "b", "matches", "of_a.pixels", "of_a.places", F.col("of_b.pixels").alias("pixels_b"), F.col("of_b.places").alias("places_b"))
 
     def work(batches):
         from weftline.llm import media as m
 
         for batch in batches:
-            a, b, fa, fb = (batch.column(i).to_pylist() for i in range(4))
-            n = [m.agree(x, y, votes) for x, y in zip(fa, fb, strict=True)]
+            a, b, matches, pixels_a, places_a, pixels_b, places_b = (batch.column(i).to_pylist() for i in range(7))
+            n = []
+            for c, key_a, x, key_b, y in zip(matches, pixels_a, places_a, pixels_b, places_b, strict=True):
+                c = np.array(c, np.int64)
+                x, y = (np.frombuffer(v, "<f4").reshape(-1, 4) for v in (x, y))
+                i, j = c >> 32, c & 0xFFFFFFFF
+                # From the smaller pixels to the larger, as the numbers may differ from run to run.
+                n.append(m.voted(x, y, i, j, votes) if key_a < key_b else m.voted(y, x, j, i, votes))
             keep = [k for k, v in enumerate(n) if v >= votes]
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.binary()), pa.array([b[k] for k in keep], pa.binary()), pa.array([n[k] for k in keep], pa.int32())], ["a", "b", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64()), pa.array([n[k] for k in keep], pa.int32())], ["a", "b", "votes"])
 
-    return both.select("a", "b", "fa", "fb").mapInArrow(work, "a binary, b binary, votes int")
+    return both.mapInArrow(work, "a long, b long, votes int")
 
 
 def render(vectors: DataFrame, side: int = 64) -> DataFrame:
