@@ -79,3 +79,34 @@ def test_links_match_all_pairs(spark, monkeypatch, block):
     got = {r["id"]: r["n_links"] for r in media.copies(df).collect()}
     want = brute_links(raws)
     assert [got[i] for i in range(len(raws))] == want and sum(want) >= 5 * 6
+
+
+def test_few_matches_meet(spark):
+    """Two images with VOTES matches that lie in one cell each on either side meet, whatever other corners are more common."""
+    rng = np.random.default_rng(6)
+    common = [rng.bytes(32) for _ in range(media.VOTES)]
+
+    def feats(order, near):
+        # The matched corners of the second image differ in RADIUS bits, so that they share one table only.
+        out = []
+        for n, k in enumerate(order):
+            bits = bytearray(common[k])
+            if near:
+                for t in range(media.TABLES):
+                    if t != (k + n) % media.TABLES:
+                        bits[t * media.PART] ^= 1
+            out.append(media.RECORD.pack(20.0 * k, 10.0 * k * k, 1.0, 0.0, bytes(bits)))
+        return b"".join(out)
+
+    rows = [("a", feats([0, 1, 2, 3], False)), ("b", feats([3, 2, 1, 0], True))]
+    # Other images hold single corners of either side, as often as makes them common.
+    for n in range(40):
+        bits = bytearray(common[n % 2] if n % 3 else common[2 + n % 2])
+        bits[media.PART * (n % 8)] ^= 1
+        rows.append((f"x{n}", media.RECORD.pack(0.0, 0.0, 1.0, 0.0, bytes(bits))))
+    assert media.agree(rows[0][1], rows[1][1]) == media.VOTES
+    classes = spark.createDataFrame([(i, p.encode(), f) for i, (p, f) in enumerate(rows)], "number long, pixels binary, feats binary")
+    from weftline.llm.common import Scratch
+
+    met = {(r["a"], r["b"]) for r in media.meetings(classes, media.VOTES, Scratch(spark)).collect()}
+    assert (0, 1) in met
