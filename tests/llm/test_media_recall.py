@@ -110,3 +110,10 @@ def test_few_matches_meet(spark):
 
     met = {(r["a"], r["b"]) for r in media.meetings(classes, media.VOTES, Scratch(spark)).collect()}
     assert (0, 1) in met
+
+
+def test_small_crops_of_large_images():
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        image = picture(rng, 640)
+        assert media.agree(packed(media.write_pgm(image)), packed(media.write_pgm(image[300:428, 210:338]))) >= media.VOTES

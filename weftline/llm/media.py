@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import Scratch, ship
 
 SCALES = (1.0, 0.71, 0.5)
-#: Corners kept for each scale, the strongest; part of the descriptor's definition.
+#: Corners kept in each square of TILE x TILE pixels of each scale, the strongest; part of the descriptor's definition.
 CORNERS = 24
+TILE = 64
 PATCH = 8
 BITS = 256
 #: Bits by which descriptors of one corner may differ; sized for edits (noise, recompression, rescaling).
@@ -156,7 +157,12 @@ def features(image: np.ndarray) -> list[tuple[float, float, float, float, bytes]
         ys, xs = np.nonzero(peak)
         if not len(ys):
             continue
-        best = np.lexsort((xs, ys, -response[ys, xs]))[:CORNERS]
+        tile = ys // TILE * (w // TILE + 1) + xs // TILE
+        best = np.lexsort((xs, ys, -response[ys, xs], tile))
+        # The place of each corner among those of its tile.
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(tile[best])) + 1))
+        place = np.arange(len(best)) - np.repeat(starts, np.diff(np.append(starts, len(best))))
+        best = best[place < CORNERS]
         ys, xs = ys[best], xs[best]
         grid = np.arange(-PATCH + 1, PATCH)
         disk_y, disk_x = (g[np.hypot(*np.meshgrid(grid, grid, indexing="ij")) < PATCH] for g in np.meshgrid(grid, grid, indexing="ij"))
