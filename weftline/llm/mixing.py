@@ -2,7 +2,8 @@
 
 All words of a source, its documents in hashed order, form a tape that is cut into blocks of equal length. The points
 of a golden-ratio sequence are mapped through the sources' cumulative targets; the k-th point that falls to a source
-takes the k-th block of its tape, round and round for at most `max_repeats` epochs.
+takes the k-th block of its tape, round and round for at most `max_repeats` epochs. Each source gives its target to the
+word at any length of blocks: what its slots hold beyond the target is not taken, and what they lack comes after them.
 
 No source is ever gathered in one task: prefix sums over documents and ranks over slots are taken in two levels,
 first inside chunks of bounded size, then over the chunks' totals.
@@ -107,10 +108,11 @@ def mix(
     tape = placed.join(sums, ["source_no", "bucket"]).withColumn("begin", F.col("offset") + F.col("inside"))
 
     slots = schedule(spark, per, slots_n, scratch)
-    taken_slots = per.join(slots.groupBy("source_no").agg(F.count(F.lit(1)).alias("slots")), "source_no", "left").select(
-        "source_no", F.least(F.coalesce("slots", F.lit(0)) * block, F.col("source_size") * max_repeats).alias("tape_end")
-    )
-    pieces = tape.join(taken_slots, "source_no", "left")
+    # Targets rounded by their running sums, so that the words taken add up to the total.
+    upto = F.round(F.sum(F.coalesce("target", F.lit(0.0))).over(W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0))).cast("long")
+    ends = per.withColumn("upto", upto).withColumn("share", F.col("upto") - F.coalesce(F.lag("upto").over(W.orderBy("source_no")), F.lit(0)))
+    ends = ends.select("source_no", F.least("share", F.col("source_size") * max_repeats).alias("tape_end"))
+    pieces = tape.join(ends, "source_no", "left")
     epochs = F.sequence(F.lit(0), F.lit(max_repeats - 1))
     pieces = pieces.withColumn("epoch", F.explode(epochs))
     start = F.col("begin") + F.col("epoch") * F.col("source_size")
@@ -125,8 +127,9 @@ def mix(
     return (
         joined.groupBy(*key)
         .agg(
-            F.sum(F.when(F.col("slot").isNotNull(), words).otherwise(0)).alias("taken"),
-            F.min("slot").alias("first_slot"),
+            F.sum(F.when(F.col("block").isNotNull(), words).otherwise(0)).alias("taken"),
+            # Blocks that the slots lack are read after the last slot.
+            F.min(F.when(F.col("block").isNotNull(), F.coalesce("slot", F.col("block") + slots_n))).alias("first_slot"),
         )
         .select("doc_id", "source", *carry, "size", "source_size", "target", "taken", "first_slot")
     )
