@@ -9,7 +9,10 @@ No source is ever gathered in one task: prefix sums over documents and ranks ove
 first inside chunks of bounded size, then over the chunks' totals.
 
 Defined cases: a null text has size 0; a null source is a source of its own, placed last; null or repeated doc_ids are
-ordinary rows, each with its own place on the tape; an empty table gives an empty result; documents without words take 0.
+ordinary rows, each with its own place on the tape (the order is a hash of doc_id and text; rows equal in both stand next
+to each other, in any order); texts of any length are counted whole, and one of them
+may hold many blocks; an empty table gives an empty result; documents without words take 0; further columns of docs may
+have any names, as only doc_id, source, the text and those named in carry are read.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, WORD, Scratch, text_of
+from weftline.llm.common import SPACE, WORD, Scratch, fresh, small, text_of
 
 #: Step of the golden-ratio sequence in 32-bit integers, odd and nearest to 2^32 / 1.618...
 GOLDEN = 2654435769
@@ -74,7 +77,8 @@ def mix(
     seed: str = "mix-1",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, taken, first_slot (when the mix first reads it).
+    """One row for each document: doc_id, source, size, source_size, target, taken, first_slot (when the mix first reads it;
+    null: never), epoch_slots (the same for each time that it is read).
 
     carry: further columns of docs to hand through.
     """
@@ -86,7 +90,8 @@ def mix(
             "source",
             *carry,
             F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("order"),
+            # With the text's digest, so that rows without or with one doc_id spread like others.
+            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text_of(text).cast("binary")))).alias("order"),
         )
     )
     per = scratch.table(targets(sized, weights, max_repeats))
@@ -97,7 +102,7 @@ def mix(
     # Buckets by the leading hexadecimal digits of the hashed order, so many that each holds about CHUNK documents of a source.
     digits = max(0, math.ceil(math.log(max(1, most_rows / CHUNK), 16)))
 
-    named = sized.join(per.select("source", "source_no", "source_size", "target"), sized["source"].eqNullSafe(per["source"]), "left").select(
+    named = sized.join(small(per.select("source", "source_no", "source_size", "target")), sized["source"].eqNullSafe(per["source"]), "left").select(
         sized["doc_id"], sized["source"], *carry, "size", "order", "source_no", "source_size", "target", F.substring("order", 1, digits).alias("bucket")
     )
     local = W.partitionBy("source_no", "bucket").orderBy("order", "size", "doc_id")
@@ -112,7 +117,7 @@ def mix(
     upto = F.round(F.sum(F.coalesce("target", F.lit(0.0))).over(W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0))).cast("long")
     ends = per.withColumn("upto", upto).withColumn("share", F.col("upto") - F.coalesce(F.lag("upto").over(W.orderBy("source_no")), F.lit(0)))
     ends = ends.select("source_no", F.least("share", F.col("source_size") * max_repeats).alias("tape_end"))
-    pieces = tape.join(ends, "source_no", "left")
+    pieces = tape.join(small(ends), "source_no", "left")
     epochs = F.sequence(F.lit(0), F.lit(max_repeats - 1))
     pieces = pieces.withColumn("epoch", F.explode(epochs))
     start = F.col("begin") + F.col("epoch") * F.col("source_size")
@@ -124,35 +129,49 @@ def mix(
     words = F.least(F.col("to"), (F.col("block") + 1) * block) - F.greatest(F.col("from"), F.col("block") * block)
     key = ["source_no", "bucket", "place", "doc_id", *carry, "source", "size", "source_size", "target"]
     joined = pieces.join(slots, ["source_no", "block"], "left")
+    # Blocks that the slots lack are read after the last slot.
+    at = F.when(F.col("block").isNotNull(), F.coalesce("slot", F.col("block") + slots_n))
     return (
         joined.groupBy(*key)
         .agg(
             F.sum(F.when(F.col("block").isNotNull(), words).otherwise(0)).alias("taken"),
-            # Blocks that the slots lack are read after the last slot.
-            F.min(F.when(F.col("block").isNotNull(), F.coalesce("slot", F.col("block") + slots_n))).alias("first_slot"),
+            F.min(at).alias("first_slot"),
+            F.array(*[F.min(F.when(F.col("epoch") == k, at)) for k in range(max_repeats)]).alias("epoch_slots"),
         )
-        .select("doc_id", "source", *carry, "size", "source_size", "target", "taken", "first_slot")
+        .select("doc_id", "source", *carry, "size", "source_size", "target", "taken", "first_slot", "epoch_slots")
     )
 
 
 def apply(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mixed rows with docs' columns: a document once for each epoch in which the mix takes all its words; where it
-    takes only the first of them, a row with these words (and their length in n_chars, if docs has it). Rows that are
-    equal in doc_id and text share evenly what the mix takes of them."""
-    key = "__key"
-    rows = docs.withColumn(key, F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text_of(text))))
-    plan = mix(rows, text, carry=(key,), **options).groupBy(key).agg(F.max("size").alias("__size"), F.avg("taken").cast("long").alias("__taken"))
-    found = rows.join(plan.filter("__taken > 0"), key)
-    times = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    found = found.withColumn("__epoch", F.explode(F.sequence(F.lit(1), times)))
-    left = F.col("__taken") - (F.col("__epoch") - 1) * F.col("__size")
-    first = F.regexp_substr(F.col(text), F.concat(F.lit(rf"^(?:{SPACE}*+{WORD[:-1]}++){{"), left.cast("string"), F.lit("}")))
-    found = found.withColumn("__text", F.when(left < F.col("__size"), first).otherwise(F.col(text)))
-    out = [F.col("__text").alias(text) if c == text else F.col(c) for c in docs.columns]
+    takes only the first of them, a row with these words (and their length in n_chars, if docs has it). Rows come in the
+    order of the schedule: partitions are consecutive ranges of slots, sorted.
+
+    Each row of docs is taken on its own, also where rows repeat or have no doc_id; rows without words are not taken; texts
+    of any length are cut between words; columns of any other name are handed through; an empty table stays empty."""
+    spark = docs.sparkSession
+    key, size_, taken_, epoch, cut, slots, slot, part = fresh(docs, "__row", "__size", "__taken", "__epoch", "__cut", "__slots", "__slot", "__part")
+    scratch = Scratch(spark)
+    # Written once, so that a row's number is the same wherever it is read.
+    rows = scratch.table(docs.withColumn(key, F.monotonically_increasing_id()))
+    plan = mix(rows, text, carry=(key,), **options).filter("taken > 0")
+    plan = scratch.table(plan.select(key, F.col("size").alias(size_), F.col("taken").alias(taken_), F.col("epoch_slots").alias(slots)))
+    last = plan.agg(F.max(F.array_max(slots))).first()[0] or 0
+    found = rows.join(plan, key).select("*", F.posexplode(F.filter(slots, lambda x: x.isNotNull())).alias(epoch, slot))
+    found = found.withColumn(epoch, F.col(epoch) + 1)
+    left = F.col(taken_) - (F.col(epoch) - 1) * F.col(size_)
+    # Words with the blanks before them: the first ones, joined, are the text's beginning. No expression counts them.
+    words = F.regexp_extract_all(F.col(text), F.lit(f"{SPACE}*{WORD}"), F.lit(0))
+    first = F.array_join(F.slice(words, F.lit(1), left.cast("int")), "")
+    found = found.withColumn(cut, F.when(left < F.col(size_), first).otherwise(F.col(text)))
+    out = [F.col(cut).alias(text) if c == text else F.col(c) for c in docs.columns]
     if "n_chars" in docs.columns:
-        cut = F.when(left < F.col("__size"), F.length("__text").cast("long")).otherwise(F.col("n_chars"))
-        out = [cut.alias("n_chars") if c == "n_chars" else o for c, o in zip(docs.columns, out, strict=True)]
-    return found.select(*out)
+        length = F.when(left < F.col(size_), F.length(cut).cast("long")).otherwise(F.col("n_chars"))
+        out = [length.alias("n_chars") if c == "n_chars" else o for c, o in zip(docs.columns, out, strict=True)]
+    # Slots hold equally many words, so equal ranges of slots are even parts; a part's number is known without sampling.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = found.withColumn(part, (F.col(slot) * parts / (last + 1)).cast("int"))
+    return found.repartitionById(parts, F.col(part)).sortWithinPartitions(slot, key, epoch).select(*out)
 
 
 def schedule(spark, per: DataFrame, slots_n: int, scratch: Scratch) -> DataFrame:

@@ -58,12 +58,12 @@ SQL["op3_secrets"] = _secret_sql()
 
 
 def _mix_sql() -> str:
-    """The same schedule; slots are counted instead of ranked, as the first n blocks of a tape are the ones that are taken."""
+    """The same schedule, with ranks and running sums over whole sources, and each source settled to its rounded target."""
     from weftline.llm.mixing import GOLDEN, LEAST_BLOCK, MAX_REPEATS, MOST_SLOTS, SPAN, WEIGHTS
 
     return f"""
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, md5('mix-1:' || coalesce(cast(doc_id as varchar), '')) as ord from documents
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, md5('mix-1:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as ord from documents
 ), t as (select sum(size)::bigint as total, greatest({LEAST_BLOCK}, ceil(sum(size) / {MOST_SLOTS}.0))::bigint as block from d
 ), p0 as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source is null, encode(source)) as rk from d group by 1
@@ -75,15 +75,18 @@ with d as (
 ), p5 as (select *, least(cap::double, water * w) as target from p4
 ), p6 as (select *, coalesce(floor(sum(target) over (order by rk rows unbounded preceding) / nullif(sum(target) over (), 0) * {SPAN}), 0)::bigint as high from p5
 ), p7 as (select *, coalesce(lag(high) over (order by rk), 0) as low from p6
-), u as (select ((i + 1) * {GOLDEN}) % {SPAN} as u from (select unnest(range(0, ceil(total / block::double)::bigint)) as i from t)
-), n as (select rk, count(u) as slots from p7 left join u on u >= low and u < high group by 1
-), e as (select p7.*, least(slots * block, cap) as tape_end from p7 join n using (rk)
+), u as (select i, ((i + 1) * {GOLDEN}) % {SPAN} as u from (select unnest(range(0, ceil(total / block::double)::bigint)) as i from t)
+), n as (select rk, i as slot, row_number() over (partition by rk order by i) - 1 as no from p7 join u on u >= low and u < high
+), p8 as (select *, round(sum(coalesce(target, 0)) over (order by rk rows unbounded preceding))::bigint as upto from p7
+), e as (select *, least(upto - coalesce(lag(upto) over (order by rk), 0), cap) as tape_end from p8
 ), b as (
-  select d.doc_id, d.size, e.source_size, e.target, e.tape_end, sum(d.size) over (partition by e.rk order by d.ord, d.size, d.doc_id rows unbounded preceding) - d.size as start
+  select d.doc_id, d.size, e.rk, e.source_size, e.target, e.tape_end, sum(d.size) over (partition by e.rk order by d.ord, d.size, d.doc_id rows unbounded preceding) - d.size as start
   from d join e on d.source is not distinct from e.source
 )
 select doc_id, size, source_size, target,
-  ({" + ".join(f"greatest(0, least(start + {k} * source_size + size, tape_end) - (start + {k} * source_size))" for k in range(MAX_REPEATS))})::bigint as taken from b"""
+  ({" + ".join(f"greatest(0, least(start + {k} * source_size + size, tape_end) - (start + {k} * source_size))" for k in range(MAX_REPEATS))})::bigint as taken,
+  case when size > 0 and start < tape_end then coalesce(slot, start // block + (select count(*) from u)) end as first_slot
+from b, t left join n on n.rk = b.rk and n.no = b.start // t.block"""
 
 
 SQL["op10_mix_sources"] = _mix_sql()
