@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -22,17 +23,40 @@ def text_of(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (which is one
+    machine) gets a temporary folder; a cluster has none that all its machines see, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm.get() if jvm.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have (in any case of letters), made from the given ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of a narrow table that may be broadcast, counted before each use.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows, as counted; else as it is, for an ordinary join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors; drop() removes one early."""
 
@@ -73,6 +97,10 @@ def ship(spark: SparkSession) -> None:
 OPEN, CLOSE, INSTEAD = "\ue000", "\ue001", "\ue002"
 
 
+#: Matches that are placed by one inner pass; the outer pass carries the place on, so that long texts stay linear in practice.
+PASS = 256
+
+
 def marked_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Matches of a Java regular expression as array<struct<start,end,hit>> in code points, found without Python.
 
@@ -81,27 +109,25 @@ def marked_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """
     plain = F.translate(text, OPEN + CLOSE, INSTEAD * 2)
     pieces = F.split(F.regexp_replace(plain, F.lit(f"({pattern})"), F.lit(f"{OPEN}$1{CLOSE}")), OPEN)
-    step = F.aggregate(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.struct(
-            F.length(F.element_at(pieces, 1)).alias("at"),
-            F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("spans"),
-        ),
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece) - 1).cast("int").alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(
-                    F.struct(
-                        acc["at"].alias("start"),
-                        (acc["at"] + F.length(F.substring_index(piece, CLOSE, 1))).cast("int").alias("end"),
-                        F.substring_index(piece, CLOSE, 1).alias("hit"),
-                    )
-                ),
-            ).alias("spans"),
-        ),
-    )
-    return step["spans"]
+
+    def placed(acc: Column, piece: Column) -> Column:
+        hit = F.substring_index(piece, CLOSE, 1)
+        span = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(hit)).cast("int").alias("end"), hit.alias("hit"))
+        return F.struct((acc["at"] + F.length(piece) - 1).cast("int").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    def passed(acc: Column, part: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), no_spans().alias("spans"))
+        length = F.aggregate(part, acc["at"], lambda at, piece: (at + F.length(piece) - 1).cast("int"))
+        return F.struct(length.alias("at"), F.concat(acc["spans"], F.aggregate(part, begin, placed)["spans"]).alias("spans"))
+
+    def spans_of(found: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PASS).cast("int"))
+        parts = F.transform(starts, lambda i: F.slice(found, i * PASS + 2, PASS))
+        begin = F.struct(F.length(F.element_at(found, 1)).alias("at"), no_spans().alias("spans"))
+        return F.aggregate(parts, begin, passed)["spans"]
+
+    # Bound as a variable, so that the text is matched once.
+    return F.transform(F.array(pieces), spans_of)[0]
 
 
 def no_spans() -> Column:

@@ -5,10 +5,13 @@ context words before a span and a confirmed checksum raise its score, a contradi
 the contract are reported whatever their score; kinds that the method adds must reach `least_score`.
 
 The expressions start at the beginning of a run of characters, or where the last match ended, so that a long run is
-tried once and not from each of its characters.
+tried once and not from each of its characters. Repeated groups are possessive: the regular-expression engine runs those
+in a loop, others by recursion, which a text of many thousand labels would take beyond the stack.
 
-Defined cases: null texts are empty; matches of one kind never overlap, those of different kinds may; positions are code
-points, end exclusive; empty tables give empty results.
+Defined cases: null texts are empty; texts of any length are matched whole, in linear time; matches of one kind never
+overlap, those of different kinds may, and spans that start together are told apart by the kinds' order; positions are
+code points, end exclusive; rows that repeat a doc_id (or have none) are rows of their own; further columns are not read,
+whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -39,8 +42,8 @@ def _run(characters: str) -> str:
 
 #: The base kinds of the contract, then those that the method adds.
 KINDS = (
-    Kind("email", _run("A-Za-z0-9._%+-") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", "@", ("mail", "contact", "write"), 0.8),
-    Kind("ip", _run("0-9") + r"[0-9]++(?:\.[0-9]++){3}", ".", ("ip", "host", "server", "address"), 0.5),
+    Kind("email", _run("A-Za-z0-9._%+-") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", ("mail", "contact", "write"), 0.8),
+    Kind("ip", _run("0-9") + r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", ("ip", "host", "server", "address"), 0.5),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", ("card", "visa", "credit", "payment"), 0.7),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", ("phone", "call", "tel", "mobile"), 0.6),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "", ("iban", "account", "bank"), 0.7, False),
