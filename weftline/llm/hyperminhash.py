@@ -6,17 +6,25 @@ further rounds the set is hashed again and fills, with that round's smallest has
 that each bucket agrees between two sets with the probability of their Jaccard similarity.
 
 1. Documents with equal sets are one class. Classes are sketched, and bands of compressed registers are their keys.
-2. In each bucket of the first STAR_BANDS bands the members are linked to the bucket's smallest class. Registers of both are compared; the share of
-   equal ones, corrected for chance collisions of compressed registers, must come near the threshold.
-3. What is left is confirmed on the full sets, and the confirmed links give components (alternating large and small stars).
-4. Buckets whose members still lie in several components are compared in blocks of bounded size inside tasks, which hand
-   on only pairs of different components whose estimate comes near the threshold; these are confirmed like the others.
+2. In each bucket of the first STAR_BANDS bands the members are linked to the bucket's smallest class. Registers of both
+   are compared; the share of equal ones, corrected for chance collisions of compressed registers, must come near the
+   threshold. What is left is confirmed on the full sets, and the confirmed links give components (large and small stars).
+3. Buckets whose members still lie in several components are compared in blocks of bounded size inside tasks, by the
+   same estimate. A block hands on no pairs: of the graph of its likely pairs only a spanning forest leaves it. The forests'
+   components over all buckets are groups of classes that may hold further links.
+4. The groups' full sets are compared in blocks of bounded size, and of the links that hold a block hands on a spanning
+   forest again. A group whose buckets are cheaper to compare than its square (a long chain) is compared by bucket.
 
 So links between different texts are looked for among all members of a bucket, while no bucket is written out as pairs.
 With five registers in a band and 48 bands a pair at the threshold of 0.8 is missed with a probability of about 5e-9.
 
-Defined cases: sets without words are linked with nothing; a null doc_id takes part in links but never names a component
-(null if the component has no other); rows that repeat a doc_id are separate rows with their own sets.
+Defined cases: null and empty texts, and texts without words, have the empty set, which links with nothing; texts of any
+length are taken whole (one set of a long text may fill a block of its own); a null doc_id takes part in links but never
+names a component (null if the component has no other id), and rows with a null id and a null component are marked kept;
+rows that repeat a doc_id are separate rows with their own sets; ties do not arise, as a component is named by its smallest
+id; only doc_id and the text are read, so further columns may have any names; an empty table gives an empty result. In
+keep_first() exactly one row of each component stays: of rows that tie in doc_id (or have none) the one with the smallest
+digest of its text, and one of those that are equal in both.
 """
 
 from __future__ import annotations
@@ -25,12 +33,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, ship, text_of
+from weftline.llm.common import Scratch, fresh, ship, small, text_of
 
 BANDS = 48
 ROWS = 5
@@ -41,10 +48,10 @@ ZERO_BITS, MANTISSA_BITS = 5, 11
 SIGMAS = 5
 #: Bands whose buckets are linked to their first class before any blocks are compared: enough to join nearly all copies.
 STAR_BANDS = 12
-#: Members of a bucket that are compared in one block.
+#: Members of a bucket that are compared in one block; classes and items of sets in one block of a group.
 BLOCK = 4096
-#: Ids that may be broadcast (8 bytes each in the plan's terms); beyond it the join is an ordinary one.
-BROADCAST_ROWS = 200_000
+SET_BLOCK = 1024
+SET_ITEMS = 1 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,8 +129,12 @@ def least_equal(threshold: float) -> int:
     return math.floor((least * (1 - COLLISION) + COLLISION) * REGISTERS)
 
 
+def key_of(text: str) -> Column:
+    return F.unhex(F.md5(text_of(text).cast("binary")))
+
+
 def sketches(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """doc_id, text_key (tells rows with equal ids apart), n_shingles, set_key (16 bytes; null for the empty set), registers."""
+    """doc_id, text_key (16 bytes, tells rows with equal ids apart), n_shingles, set_key (16 bytes; null for the empty set), registers."""
     ship(docs.sparkSession)
 
     def work(batches):
@@ -144,15 +155,15 @@ def sketches(docs: DataFrame, text: str, size: int) -> DataFrame:
                 ["doc_id", "text_key", "n_shingles", "set_key", "registers"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.md5(text_of(text).cast("binary")).alias("text_key"), text_of(text).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, text_key string, n_shingles long, set_key binary, registers binary")
+    rows = docs.select(F.col("doc_id").cast("long"), key_of(text).alias("text_key"), text_of(text).alias("text"))
+    return rows.mapInArrow(work, "doc_id long, text_key binary, n_shingles long, set_key binary, registers binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """set_key, band (key) and no (number of the band): one row for each band of each class."""
+    """number (of the class), band (key) and no (number of the band): one row for each band of each class."""
     width = ROWS * 2
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(BANDS)])
-    return classes.select(F.posexplode(keys).alias("no", "band"), "set_key")
+    return classes.select(F.posexplode(keys).alias("no", "band"), "number").withColumn("no", F.col("no").cast("byte"))
 
 
 def equal_registers(a: Column, b: Column) -> Column:
@@ -161,26 +172,27 @@ def equal_registers(a: Column, b: Column) -> Column:
     return F.size(F.filter(spots, lambda i: F.substring(a, i, F.lit(2)) == F.substring(b, i, F.lit(2))))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, text: str, size: int) -> DataFrame:
-    """set_key and items (array of hashes) for the wanted set_keys (set_key, cdoc)."""
+def full_sets(docs: DataFrame, wanted: DataFrame, text: str, size: int, scratch: Scratch) -> DataFrame:
+    """number and items (array of hashes) of the wanted classes (set_key, number, cdoc)."""
     ship(docs.sparkSession)
 
     def work(batches):
         from weftline.llm import hyperminhash as m
 
         for batch in batches:
-            keys, items = [], []
-            for t in batch.column(0).to_pylist():
-                s = m.shingles(t, size)
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                items.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["set_key", "items"])
-
-    ids = wanted.select(F.col("cdoc").alias("__wanted")).distinct()
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+            for start in range(0, batch.num_rows, 512):
+                keys, items = [], []
+                for t in batch.column(0).slice(start, 512).to_pylist():
+                    s = m.shingles(t, size)
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    items.append(s.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["set_key", "items"])
+
+    wanted = scratch.table(wanted)
+    ids = small(wanted.select(F.col("cdoc").alias("__wanted")).distinct())
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), text_of(text).alias("text"))
-    found = texts.join(side, F.col("__id") == F.col("__wanted"), "left_semi").select("text").mapInArrow(work, "set_key binary, items array<long>")
-    return found.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
+    found = texts.join(ids, F.col("__id") == F.col("__wanted"), "left_semi").select("text").mapInArrow(work, "set_key binary, items array<long>")
+    return scratch.table(found.join(small(wanted.select("set_key", "number")), "set_key").dropDuplicates(["number"]).select("number", "items"))
 
 
 #: Stands in for a null doc_id where a number is needed; larger than all others.
@@ -188,16 +200,14 @@ NO_ID = (1 << 63) - 1
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sides = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-    wanted = scratch.table(classes.select("set_key", "cdoc").join(sides, "set_key", "left_semi"))
-    sets = scratch.table(full_sets(docs, wanted, text, size))
-    left = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("items").alias("xs")), "a")
-    both = left.join(sets.select(F.col("set_key").alias("b"), F.col("items").alias("ys")), "b")
+    """The pairs (a, b) of class numbers whose full sets have 100 * intersection >= percent * union."""
+    sides = pairs.select(F.col("a").alias("number")).unionByName(pairs.select(F.col("b").alias("number"))).distinct()
+    sets = full_sets(docs, classes.select("set_key", "number", "cdoc").join(sides, "number", "left_semi"), text, size, scratch)
+    left = pairs.join(sets.select(F.col("number").alias("a"), F.col("items").alias("xs")), "a")
+    both = left.join(sets.select(F.col("number").alias("b"), F.col("items").alias("ys")), "b")
     common = F.size(F.array_intersect("xs", "ys"))
-    out = both.filter(common * (100 + percent) >= (F.size("xs") + F.size("ys")) * percent).select("a", "b")
-    out = scratch.table(out)
-    scratch.drop(wanted, sets)
+    out = scratch.table(both.filter(common * (100 + percent) >= (F.size("xs") + F.size("ys")) * percent).select("a", "b"))
+    scratch.drop(sets)
     return out
 
 
@@ -223,94 +233,191 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
 
 
-def block_pairs(members: DataFrame, need: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components, in buckets (band, no, first, set_key, label, registers, n_shingles), that agree in `need` registers.
+def dealt(members: DataFrame, unit: str, blocks: Column) -> DataFrame:
+    """members with mine (their block), i and j (a pair of blocks with i <= j that holds mine), for each such pair.
+
+    blocks: an aggregate that says in how many blocks the rows of a unit are dealt.
+    """
+    sizes = members.groupBy(unit).agg(blocks.cast("int").alias("blocks"))
+    out = members.join(sizes, unit).withColumn("mine", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
+
+
+def _edges(a: list[int], b: list[int]) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    A bucket is dealt into blocks of about BLOCK members; each pair of blocks is compared in one task, as matrices. Pairs
-    with the bucket's first class have been judged before in the first STAR_BANDS bands. A pair that meets in several buckets is handed on in the one
-    with the lowest band number; pairs whose sizes alone keep them under the threshold are not handed on.
+
+def _codes(values: list) -> np.ndarray:
+    """A small number for each distinct value."""
+    names = {v: at for at, v in enumerate(dict.fromkeys(values))}
+    return np.array([names[v] for v in values], np.int64)
+
+
+def _merge(part: np.ndarray, at: int, others: np.ndarray) -> None:
+    """Joins the parts of `others` to that of `at`, in place."""
+    part[np.isin(part, part[others])] = part[at]
+
+
+def likely(members: DataFrame, need: int, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the likely pairs in each block of each bucket.
+
+    members: band, number, label, registers, n_shingles. Likely pairs have different labels, agree in `need` registers and
+    are not kept apart by their sizes alone.
     """
     ship(members.sparkSession)
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "band").withColumn("mine", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    # A member goes to the blocks' pairs (i, j) with i <= j that hold its own block.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
     def compare(table: pa.Table) -> pa.Table:
-        if table.column("no")[0].as_py() < STAR_BANDS:
-            table = table.filter(pa.compute.not_equal(table.column("set_key"), table.column("first")))
+        from weftline.llm import hyperminhash as m
+
+        number, mine, n = (table.column(c).to_numpy() for c in ("number", "mine", "n_shingles"))
+        group = m._codes(table.column("label").to_pylist())
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(number), -1)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        columns = np.flatnonzero(mine == j)
+        part = np.arange(len(number))
         a, b = [], []
-        if table.num_rows:
-            keys, labels = table.column("set_key").to_pylist(), table.column("label").to_pylist()
-            mine, n = np.array(table.column("mine").to_pylist()), np.array(table.column("n_shingles").to_pylist())
-            regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(keys), -1)
-            i, j, no = (table.column(c)[0].as_py() for c in ("i", "j", "no"))
-            columns = np.flatnonzero(mine == j)
-            names = {label: at for at, label in enumerate(set(labels))}
-            group = np.array([names[x] for x in labels])
-            for k in np.flatnonzero(mine == i):
-                other = columns[(group[columns] != group[k]) & ((columns > k) if i == j else True)]
-                low, high = np.minimum(n[other], n[k]), np.maximum(n[other], n[k])
-                other = other[100 * low >= percent * high]
-                same = regs[other] == regs[k]
-                near = same.sum(axis=1) >= need
-                other, same = other[near], same[near]
-                before = same.reshape(len(other), BANDS, ROWS)[:, :no].all(axis=2).any(axis=1)
-                for x in other[~before]:
-                    pair = sorted((keys[k], keys[x]))
-                    a.append(pair[0])
-                    b.append(pair[1])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+        for k in np.flatnonzero(mine == i):
+            other = columns[(group[columns] != group[k]) & (part[columns] != part[k])]
+            low, high = np.minimum(n[other], n[k]), np.maximum(n[other], n[k])
+            other = other[(100 * low >= percent * high) & ((other > k) if i == j else True)]
+            other = other[(regs[other] == regs[k]).sum(axis=1) >= need]
+            # One pair for each part that is joined.
+            other = other[np.unique(part[other], return_index=True)[1]]
+            a += [int(number[k])] * len(other)
+            b += number[other].tolist()
+            m._merge(part, k, other)
+        return m._edges(a, b)
+
+    rows = dealt(members, "band", F.ceil(F.count(F.lit(1)) / BLOCK))
+    return rows.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def held(members: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the links in each block of each unit, found on full sets.
+
+    members: unit, number, label, items. Links inside a label are known and not looked for.
+    """
+    ship(members.sparkSession)
 
+    def compare(table: pa.Table) -> pa.Table:
+        from weftline.llm import hyperminhash as m
 
-def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: doc_id, text_key, n_shingles, component_id (smallest doc_id reachable by links), kept."""
-    scratch = Scratch(docs.sparkSession)
+        number, mine = table.column("number").to_numpy(), table.column("mine").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        items = table.column("items").combine_chunks()
+        ends = items.offsets.to_numpy().astype(np.int64)
+        n = np.diff(ends)
+        ids = np.unique(items.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)[1]
+        starts = ends[:-1] - ends[0]
+        mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
+        part = m._codes(table.column("label").to_pylist())
+        columns = np.flatnonzero(mine == j)
+        a, b = [], []
+        for k in np.flatnonzero(mine == i):
+            other = columns[(part[columns] != part[k]) & ((columns > k) if i == j else True)]
+            low, high = np.minimum(n[other], n[k]), np.maximum(n[other], n[k])
+            other = other[100 * low >= percent * high]
+            if not len(other):
+                continue
+            own = ids[starts[k] : starts[k] + n[k]]
+            mark[own] = True
+            if len(other) * 4 < len(number):
+                common = np.array([np.count_nonzero(mark[ids[starts[x] : starts[x] + n[x]]]) for x in other])
+            else:
+                common = np.add.reduceat(mark[ids].astype(np.int64), starts)[other]
+            mark[own] = False
+            other = other[100 * common >= percent * (n[k] + n[other] - common)]
+            other = other[np.unique(part[other], return_index=True)[1]]
+            a += [int(number[k])] * len(other)
+            b += number[other].tolist()
+            m._merge(part, k, other)
+        return m._edges(a, b)
+
+    rows = dealt(members, "unit", F.greatest(F.ceil(F.count(F.lit(1)) / SET_BLOCK), F.ceil(F.sum(F.size("items")) / SET_ITEMS)))
+    return rows.groupBy("unit", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def further(members: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, text: str, size: int, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) between different labels of `found` (node, label) in buckets of `members` (band, no, number); None: nothing to compare."""
     need = least_equal(percent / 100)
+    labelled = members.join(found, F.col("number") == F.col("node"), "left").select("band", "number", F.coalesce("label", "number").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
+    # Written first, so that the joins that follow deal both sides anew and a hot bucket can be split.
+    open_ = scratch.table(labelled.join(scratch.table(mixed), "band"))
+    wide = open_.join(classes.select("number", "registers", "n_shingles"), "number")
+    edges = scratch.table(likely(wide, need, percent).distinct())
+    if not edges.limit(1).count():
+        return None
+    groups = scratch.table(components(edges, scratch).withColumnRenamed("label", "cluster"))
+    groups = groups.unionByName(groups.select(F.col("cluster").alias("node"), "cluster").distinct()).distinct()
+    # Whether a group's square or the squares of its buckets are less work.
+    inside = scratch.table(open_.join(groups, F.col("number") == F.col("node")).select("band", "number", "label", "cluster"))
+    squares = inside.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("by_bucket"))
+    whole = groups.groupBy("cluster").agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("at_once")).join(squares, "cluster")
+    whole = scratch.table(whole.select("cluster", (F.col("at_once") <= F.col("by_bucket")).alias("one")))
+    unit = F.when(F.col("one"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.xxhash64(F.col("band"), "cluster"))
+    units = scratch.table(inside.join(whole, "cluster").select(unit.alias("unit"), "number", "label").distinct())
+    sets = full_sets(docs, classes.select("set_key", "number", "cdoc").join(units.select("number").distinct(), "number", "left_semi"), text, size, scratch)
+    out = scratch.table(held(units.join(sets, "number"), percent).distinct())
+    scratch.drop(open_, edges, inside, units, sets)
+    return out
+
+
+def grouped(docs: DataFrame, text: str, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """One row for each row of docs: doc_id, text_key, n_shingles, label (of the component; null for the empty set), component_id."""
     rows = scratch.table(sketches(docs, text, size))
     filled = rows.filter("set_key is not null")
-    classes = scratch.table(filled.groupBy("set_key").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("cdoc"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles")))
+    classes = filled.groupBy("set_key").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("cdoc"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"))
+    classes = scratch.table(classes.withColumn("number", F.monotonically_increasing_id()))
 
     buckets = bands(classes)
     # Written first, so that the join deals both sides anew and a hot bucket's members can be split.
-    firsts = scratch.table(buckets.groupBy("band").agg(F.min("set_key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = scratch.table(buckets.join(firsts.select("band", "first"), "band"))
-    stars = members.filter((F.col("set_key") != F.col("first")) & (F.col("no") < STAR_BANDS)).select(F.col("first").alias("a"), F.col("set_key").alias("b")).distinct()
-    known = classes.select("set_key", "registers", "n_shingles")
-    side = lambda x: known.select(F.col("set_key").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
+    firsts = scratch.table(buckets.groupBy("band").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "first"))
+    members = scratch.table(buckets.join(firsts, "band"))
+    scratch.drop(firsts)
+    stars = members.filter((F.col("number") != F.col("first")) & (F.col("no") < STAR_BANDS)).select(F.col("first").alias("a"), F.col("number").alias("b")).distinct()
+    known = classes.select("number", "registers", "n_shingles")
+    side = lambda x: known.select(F.col("number").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
     stars = stars.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    candidates = scratch.table(stars.filter(equal_registers(F.col("ra"), F.col("rb")) >= need).select("a", "b"))
+    candidates = scratch.table(stars.filter(equal_registers(F.col("ra"), F.col("rb")) >= least_equal(percent / 100)).select("a", "b"))
     links = confirm(candidates, classes, docs, text, size, percent, scratch)
     found = components(links, scratch)
-
-    labelled = members.join(found, F.col("set_key") == F.col("node"), "left").select("band", "no", "first", "set_key", F.coalesce("label", "set_key").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.min("no").alias("no"))
-    mixed = mixed.filter((F.col("x") != F.col("y")) & ((F.col("n") > 2) | (F.col("no") >= STAR_BANDS))).select("band")
-    open_ = labelled.join(mixed, "band", "left_semi").join(known, "set_key")
-    more = scratch.table(block_pairs(open_, need, percent).join(candidates, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        extra = confirm(more, classes, docs, text, size, percent, scratch)
-        if extra.limit(1).count():
-            found = components(links.unionByName(extra), scratch)
-
-    named = classes.select("set_key", "cdoc").join(found, F.col("set_key") == F.col("node"), "left").select("set_key", "cdoc", F.coalesce("label", "set_key").alias("label"))
-    roots = named.groupBy("label").agg(F.min("cdoc").alias("root"))
-    ids = scratch.table(named.join(roots, "label").select("set_key", F.when(F.col("root") != NO_ID, F.col("root")).alias("component_id")))
-    scratch.drop(members, candidates, more)
+    extra = further(members, found, classes, docs, text, size, percent, scratch)
+    if extra is not None and extra.limit(1).count():
+        found = components(links.unionByName(extra), scratch)
+
+    named = classes.select("set_key", "cdoc", "number").join(found, F.col("number") == F.col("node"), "left").select("set_key", "cdoc", F.coalesce("label", "number").alias("label"))
+    # Written first, so that a large component's classes can be split when they meet their root.
+    roots = scratch.table(named.groupBy("label").agg(F.min("cdoc").alias("root")))
+    ids = scratch.table(named.join(roots, "label").select("set_key", "label", F.when(F.col("root") != NO_ID, F.col("root")).alias("component_id")))
+    scratch.drop(members, candidates)
     linked = filled.select("doc_id", "text_key", "n_shingles", "set_key").join(ids, "set_key").drop("set_key")
-    alone = rows.filter("set_key is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = rows.filter("set_key is null").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (it is doc_id)."""
+    found = grouped(docs, text, size, percent, Scratch(docs.sparkSession))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay when of each group of near duplicates only the smallest doc_id stays."""
-    found = near_duplicates(docs, text, size, percent)
-    gone = Scratch(docs.sparkSession).table(found.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    """The rows of docs that stay when of each group of near duplicates one row stays, the one with the smallest doc_id."""
+    scratch = Scratch(docs.sparkSession)
+    found = grouped(docs, text, size, percent, scratch).filter("label is not null").withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    found = scratch.table(found.groupBy("label", "doc", "text_key").agg(F.count(F.lit(1)).alias("times")))
+    winners = scratch.table(found.groupBy("label").agg(F.min(F.struct("doc", "text_key")).alias("stays")))
+    judged = found.join(winners, "label").withColumn("wins", F.struct("doc", "text_key") == F.col("stays"))
+    id_, key = fresh(docs, "__id", "__key")
+    judged = scratch.table(judged.filter("not wins or times > 1").select(F.col("doc").alias(id_), F.col("text_key").alias(key), "wins"))
     # Few enough of them, counted, are broadcast, and the texts stay where they are; else both sides are dealt out.
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.md5(text_of(text).cast("binary")) == F.col("__key"))
-    return docs.join(gone, same, "left_anti")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col(id_)) & (key_of(text) == F.col(key))
+    out = docs.join(small(judged.select(id_, key)), same, "left_anti")
+    tied = judged.filter("wins").select(id_, key)
+    if not tied.limit(1).count():
+        return out
+    # Rows that repeat doc_id and text: one of them stays.
+    again = docs.join(small(tied), same).dropDuplicates([id_, key]).select(*docs.columns)
+    return out.unionByName(again)
