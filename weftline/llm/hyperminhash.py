@@ -233,17 +233,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
 
 
-def dealt(members: DataFrame, unit: str, blocks: Column) -> DataFrame:
+def dealt(members: DataFrame, unit: str, sizes: DataFrame) -> DataFrame:
     """members with mine (their block), i and j (a pair of blocks with i <= j that holds mine), for each such pair.
 
-    blocks: an aggregate that says in how many blocks the rows of a unit are dealt.
+    sizes: unit and blocks, the number of blocks in which the unit's rows are dealt.
     """
-    sizes = members.groupBy(unit).agg(blocks.cast("int").alias("blocks"))
-    out = members.join(sizes, unit).withColumn("mine", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
+    out = members.join(small(sizes), unit).withColumn("mine", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return out.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
 
 
+def sized(members: DataFrame, unit: str, blocks: Column, scratch: Scratch) -> DataFrame:
+    return scratch.table(members.groupBy(unit).agg(blocks.cast("int").alias("blocks")))
+
+
 def _edges(a: list[int], b: list[int]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -259,10 +262,10 @@ def _merge(part: np.ndarray, at: int, others: np.ndarray) -> None:
     part[np.isin(part, part[others])] = part[at]
 
 
-def likely(members: DataFrame, need: int, percent: int) -> DataFrame:
+def likely(members: DataFrame, classes: DataFrame, need: int, percent: int, scratch: Scratch) -> DataFrame:
     """A spanning forest (a, b) of the likely pairs in each block of each bucket.
 
-    members: band, number, label, registers, n_shingles. Likely pairs have different labels, agree in `need` registers and
+    members: band, number, label; classes: number, registers, n_shingles. Likely pairs have different labels, agree in `need` registers and
     are not kept apart by their sizes alone.
     """
     ship(members.sparkSession)
@@ -289,14 +292,15 @@ def likely(members: DataFrame, need: int, percent: int) -> DataFrame:
             m._merge(part, k, other)
         return m._edges(a, b)
 
-    rows = dealt(members, "band", F.ceil(F.count(F.lit(1)) / BLOCK))
-    return rows.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+    rows = dealt(members, "band", sized(members, "band", F.ceil(F.count(F.lit(1)) / BLOCK), scratch)).join(classes, "number")
+    # Dealt by pairs of blocks, so that those of one bucket go to different tasks.
+    return rows.repartition("band", "i", "j").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def held(members: DataFrame, percent: int) -> DataFrame:
+def held(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """A spanning forest (a, b) of the links in each block of each unit, found on full sets.
 
-    members: unit, number, label, items. Links inside a label are known and not looked for.
+    members: unit, number, label, n_shingles; sets: number, items. Links inside a label are known and not looked for.
     """
     ship(members.sparkSession)
 
@@ -334,8 +338,9 @@ def held(members: DataFrame, percent: int) -> DataFrame:
             m._merge(part, k, other)
         return m._edges(a, b)
 
-    rows = dealt(members, "unit", F.greatest(F.ceil(F.count(F.lit(1)) / SET_BLOCK), F.ceil(F.sum(F.size("items")) / SET_ITEMS)))
-    return rows.groupBy("unit", "i", "j").applyInArrow(compare, "a long, b long")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / SET_BLOCK), F.ceil(F.sum("n_shingles") / SET_ITEMS))
+    rows = dealt(members, "unit", sized(members, "unit", blocks, scratch)).drop("n_shingles").join(sets, "number")
+    return rows.repartition("unit", "i", "j").groupBy("unit", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def further(members: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, text: str, size: int, percent: int, scratch: Scratch) -> DataFrame | None:
@@ -345,8 +350,7 @@ def further(members: DataFrame, found: DataFrame, classes: DataFrame, docs: Data
     mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
     # Written first, so that the joins that follow deal both sides anew and a hot bucket can be split.
     open_ = scratch.table(labelled.join(scratch.table(mixed), "band"))
-    wide = open_.join(classes.select("number", "registers", "n_shingles"), "number")
-    edges = scratch.table(likely(wide, need, percent).distinct())
+    edges = scratch.table(likely(open_, classes.select("number", "registers", "n_shingles"), need, percent, scratch).distinct())
     if not edges.limit(1).count():
         return None
     groups = scratch.table(components(edges, scratch).withColumnRenamed("label", "cluster"))
@@ -357,9 +361,10 @@ def further(members: DataFrame, found: DataFrame, classes: DataFrame, docs: Data
     whole = groups.groupBy("cluster").agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("at_once")).join(squares, "cluster")
     whole = scratch.table(whole.select("cluster", (F.col("at_once") <= F.col("by_bucket")).alias("one")))
     unit = F.when(F.col("one"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.xxhash64(F.col("band"), "cluster"))
-    units = scratch.table(inside.join(whole, "cluster").select(unit.alias("unit"), "number", "label").distinct())
+    units = inside.join(small(whole), "cluster").select(unit.alias("unit"), "number", "label").distinct()
+    units = scratch.table(units.join(classes.select("number", "n_shingles"), "number"))
     sets = full_sets(docs, classes.select("set_key", "number", "cdoc").join(units.select("number").distinct(), "number", "left_semi"), text, size, scratch)
-    out = scratch.table(held(units.join(sets, "number"), percent).distinct())
+    out = scratch.table(held(units, sets, percent, scratch).distinct())
     scratch.drop(open_, edges, inside, units, sets)
     return out
 
