@@ -36,7 +36,7 @@ def test_odd_texts(spark):
     passage = "0123456789abcdefghijklmnopqrst"
     texts = [None, "", "short", "x" * 90, "ab" * 60, passage + "é" + passage, "1" + passage, passage[:-1] + "?", passage + "é" + passage, "é" * 40, "zz" + "é" * 40]
     df = spark.createDataFrame([(None if i % 3 == 0 else i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
-    rows = repeated_windows.repeated_windows(df, depth=20, gram=6, blocks=(4, 1)).collect()
+    rows = repeated_windows.repeated_windows(df, depth=20, gram=6, depths=(17, 20)).collect()
     got = Counter((r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in rows)
     assert got == Counter(brute(texts, 20))
     assert repeated_windows.repeated_windows(df.limit(0)).count() == 0

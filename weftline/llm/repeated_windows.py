@@ -1,24 +1,29 @@
 """Suffix-array dedup: repeated byte windows by a depth-limited radix sort of suffixes.
 
 Only the order of suffixes down to `depth` bytes matters: suffixes whose first `depth` bytes are equal are the repeated
-windows. They are sorted by most-significant-digit passes, where each pass splits the groups of the last one by a further
-digit and drops groups of one. Digits are chosen so that neighbouring suffixes share them and no pass handles each
-position of the corpus:
+windows. They are dealt by most-significant-digit passes: each pass splits the groups of the last one by a further digit
+and drops groups of one, until the digits cover `depth` bytes. As in any such sort the groups themselves are never
+needed in order, so a pass is a count by digit and a join with the counts; nothing is gathered. Digits are chosen so that
+neighbouring suffixes share them and no pass handles each position of the corpus:
 
-1. The first digit of a suffix is the smallest, by hash, of the GRAM-byte strings inside its window (the leftmost on
+1. Texts that are equal as a whole are one text with its number of copies.
+2. The first digit of a suffix is the smallest, by hash, of the GRAM-byte strings inside its window (the leftmost on
    ties), together with its place in the window. Equal windows have equal first digits, and on average some seventy
-   neighbouring suffixes have the same one; such a run of suffixes is a row.
-2. Runs whose digit is nowhere else are dropped. Runs that are equal as a whole hold repeated windows alone.
-3. The other runs are split into blocks of 32, then 8 suffixes, then single ones. A block's digit is the text that all its
-   windows have in common, at last the whole window. Blocks whose digit is unique are dropped, blocks whose groups agree
-   in all their text are settled, and the rest goes into the next pass.
+   neighbouring suffixes have the same one; such a run of suffixes is a row. Runs whose digit is nowhere else are
+   dropped; runs that are equal as a whole hold repeated windows alone.
+3. The other runs are dealt in passes of growing depth: 169, 193, at last all 200 bytes. A pass to depth d handles
+   200 - d + 1 neighbouring suffixes as one row, whose digit is the d bytes that all their windows have in common. Rows
+   whose digit is unique are dropped, rows whose group agrees in all its text are settled, the rest is split for the next
+   pass.
 
 Groups are counted with map-side aggregation and joined back, so a passage that a third of the documents share is never
-gathered in one task. Digits are compared by 128 bits of hash.
+gathered in one task. Texts and digits are compared by 128 bits of hash beside the first digit's 64.
 
 Every byte that a repeated window covers is removed; windows are judged on the input, never cross documents, and also
-repeat inside one document. Defined cases: null texts are empty; texts shorter than the depth keep all bytes; bytes are
-those of UTF-8, so a character may be cut; rows with null or repeated doc_ids are documents of their own.
+repeat inside one document. Defined cases: null texts are empty; texts shorter than the depth keep all bytes; texts of any
+length are read whole, in segments that overlap by a window; bytes are those of UTF-8, so a character may be cut; rows with
+null or repeated doc_ids are documents of their own; equal rows lose the same bytes, so ties do not arise; only doc_id and
+the text are read, so further columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,13 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, ship, text_of
+from weftline.llm.common import Scratch, ship, small, text_of
 
 DEPTH = 200
 GRAM = 40
-BLOCKS = (32, 8, 1)
+DEPTHS = (169, 193, 200)
 #: Window starts that are worked on at once; places are held in 24 bits beside the hash.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 19
+#: Rows and bytes that leave a worker at once.
+MOST_OUT, MOST_BYTES = 20_000, 8 << 20
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64(0xFFFFFF)
 _POWERS: list[np.ndarray] = []
@@ -95,101 +102,134 @@ def runs(raw: bytes, depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in (grams, places, lows, highs))
 
 
-def _digit(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+def _digits(digests: list[bytes]) -> np.ndarray:
+    """128-bit digests as rows of two signed 64-bit integers."""
+    return np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def key_of(raw: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(raw)
+_digest = xxhash.xxh3_128_digest
+_RUN = "k1 long, k2 long, copies int, g long, c1 long, c2 long, place int, low int, high int"
 
 
-def run_rows(docs: DataFrame, depth: int, gram: int) -> DataFrame:
-    """Runs of all documents: key (of the text), g (first digit), c (the run's whole text), place, low, high."""
+def run_rows(texts: DataFrame, depth: int, gram: int) -> DataFrame:
+    """Runs of texts (k1, k2, copies, text): g (first digit), c1 and c2 (the run's whole text), place, low, high."""
 
     def work(batches):
         from weftline.llm import repeated_windows as m
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                keys, gs, cs, ps, ls, hs = [], [], [], [], [], []
-                for text in batch.column(0).slice(start, 500).to_pylist():
-                    raw = text.encode("utf-8", "surrogatepass")
-                    if len(raw) < depth:
-                        continue
-                    g, p, low, high = m.runs(raw, depth, gram)
-                    keys += [m.key_of(raw)] * len(g)
-                    gs.append(g)
-                    cs += [m._digit(raw[a : b + depth]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                    ps.append(p - low)
-                    ls.append(low)
-                    hs.append(high)
-                flat = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(flat(gs), pa.int64()), pa.array(cs, pa.int64()), *(pa.array(flat(x).astype(np.int32), pa.int32()) for x in (ps, ls, hs))],
-                    ["key", "g", "c", "place", "low", "high"],
-                )
-
-    return docs.mapInArrow(work, "key binary, g long, c long, place int, low int, high int")
-
-
-def with_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key, for joins by text."""
+        names = [c.split(" ")[0] for c in m._RUN.split(", ")]
+        held: list[list] = [[] for _ in names]
+        rows = 0
 
-    def work(batches):
-        from weftline.llm import repeated_windows as m
+        def flush() -> pa.RecordBatch:
+            kinds = [pa.int32() if n in ("copies", "place", "low", "high") else pa.int64() for n in names]
+            flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in held]
+            for x in held:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, k, safe=False) for x, k in zip(flat, kinds, strict=True)], names)
 
         for batch in batches:
-            keys = [m.key_of(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], ["doc_id", "text", "key"])
+            for at in range(batch.num_rows):
+                k1, k2, copies, text = (batch.column(i)[at].as_py() for i in range(4))
+                raw = text.encode("utf-8", "surrogatepass")
+                if len(raw) < depth:
+                    continue
+                g, p, low, high = m.runs(raw, depth, gram)
+                c = m._digits([m._digest(raw[a : b + depth]) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+                n = len(g)
+                for x, values in zip(held, (np.full(n, k1), np.full(n, k2), np.full(n, copies), g, c[:, 0], c[:, 1], p - low, low, high), strict=True):
+                    x.append(values)
+                rows += n
+                if rows >= m.MOST_OUT:
+                    rows = 0
+                    yield flush()
+        yield flush()
+
+    return texts.select("k1", "k2", "copies", "text").mapInArrow(work, _RUN)
+
+
+def key_columns() -> list:
+    """k1, k2: 128 bits of the text's digest, made without Python."""
+    sha = F.sha2("text", 256)
+    return [F.conv(F.substring(sha, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "k1"), (17, "k2"))]
 
-    return docs.mapInArrow(work, "doc_id long, text string, key binary")
+
+def _sent(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def cut_contexts(found: DataFrame, depth: int) -> DataFrame:
-    """The texts of runs: rows (key, text, wanted array<struct<g,c,place,low,high>>) to g, c, place, key, low, high, raw."""
+    """The texts of runs: rows (k1, k2, text, wanted array<struct<g,c1,c2,place,low,high>>) to g, c1, c2, place, k1, k2, low, high, raw."""
 
     def work(batches):
+        from weftline.llm import repeated_windows as m
+
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["g", "c1", "c2", "place", "k1", "k2", "low", "high", "raw"]
+        out: list[tuple] = []
+        size = 0
         for batch in batches:
-            out: list[tuple] = []
-            for key, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for at in range(batch.num_rows):
+                k1, k2, text, wanted = (batch.column(i)[at].as_py() for i in range(4))
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(w["g"], w["c"], w["place"], key, w["low"], w["high"], raw[w["low"] : w["high"] + depth]) for w in wanted]
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["g", "c", "place", "key", "low", "high", "raw"])
+                for w in wanted:
+                    piece = raw[w["low"] : w["high"] + depth]
+                    out.append((w["g"], w["c1"], w["c2"], w["place"], k1, k2, w["low"], w["high"], piece))
+                    size += len(piece)
+                    if size >= m.MOST_BYTES or len(out) >= m.MOST_OUT:
+                        yield m._sent(out, kinds, names)
+                        out, size = [], 0
+        yield m._sent(out, kinds, names)
 
-    return found.select("key", "text", "wanted").mapInArrow(work, "g long, c long, place int, key binary, low int, high int, raw binary")
+    schema = "g long, c1 long, c2 long, place int, k1 long, k2 long, low int, high int, raw binary"
+    return found.select("k1", "k2", "text", "wanted").mapInArrow(work, schema)
 
 
-def blocks_of(contexts: DataFrame, depth: int, size: int) -> DataFrame:
-    """Blocks of suffixes of the runs: contexts (g, c, place, length, raw, parts array<struct<s1,s2>>) to g, c, block, digit, whole, s1, s2.
+def blocks_of(contexts: DataFrame, depth: int, reach: int) -> DataFrame:
+    """The pass to depth `reach`: contexts (g, c1, c2, place, raw, parts array<struct<s1,s2>>) to g, c1, c2, block, d1, d2, w1, w2, s1, s2.
 
-    Starts are counted from the run's first; a block holds the suffixes whose gram is block * size and up to size - 1 bytes
-    more behind their start.
+    Starts are counted from the run's first. A block holds the depth - reach + 1 neighbouring suffixes whose windows have
+    `reach` bytes in common (d1, d2); w1, w2 stand for all the text of those that the run has.
     """
+    size = depth - reach + 1
 
     def work(batches):
         from weftline.llm import repeated_windows as m
 
+        names = ["g", "c1", "c2", "block", "d1", "d2", "w1", "w2", "s1", "s2"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        rows: list[tuple] = []
+        digits: list[bytes] = []
+
+        def flush() -> pa.RecordBatch:
+            d = m._digits(digits).reshape(-1, 4)
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            g, c1, c2, block, s1, s2 = (np.array(x, np.int64) for x in columns)
+            arrays = [g, c1, c2, block, d[:, 0], d[:, 1], d[:, 2], d[:, 3], s1, s2]
+            rows.clear(), digits.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, k, safe=False) for x, k in zip(arrays, kinds, strict=True)], names)
+
         for batch in batches:
-            out: list[tuple] = []
-            for g, c, place, raw, parts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for at in range(batch.num_rows):
+                g, c1, c2, place, raw, parts = (batch.column(i)[at].as_py() for i in range(6))
                 for part in parts:
                     far, near = place - part["s1"], place - part["s2"]
                     for block in range(near // size, far // size + 1):
                         low, high = max(near, block * size), min(far, block * size + size - 1)
-                        digit = m._digit(raw[place - block * size : place - block * size - size + 1 + depth])
-                        whole = digit if size == 1 else m._digit(raw[place - high : place - low + depth])
-                        out.append((g, c, block, digit, whole, place - high, place - low))
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["g", "c", "block", "digit", "whole", "s1", "s2"])
+                        digit = m._digest(raw[place - block * size : place - block * size + reach])
+                        digits += (digit, digit if size == 1 else m._digest(raw[place - high : place - low + depth]))
+                        rows.append((g, c1, c2, block, place - high, place - low))
+                if len(rows) >= m.MOST_OUT:
+                    yield flush()
+        yield flush()
 
-    return contexts.select("g", "c", "place", "raw", "parts").mapInArrow(work, "g long, c long, block int, digit long, whole long, s1 int, s2 int")
+    schema = "g long, c1 long, c2 long, block int, d1 long, d2 long, w1 long, w2 long, s1 int, s2 int"
+    return contexts.select("g", "c1", "c2", "place", "raw", "parts").mapInArrow(work, schema)
 
 
 def remove(found: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, spans array<struct<low,end>>) to doc_id, n_bytes, n_removed, spans, kept (binary), kept_sha256."""
+    """Rows (doc_id, text, spans array<struct<low,end>> or null) to doc_id, n_bytes, n_removed, spans, kept (binary), kept_sha256."""
 
     def work(batches):
         for batch in batches:
@@ -217,42 +257,65 @@ def remove(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "text", "spans").mapInArrow(work, "doc_id long, n_bytes long, n_removed long, spans array<struct<low:int,end:int>>, kept binary, kept_sha256 string")
 
 
-def repeated_windows(docs: DataFrame, text: str = "text", depth: int = DEPTH, gram: int = GRAM, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
+def differ(*names: str):
+    """Whether a group's rows differ in one of the columns."""
+    out = F.lit(False)
+    for n in names:
+        out = out | (F.min(n) != F.max(n))
+    return out
+
+
+def repeated_windows(docs: DataFrame, text: str = "text", depth: int = DEPTH, gram: int = GRAM, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept (bytes), kept_sha256."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
-    every = run_rows(rows.select("text"), depth, gram)
+    key = ["k1", "k2"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text")).select("doc_id", "text", *key_columns())
+
+    # Texts with copies: one of each stands for all. Others stay where they are.
+    copied = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copied = small(scratch.table(copied.select(*key, F.lit(2).alias("copies"))))
+    alone = rows.join(copied, key, "left_anti").select("text", *key, F.lit(1).alias("copies"))
+    one_of = rows.join(copied, key).groupBy(*key).agg(F.first("text").alias("text")).select("text", *key, F.lit(2).alias("copies"))
+    texts = alone.unionByName(one_of)
 
     # First digit: keep runs whose digit is elsewhere too; mixed: not all of the group's runs are equal as a whole.
-    firsts = every.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).filter("n > 1").select("g", (F.col("x") != F.col("y")).alias("mixed"))
+    every = scratch.table(run_rows(texts, depth, gram))
+    firsts = every.groupBy("g").agg(F.sum("copies").alias("n"), differ("c1", "c2").alias("mixed")).filter("n > 1").select("g", "mixed")
     # Counts are written before they are joined, so that the join deals both sides anew and a hot digit can be split.
     firsts = scratch.table(firsts)
     shared = scratch.table(every.join(firsts, "g"))
-    times = scratch.table(shared.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")))
-    counted = scratch.table(shared.join(times, ["g", "c"]).filter("n > 1 or mixed"))
-    scratch.drop(shared, firsts, times)
-    whole = counted.filter("n > 1").select("key", "low", (F.col("high") + depth).alias("end")).distinct()
+    scratch.drop(every, firsts)
+    run = ["g", "c1", "c2"]
+    times = scratch.table(shared.groupBy(*run).agg(F.sum("copies").alias("n")))
+    counted = scratch.table(shared.join(times, run).filter("n > 1 or mixed"))
+    scratch.drop(shared, times)
+    whole = counted.filter("n > 1 and copies = 1").select(*key, "low", (F.col("high") + depth).alias("end"))
 
     # Runs of mixed groups, each text of a run once, with their bytes.
-    once = counted.filter("mixed").dropDuplicates(["g", "c"])
-    wanted = once.groupBy("key").agg(F.collect_list(F.struct("g", "c", "place", "low", "high")).alias("wanted"))
-    keyed = with_key(rows)
-    contexts = scratch.table(cut_contexts(keyed.join(wanted, "key"), depth).dropDuplicates(["g", "c"]))
+    once = counted.filter("mixed").dropDuplicates(run)
+    wanted = scratch.table(once.groupBy(*key).agg(F.collect_list(F.struct(*run, "place", "low", "high")).alias("wanted")))
+    contexts = scratch.table(cut_contexts(texts.join(wanted, key), depth))
+    scratch.drop(wanted)
     parts = contexts.select("*", F.array(F.struct(F.lit(0).alias("s1"), (F.col("high") - F.col("low")).alias("s2"))).alias("parts"))
     settled = None
-    for size in blocks:
-        cut = scratch.table(blocks_of(parts, depth, size))
-        names = ["g", "block", "digit"]
-        groups = scratch.table(cut.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).filter("n > 1"))
-        judged = scratch.table(cut.join(groups.select(*names, "mixed"), names).select("g", "c", "s1", "s2", "mixed"))
+    for reach in depths:
+        cut = scratch.table(blocks_of(parts, depth, reach))
+        names = ["g", "block", "d1", "d2"]
+        # A run that stands for copies alone is repeated, too, but its windows need not be found here: they are in `whole`.
+        groups = scratch.table(cut.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), differ("w1", "w2").alias("mixed")).filter("n > 1"))
+        judged = scratch.table(cut.join(groups.select(*names, "mixed"), names).select(*run, "s1", "s2", "mixed"))
         scratch.drop(cut, groups)
-        done = judged.filter("not mixed").select("g", "c", "s1", "s2")
+        done = judged.filter("not mixed").select(*run, "s1", "s2")
         settled = done if settled is None else settled.unionByName(done)
-        open_ = judged.filter("mixed").groupBy("g", "c").agg(F.collect_list(F.struct("s1", "s2")).alias("parts"))
-        parts = contexts.join(open_, ["g", "c"])
-    pieces = settled.join(contexts.select("g", "c", "key", "low"), ["g", "c"]).select("key", (F.col("low") + F.col("s1")).alias("low"), (F.col("low") + F.col("s2") + depth).alias("end"))
-    spans = scratch.table(whole.unionByName(pieces).groupBy("key").agg(F.collect_list(F.struct("low", "end")).alias("spans")))
+        open_ = judged.filter("mixed").groupBy(*run).agg(F.collect_list(F.struct("s1", "s2")).alias("parts"))
+        parts = contexts.join(open_, run)
+    # Of a run that several texts hold, all windows are removed anyway, in `whole`; so each run's context has one place.
+    pieces = settled.join(contexts.select(*run, *key, "low"), run).select(*key, (F.col("low") + F.col("s1")).alias("low"), (F.col("low") + F.col("s2") + depth).alias("end"))
+    spans = scratch.table(whole.unionByName(pieces).groupBy(*key).agg(F.collect_list(F.struct("low", "end")).alias("spans")))
     scratch.drop(contexts, counted)
-    return remove(keyed.join(spans, "key", "left"))
+    unique = rows.join(copied, key, "left_anti").join(spans, key, "left").select("doc_id", "text", "spans")
+    size = F.octet_length("text").cast("int")
+    all_of_it = F.when(size >= depth, F.array(F.struct(F.lit(0).alias("low"), size.alias("end"))))
+    return remove(unique.unionByName(rows.join(copied, key, "left_semi").select("doc_id", "text", all_of_it.alias("spans"))))
