@@ -32,29 +32,69 @@ from documents d left join n using (doc_id) join c using (doc_id)
 """
 
 
-def _secret_sql() -> str:
-    """Spans from the pieces between matches and the matches' lengths; the same rules without possessive quantifiers."""
-    from weftline.llm.secret_scan import BASE, MORE
+#: The rules, written out for DuckDB's expressions: kind, expression, what a match (hit, at pos in t) must fulfil, the text that is searched.
+SECRETS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""", r"""length(regexp_extract(hit, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6""", "t"),
+    ("access", r"AKIA[A-Z0-9]+", "length(hit) >= 20", "t"),
+    ("hex", r"[0-9a-f]+", "length(hit) >= 24", "t"),
+    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", "true", "t"),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", "true", "t"),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", "true", "t"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true", "t"),
+    ("google", r"AIza[A-Za-z0-9_-]{35,}", "true", "t"),
+)
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: case when i % 2 = 1 then ascii(reverse({_DIGITS})[i]) - 48 when ascii(reverse({_DIGITS})[i]) >= 53 then 2 * (ascii(reverse({_DIGITS})[i]) - 48) - 9 else 2 * (ascii(reverse({_DIGITS})[i]) - 48) end)) % 10 = 0"
+#: The number that stands for an IBAN, as text: letters are two digits.
+_IBAN = "array_to_string(list_transform(string_split(substr(replace(hit, ' ', ''), 5) || left(replace(hit, ' ', ''), 4), ''), lambda c: case when c between '0' and '9' then c else cast(ascii(c) - 55 as varchar) end), '')"
+_MOD97 = f"list_reduce(list_prepend(0::bigint, list_transform(string_split({_IBAN}, ''), lambda c: cast(c as bigint))), lambda a, c: (a * 10 + c) % 97) = 1"
+
+
+def _near(*words: str) -> str:
+    """Whether a word begins in the 40 characters before the match."""
+    return f"regexp_matches(lower(substr(t, greatest(pos - 40, 0) + 1, pos - greatest(pos - 40, 0))), '(^|[^a-z])({'|'.join(words)})')"
+
+
+_AGAINST = _near("version", "example", "order", "isbn")
+#: Kinds of the contract, then the two that the method adds: what it asks of the words nearby follows from the scores. Where
+#: the search looks at the characters around a match, others stand in for those that a word's boundary must tell apart.
+PERSONAL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "t"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3 or coalesce(try_cast(ltrim(p, '0') as int), 0) > 255)) = 0", "t"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) between 14 and 19 and {_LUHN}", "t"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 10 and 15", "t"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b", f"{_MOD97} and ({_near('iban', 'account', 'bank')} or not {_AGAINST})", "translate(t, '_', '~')"),
+    (
+        "ssn",
+        r"\b[0-9]{3}A[0-9]{2}A[0-9]{4}\b",
+        f"hit[1:3] not in ('000', '666') and hit[1] <> '9' and hit[5:6] <> '00' and hit[8:11] <> '0000' and {_near('ssn', 'social', 'security')} and not {_AGAINST}",
+        "translate(regexp_replace(t, '[^0-9-]', ' ', 'g'), '-', 'A')",
+    ),
+)
+
 
-    plain = lambda p: p.replace("*+", "*").replace("++", "+").replace("}+", "}").replace("'", "''")
+def _spans_sql(rules: tuple, base: int) -> str:
+    """Spans from the pieces between matches and the matches' lengths."""
     parts = []
-    for rank, rule in enumerate(BASE + MORE):
-        keep = f"length(regexp_extract(hit, '{plain(rule.value)}', 1)) >= {rule.least}" if rule.least else "true"
+    for rank, (kind, pattern, keep, text) in enumerate(rules):
         parts.append(f"""
-  select doc_id, {rank} as rank, '{rule.kind}' as kind, pos as start, pos + length(hit) as "end" from (
-    select doc_id, hits[i] as hit, list_sum(list_transform(pieces[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0) as pos
-    from (select doc_id, hits, pieces, unnest(range(1, len(hits) + 1)) as i from (
-      select doc_id, regexp_extract_all(t, '{plain(rule.pattern)}') as hits, string_split_regex(t, '{plain(rule.pattern)}') as pieces from d))) where {keep}""")
-    counts = ", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.kind}" for r in BASE)
+  select doc_id, {rank} as rank, '{kind}' as kind, pos as start, pos + length(hit) as "end" from (
+    select doc_id, t, hits[i] as hit, list_sum(list_transform(pieces[:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0)::bigint as pos
+    from (select doc_id, t, hits, pieces, unnest(range(1, len(hits) + 1)) as i from (
+      select doc_id, t, regexp_extract_all({text}, '{pattern}') as hits, string_split_regex({text}, '{pattern}') as pieces from d))) where {keep}""")
+    names = [r[0] for r in rules[:base]]
+    counts = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in names)
     joined = "string_agg(kind || ':' || start || ':' || \"end\", ',' order by start, rank)"
-    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    of_base = ", ".join(f"'{k}'" for k in names)
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents), s as (select doc_id, rank, kind, cast(start as bigint) as start, cast("end" as bigint) as "end" from ({" union all ".join(parts)})),
-g as (select doc_id, {counts}, coalesce({joined} filter (where kind in ({base})), '') as b, {joined} as spans from s group by 1)
-select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE)}, sha256(coalesce(b, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"""
+g as (select doc_id, {counts}, coalesce({joined} filter (where kind in ({of_base})), '') as b, {joined} as spans from s group by 1)
+select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in names)}, sha256(coalesce(b, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"""
 
 
-SQL["op3_secrets"] = _secret_sql()
+SQL["op3_secrets"] = _spans_sql(SECRETS, 3)
+SQL["op6_pii"] = _spans_sql(PERSONAL, 4)
 
 
 def _mix_sql() -> str:
