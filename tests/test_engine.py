@@ -62,7 +62,7 @@ def test_quality_and_cleaning(spark):
     codes = {(r["code"], r["field"]) for r in quality.findings(df, required=("label", "id")).collect()}
     assert codes == {("outer_whitespace", "label"), ("non_normalized_unicode", "label"), ("empty_string", "label"), ("null_in_required_field", "label"), ("missing_required_field", "id"), ("non_finite_number", "v")}
     rules = [("label", "normalize_unicode_nfc"), ("label", "trim_whitespace"), ("label", "empty_to_null")]
-    assert [r[0] for r in quality.clean(df, rules).collect()] == ["Café", None, None]
+    assert sorted((r[0] for r in quality.clean(df, rules).collect()), key=str) == ["Café", None, None]
 
 
 def test_matching_names(spark):
@@ -92,9 +92,9 @@ def test_csv(spark, tmp_path):
     delimited.append(spark.createDataFrame([("ok",)], "a string"), str(tmp_path / "out"))
     delimited.append(spark.createDataFrame([("ok2",)], "a string"), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
-    assert delimited.detect_delimiter("a\tb\n1\t2\n") == "\t"
+    assert delimited.detect_delimiter(spark, "a\tb\n1\t2\n") == "\t"
     with pytest.raises(delimited.AmbiguousDialect):
-        delimited.detect_delimiter("")
+        delimited.detect_delimiter(spark, "")
 
 
 def test_json_and_content(spark, tmp_path):
@@ -156,6 +156,20 @@ def test_streaming_delivery(spark, tmp_path):
     assert counts == {"delivered": 3, "duplicate": 2, "replay_detected": 1}
 
 
+def test_first_delivery_of_ties_and_nulls(spark):
+    rows = [(None, "a", 1), (None, "a", 1), (None, "b", 2), ("x", "a", 1), ("x", "a", 1), ("x", "a", 3)]
+    df = spark.createDataFrame(rows, "k string, d string, n int")
+    got = sorted((r["k"] or "", r["d"], r["n"], r["status"]) for r in state.first_delivery(df, ["k"], F.col("d"), ["n"]).collect())
+    assert got == sorted([("", "a", 1, "delivered"), ("", "a", 1, "duplicate"), ("", "b", 2, "replay_detected"), ("x", "a", 1, "delivered"), ("x", "a", 1, "duplicate"), ("x", "a", 3, "duplicate")])
+
+
+def test_dialects_of_several_files(spark):
+    samples = {"comma": 'a,b\n1,"x;y\nz"\n3,4\n', "semicolon": "a;b;c\n1;2;3\n4;;6\n", "pipe": "a|b\n1|2\n", "one": "a\nb\nc\n", "both": "a,b;c\n1,2;3\n"}
+    df = spark.createDataFrame(list(samples.items()), "name string, sample string")
+    got = {r["name"]: (r["delimiter"], r["problem"]) for r in delimited.chosen(delimited.dialects(df)).collect()}
+    assert got == {"comma": (",", None), "semicolon": (";", None), "pipe": ("|", None), "one": (",", None), "both": (",", "ambiguous")}
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(-7, "HTTPS://Example.org:443/x"), (12345, "ftp://a")], "v int, u string")
     rows = df.select(scalars.padded_integer(F.col("v"), 4), scalars.origin(F.col("u")), scalars.choice(F.lit(" A "), ("a",), "a").value).collect()

@@ -19,13 +19,16 @@ def origin(url: Column) -> Column:
 
 def json_pointer(text: Column, pointer: str) -> Result:
     """The value at a JSON Pointer as text; a path that is not there, or text that is no JSON, is an error and not null."""
-    path = "$"
+    parsed = F.try_parse_json(text)
+    # A step of digits is a place in an array and a name in an object, so each reading of the steps is asked for.
+    paths = ["$"]
     for part in pointer.split("/")[1:]:
         name = part.replace("~1", "/").replace("~0", "~")
-        path += f"[{name}]" if name.isdigit() else "['" + name.replace("'", "\\'") + "']"
-    parsed = F.try_parse_json(text)
-    value = F.try_variant_get(parsed, path, "string")
-    there = F.try_variant_get(parsed, path, "variant").isNotNull()
+        named = "['" + name.replace("'", "\\'") + "']"
+        place = [f"[{name}]"] if name.isascii() and name.isdigit() and (name == "0" or name[0] != "0") else []
+        paths = [p + step for p in paths for step in (named, *place)]
+    value = F.coalesce(*[F.try_variant_get(parsed, p, "string") for p in paths])
+    there = F.coalesce(*[F.try_variant_get(parsed, p, "variant") for p in paths]).isNotNull()
     return Result(value, F.when(text.isNotNull() & ~F.coalesce(there, F.lit(False)), "pointer_missing"))
 
 

@@ -62,7 +62,7 @@ def _plain(names: pd.Series) -> pd.Series:
 
 
 def normalize_name(name: Column) -> Column:
-    """plain_name as a column; names of ASCII stay in the JVM."""
+    """plain_name as a column, for tables of fields, which are small: its rows pass through Python where a plan holds it."""
     opened = F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])", " "))
     simple = F.trim(F.regexp_replace(opened, r"[^a-z0-9]+", " "))
     return F.when(name.rlike(r"[^\x00-\x7f]"), _plain(name)).otherwise(simple)
@@ -134,8 +134,8 @@ def candidates(source: DataFrame, target: DataFrame, with_sequence: bool = True,
     right = target.select("pair", *[F.col(c).alias(f"t_{c}") for c in names], keys.alias("lookup_keys")).withColumnRenamed("t_id", "target_id")
     variants = lambda side: F.concat(F.array(f"{side}_name"), F.coalesce(f"{side}_aliases", F.expr("cast(array() as array<string>)")))
     pairs = left.join(right, "pair").withColumn("s_variants", variants("s")).withColumn("t_variants", variants("t"))
-    scored = name_scores(pairs, with_sequence).withColumn("s_words", F.array_distinct(tokens(normalize_name(F.col("s_name")))))
-    scored = scored.withColumn("lookup", lookup_path(F.col("lookup_keys"), F.col("s_words"))).drop("s_words")
+    scored = name_scores(pairs, with_sequence).join(lookup_paths(pairs, with_sequence), ["pair", "source_id", "target_id"], "left")
+    scored = scored.withColumn("lookup", F.coalesce("lookup", F.lit(False)))
     type_score = type_compatibility(F.col("s_data_type"), F.col("t_data_type"))
     role_score = F.when(F.col("s_role") == F.col("t_role"), 1.0).otherwise(ROLE_MISMATCH)
     lifted = lambda c: F.when(F.col("lookup"), F.greatest(c, F.lit(LOOKUP_LIFT))).otherwise(c)
@@ -149,11 +149,15 @@ def candidates(source: DataFrame, target: DataFrame, with_sequence: bool = True,
     return joined.withColumn("score", F.coalesce(mixed, F.col("det")))
 
 
-def lookup_path(keys: Column, source_words: Column) -> Column:
-    """Whether a natural key of the source reaches the target's foreign key by a unique key of fitting type and name."""
-    fitting = F.filter(keys, lambda k: copy_safe_column(F.col("s_data_type"), k["data_type"]))
-    near = F.exists(fitting, lambda k: JACCARD * jaccard(source_words, F.array_distinct(tokens(F.trim(F.lower(F.regexp_replace(k["name"], "[^A-Za-z0-9]+", " ")))))) >= LOOKUP_NAME)
-    return ~F.col("s_sensitivity").isin(*NOT_TRANSFORMABLE) & (F.col("s_role") == "natural_key") & (F.col("t_role") == "foreign_key") & near
+def lookup_paths(pairs: DataFrame, with_sequence: bool = True) -> DataFrame:
+    """pair, source_id, target_id, lookup (true): a natural key of the source that reaches the target's foreign key by a
+    unique key of a fitting type, whose name is like the source's by the same score as fields' names."""
+    able = pairs.filter(~F.col("s_sensitivity").isin(*NOT_TRANSFORMABLE) & (F.col("s_role") == "natural_key") & (F.col("t_role") == "foreign_key"))
+    fitting = F.filter("lookup_keys", lambda k: copy_safe_column(F.col("s_data_type"), k["data_type"]))
+    keys = able.select("pair", "source_id", F.col("target_id").alias("of"), "s_variants", F.explode(fitting).alias("k"))
+    keys = keys.select("pair", "source_id", "of", "s_variants", F.array("k.name").alias("t_variants"), F.concat_ws("\0", "of", "k.name").alias("target_id"))
+    near = name_scores(keys, with_sequence).filter(F.col("name_score") >= LOOKUP_NAME)
+    return near.select("pair", "source_id", F.col("of").alias("target_id"), F.lit(True).alias("lookup")).distinct()
 
 
 def decide(scored: DataFrame) -> DataFrame:

@@ -33,8 +33,23 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Canonical composition; texts of ASCII never leave the JVM."""
-    return F.when(c.isNull() | ~c.rlike(r"[^\x00-\x7f]"), c).otherwise(_nfc(c))
+    """Canonical composition. Every row of a plan that holds it passes through Python: see apart()."""
+    return _nfc(c)
+
+
+def beyond_ascii(columns: list[str]) -> Column:
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.col(c).rlike(r"[^\x00-\x7f]"), F.lit(False))
+    return out
+
+
+def apart(df: DataFrame, columns: list[str], work) -> DataFrame:
+    """work(rows, composing) over the rows of ASCII alone (composing is false: they need no Python) and over the others."""
+    if not columns:
+        return work(df, False)
+    rare = beyond_ascii(columns)
+    return work(df.filter(~rare), False).unionByName(work(df.filter(rare), True))
 
 
 def empty(c: Column) -> Column:
@@ -63,8 +78,13 @@ def not_finite(c: Column) -> Column:
     return F.isnan(c) | (F.abs(c) == float("inf"))
 
 
-def findings(df: DataFrame, required: tuple[str, ...] = (), expected: tuple[str, ...] | None = None, empty_counts_as_null: bool = True) -> DataFrame:
+def findings(df: DataFrame, required: tuple[str, ...] = (), expected: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each row and field with a finding: all columns of df, and code, field."""
+    texts = [name for name, kind in df.dtypes if kind == "string" and (expected is None or name in expected)]
+    return apart(df, texts, lambda rows, composing: _findings(rows, required, expected, composing))
+
+
+def _findings(df: DataFrame, required: tuple[str, ...], expected: tuple[str, ...] | None, composing: bool) -> DataFrame:
     checks: list[Column] = []
     for name, kind in df.dtypes:
         if expected is not None and name not in expected:
@@ -74,17 +94,16 @@ def findings(df: DataFrame, required: tuple[str, ...] = (), expected: tuple[str,
             checks.append(_code(F.col(name).isNull(), "null_in_required_field", name))
         if kind == "string":
             c = F.col(name)
-            checks += [
-                _code(empty(c), "empty_string", name),
-                _code(outer_whitespace(c), "outer_whitespace", name),
-                _code(control_character(c), "embedded_control_character", name),
-                _code(not_normalized(c), "non_normalized_unicode", name),
-            ]
+            checks += [_code(empty(c), "empty_string", name), _code(outer_whitespace(c), "outer_whitespace", name), _code(control_character(c), "embedded_control_character", name)]
+            if composing:
+                checks.append(_code(not_normalized(c), "non_normalized_unicode", name))
         if kind in ("double", "float"):
             checks.append(_code(not_finite(F.col(name)), "non_finite_number", name))
     for name in required:
         if name not in df.columns:
             checks.append(_code(F.lit(True), "missing_required_field", name))
+    if not checks:
+        return df.withColumn("code", F.lit("")).withColumn("field", F.lit("")).filter("false")
     found = F.explode(F.array_compact(F.array(*checks)))
     return df.withColumn("finding", found).select(*df.columns, "finding.code", "finding.field")
 
@@ -125,9 +144,15 @@ ACTIONS = {
 def clean(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """df with the rules (field, action) applied in their order; fields that are missing or no strings are left."""
     kinds = dict(df.dtypes)
-    for field, action in rules:
+    for _, action in rules:
         if action not in ACTIONS:
             raise ValueError(f"unknown cleaning action {action}")
-        if kinds.get(field) == "string":
-            df = df.withColumn(field, ACTIONS[action](F.col(field)))
-    return df
+    composed = [f for f, action in rules if action == "normalize_unicode_nfc" and kinds.get(f) == "string"]
+
+    def work(rows: DataFrame, composing: bool) -> DataFrame:
+        for field, action in rules:
+            if kinds.get(field) == "string" and (composing or action != "normalize_unicode_nfc"):
+                rows = rows.withColumn(field, ACTIONS[action](F.col(field)))
+        return rows
+
+    return apart(df, composed, work)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.lifecycle import met
+
 #: The ledger's transitions (state, event, next state, whether the claim must be live).
 TRANSITIONS = (
     (None, "claim", "claimed", False),
@@ -61,13 +63,18 @@ def claim_outcome(state: Column, lease_live: Column, same_digest: Column) -> Col
 def first_delivery(df: DataFrame, identity: list[str], digest: Column, order: list[str]) -> DataFrame:
     """Each row with status: delivered (the first of its identity), duplicate (same digest), replay_detected (another digest).
 
-    The first row of each identity is found by a pre-aggregated minimum and joined back.
+    The first row of each identity is found by a pre-aggregated minimum and joined back, null-safe: rows without an identity
+    are one identity. Of rows that tie in order and digest one is delivered; only such rows are numbered.
     """
-    marked = df.withColumn("__digest", digest).withColumn("__order", F.struct(*order))
-    first = marked.groupBy(*identity).agg(F.min(F.struct("__order", "__digest")).alias("__first"))
-    joined = marked.join(first, identity)
-    status = F.when(F.col("__order") == F.col("__first.__order"), "delivered").when(F.col("__digest") == F.col("__first.__digest"), "duplicate").otherwise("replay_detected")
-    return joined.withColumn("status", status).drop("__digest", "__order", "__first")
+    order_, digest_, first_, tie = "__order", "__digest", "__first", "__tie"
+    marked = df.withColumn(digest_, digest).withColumn(order_, F.struct(*order))
+    first = marked.groupBy(*identity).agg(F.min(F.struct(order_, digest_)).alias(first_))
+    joined = met(marked, first, identity).withColumn(tie, F.struct(order_, digest_) == F.col(first_))
+    same = F.when(F.col(digest_).eqNullSafe(F.col(f"{first_}.{digest_}")), "duplicate").otherwise("replay_detected")
+    others = joined.filter(~F.coalesce(tie, F.lit(False))).withColumn("status", same)
+    place = F.row_number().over(W.partitionBy(*identity).orderBy(order_))
+    tied = joined.filter(tie).withColumn("status", F.when(place == 1, "delivered").otherwise("duplicate"))
+    return tied.unionByName(others).drop(digest_, order_, first_, tie)
 
 
 def pending_prefix(df: DataFrame, scope: list[str], order: list[str], size: str, budget: int, limit: int) -> DataFrame:

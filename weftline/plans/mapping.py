@@ -192,8 +192,12 @@ def lookup(probe: DataFrame, key: str, dimension: DataFrame, business_key: str,
     keys = dimension.filter(F.col(business_key).isNotNull()).groupBy(F.col(business_key).alias("__key"))
     keys = keys.agg(F.count(F.lit(1)).alias("__rows"), F.min(returned).alias("__id"))
     side = F.broadcast(keys) if dimension.limit(broadcast_rows + 1).count() <= broadcast_rows else keys
-    # A null probe gets a key of its own that nothing has, spread over all tasks.
-    found = probe.join(side, (probe[key] == side["__key"]) if side is keys else (F.col(key) == F.col("__key")), "left")
+    if side is keys:
+        # Dealt out by key, all null probes would meet in one task; they pass by the join.
+        found = probe.filter(F.col(key).isNotNull()).join(keys, F.col(key) == F.col("__key"), "left")
+        found = found.unionByName(probe.filter(F.col(key).isNull()), allowMissingColumns=True)
+    else:
+        found = probe.join(side, F.col(key) == F.col("__key"), "left")
     status = F.when(F.col(key).isNull(), "null_probe").when(F.col("__rows").isNull(), "unmatched").when(F.col("__rows") > 1, "not_unique").otherwise("matched")
     return found.withColumn(f"{out}_status", status).withColumn(out, F.when(F.col(f"{out}_status") == "matched", F.col("__id"))).drop("__key", "__rows", "__id")
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, replace
-from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.types import NOT_TRANSFORMABLE, copy_safe
-from weftline.operators.matching import ALIAS, CANONICAL, JACCARD, LOOKUP_NAME, SEQUENCE, plain_name
+from weftline.operators.matching import LOOKUP_NAME, name_scores
 from weftline.plans.mapping import Field, Finding, Plan, Rule, Schema, plan_for, route_allowed
 
 STABLE_NAME = 0.88
@@ -20,21 +19,14 @@ class PlanRefused(ValueError):
     pass
 
 
-def name_likeness(a: Field, b: Field) -> float:
-    """The driver's twin of matching.name_scores, for single pairs."""
-    left, right = ([f.name, *f.aliases] for f in (a, b))
-    plain = [[plain_name(x) for x in side] for side in (left, right)]
-    if plain[0][0] and plain[0][0] == plain[1][0]:
-        return 1.0
-    if set(filter(None, plain[0])) & set(plain[1]):
-        return ALIAS
-    best = 0.0
-    for x in plain[0]:
-        for y in plain[1]:
-            wx, wy = ({CANONICAL.get(w, w) for w in t.split()} for t in (x, y))
-            overlap = len(wx & wy) / len(wx | wy) if wx | wy else 0.0
-            best = max(best, JACCARD * overlap + SEQUENCE * (SequenceMatcher(a=x, b=y).ratio() if x and y else 0.0))
-    return best
+def likeness(pairs: list[tuple[Field, Field]]) -> list[float]:
+    """The matcher's name scores of pairs of fields, in order, from one job; fields of schemas are few."""
+    if not pairs:
+        return []
+    rows = [(str(i), "s", "t", [a.name, *a.aliases], [b.name, *b.aliases]) for i, (a, b) in enumerate(pairs)]
+    df = SparkSession.active().createDataFrame(rows, "pair string, source_id string, target_id string, s_variants array<string>, t_variants array<string>")
+    found = {int(r["pair"]): r["name_score"] for r in name_scores(df).select("pair", "name_score").collect()}
+    return [found[i] for i in range(len(pairs))]
 
 
 def lookup_key(source: Field, target: Field, schema: Schema, reviewed: bool = False) -> str | None:
@@ -42,12 +34,8 @@ def lookup_key(source: Field, target: Field, schema: Schema, reviewed: bool = Fa
     relation = schema.relation(target.id)
     if relation is None or source.sensitivity in NOT_TRANSFORMABLE or source.role != "natural_key" or target.role != "foreign_key":
         return None
-    rated = []
-    for name, kind in relation.lookup_keys:
-        known = "unknown" not in (source.data_type, kind)
-        if (known and copy_safe(source.data_type, kind)) or (reviewed and not known):
-            rated.append((name_likeness(source, Field(name, name, kind)), name))
-    best = max(rated, default=(0.0, ""))
+    able = [Field(name, name, kind) for name, kind in relation.lookup_keys if (copy_safe(source.data_type, kind) if "unknown" not in (source.data_type, kind) else reviewed)]
+    best = max(zip(likeness([(source, k) for k in able]), [k.name for k in able], strict=True), default=(0.0, ""))
     return best[1] if best[0] >= LOOKUP_NAME else None
 
 
@@ -91,8 +79,9 @@ def repair(plan: Plan, old: Schema, new: Schema, target: Schema) -> tuple[Plan |
     for rule in plan.rules:
         was = old.by_id()[rule.source]
         now = new.by_id().get(was.id)
-        if now is None or now.sensitivity != was.sensitivity or (now.name != was.name and name_likeness(was, now) < STABLE_NAME):
-            rated = sorted(((name_likeness(was, f), f.id) for f in new.fields if f.sensitivity == was.sensitivity), reverse=True)
+        if now is None or now.sensitivity != was.sensitivity or (now.name != was.name and likeness([(was, now)])[0] < STABLE_NAME):
+            able = [f for f in new.fields if f.sensitivity == was.sensitivity]
+            rated = sorted(zip(likeness([(was, f) for f in able]), [f.id for f in able], strict=True), reverse=True)
             clear = rated and rated[0][0] >= STABLE_NAME and (len(rated) == 1 or rated[0][0] - rated[1][0] >= 0.08)
             now = new.by_id()[rated[0][1]] if clear else None
             if now is None:

@@ -641,3 +641,6 @@ def plan_from_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = [(r["source_id"], r["target_id"], r["status"]) for r in matching.decide(matching.candidates(source, target)).collect()]
     plan = planning.build(schema("source", _SOURCE_FIELDS), schema("target", _TARGET_FIELDS), sorted(decisions))
     return spark.createDataFrame([(r.source, r.target, r.transform) for r in plan.rules], "source_id string, target_id string, transform string")
+
+
+from weftline import state_queries as _state_queries  # noqa: E402,F401  its queries register themselves here

@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "weftline", cores: str | int = "*", **extra: str) -> SparkSession:
-    """A local session with the settings the engine expects; on a cluster the submitted configuration wins."""
-    builder = (
-        SparkSession.builder.appName(app)
-        .master(os.environ.get("SPARK_MASTER", f"local[{cores}]"))
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
-    )
+    """A local session with the settings the engine expects. Under spark-submit, or where a session is there already, nothing
+    is set but what the caller names: the submitted configuration stands."""
+    builder = SparkSession.builder.appName(app)
+    if "PYSPARK_GATEWAY_PORT" not in os.environ and SparkSession.getActiveSession() is None:
+        own = {
+            "spark.sql.session.timeZone": "UTC",
+            "spark.sql.adaptive.enabled": "true",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "8g"),
+        }
+        builder = builder.master(os.environ.get("SPARK_MASTER", f"local[{cores}]"))
+        for key, value in own.items():
+            builder = builder.config(key, value)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()

@@ -8,7 +8,6 @@ import io
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.matching import normalize_name
 from weftline.operators.quality import formula_like
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -23,42 +22,56 @@ class AmbiguousDialect(ValueError):
     pass
 
 
-def parsed(sample: str, delimiter: str) -> list[list[str]]:
-    try:
-        return list(csv.reader(io.StringIO(sample), delimiter=delimiter))[:SAMPLE_ROWS]
-    except csv.Error:
-        return []
-
-
-def dialect_score(rows: list[list[str]], delimiter: str) -> float:
-    """How regular the rows are under a delimiter: share of the most common width, that width, filled cells."""
-    filled = [r for r in rows if any(c.strip() for c in r)]
-    if not filled:
-        return 0.0
-    widths = [len(r) for r in filled]
-    common = max(dict.fromkeys(widths), key=widths.count)
-    steady = widths.count(common) / len(widths)
-    if len(filled) == 1:
-        return ONE_ROW if common > 1 else 0.0
-    if common == 1:
-        return SINGLE_COMMA if delimiter == "," and steady == 1.0 else SINGLE_OTHER
-    dense = sum(sum(bool(c.strip()) for c in r) / len(r) for r in filled) / len(filled)
-    return CONSISTENCY * steady + WIDTH * min(common, 8) / 8 + DENSITY * dense
-
-
-def detect_delimiter(sample: str) -> str:
+def dialects(samples: DataFrame) -> DataFrame:
+    """samples (name, sample) by delimiter: rows, width (the most common number of cells), steady (the share of rows that
+    have it), dense (mean share of filled cells), score, reading (a hash of the cells, equal where two delimiters read alike).
+
+    Quoted text counts as one filled cell character, whatever it holds, so the cells are counted by plain splits; any
+    number of files is profiled at once.
+    """
+    text = F.regexp_replace(F.left("sample", F.lit(SAMPLE_CHARACTERS)), r'"\s*+"', " ")
+    lines = F.slice(F.split(F.regexp_replace(text, r'"(?:[^"]|"")++"', "q"), r"\r\n|\n|\r"), 1, SAMPLE_ROWS)
+    each = samples.select("name", F.posexplode(lines).alias("row", "line"))
+    each = each.select("*", F.posexplode(F.array(*map(F.lit, DELIMITERS))).alias("place", "delimiter"))
+    each = each.withColumn("cells", F.split("line", F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E"))))
+    each = each.withColumn("filled", F.size(F.filter("cells", lambda c: F.trim(c) != ""))).filter("filled > 0")
+    key = ["name", "place", "delimiter"]
+    widths = each.groupBy(*key, F.size("cells").alias("width")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("row").alias("seen"),
+        F.sum(F.col("filled") / F.size("cells")).alias("full"),
+        F.bit_xor(F.xxhash64("row", "cells")).alias("reading"),
+    )
+    total = F.sum("n")
+    found = widths.groupBy(*key).agg(
+        total.alias("rows"),
+        F.max_by("width", F.struct("n", -F.col("seen"))).alias("width"),
+        (F.max("n") / total).alias("steady"),
+        (F.sum("full") / total).alias("dense"),
+        F.bit_xor("reading").alias("reading"),
+    )
+    many = CONSISTENCY * F.col("steady") + WIDTH * F.least("width", F.lit(8)) / 8 + DENSITY * F.col("dense")
+    single = F.when((F.col("delimiter") == ",") & (F.col("steady") == 1), SINGLE_COMMA).otherwise(SINGLE_OTHER)
+    alone = F.when(F.col("width") > 1, ONE_ROW).otherwise(0.0)
+    return found.withColumn("score", F.when(F.col("rows") == 1, alone).when(F.col("width") == 1, single).otherwise(many))
+
+
+def chosen(profiles: DataFrame) -> DataFrame:
+    """For each name of dialects(): delimiter and problem (null, irregular or ambiguous)."""
+    order = F.struct(F.col("score"), -F.col("place"), "delimiter", "reading", "width")
+    ranked = profiles.groupBy("name").agg(F.slice(F.sort_array(F.collect_list(order), asc=False), 1, 2).alias("best"))
+    first, second = F.col("best")[0], F.try_element_at("best", F.lit(2))
+    near = (first["score"] - second["score"] < NEAR) & (first["reading"] != second["reading"]) & (first["width"] > 1)
+    problem = F.when(first["score"] < LEAST_SCORE, "irregular").when(F.coalesce(near, F.lit(False)), "ambiguous")
+    return ranked.select("name", first["delimiter"].alias("delimiter"), problem.alias("problem"))
+
+
+def detect_delimiter(spark: SparkSession, sample: str) -> str:
     """The best delimiter of a sample; refused when none is regular enough or two read it differently and score alike."""
-    rated = []
-    for position, delimiter in enumerate(DELIMITERS):
-        rows = parsed(sample[:SAMPLE_CHARACTERS], delimiter)
-        rated.append((dialect_score(rows, delimiter), -position, delimiter, rows))
-    rated.sort(key=lambda r: r[:2], reverse=True)
-    best, second = rated[0], rated[1]
-    if best[0] < LEAST_SCORE:
-        raise AmbiguousDialect("no delimiter gives regular rows")
-    if best[0] - second[0] < NEAR and best[3] != second[3] and max(map(len, best[3])) > 1:
-        raise AmbiguousDialect("two delimiters read the sample differently")
-    return best[2]
+    found = chosen(dialects(spark.createDataFrame([("sample", sample)], "name string, sample string"))).first()
+    if found is None or found["problem"]:
+        raise AmbiguousDialect(found["problem"] if found else "no rows")
+    return found["delimiter"]
 
 
 def header_names(cells: list[str | None]) -> list[str]:
@@ -72,17 +85,27 @@ def header_names(cells: list[str | None]) -> list[str]:
     return out
 
 
-def read(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8", skip_repeated_headers: bool = True) -> DataFrame:
+def breaks_lines(lines: DataFrame) -> bool:
+    """Whether a quoted cell goes over a line's end: then some line has an odd number of quotes."""
+    return bool(lines.filter(F.regexp_count("value", F.lit('"')) % 2 == 1).limit(1).count())
+
+
+def read(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8", skip_repeated_headers: bool = True, multi_line: bool | None = None) -> DataFrame:
     """Records as text columns c1..cn with their header names in the columns' metadata; blanks are null, blank rows skipped,
-    short rows padded. Rows longer than the header fail the job that reads them."""
-    sample = "\n".join(r[0] for r in spark.read.option("encoding", encoding).text(path).limit(SAMPLE_ROWS).collect()).lstrip("﻿")
-    sep = delimiter or detect_delimiter(sample)
-    header = parsed(sample, sep)[0]
+    short rows padded. Rows longer than the header fail the job that reads them.
+
+    multi_line: whether quoted cells may hold line ends, so that a file can't be split; None: found by a pass over all lines.
+    """
+    lines = spark.read.option("encoding", encoding).text(path)
+    sample = "\n".join(r[0] for r in lines.limit(SAMPLE_ROWS).collect()).lstrip("﻿")
+    sep = delimiter or detect_delimiter(spark, sample)
+    multi_line = breaks_lines(lines) if multi_line is None else multi_line
+    header = next(csv.reader(io.StringIO(sample), delimiter=sep))
     names = header_names(header)
     ids = [f"c{i}" for i in range(1, len(names) + 1)]
     schema = ", ".join(f"`{c}` string" for c in [*ids, "__more"])
     reader = spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("header", True).option("enforceSchema", True)
-    rows = reader.option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    rows = reader.option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     rows = rows.withColumn("__wide", F.when(F.col("__more").isNotNull(), F.raise_error(F.lit("a row is longer than the header"))))
     cells = [F.when(F.trim(c) == "", F.lit(None)).otherwise(F.col(c)).alias(c) for c in ids]
     filled = rows.filter(F.col("__wide").isNull()).select(*cells).filter(~_all_blank(ids))
@@ -98,12 +121,17 @@ def _all_blank(ids: list[str]) -> Column:
     return out
 
 
+def plain_cell(c: Column) -> Column:
+    """Letters and digits in lower case, all else single blanks; made without Python, as every row is asked."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+
+
 def repeated_header(ids: list[str], names: list[str]) -> Column:
     """Whether a row repeats the header: two cells or more to compare, and four fifths of them equal the names."""
     comparable, equal = F.lit(0), F.lit(0)
     for c, n in zip(ids, names, strict=True):
         comparable = comparable + F.when(F.col(c).isNotNull(), 1).otherwise(0)
-        equal = equal + F.when(normalize_name(F.col(c)) == normalize_name(F.lit(n.split(" [", 1)[0])), 1).otherwise(0)
+        equal = equal + F.when(plain_cell(F.col(c)) == plain_cell(F.lit(n.split(" [", 1)[0])), 1).otherwise(0)
     return (comparable >= 2) & (equal >= 0.8 * comparable)
 
 
