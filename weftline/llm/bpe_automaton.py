@@ -9,11 +9,18 @@ one merge gadget for each merge (u, v), in the merges' order:
 * where u equals v the arc is removed before the new arcs are added, as the leftmost pair is merged first.
 
 Arcs are rows of bits, one row for each token, one bit for each state; states are at most the tokens that stand
-inside of words, and two. A word has one path: the table gives, for each prefix, the one token with which the path ends
-there. Encoding reads the arcs' numbers along it; decoding writes the arcs' labels.
+inside of words, and two.
+
+A pre-split word is read byte by byte. A table of byte transitions (the trie of all tokens' bytes, with the transition to
+the longest suffix where a byte does not go on) gives, for each prefix of the word, the tokens that end there. Each prefix
+has one path, so exactly one of them has its arc at the state that the path up to its beginning leads to; that arc's target
+is the prefix's state. No place is read again, and nothing is tried that has to be taken back. The token at the word's end
+is one of those with the end mark. Encoding reads the arcs' numbers along the path; decoding writes the labels of ids.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; special tokens in a text are found before
-it is normalised, as the tokenizer file says; very long words take time in proportion to their length.
+it is normalised, as the tokenizer file says; very long words take time in proportion to their length; rows that repeat
+or have no doc_id are rows of their own, and there are no ties, as a text has one encoding; columns of docs with the names
+of the results are replaced, all others handed through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -113,46 +120,72 @@ class Coder:
             last = token.endswith(END)
             raw = bytes(byte_of[c] for c in (token.removesuffix(END)))
             (self.final if last else self.inner)[raw] = i
-        self.longest = max(map(len, [*self.inner, *self.final]))
-        # The longest token inside words by its first two bytes.
-        self.reach: dict[bytes, int] = {}
-        for raw in self.inner:
-            self.reach[raw[:2]] = max(len(raw), self.reach.get(raw[:2], 1))
+        self._byte_table()
+
+    def _byte_table(self) -> None:
+        """Byte transitions: child by (node << 8 | byte), the node of the longest proper suffix, and the tokens that end at each
+        node, longest first, as (length, token)."""
+        child: dict[int, int] = {}
+        own: list[dict[bool, tuple[int, int]]] = [{}]
+        parent: list[tuple[int, int]] = [(0, 0)]
+        for last, tokens in ((False, self.inner), (True, self.final)):
+            for raw, token in tokens.items():
+                node = 0
+                for byte in raw:
+                    key = node << 8 | byte
+                    node = child.get(key, 0)
+                    if not node:
+                        node = child[key] = len(own)
+                        own.append({})
+                        parent.append((key >> 8, byte))
+                own[node][last] = (len(raw), token)
+        depth = [0] * len(own)
+        for node in range(1, len(own)):
+            depth[node] = depth[parent[node][0]] + 1
+        suffix = [0] * len(own)
+        ends: list[tuple] = [()] * len(own)
+        finals: list[tuple] = [()] * len(own)
+        # Shorter nodes first, as a node's suffix is shorter than the node.
+        for node in sorted(range(1, len(own)), key=depth.__getitem__):
+            up, byte = parent[node]
+            at = suffix[up]
+            while up and at and (at << 8 | byte) not in child:
+                at = suffix[at]
+            suffix[node] = child.get(at << 8 | byte, 0) if up else 0
+            ends[node] = ((own[node][False],) if False in own[node] else ()) + ends[suffix[node]]
+            finals[node] = ((own[node][True],) if True in own[node] else ()) + finals[suffix[node]]
+        self.child, self.suffix, self.ends, self.finals = child, suffix, ends, finals
 
     def path(self, word: bytes) -> list[int]:
-        """The arcs of the word's one path through the automaton.
-
-        At most one path leads to each place in the word, so a place that has proved a dead end is not tried again.
-        """
-        inner, final, node, reach, longest = self.inner, self.final, self.automaton.node, self.reach, self.longest
-        arcs, size = self.automaton.arcs, self.automaton.size
+        """The arcs of the word's one path through the automaton."""
+        child, suffix, ends = self.child, self.suffix, self.ends
+        arcs, size, node = self.automaton.arcs, self.automaton.size, self.automaton.node
         n = len(word)
-        dead: set[int] = set()
-        out: list[int] = []
-        starts: list[int] = []
-        at = state = 0
-        shorter = longest
-        while True:
-            row, bit = (state >> 3) * size, state & 7
-            if shorter == longest and n - at <= longest:
-                t = final.get(word[at:])
-                if t is not None and arcs[row + t] >> bit & 1:
-                    out.append(t)
-                    return out
-            for step in range(min(shorter, n - at - 1, reach.get(word[at : at + 2], 1)), 0, -1):
-                t = inner.get(word[at : at + step])
-                if t is not None and arcs[row + t] >> bit & 1 and at + step not in dead:
-                    starts.append(at)
-                    out.append(t)
-                    at, state, shorter = at + step, node[t], longest
+        states, tokens, begins = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        at = place = 0
+        for byte in word:
+            place += 1
+            while True:
+                following = child.get(at << 8 | byte)
+                if following is not None:
+                    at = following
+                    break
+                if not at:
+                    break
+                at = suffix[at]
+            for length, token in ends[at] if place < n else self.finals[at]:
+                begin = place - length
+                state = states[begin]
+                if arcs[(state >> 3) * size + token] >> (state & 7) & 1:
+                    states[place], tokens[place], begins[place] = node[token], token, begin
                     break
             else:
-                dead.add(at)
-                if not starts:
-                    raise ValueError(f"no path for {word!r}")
-                back, t = starts.pop(), out.pop()
-                shorter, at = at - back - 1, back
-                state = node[out[-1]] if out else 0
+                raise ValueError(f"no path for {word!r}")
+        out = []
+        while place:
+            out.append(tokens[place])
+            place = begins[place]
+        return out[::-1]
 
     def words(self, text: str) -> list[str]:
         text = SPACES.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
@@ -162,7 +195,7 @@ class Coder:
 
     def new_word(self, word: str) -> tuple[bytes, str, int]:
         ids = self.path(word.encode())
-        return np.array(ids, "<u4").tobytes(), " ".join(map(self.labels.__getitem__, ids)), len(ids)
+        return np.array(ids, "<u4").tobytes(), self.decode(ids), len(ids)
 
     def encode(self, text: str, seen: dict[str, tuple[bytes, str, int]]) -> tuple[int, bytes, str]:
         """Number of ids, the ids as little-endian 32-bit integers, and the decoded text."""
