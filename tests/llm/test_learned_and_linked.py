@@ -65,6 +65,80 @@ def test_templates_merge_and_reject(spark):
     assert got == {"/user/*/post": {"allow"}, "/spam/{n}.html": {"block"}, "/good/{n}": {"allow"}}
 
 
+def test_alike_branches_merge_in_small_nodes(spark):
+    """Eight sections of two blocked pages each: none is telling alone, merged they are; one section that differs stays apart."""
+    rows = [(10 * k + j, f"http://h.net/s{chr(97 + k)}/{j}") for k in range(8) for j in range(3)]
+    rows += [(1000 + j, f"http://h.net/fine/{j}") for j in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.filter("page_id % 10 < 2 or page_id >= 1000").selectExpr("page_id", "page_id < 1000 as blocked")
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_templates.judge(pages, rules=(), labels=labels).collect()}
+    assert got[2] == got[72] and got[2][1] == "block" and got[2][0].startswith("/*")
+    assert got[1005] == ("/fine/{n}", "allow")
+
+
+def brute_templates(rows, labels, reject_at=0.8, smoothing=4.0):
+    """verdicts of rows (page_id, host, segments after shape()) without rules, level by level."""
+    deep = [(p, h, s[:4] + ["/".join(s[4:])] if len(s) > 4 else s) for p, h, s in rows]
+    template = {p: "" for p, _, _ in deep}
+    for level in range(5):
+        nodes = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
+        for p, h, s in deep:
+            if len(s) > level:
+                b = nodes[h, template[p]][s[level]]
+                b[0] += 1
+                b[1] += p in labels
+                b[2] += labels.get(p, False)
+        wild = {}
+        for key, branches in nodes.items():
+            known, bad = sum(b[1] for b in branches.values()), sum(b[2] for b in branches.values())
+            labelled = sum(b[1] > 0 for b in branches.values())
+            share = bad / known if known else None
+            sides = {}
+            for name, (_, k, x) in branches.items():
+                if not k:
+                    sides[name] = "?"
+                    continue
+                off = (x - share * k) / (max(share * (1 - share), 0.01) * k) ** 0.5
+                bound = (2 * np.log(2.0 * labelled)) ** 0.5
+                sides[name] = "+" if off > bound else "-" if off < -bound else ""
+            many = len(branches) > 16 and sum(b[0] for b in branches.values()) < 4.0 * len(branches)
+            for name, side in sides.items():
+                alike = side != "?" and list(sides.values()).count(side) > 1
+                if alike or (many and side in ("", "?")):
+                    wild[key, name] = "/*" + side.replace("?", "")
+        for p, h, s in deep:
+            if len(s) > level:
+                template[p] += wild.get(((h, template[p]), s[level]), "/" + s[level])
+    own, wide = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for p, h, _ in deep:
+        for t in (own[h, template[p]], wide[template[p]]):
+            t[0] += p in labels
+            t[1] += labels.get(p, False)
+    prior = sum(labels.values()) / len(labels)
+    out = {}
+    for p, h, _ in deep:
+        (k, x), (wk, wx) = own[h, template[p]], wide[template[p]]
+        out[p] = (template[p], (x + smoothing * (wx + smoothing * prior) / (wk + smoothing)) / (k + smoothing))
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(1500):
+        host = rng.choice(["a.net", "b.net", "c.net"])
+        parts = [rng.choice("uvwxyz"), rng.choice(["list", "item", f"name{rng.choice('abcdefghijklmnopqrstuvwxyz')}{rng.choice('abcdefghij')}"]), *(rng.choice("pqr") for _ in range(rng.randrange(5)))]
+        rows.append((i, host, parts[: rng.randrange(1, 8)]))
+    bad = {("u", "list"), ("v", "item"), ("w", "list")}
+    labels = {i: (rng.random() < 0.9) == (tuple(s[:2]) in bad or s[0] == "z") for i, _, s in rows if rng.random() < 0.5}
+    pages = spark.createDataFrame([(i, f"https://{h}/{'/'.join(s)}") for i, h, s in rows], "page_id long, url string")
+    known = spark.createDataFrame(list(labels.items()), "page_id long, blocked boolean")
+    want = brute_templates(rows, labels)
+    got = {r["page_id"]: (r["template"], r["purity"]) for r in url_templates.judge(pages, rules=(), labels=known).collect()}
+    assert {p: t for p, (t, _) in got.items()} == {p: t for p, (t, _) in want.items()}
+    assert all(abs(got[p][1] - want[p][1]) < 1e-9 for p in want)
+
+
 # ---- near duplicates
 
 
