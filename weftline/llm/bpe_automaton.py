@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ship, text_of
+from weftline.llm.common import fresh, ship, text_of
 
 END = "</w>"
 #: Distinct words that a worker keeps with their ids; beyond it the table of words starts anew.
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: bool = True
     with open(tokenizer, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())
     extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * ids + ", decoded_text string" * decoded
-    at = "__text"
+    (at,) = fresh(docs, "__text")
     kept = docs.columns
     rows = docs.withColumn(at, text_of(text))
 

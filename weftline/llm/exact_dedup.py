@@ -3,12 +3,14 @@
 Misra-Gries summaries of the partitions find the digests that many rows share. Their exact counts and smallest ids are
 taken by a pre-aggregated pass over these candidates alone; the verified winners, at most `counters` of them, are
 broadcast and settle the rows of the large groups where they are read. All other digests are grouped by an ordinary
-shuffle, in which no group is large.
+shuffle, in which no group is large: there are COUNTERS counters, or four for each shuffle partition if that is more, so
+that no group left holds much more than a task's fair share.
 
 Texts are equal when identical after each run of white space became one blank; null counts as empty. Of equal texts the
 row with the smallest doc_id stays. Defined cases: empty texts are equal to each other; among equal texts rows with a
 null doc_id never win against others, and in a group of nulls alone keep_id is null; of rows that repeat doc_id and text
-exactly one stays in dedup(), while groups() marks each of them.
+exactly one stays in dedup(), while groups() marks each of them. Texts of any length are read whole; further columns are
+handed through by dedup(), whatever their names, and not read by groups(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, Scratch, ship, text_of
+from weftline.llm.common import SPACE, Scratch, fresh, ship, text_of
 
 #: Counters of a Misra-Gries summary: every digest held by more than 2 / counters of the rows is among its candidates.
 COUNTERS = 1024
 
 
+def counters_for(docs: DataFrame) -> int:
+    return max(COUNTERS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def digest(text: str = "text") -> Column:
     return F.sha2(F.regexp_replace(text_of(text), f"{SPACE}+", " "), 256)
 
@@ -61,8 +67,9 @@ def summary() -> list[Column]:
     return [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
 
 
-def groups(docs: DataFrame, text: str = "text", counters: int = COUNTERS) -> DataFrame:
+def groups(docs: DataFrame, text: str = "text", counters: int | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    counters = counters or counters_for(docs)
     digests, winners = split(docs, text, counters, Scratch(docs.sparkSession))
     hot = digests.join(F.broadcast(winners), "sha")
     rest = digests.join(F.broadcast(winners.select("sha")), "sha", "left_anti")
@@ -71,12 +78,12 @@ def groups(docs: DataFrame, text: str = "text", counters: int = COUNTERS) -> Dat
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def dedup(docs: DataFrame, text: str = "text", counters: int = COUNTERS) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", counters: int | None = None) -> DataFrame:
     """The rows of docs that stay, with docs' own columns; copies in large groups are dropped where they are read."""
     columns = docs.columns
     scratch = Scratch(docs.sparkSession)
-    digests, winners = split(docs, text, counters, scratch)
-    sha, key, times = "__sha", "__key", "__times"
+    digests, winners = split(docs, text, counters or counters_for(docs), scratch)
+    sha, key, times = fresh(docs, "__sha", "__key", "__times")
     hot = F.broadcast(winners.select(F.col("sha").alias(sha), F.col("keep_id").alias(key)))
     first = digests.join(F.broadcast(winners.select("sha", "keep_id")), "sha", "left").filter("keep_id is null or doc_id <=> keep_id")
     counted = first.groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("times"))

@@ -9,8 +9,10 @@ turn and a shift, and a pair is linked when VOTES of them agree, which holds for
 contrast, and for noise, recompression and rescaling that leave VOTES corners within RADIUS.
 
 Images are given as bytes (PNG with 8 bits a channel and no interlace, PGM, PPM). Defined cases: null, empty or unreadable
-bytes have no class and no links; images without corners link with nothing but their own class; rows with null or repeated
-ids are rows of their own, and name a class by its smallest id.
+bytes have no class and no links, like a PNG whose data are longer than its size says; images without corners link with
+nothing but their own class; large images are described in parts, as a whole; corners of equal response are taken from top
+to bottom and left to right; rows with null or repeated ids are rows of their own, and name a class by its smallest id; only
+id and image are read, so further columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,7 +92,12 @@ def _read_png(raw: bytes) -> np.ndarray:
     channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
     if depth != 8 or interlace:
         raise ValueError("a PNG of another kind")
-    rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, 1 + w * channels)
+    # No more than the size that the head gives is unpacked.
+    size = h * (1 + w * channels)
+    plain = zlib.decompressobj().decompress(b"".join(data), size + 1)
+    if len(plain) != size:
+        raise ValueError("data of another length")
+    rows = np.frombuffer(plain, np.uint8).reshape(h, 1 + w * channels)
     out = np.zeros((h, w * channels), np.int32)
     for y in range(h):
         kind, line = rows[y, 0], rows[y, 1:].astype(np.int32)
@@ -385,7 +392,8 @@ def verified(pairs: DataFrame, classes: DataFrame, votes: int) -> DataFrame:
 
 
 def render(vectors: DataFrame, side: int = 64) -> DataFrame:
-    """vectors (id, embedding) drawn as grey images: a square grid of the values from dark to bright, enlarged."""
+    """vectors (id, embedding) drawn as grey images: the smallest square grid that holds all values, from dark to bright,
+    enlarged; places without a value are as dark as the smallest one."""
     ship(vectors.sparkSession)
 
     def work(batches):
@@ -394,12 +402,13 @@ def render(vectors: DataFrame, side: int = 64) -> DataFrame:
         for batch in batches:
             images = []
             for v in batch.column(1).to_pylist():
-                n = math.isqrt(len(v)) if v else 0
-                values = np.nan_to_num(np.array(v[: n * n], float)) if n else None
-                if values is None:
+                if not v:
                     images.append(None)
                     continue
+                n = math.isqrt(len(v) - 1) + 1
+                values = np.nan_to_num(np.array(v, float))
                 low, high = values.min(), values.max()
+                values = np.concatenate((values, np.full(n * n - len(v), low)))
                 images.append(m.write_pgm(m.resize(255 * (values.reshape(n, n) - low) / max(high - low, 1e-12), side, side)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], ["id", "image"])
 

@@ -11,7 +11,10 @@ among them (documents whose smallest hash over pairs of words is the same) one c
 words telling. A term's weight is its smoothed log odds. The curve is fitted on the same rows.
 
 Defined cases: null and empty texts score like texts without any lexicon entry; without labels the fixed list is used with
-its default weights; rows with null or repeated doc_ids are scored like others and a repeated label counts once (the larger one).
+its default weights; rows with null or repeated doc_ids are scored like others and a repeated label counts once (the larger
+one); of terms that begin at one place the longest counts, and of labelled rows that tie in the hash of their id the smaller
+id is learned from; texts of any length are matched whole; a column named score is replaced, all others are handed through,
+whatever their names; an empty table gives an empty result, and without documents to learn from the fixed list stands.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, ship, text_of
+from weftline.llm.common import Scratch, fresh, ship, text_of
 
 #: The starting lexicon, exception phrases in which its words are harmless, and characters that stand for others.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -40,12 +43,11 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
 
 #: Bound on labelled rows to learn from; least toxic documents, log odds and evidence (likelihood ratio against chance) of
-#: a learned term; most learned terms; beginnings' lengths.
+#: a learned term; beginnings' lengths.
 MOST_ROWS = 60_000
 LEAST_DOCS = 4
 LEAST_ODDS = 2.5
 LEAST_EVIDENCE = 16.0
-MOST_TERMS = 4_000
 BEGINNINGS = (3, 4, 5, 6, 7)
 DEFAULT_WEIGHT = 4.0
 
@@ -182,7 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Lex
     both = F.col("bad") + F.col("good")
     evidence = 2 * (F.col("bad") * F.log(F.col("bad") / (both * prior)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * (1 - prior)))).otherwise(0.0))
     chosen = counts.filter(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).filter((F.col("odds") > LEAST_ODDS) & (evidence > LEAST_EVIDENCE))
-    chosen = chosen.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), F.length("term"), "term").limit(MOST_TERMS).collect()
+    # All terms that pass: they come from at most most_rows rows, so their number does not grow with the corpus.
+    chosen = chosen.select("term", "odds").collect()
     weights: dict[str, float] = {}
     for r in sorted(chosen, key=lambda r: (len(r["term"]), r["term"])):
         weights[r["term"]] = float(r["odds"])
@@ -223,7 +226,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     ship(spark)
     given = spark.sparkContext.broadcast(lexicon)
     columns = [c for c in docs.columns if c != "score"]
-    at = "__text"
+    (at,) = fresh(docs, "__text")
     rows = docs.select(*columns, text_of(text).alias(at))
 
     def work(batches):
