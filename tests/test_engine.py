@@ -194,3 +194,13 @@ def test_planning_repair_and_recipes(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "recipes"))
     assert planning.rebind(stored, ORDERS_SOURCE, ORDERS_TARGET).rules == first.rules
     assert planning.rebind(stored, moved, ORDERS_TARGET) is None
+
+
+def test_percentiles_in_two_levels(spark):
+    from weftline.operators import metrics
+
+    df = spark.range(3000).selectExpr("case when id % 3 = 2 then null else id % 3 end as k", "cast(case when id % 4 = 0 then 5 else id * 37 % 1009 end as double) as v", "cast(id as double) as w")
+    df = df.unionByName(spark.createDataFrame([(0, None, 1.0), (7, 3.0, 2.0), (8, None, None)], "k long, v double, w double"))
+    points = {"a": ("v", 0.5), "b": ("v", 0.95), "c": ("v", 0.0), "d": ("v", 1.0), "e": ("w", 0.333)}
+    rows = lambda held: {r["k"]: tuple(None if x is None else round(x, 9) for x in (r[n] for n in points)) for r in metrics.percentiles(df, ["k"], points, held).collect()}
+    assert rows(0) == rows(10_000) and len(rows(0)) == 5

@@ -19,28 +19,84 @@ def event_summary(events: DataFrame, keys: list[str], order: str, event_id: str,
     )
 
 
+#: Rows up to which a group's values may be held in one task for exact percentiles; more are ranked in two levels.
+HELD_ROWS = 2_000_000
+#: Ranges of values into which a group is dealt.
+RANGES = 256
+
+
+def percentiles(df: DataFrame, keys: list[str], points: dict[str, tuple[str, float]], held_rows: int | None = None) -> DataFrame:
+    """keys and a column for each of points (name: value column and share): exact, by linear interpolation; nulls and NaN don't count.
+
+    Large tables are never gathered by group. For each value column the rows are counted by distinct value, the values are
+    dealt into ranges of about equal content (by an approximate sketch of bounded size), ranks go on from range to range
+    by running sums over the few ranges, and only the ranges that hold a wanted rank are sorted.
+    """
+    if df.limit((HELD_ROWS if held_rows is None else held_rows) + 1).count() <= (HELD_ROWS if held_rows is None else held_rows):
+        return df.groupBy(*keys).agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), p).alias(name) for name, (c, p) in points.items()])
+    out = df.select(*keys).distinct()
+    for value in dict.fromkeys(c for c, _ in points.values()):
+        shares = {name: p for name, (c, p) in points.items() if c == value}
+        out = _joined(out, _ranked(df, keys, value, shares), keys)
+    return out
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with right's columns, on keys that may be null."""
+    side = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(side[f"__{k}"])
+    return left.join(side, same, "left").drop(*[f"__{k}" for k in keys])
+
+
+def _ranked(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    counts = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx("v", steps, 10 * RANGES).alias("bounds"), F.count(F.lit(1)).alias("all"))
+    dealt = _joined(counts, bounds, keys).withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    ranges = dealt.groupBy(*keys, "range").agg(F.sum("n").alias("n"), F.first("all").alias("all"))
+    before = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    wanted = F.array(*[f(F.lit(p) * (F.col("all") - 1)) for p in shares.values() for f in (F.floor, F.ceil)])
+    ranges = ranges.filter(F.exists(wanted, lambda r: (r >= F.col("from")) & (r < F.col("from") + F.col("n")))).select(*keys, "range", "from")
+    inside = W.partitionBy(*keys, "range").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    side = ranges.withColumnRenamed("range", "__r")
+    held = _joined(dealt, side.withColumnRenamed("__r", "range"), [*keys, "range"]).filter("`from` is not null")
+    held = held.withColumn("first", F.col("from") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    at = lambda rank: F.max(F.when((rank >= F.col("first")) & (rank < F.col("first") + F.col("n")), F.col("v")))
+    columns = []
+    for i, (name, p) in enumerate(shares.items()):
+        rank = F.lit(p) * (F.col("all") - 1)
+        columns += [at(F.floor(rank)).alias(f"__low{i}"), at(F.ceil(rank)).alias(f"__high{i}")]
+    found = held.groupBy(*keys).agg(*columns, F.first("all").alias("__all"))
+    part = lambda p: F.lit(p) * (F.col("__all") - 1) - F.floor(F.lit(p) * (F.col("__all") - 1))
+    return found.select(*keys, *[(F.col(f"__low{i}") * (1 - part(p)) + F.col(f"__high{i}") * part(p)).alias(name) for i, (name, p) in enumerate(shares.items())])
+
+
 def latency(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, total, throughput of the value, and percentiles by linear interpolation."""
-    return df.groupBy(*keys).agg(
+    sums = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("calls"),
         F.round(F.sum(value), 4).alias("total"),
-        F.round(F.percentile(value, 0.5), 6).alias("p50"),
-        F.round(F.percentile(value, 0.95), 6).alias("p95"),
         F.round(F.try_divide(F.count(F.lit(1)), F.sum(value)), 6).alias("rate"),
     )
+    ranks = percentiles(df, keys, {"p50": (value, 0.5), "p95": (value, 0.95)})
+    return _joined(sums, ranks, keys).withColumn("p50", F.round("p50", 6)).withColumn("p95", F.round("p95", 6))
 
 
 def batch_profile(runs: DataFrame) -> DataFrame:
     """runs (batch_size, throughput, wall, rss, success) by batch size: medians and ranges."""
-    return runs.groupBy("batch_size").agg(
-        F.round(F.median("throughput"), 6).alias("median_throughput"),
+    sums = runs.groupBy("batch_size").agg(
         F.round(F.min("throughput"), 6).alias("min_throughput"),
         F.round(F.max("throughput"), 6).alias("max_throughput"),
-        F.round(F.median("wall"), 6).alias("median_wall"),
         F.max("rss").alias("max_rss"),
         F.count_if("success").alias("successes"),
         F.count(F.lit(1)).alias("runs"),
     )
+    ranks = percentiles(runs, ["batch_size"], {"median_throughput": ("throughput", 0.5), "median_wall": ("wall", 0.5)})
+    return _joined(sums, ranks, ["batch_size"]).withColumn("median_throughput", F.round("median_throughput", 6)).withColumn("median_wall", F.round("median_wall", 6))
 
 
 def recommend_batch(profile: DataFrame, budget: float, tolerance: float = 0.02) -> DataFrame:

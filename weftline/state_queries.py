@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import lifecycle
+from weftline.operators import contracts, lifecycle
 from weftline.queries import query
 from weftline.session import table
 
@@ -163,3 +163,65 @@ def batch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select ['extra'] as missing, ['o_orderdate', 'o_orderpriority', 'o_orderstatus', 'o_totalprice'] as unexpected""")
 def mapped_field_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.field_set_exact(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "extra"])
+
+
+_OPERATIONAL = """select event_id, case event_id % 7 when 0 then 'workflow_started' when 1 then 'workflow_completed' when 2 then 'batch_completed' when 3 then 'stage_summary' when 4 then 'delivery' when 5 then 'delivery_batch' else 'other' end as event_type,
+  case when event_id % 7 = 3 then 'relay_lease' when event_id % 7 in (4, 5) then 'destination_runtime' else 'workflow_benchmark' end as component,
+  case user_id % 6 when 0 then 'started' when 1 then 'passed' when 2 then 'failed' when 3 then 'delivered' when 4 then 'quarantined' else 'duplicate' end as status,
+  case when user_id % 5 = 0 then 'sealed_spool_cleanup_failed' when user_id % 5 = 1 then 'write_not_committed' end as reason_code,
+  case when event_id % 10 < 7 then 1 when event_id % 10 = 7 then 0 when event_id % 10 = 8 then 4 end as item_count, case when event_id % 3 > 0 then value end as duration_ms from events"""
+
+
+@query(f"""select event_id, coalesce(case event_type
+  when 'workflow_started' then status = 'started' and reason_code is null and item_count is not null
+  when 'workflow_completed' then status in ('passed', 'failed') and (status = 'passed') = (reason_code is null) and item_count is not null
+  when 'batch_completed' then status = 'passed' and reason_code is null and item_count > 0
+  when 'stage_summary' then status in ('passed', 'failed') and (status = 'passed') = (reason_code is null) and item_count is not null and duration_ms is not null
+  when 'delivery' then ((status in ('delivered', 'duplicate') and coalesce(reason_code, 'sealed_spool_cleanup_failed') = 'sealed_spool_cleanup_failed') or (status = 'quarantined' and reason_code is not null)) and item_count = 1
+  when 'delivery_batch' then ((status = 'delivered' and coalesce(reason_code, 'sealed_spool_cleanup_failed') = 'sealed_spool_cleanup_failed') or (status = 'quarantined' and reason_code is not null)) and item_count > 0
+  else false end, false) as valid from ({_OPERATIONAL}) e""")
+def operational_event_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.events_judged(_sql(spark, sf_dir, _OPERATIONAL)).select("event_id", "valid")
+
+
+_DECISIONS = """select p_partkey, concat('s', cast(p_partkey % 30 as varchar(9))) as source_id, case when p_partkey % 4 = 0 then null else concat('t', cast(p_partkey % 25 as varchar(9))) end as target_id,
+  case p_partkey % 5 when 0 then 'auto' when 1 then 'review' when 2 then 'blocked' when 3 then 'maybe' end as status, p_size / 45.0 as score, (p_size - 3) / 50.0 as margin from part"""
+
+
+@query(f"""select p_partkey, concat_ws(',', case when cast(source_id[2:] as int) >= 20 then 'decision_for_unknown_source' end, case when status is null or status = 'maybe' then 'invalid_mapping_status' end,
+  case when score not between 0 and 1 then 'invalid_score' end, case when margin not between 0 and 1 then 'invalid_margin' end, case when status = 'blocked' and target_id is not null then 'blocked_decision_has_target' end,
+  case when status in ('auto', 'review') and target_id is null then 'actionable_decision_missing_target' end, case when status in ('auto', 'review') and cast(target_id[2:] as int) >= 20 then 'decision_for_unknown_target' end) as reasons from ({_DECISIONS}) d""")
+def decision_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = lambda side: spark.range(20).select(F.concat(F.lit(side), F.col("id").cast("string")).alias("id"))
+    found = contracts.decision_reasons(_sql(spark, sf_dir, _DECISIONS, "part"), ids("s"), ids("t"))
+    return found.select("p_partkey", F.array_join("reasons", ",").alias("reasons"))
+
+
+_FINDINGS = """select o_custkey as run, o_orderkey as place, case o_orderkey % 4 when 0 then 'foreign_key_lookup_failed' when 1 then 'required_target_null' when 2 then 'type_mismatch' else 'unmapped' end as code,
+  case when o_custkey % 3 = 0 then 'review' when o_orderkey % 2 = 0 then 'blocking' else 'safe' end as severity, o_orderkey % 5 = 0 as of_plan from orders"""
+_RECIPE_RUNS = """select o_custkey as run, o_custkey % 7 = 0 as promotable, o_custkey % 3 = 0 or o_custkey % 7 = 0 as valid from orders group by o_custkey"""
+
+
+@query(f"""with f as (select run, arg_min(code, place) filter (where severity = 'blocking' and of_plan) as bp, arg_min(code, place) filter (where severity = 'blocking' and not of_plan) as br,
+  arg_min(code, place) filter (where severity = 'review' and of_plan) as rp, arg_min(code, place) filter (where severity = 'review' and not of_plan) as rr from ({_FINDINGS}) x group by 1)
+select r.run, case when promotable then 'success' when not valid then case when bp is null and br = 'foreign_key_lookup_failed' then 'quarantined' else 'rejected' end else 'quarantined' end as outcome,
+  case when promotable then 'preflight_promotable' when not valid then coalesce(bp, br, 'preflight_not_promotable') else coalesce(rp, rr, 'preflight_not_promotable') end as reason from ({_RECIPE_RUNS}) r left join f on f.run = r.run""")
+def recipe_run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contracts.run_outcomes(_sql(spark, sf_dir, _FINDINGS, "orders"), _sql(spark, sf_dir, _RECIPE_RUNS, "orders"), "run")
+    return found.select("run", "outcome", "reason")
+
+
+_CANDIDATES = """select cast(p_size as varchar(9)) as pair, concat('s', cast(p_partkey % 10 as varchar(9))) as source_id, cast(p_partkey as varchar(20)) as target_id, p_partkey as t_position,
+  (p_partkey * 37 % 100) / 100.0 as det, (p_partkey * 53 % 100) / 100.0 as score, p_partkey % 2 = 0 as safe from part"""
+
+
+@query(f"""with c as (select *, row_number() over s as sp, row_number() over d as dp, count(*) over (partition by pair, source_id) as n from ({_CANDIDATES}) x
+  window s as (partition by pair, source_id order by score desc, t_position), d as (partition by pair, source_id order by det desc, score desc, t_position)
+), g as (select pair, source_id, max(n) as n, max(case when dp = 1 then det end) as d1, max(case when dp = 2 then det end) as d2, bool_or(dp = 1 and safe) as s1, max(case when sp = 1 then score end) as x1, max(case when sp = 2 then score end) as x2 from c group by 1, 2
+), u as (select c.*, g.n >= 2 and not (d1 >= 0.9 and d1 - d2 >= 0.08 and s1) and x1 >= 0.5 and x1 - x2 <= 0.16 and sp <= 4 as used from c join g using (pair, source_id))
+select target_id, used as reranked, round(case when used then 0.82 * score::double + 0.18 * ((t_position * 71 % 100) / 100.0)::double else score::double end, 9) as score from u""")
+def candidate_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = _sql(spark, sf_dir, _CANDIDATES, "part").withColumn("det", F.col("det").cast("decimal(9,4)")).withColumn("score", F.col("score").cast("decimal(9,4)"))
+    scores = candidates.select("pair", "source_id", "target_id", (F.col("t_position") * 71 % 100 / 100).alias("rerank"))
+    found = contracts.reranked(candidates, scores)
+    return found.select("target_id", "reranked", F.round(F.col("score").cast("double"), 9).alias("score"))
