@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def chosen(profiles: DataFrame) -> DataFrame:
 
 def detect_delimiter(spark: SparkSession, sample: str) -> str:
     """The best delimiter of a sample; refused when none is regular enough or two read it differently and score alike."""
-    found = chosen(dialects(spark.createDataFrame([("sample", sample)], "name string, sample string"))).first()
+    found = chosen(dialects(spark.createDataFrame([("sample", sample)], "name string, sample string").coalesce(1))).first()
     if found is None or found["problem"]:
         raise AmbiguousDialect(found["problem"] if found else "no rows")
     return found["delimiter"]
@@ -130,8 +131,11 @@ def repeated_header(ids: list[str], names: list[str]) -> Column:
     """Whether a row repeats the header: two cells or more to compare, and four fifths of them equal the names."""
     comparable, equal = F.lit(0), F.lit(0)
     for c, n in zip(ids, names, strict=True):
+        name = n.split(" [", 1)[0]
+        # Cells without the name's first word are no match, which is cheaper to see than to normalise each cell.
+        word = next(iter(re.findall(r"[^\W_]+", name.lower())), "")
         comparable = comparable + F.when(F.col(c).isNotNull(), 1).otherwise(0)
-        equal = equal + F.when(plain_cell(F.col(c)) == plain_cell(F.lit(n.split(" [", 1)[0])), 1).otherwise(0)
+        equal = equal + F.when(F.lower(c).contains(word) & (plain_cell(F.col(c)) == plain_cell(F.lit(name))), 1).otherwise(0)
     return (comparable >= 2) & (equal >= 0.8 * comparable)
 
 
