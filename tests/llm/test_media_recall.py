@@ -51,6 +51,17 @@ def test_rescaled_copies():
             assert media.agree(packed(media.write_pgm(image)), packed(media.write_pgm(media.resize(image, side, side)))) >= media.VOTES
 
 
+@pytest.mark.parametrize("side", [64, 96])
+def test_enlarged_copies(side):
+    rng = np.random.default_rng(3)
+    found = 0
+    for _ in range(20):
+        image = picture(rng, side)
+        larger = media.resize(image, round(side * 1.2), round(side * 1.2))
+        found += media.agree(packed(media.write_pgm(image)), packed(media.write_pgm(larger))) >= media.VOTES
+    assert found >= 18
+
+
 def brute_links(raws):
     """Links of each image, from agree() over all pairs of classes, in the order of their pixels."""
     images = [media.read_image(r) for r in raws]

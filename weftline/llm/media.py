@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, ship
+from weftline.llm.common import Scratch, ship, small
 
-SCALES = (1.0, 0.71, 0.5)
+SCALES = (1.0, 0.84, 0.71, 0.59, 0.5)
 #: Corners kept in each square of TILE x TILE pixels of each scale, the strongest; part of the descriptor's definition.
 CORNERS = 24
 TILE = 64
-PATCH = 8
+PATCH = 9
+#: Spread of the tests in the patch (standard deviation): wide, so that smooth patches differ in more bits.
+SPREAD = PATCH / 1.8
 BITS = 256
 #: Bits by which descriptors of one corner may differ; sized for edits (noise, recompression, rescaling).
 RADIUS = 7
@@ -42,6 +44,8 @@ TABLES = 8
 PART = BITS // 8 // TABLES
 #: Cells of a table with more descriptors than this are compared in pairs of blocks.
 BLOCK = 2048
+#: Tables whose cells are compared in one job; the others wait, so that few are on the disk at a time.
+AT_ONCE = 2
 VOTES = 4
 #: Steps of the votes: scale (log 2), turn (radians) and shift (share of the larger side).
 STEP_SCALE, STEP_TURN, STEP_SHIFT = 0.5, math.pi / 6, 0.125
@@ -52,7 +56,7 @@ PLACE = struct.Struct("<ffff")
 def _pattern() -> np.ndarray:
     """Places of the tests: 256 pairs of points in the patch, from a fixed sequence."""
     rng = np.random.default_rng(20)
-    points = np.clip(rng.normal(0, PATCH / 2.5, (BITS, 2, 2)), -PATCH + 1, PATCH - 1)
+    points = np.clip(rng.normal(0, SPREAD, (BITS, 2, 2)), -PATCH + 1, PATCH - 1)
     return points
 
 
@@ -284,48 +288,53 @@ def meetings(classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
     size, lead = RECORD.size, PLACE.size
     corners = classes.filter("length(feats) > 0").select("number", "feats", F.explode(F.expr(f"sequence(0, cast(length(feats) div {size} as int) - 1)")).alias("corner"))
     corners = corners.select("number", "corner", F.expr(f"substring(feats, corner * {size} + {lead + 1}, {size - lead})").alias("bits"))
+
+    def cells(tables: range) -> DataFrame:
+        keyed = corners.withColumn("t", F.explode(F.array(*[F.lit(t) for t in tables])))
+        return keyed.withColumn("cell", F.expr(f"substring(bits, t * {PART} + 1, {PART})"))
+
+    large = cells(range(TABLES)).groupBy("t", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    large = small(scratch.table(large))
     found = None
-    for t in range(TABLES):
-        # One table after the other, so that only one is on the disk at a time.
-        cells = corners.withColumn("cell", F.expr(f"substring(bits, {t * PART + 1}, {PART})"))
-        # Cells above BLOCK are few: at most a share of 1 / BLOCK of the descriptors.
-        large = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-        dealt = cells.join(F.broadcast(large), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    for first in range(0, TABLES, AT_ONCE):
+        dealt = cells(range(first, min(first + AT_ONCE, TABLES))).join(large, ["t", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = dealt.withColumn("mine", F.expr("cast(pmod(xxhash64(number, corner), blocks) as int)"))
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        dealt = dealt.select("cell", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "number", "corner", "bits")
-        dealt = dealt.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
-        matches = scratch.table(dealt.select("low", "high", "mine", "number", "corner", "bits").mapInArrow(_matcher(t), "a long, b long, corners long"))
+        dealt = dealt.select("t", "cell", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "number", "corner", "bits")
+        dealt = dealt.repartition("t", "cell", "low", "high").sortWithinPartitions("t", "cell", "low", "high")
+        matches = scratch.table(dealt.select("t", "low", "high", "mine", "number", "corner", "bits").mapInArrow(_match, "a long, b long, corners long"))
         found = matches if found is None else found.unionByName(matches)
-        # Lets Spark's cleaner remove the table's shuffle files.
+        # Lets Spark's cleaner remove the tables' shuffle files.
         classes.sparkSession._jvm.System.gc()
     pairs = found.repartition("a", "b").groupBy("a", "b").agg(F.collect_list("corners").alias("matches"))
     return pairs.filter(F.size("matches") >= votes)
 
 
-def _matcher(t: int):
-    def work(batches):
-        from weftline.llm import media as m
+def _match(batches):
+    """Matches of rows (t, low, high, mine, number, corner, bits) that are sorted by table, cell and pair of blocks."""
+    from weftline.llm import media as m
 
-        rest = None
-        for batch in batches:
-            low, high, mine, number, corner = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, m.BITS // 64)
-            rows = [low, high, mine, number, corner, bits]
-            rows = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-            if not len(rows[0]):
-                continue
-            cell = rows[5].view(np.uint32)[:, t]
-            new = np.flatnonzero((cell[1:] != cell[:-1]) | (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
-            # The last group may go on in the next batch.
-            end = new[-1] if len(new) else 0
-            rest = [x[end:] for x in rows]
-            if end:
-                yield m.matched([x[:end] for x in rows], np.concatenate(([0], new)), t)
-        if rest is not None and len(rest[0]):
-            yield m.matched(rest, np.array([0, len(rest[0])]), t)
-
-    return work
+    rest = None
+    for batch in batches:
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+        rows.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, m.BITS // 64))
+        rows = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        t, low, high = rows[:3]
+        cell = rows[6].view(np.uint32)[np.arange(len(t)), t]
+        new = np.flatnonzero((t[1:] != t[:-1]) | (cell[1:] != cell[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        # The last group may go on in the next batch.
+        end = new[-1] if len(new) else 0
+        rest = [x[end:] for x in rows]
+        if end:
+            ends = np.concatenate(([0], new))
+            for k in np.unique(t[:end]):
+                # Groups of one table stand together.
+                a, b = np.searchsorted(t[:end], [k, k + 1])
+                yield m.matched([x[a:b] for x in rows[1:]], ends[(ends >= a) & (ends <= b)] - a, int(k))
+    if rest is not None and len(rest[0]):
+        yield m.matched(rest[1:], np.array([0, len(rest[0])]), int(rest[0][0]))
 
 
 def matched(rows: list[np.ndarray], ends: np.ndarray, t: int) -> pa.RecordBatch:
