@@ -142,8 +142,12 @@ def resize(image: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def _box(image: np.ndarray, r: int) -> np.ndarray:
-    sums = np.pad(np.pad(image, r, mode="edge").cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    h, w = image.shape
     n = 2 * r + 1
+    # The image with its edges repeated, by indices: np.pad takes longer than the sums do on small images.
+    wide = image[np.arange(-r, h + r).clip(0, h - 1)][:, np.arange(-r, w + r).clip(0, w - 1)]
+    sums = np.zeros((h + n, w + n))
+    np.cumsum(wide.cumsum(0), 1, out=sums[1:, 1:])
     return (sums[n:, n:] - sums[:-n, n:] - sums[n:, :-n] + sums[:-n, :-n]) / (n * n)
 
 
