@@ -196,9 +196,10 @@ def glossary_matches(source: DataFrame, target: DataFrame, concepts: DataFrame)
 
 
 def drift(old: DataFrame, new: DataFrame) -> DataFrame:
-    """id, change (kept, retyped, renamed_away, added) between two versions of a field table (id, data_type)."""
-    joined = old.select("id", F.col("data_type").alias("was")).join(new.select("id", F.col("data_type").alias("now")), "id", "full")
-    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "retyped").otherwise("kept")
+    """id, change (kept, retyped, removed, added) between two versions of a field table (id, data_type); a null type is a type."""
+    sides = (df.select("id", F.col("data_type").alias(out), F.lit(True).alias(f"has_{out}")) for df, out in ((old, "was"), (new, "now")))
+    joined = next(sides).join(next(sides), "id", "full")
+    change = F.when(F.col("has_was").isNull(), "added").when(F.col("has_now").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "retyped").otherwise("kept")
     return joined.select("id", change.alias("change"))
 
 

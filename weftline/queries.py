@@ -337,17 +337,27 @@ def mapping_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mapping_benchmark(matching.decide(matching.candidates(source, target)), spark.createDataFrame(labels, "source_id string, expected string"))
 
 
-@query("""select * from (values ('c1', 'customer_number'), ('c3', 'ordered_on')) v(source_id, target_id)""")
+@query("""with s as (select p_size as pair, 's' || p_partkey as source_id, p_name as t from part where p_partkey % 2 = 0), g as (select p_size as pair, 't' || p_partkey as target_id, p_name as t from part where p_partkey % 2 = 1),
+m as (select distinct pair, source_id, target_id from s join g using (pair) where (s.t = g.t or split_part(s.t, ' ', 2) = 'ring' and split_part(g.t, ' ', 2) = 'ring') and s.t <> 'red widget' and g.t <> 'red widget')
+select pair, source_id, min(target_id) as target_id from m group by 1, 2 having count(*) = 1""")
 def glossary_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = [("Customer Number", "party"), ("customer_number", "party"), ("Order Date", "ordered"), ("date of order", "ordered"), ("remark", "text"), ("api token", "text")]
-    source, target = _fields(spark)
-    return matching.glossary_matches(source, target, spark.createDataFrame(terms, "term string, concept string")).select("source_id", "target_id")
+    """Every name but one is a term of a concept of its own; rings have a common one as well. Names are written in two ways."""
+    part = table(spark, sf_dir, "part")
+    source = part.filter("p_partkey % 2 = 0").selectExpr("p_size as pair", "concat('s', p_partkey) as id", "upper(p_name) as name")
+    target = part.filter("p_partkey % 2 = 1").selectExpr("p_size as pair", "concat('t', p_partkey) as id", "replace(p_name, ' ', '_') as name")
+    names = part.select("p_name").distinct().filter("p_name <> 'red widget'")
+    terms = names.selectExpr("initcap(p_name) as term", "concat('own ', p_name) as concept").unionByName(names.filter("p_name like '% ring'").selectExpr("p_name as term", "'rings' as concept"))
+    return matching.glossary_matches(source, target, terms).select("pair", "source_id", "target_id")
+
+
+_OLD = "select cast(p_partkey as varchar(20)) as id, case when p_partkey % 11 = 0 then null else p_type end as data_type from part where p_partkey % 3 <> 0"
+_NEW = "select cast(p_partkey as varchar(20)) as id, case when p_partkey % 22 = 0 then null when p_partkey % 7 = 0 then 'OTHER' else p_type end as data_type from part where p_partkey % 5 <> 0"
 
 
-@query("""select * from (values ('a', 'kept'), ('b', 'retyped'), ('c', 'removed'), ('d', 'added')) v(id, change)""")
+@query(f"""select coalesce(o.id, n.id) as id, case when o.id is null then 'added' when n.id is null then 'removed' when o.data_type is distinct from n.data_type then 'retyped' else 'kept' end as change
+from ({_OLD}) o full join ({_NEW}) n on o.id = n.id""")
 def schema_drift_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = spark.createDataFrame([("a", "string"), ("b", "integer"), ("c", "date")], "id string, data_type string")
-    new = spark.createDataFrame([("a", "string"), ("b", "decimal"), ("d", "date")], "id string, data_type string")
+    old, new = (spark.sql(text.replace("from part", "from {src}"), src=table(spark, sf_dir, "part")) for text in (_OLD, _NEW))
     return matching.drift(old, new)
 
 
@@ -447,11 +457,12 @@ def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.review_summary(rows, ["o_orderpriority"])
 
 
+_PRECEDENCE = ("block", "signed_strip", "signature_impact", "unknown_signature", "impact_review", "review", "sanitize")
 _ACTION = "case o_orderkey % 40 when 1 then 'block' when 2 then 'signed_strip' when 3 then 'signature_impact' when 4 then 'unknown_signature' when 5 then 'impact_review' when 6 then 'review' when 7 then 'sanitize' else 'pass' end"
 
 
-@query(f"""with c as (select o_custkey, {", ".join(f"count(*) filter (where action = '{a}') as n_{a}" for a in metrics.POLICY)} from (select o_custkey, {_ACTION} as action from orders) q group by 1)
-select *, case {" ".join(f"when n_{a} > 0 then '{a}'" for a in metrics.POLICY)} else 'pass' end as status from c""")
+@query(f"""with c as (select o_custkey, {", ".join(f"count(*) filter (where action = '{a}') as n_{a}" for a in _PRECEDENCE)} from (select o_custkey, {_ACTION} as action from orders) q group by 1)
+select *, case {" ".join(f"when n_{a} > 0 then '{a}'" for a in _PRECEDENCE)} else 'pass' end as status from c""")
 def metadata_policy_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.policy_status(table(spark, sf_dir, "orders").select("o_custkey", F.expr(_ACTION).alias("action")), "o_custkey")
 
@@ -493,7 +504,15 @@ def ledger_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("identities"))
 
 
-_TRANSITION_ROWS = ", ".join(f"({'null' if a is None else repr(a)}, '{b}', '{c}', {str(d).lower()})" for a, b, c, d in state.TRANSITIONS)
+#: The transitions that the contract names, written out beside the operator's own table.
+_TRANSITION_ROWS = """(null, 'claim', 'claimed', false), ('claimed', 'start_write', 'write_started', true), ('claimed', 'start_write_many', 'batch_write_started', true),
+  ('replay_claimed', 'start_replay_write', 'replay_write_started', true), ('write_started', 'commit', 'committed', false), ('batch_write_started', 'commit', 'committed', false),
+  ('replay_write_started', 'commit', 'committed', false), ('write_started', 'uncertain', 'uncertain', false), ('batch_write_started', 'uncertain', 'batch_uncertain', false),
+  ('replay_write_started', 'uncertain', 'replay_uncertain', false), ('claimed', 'quarantine', 'quarantined', true), ('write_started', 'quarantine', 'quarantined', false),
+  ('batch_write_started', 'quarantine', 'quarantined', false), ('replay_claimed', 'quarantine', 'replay_quarantined', true), ('replay_write_started', 'quarantine', 'replay_quarantined', false),
+  ('quarantined', 'rearm', 'claimed', false), ('write_started', 'rearm', 'replay_claimed', false), ('batch_write_started', 'rearm', 'replay_claimed', false),
+  ('replay_write_started', 'rearm', 'replay_claimed', false), ('uncertain', 'rearm', 'replay_claimed', false), ('batch_uncertain', 'rearm', 'replay_claimed', false),
+  ('replay_uncertain', 'rearm', 'replay_claimed', false), ('replay_quarantined', 'rearm', 'replay_claimed', false)"""
 _STATES = sorted({t[2] for t in state.TRANSITIONS})
 _EVENTS = sorted({t[1] for t in state.TRANSITIONS})
 
@@ -534,11 +553,17 @@ def idempotency_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(identity, 256).alias("idempotency_key"))
 
 
-@query("""select user_id, count(*) as events, true as intact from events group by 1""")
+@query("""with recursive o as (select user_id, event_id, coalesce(props, '') as p, row_number() over (partition by user_id order by event_id) as n, event_id % 101 <> 5 as kept from events),
+c as (select user_id, n, sha256(repeat('0', 64) || chr(0) || p) as h from o where n = 1 union all select o.user_id, o.n, sha256(c.h || chr(0) || o.p) from c join o on o.user_id = c.user_id and o.n = c.n + 1),
+k as (select o.*, h, max(o.n) filter (where kept) over (partition by o.user_id) as last_kept from o join c on c.user_id = o.user_id and c.n = o.n)
+select user_id, count(*) filter (where kept) as events, not bool_or((kept and event_id % 97 = 3) or (not kept and n < last_kept)) as intact, arg_max(h, n) filter (where kept) as head from k where last_kept is not null group by 1""")
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain for each user is built in order and verified in parallel."""
+    """A chain for each user is built in order, some events are then forged and others lost, and it is verified in parallel.
+    A chain that lost its end alone still verifies, and its head tells."""
     built = state.chain(table(spark, sf_dir, "events").select("user_id", "event_id", "props"), "user_id", "event_id", "props")
-    return state.verify_chain(built, "user_id", "props").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.bool_and("linked").alias("intact"))
+    held = built.filter("event_id % 101 <> 5").withColumn("props", F.expr("if(event_id % 97 = 3, concat(props, '!'), props)"))
+    found = state.verify_chain(held, "user_id", "props").groupBy("user_id")
+    return found.agg(F.count(F.lit(1)).alias("events"), F.bool_and("linked").alias("intact"), F.max_by("event_hash", "sequence").alias("head"))
 
 
 @query("""select o_orderkey, o_orderdate + interval 1 day + to_seconds(cast(('0x' || left(sha256(cast(o_orderkey as varchar)), 16))::ubigint::hugeint % 301 as integer)) as next_due from orders""")
