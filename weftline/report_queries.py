@@ -17,7 +17,7 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
 
 # ---- the lexical ranker. Its edit similarity and word pairs are no SQL: the query's model leaves them out, a test holds them.
 
-_RANKED = """select concat('S', cast(p_size as varchar(9))) as source_id, concat(p_type, ' ', case when p_size % 2 = 0 then 'redWidget' else 'blue_bolt' end) as source_text,
+_RANKED = """select concat('S', cast(p_size as varchar(9)), '-', cast(p_partkey - p_partkey % 1000 as varchar(20))) as source_id, concat(p_type, ' ', case when p_size % 2 = 0 then 'redWidget' else 'blue_bolt' end) as source_text,
   concat('T', cast(p_partkey as varchar(20))) as target_id, case when p_partkey % 31 = 0 then null else concat(p_name, ' | ', p_type, ' | ', p_brand) end as target_text, p_partkey, p_size from part"""
 _NAMED = {"bias": -1.5, "exact": 2.0, "overlap": 1.25, "length": 0.25, "char2": 0.5, "char3": 0.75}
 _BARE = "list_aggregate(regexp_extract_all(lower(regexp_replace(coalesce({0}, ''), '([a-z])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9_]+'), 'string_agg', ' ')"
@@ -35,10 +35,10 @@ s as (select *, -1.5 + 2.0 * (a = b and a <> '')::int + 1.25 * {_share("l", "r")
   + 0.5 * {_share(_LETTERS.format("a", 2), _LETTERS.format("b", 2))} + 0.75 * {_share(_LETTERS.format("a", 3), _LETTERS.format("b", 3))} as z from w)
 select source_id, target_id, round(1 / (1 + exp(-z::double)), 9) as rank_score from s""")
 def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts as candidates of the fields of their size; their number grows with the table, so its bound is the table's."""
+    """All parts as candidates of one field for each size and thousand of parts, so that a field's candidates stay within their bound."""
     rows = _sql(spark, sf_dir, _RANKED, "part").drop("p_partkey", "p_size")
     of = rows.groupBy("source_id").agg(F.min("source_text").alias("source_text"))
-    found = ranking.ranked(rows.drop("source_text").join(of, "source_id"), ranking.model(_NAMED), most=2**31 - 1)
+    found = ranking.ranked(rows.drop("source_text").join(of, "source_id"), ranking.model(_NAMED))
     return found.select("source_id", "target_id", F.round("rank_score", 9).alias("rank_score"))
 
 
