@@ -130,3 +130,52 @@ from b, t left join n on n.rk = b.rk and n.no = b.start // t.block"""
 
 
 SQL["op10_mix_sources"] = _mix_sql()
+
+#: Words of one document that are equal give the places of each period; islands of them are the runs.
+SQL["op11_periodic_runs"] = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws, coalesce(text, '') as text,
+    xor(list_reduce(list_transform(range(1, len(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint),
+      lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295::bigint), 4294967295::bigint) as h
+  from documents
+), s as (
+  select *, len(ws) as n, h // 10 as g, h % 10 = 0 and len(ws) > 0 as planted from d
+), t as (
+  select *, case when planted then g % n end as a, case when planted then 1 + (n - g % n) // (3 + g % 8) end as p from s
+), w as (
+  select doc_id, n, i, case when planted and i >= a then ws[a + (i - a) % p + 1] else ws[i + 1] end as word from (select *, unnest(range(n)) as i from t)
+), m as (
+  select x.doc_id, y.i - x.i as p, x.i from w x join w y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n
+), islands as (
+  select doc_id, p, i, i - row_number() over (partition by doc_id, p order by i) as island from m
+), stretches as (
+  select doc_id, p, min(i) as start, count(*) + p as length from islands group by doc_id, p, island having count(*) + p >= greatest(6, 4 * p)
+), runs as (select doc_id, start, length, min(p) as period from stretches group by all
+), best as (
+  select doc_id, count(*) as n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period)) as runs_sha256,
+    first({'start': start, 'length': length, 'period': period} order by length * 1.0::double / period desc, start, period) as b from runs group by doc_id
+), kept as (
+  select w.doc_id, string_agg(word, ' ' order by i) as collapsed from w
+  where not exists (select 1 from runs r where r.doc_id = w.doc_id and w.i >= r.start + r.period and w.i < r.start + r.length) group by w.doc_id
+)
+select doc_id, coalesce(n_runs, 0) as n_runs, b.start as start, b.length as length, b.period as period, 1000 * b.length // b.period as exponent_milli,
+  coalesce(runs_sha256, sha256('')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
+from d left join best using (doc_id) left join kept using (doc_id)
+"""
+
+SQL["op13_fill_middle"] = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as tokens, sha256('1:' || doc_id) as digest from documents
+), h as (
+  select *, len(tokens) as n, list_transform(range(4), lambda i: ('0x' || substr(digest, 8 * i + 1, 8))::bigint) as h from d
+), c as (
+  select *, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form,
+    least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b from h
+), p as (
+  select *, array_to_string(tokens[:a], '') as prefix, array_to_string(tokens[a + 1:b], '') as middle, array_to_string(tokens[b + 1:], '') as suffix from c
+)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(case form when 'plain' then text else prefix || middle || suffix end) as restored_sha256
+from p
+"""

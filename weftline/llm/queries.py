@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_automaton, exact_dedup, hyperminhash, media, mixing, oracles, pii, repeated_windows, secret_scan, toxicity, url_templates
-from weftline.llm.common import joined_spans
+from weftline.llm import bpe_automaton, cross_polytope, exact_dedup, fill_middle, hyperminhash, media, mixing, oracles, periodic_runs, pii, repeated_windows, secret_scan, toxicity, url_templates
+from weftline.llm.common import joined_spans, text_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,8 +83,31 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", periodic_runs.planted(F.col("doc_id"), text_of()).alias("text"))
+    found, best = periodic_runs.collapse(docs), F.col("longest")
+    return found.select(
+        "doc_id",
+        "n_runs",
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("longest.length * 1000 div longest.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.runs_text(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, id="vec_id")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("fim_text"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("fim_text", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_templates, op2_hyperminhash, op3_secrets, op4_bpe_automaton, op5_exact_dedup, op6_pii, op7_media, op8_repeated_windows, op9_toxicity, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_url_templates, op2_hyperminhash, op3_secrets, op4_bpe_automaton, op5_exact_dedup, op6_pii, op7_media, op8_repeated_windows, op9_toxicity, op10_mix_sources, op11_periodic_runs, op12_nearest, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
