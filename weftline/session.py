@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,18 @@ def session(app: str = "weftline", cores: str | int = "*", **extra: str) -> Spar
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; only Spark's own reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share, spark.checkpoint.dir; without it a local session gets a temporary
+    one, and a cluster an error, as it has none that all its machines see."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = jvm.get() if jvm.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="weftline-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/engine-{uuid.uuid4().hex}"
