@@ -161,16 +161,11 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def lifecycle(events: DataFrame, run: str, order: str, kind: str, first: str, last: tuple[str, ...]) -> DataFrame:
     """By run: whether it starts with `first`, ends with one of `last`, and has each of them once."""
-    w = W.partitionBy(run).orderBy(order)
-    marked = events.withColumn("__n", F.row_number().over(w)).withColumn("__k", F.count(F.lit(1)).over(W.partitionBy(run)))
-    return marked.groupBy(run).agg(
-        (
-            (F.count_if((F.col("__n") == 1) & (F.col(kind) == first)) == 1)
-            & (F.count_if((F.col("__n") == F.col("__k")) & F.col(kind).isin(*last)) == 1)
-            & (F.count_if(F.col(kind) == first) == 1)
-            & (F.count_if(F.col(kind).isin(*last)) == 1)
-        ).alias("valid")
+    sums = events.groupBy(run).agg(
+        F.min_by(kind, order).alias("begin"), F.max_by(kind, order).alias("end"), F.count_if(F.col(kind) == first).alias("starts"), F.count_if(F.col(kind).isin(*last)).alias("ends")
     )
+    sound = (F.col("begin") == first) & F.col("end").isin(*last) & (F.col("starts") == 1) & (F.col("ends") == 1)
+    return sums.select(run, F.coalesce(sound, F.lit(False)).alias("valid"))
 
 
 def expired(expires_at: Column, now: Column) -> Column:

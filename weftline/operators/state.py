@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators.lifecycle import met
+from weftline.operators.scan import running
 
 #: The ledger's transitions (state, event, next state, whether the claim must be live).
 TRANSITIONS = (
@@ -90,32 +91,6 @@ def pending_prefix(df: DataFrame, scope: list[str], order: list[str], size: str,
     return running.filter((F.col("running") <= budget) & (F.col("place") <= limit))
 
 
-def chunks(df: DataFrame, scope: str, order: str, size: str, most_rows: int, most_bytes: int) -> DataFrame:
-    """df's scope, order, size with chunk: greedy chunks in order, a new one when rows or bytes would pass the limit.
-
-    Greedy packing depends on all rows before; each scope is packed by its own streamed pass over sorted rows, with a
-    state of two numbers.
-    """
-    schema = df.select(scope, order, size).schema.add("chunk", "long")
-
-    def pack(batches):
-        import pyarrow as pa
-
-        at, rows, used, chunk = None, 0, 0, 0
-        for batch in batches:
-            out = []
-            for key, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if at is None or at[0] != key:
-                    at, rows, used, chunk = (key,), 0, 0, 1
-                elif rows >= most_rows or used + n > most_bytes:
-                    rows, used, chunk = 0, 0, chunk + 1
-                rows, used = rows + 1, used + n
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "chunk"])
-
-    return df.select(scope, order, size).repartition(scope).sortWithinPartitions(scope, order).mapInArrow(pack, schema)
-
-
 def chain(df: DataFrame, stream: str, order: str, event: str) -> DataFrame:
     """stream, sequence, event, previous_hash, event_hash: each hash covers the one before, from 64 zeros on."""
     schema = df.select(stream, order, event).schema.add("sequence", "long").add("previous_hash", "string").add("event_hash", "string")
@@ -143,11 +118,11 @@ def chain(df: DataFrame, stream: str, order: str, event: str) -> DataFrame:
 
 def verify_chain(df: DataFrame, stream: str, event: str) -> DataFrame:
     """df with linked: the hash before is the one stored, the sequence has no gap, and the hash is right; checked in parallel."""
-    w = W.partitionBy(stream).orderBy("sequence")
-    before = F.coalesce(F.lag("event_hash").over(w), F.lit("0" * 64))
-    gapless = F.col("sequence") == F.coalesce(F.lag("sequence").over(w), F.lit(0)) + 1
+    before = F.coalesce("__hash", F.lit("0" * 64))
+    gapless = F.col("sequence") == F.coalesce("__sequence", F.lit(0)) + 1
     right = F.col("event_hash") == F.sha2(F.concat(F.col("previous_hash"), F.lit("\0"), F.coalesce(F.col(event), F.lit(""))), 256)
-    return df.withColumn("linked", (F.col("previous_hash") == before) & gapless & right)
+    rows = running(df, [stream], ["sequence"], before={"__hash": "event_hash", "__sequence": "sequence"})
+    return rows.withColumn("linked", (F.col("previous_hash") == before) & gapless & right).drop("__hash", "__sequence")
 
 
 def recipe_health(runs: DataFrame, key: str, order: str, outcome: str, threshold: int = 3) -> DataFrame:
@@ -171,17 +146,16 @@ def recipe_health(runs: DataFrame, key: str, order: str, outcome: str, threshold
 
 def checkpoints(runs: DataFrame, route: str, order: list[str], committed: str) -> DataFrame:
     """runs with generation (from 1) and the committed total up to each run of its route."""
-    w = W.partitionBy(route).orderBy(*order)
-    return runs.withColumn("generation", F.row_number().over(w).cast("long")).withColumn("committed_records", F.sum(committed).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return running(runs, [route], order, sums={"committed_records": committed}, place="generation")
 
 
 def key_chain(keys: DataFrame, stream: str) -> DataFrame:
     """keys (generation, key_id, previous_key_id, issued_at) with trusted: starts at 1, steps by 1, chains, time not backwards, no key twice."""
-    w = W.partitionBy(stream).orderBy("generation")
     first = (F.col("generation") == 1) & F.col("previous_key_id").isNull()
-    following = (F.col("generation") == F.lag("generation").over(w) + 1) & F.col("previous_key_id").eqNullSafe(F.lag("key_id").over(w)) & (F.col("issued_at") >= F.lag("issued_at").over(w))
-    again = F.count(F.lit(1)).over(W.partitionBy(stream, "key_id")) > 1
-    return keys.withColumn("trusted", F.coalesce(first | following, F.lit(False)) & ~again)
+    following = (F.col("generation") == F.col("__generation") + 1) & F.col("previous_key_id").eqNullSafe(F.col("__key")) & (F.col("issued_at") >= F.col("__issued"))
+    again = keys.groupBy(stream, "key_id").agg(F.count(F.lit(1)).alias("__uses")).filter("__uses > 1")
+    rows = met(running(keys, [stream], ["generation"], before={"__generation": "generation", "__key": "key_id", "__issued": "issued_at"}), again, [stream, "key_id"])
+    return rows.withColumn("trusted", F.coalesce(first | following, F.lit(False)) & F.col("__uses").isNull()).drop("__generation", "__key", "__issued", "__uses")
 
 
 def relay_offers(offers: DataFrame, queued: DataFrame, dead: DataFrame, identity: list[str], digest: str) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import transforms, types
-from weftline.operators import matching, metrics, quality, state
+from weftline.operators import chunking, matching, metrics, quality, state
 from weftline.plans import mapping
 from weftline.plans.derived import duck, view
-from weftline.session import table
+from weftline.session import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -482,7 +482,7 @@ c as (select source, doc_id, n_chars, i, 1 as n, n_chars as used, 1 as chunk fro
 union all select d.source, d.doc_id, d.n_chars, d.i, case when c.n >= 10 or c.used + d.n_chars > 20000 then 1 else c.n + 1 end, case when c.n >= 10 or c.used + d.n_chars > 20000 then d.n_chars else c.used + d.n_chars end,
 case when c.n >= 10 or c.used + d.n_chars > 20000 then c.chunk + 1 else c.chunk end from c join d on d.source = c.source and d.i = c.i + 1) select source, doc_id, n_chars, chunk::bigint as chunk from c""")
 def delivery_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.chunks(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 10, 20_000)
+    return chunking.chunks(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 10, 20_000)
 
 
 _FIRST = f"""select e.event_id, e.attempt, case when e.attempt = f.a then 'delivered' when e.event_type = f.t and e.user_id = f.u then 'duplicate' else 'replay_detected' end as status
@@ -560,7 +560,9 @@ select user_id, count(*) filter (where kept) as events, not bool_or((kept and ev
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain for each user is built in order, some events are then forged and others lost, and it is verified in parallel.
     A chain that lost its end alone still verifies, and its head tells."""
-    built = state.chain(table(spark, sf_dir, "events").select("user_id", "event_id", "props"), "user_id", "event_id", "props")
+    root = shared_dir(spark)
+    state.chain(table(spark, sf_dir, "events").select("user_id", "event_id", "props"), "user_id", "event_id", "props").write.parquet(root)
+    built = spark.read.parquet(root)
     held = built.filter("event_id % 101 <> 5").withColumn("props", F.expr("if(event_id % 97 = 3, concat(props, '!'), props)"))
     found = state.verify_chain(held, "user_id", "props").groupBy("user_id")
     return found.agg(F.count(F.lit(1)).alias("events"), F.bool_and("linked").alias("intact"), F.max_by("event_hash", "sequence").alias("head"))
