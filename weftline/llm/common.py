@@ -97,41 +97,48 @@ def ship(spark: SparkSession) -> None:
 OPEN, CLOSE, INSTEAD = "\ue000", "\ue001", "\ue002"
 
 
-#: Matches that are placed by one inner pass; the outer pass carries the place on, so that long texts stay linear in practice.
+#: Matches that are placed by one inner pass; the outer pass carries the place on and keeps the passes' spans as parts, so that long
+#: texts stay linear in practice.
 PASS = 256
 
 
-def marked_spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """Matches of a Java regular expression as array<struct<start,end,hit>> in code points, found without Python.
+def marked_spans(text: Column, pattern: str, group: int = 0, near: int = 0) -> Column:
+    """Matches of a Java regular expression as array<struct<start,end,hit>> in code points, found without Python; with `near` each
+    also has that many characters before it as `near`.
 
     Each match is wrapped in two private-use marks, the text is split at them, and the pieces' lengths give the
-    positions. Marks that the text itself holds are first replaced by another character of the same length.
+    positions. Marks that the text itself holds are first replaced by another character of the same length. What stands
+    before a match is carried on from piece to piece, as taking it from the text would walk the text once for each match.
     """
     plain = F.translate(text, OPEN + CLOSE, INSTEAD * 2)
     pieces = F.split(F.regexp_replace(plain, F.lit(f"({pattern})"), F.lit(f"{OPEN}$1{CLOSE}")), OPEN)
+    last = lambda c: F.substring(c, -near, near)
+    carried = lambda value: [value.alias("near")] if near else []
 
     def placed(acc: Column, piece: Column) -> Column:
         hit = F.substring_index(piece, CLOSE, 1)
-        span = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(hit)).cast("int").alias("end"), hit.alias("hit"))
-        return F.struct((acc["at"] + F.length(piece) - 1).cast("int").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        span = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(hit)).cast("int").alias("end"), hit.alias("hit"), *carried(acc["near"]))
+        seen = carried(last(F.concat(acc["near"], F.translate(piece, CLOSE, ""))))
+        return F.struct((acc["at"] + F.length(piece) - 1).cast("int").alias("at"), *seen, F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     def passed(acc: Column, part: Column) -> Column:
-        begin = F.struct(acc["at"].alias("at"), no_spans().alias("spans"))
-        length = F.aggregate(part, acc["at"], lambda at, piece: (at + F.length(piece) - 1).cast("int"))
-        return F.struct(length.alias("at"), F.concat(acc["spans"], F.aggregate(part, begin, placed)["spans"]).alias("spans"))
+        begin = F.struct(acc["at"].alias("at"), *carried(acc["near"]), no_spans(near).alias("spans"))
+        add = lambda r: F.struct(r["at"].alias("at"), *carried(r["near"]), F.concat(acc["parts"], F.array(r["spans"])).alias("parts"))
+        return F.transform(F.array(F.aggregate(part, begin, placed)), add)[0]
 
     def spans_of(found: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PASS).cast("int"))
         parts = F.transform(starts, lambda i: F.slice(found, i * PASS + 2, PASS))
-        begin = F.struct(F.length(F.element_at(found, 1)).alias("at"), no_spans().alias("spans"))
-        return F.aggregate(parts, begin, passed)["spans"]
+        first = F.element_at(found, 1)
+        begin = F.struct(F.length(first).alias("at"), *carried(last(first)), F.array(no_spans(near)).alias("parts"))
+        return F.flatten(F.aggregate(parts, begin, passed)["parts"])
 
     # Bound as a variable, so that the text is matched once.
     return F.transform(F.array(pieces), spans_of)[0]
 
 
-def no_spans() -> Column:
-    return F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
+def no_spans(near: int = 0) -> Column:
+    return F.expr("cast(array() as array<struct<start:int,end:int,hit:string" + ",near:string" * bool(near) + ">>)")
 
 
 def joined_spans(spans: Column) -> Column:

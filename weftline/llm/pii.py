@@ -95,11 +95,9 @@ def valid(kind: Kind, hit: Column) -> Column:
     return F.lit(True)
 
 
-def score(kind: Kind, text: Column, start: Column) -> Column:
-    """The kind's score, changed by the words shortly before the span."""
-    begin = F.greatest(start - WINDOW, F.lit(0))
-    near = F.lower(F.substring(text, begin + 1, start - begin))
-    has = lambda words: near.rlike(r"(?<![a-z])(?:" + "|".join(words) + ")")
+def score(kind: Kind, near: Column) -> Column:
+    """The kind's score, changed by the words in the WINDOW characters before the span."""
+    has = lambda words: F.lower(near).rlike(r"(?<![a-z])(?:" + "|".join(words) + ")")
     up = F.when(has(kind.words), F.lit(STEP)).otherwise(F.lit(0.0))
     down = F.when(has(AGAINST), F.lit(STEP)).otherwise(F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(kind.score) + up - down))
@@ -114,7 +112,7 @@ def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, l
         if kind.kind == "card":
             # A text without 14 digits in a run of digits and separators has no card.
             proposes = F.col("text").rlike(r"[0-9](?:[\x20-]?[0-9]){13}")
-        found = F.when(proposes, marked_spans(F.col("text"), kind.pattern)).otherwise(no_spans())
+        found = F.when(proposes, marked_spans(F.col("text"), kind.pattern, near=WINDOW)).otherwise(no_spans(WINDOW))
         scored = _confirmed(found, rank, kind)
         parts.append(scored if kind.base else F.filter(scored, lambda s: s["score"] >= least_score))
     return rows.select("doc_id", F.concat(*parts).alias("spans"))
@@ -128,7 +126,7 @@ def _confirmed(found: Column, rank: int, kind: Kind) -> Column:
             F.lit(rank).alias("rank"),
             F.lit(kind.kind).alias("kind"),
             s["end"].alias("end"),
-            score(kind, F.col("text"), s["start"]).alias("score"),
+            score(kind, s["near"]).alias("score"),
             F.lit(kind.base).alias("base"),
         ),
     )

@@ -109,7 +109,15 @@ class Lexicon:
                 free.append((start, end))
             elif start not in best or best[start][0] < length:
                 best[start] = (length, weight)
-        total = sum(w for s, (_, w) in best.items() if not any(a <= s < b for a, b in free))
+        # In order of place: a term is inside an exception if one that begins before or with it reaches beyond it.
+        free.sort()
+        total, reach, i = 0.0, 0, 0
+        for start in sorted(best):
+            while i < len(free) and free[i][0] <= start:
+                reach = max(reach, free[i][1])
+                i += 1
+            if reach <= start:
+                total += best[start][1]
         return total / (1 + self.share * math.sqrt(folded.count(" ")))
 
     def score(self, measure: float) -> float:
