@@ -249,3 +249,10 @@ def field_set_exact(records: DataFrame, expected: list[str]) -> DataFrame:
     have = have if records.columns else empty
     want = want if expected else empty
     return records.sparkSession.range(1).select(F.array_sort(F.array_except(want, have)).alias("missing"), F.array_sort(F.array_except(have, want)).alias("unexpected"))
+
+
+def field_sets(records: DataFrame, keys: Column, expected: list[str]) -> DataFrame:
+    """missing, unexpected, records: the ways in which records' own field names (an array; null: none) differ from what is expected."""
+    want, have = F.array(*map(F.lit, expected)).cast("array<string>"), F.coalesce(keys, F.array().cast("array<string>"))
+    sets = records.select(F.array_sort(F.array_except(want, have)).alias("missing"), F.array_sort(F.array_except(have, want)).alias("unexpected"))
+    return sets.groupBy("missing", "unexpected").agg(F.count(F.lit(1)).alias("records"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import transforms
-from weftline.functions.types import NOT_TRANSFORMABLE, SENSITIVITY, copy_safe, satisfies
+from weftline.functions.types import NOT_TRANSFORMABLE, SENSITIVITY, copy_safe, rank, satisfies
 
 #: Rows of a lookup's build side up to which it is broadcast; counted, never assumed.
 BROADCAST_ROWS = 500_000
@@ -154,6 +154,13 @@ def route_allowed(source: Field, target: Field, transform: str) -> bool:
     return transform == "opaque_forward" or "opaque" not in (source.sensitivity, target.sensitivity)
 
 
+def route_allowed_column(source: Column, target: Column, transform: Column) -> Column:
+    """route_allowed of columns of sensitivities and transforms."""
+    through = transform.isin("copy", "opaque_forward") | ~source.isin(*NOT_TRANSFORMABLE)
+    sealed = (transform == "opaque_forward") | ((source != "opaque") & (target != "opaque"))
+    return (rank(target) >= rank(source)) & through & sealed
+
+
 def rule_columns(rule: Rule) -> transforms.Result:
     if transforms.STAGES[rule.transform] != "source":
         return transforms.copy(F.col(rule.source))

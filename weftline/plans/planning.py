@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.types import NOT_TRANSFORMABLE, copy_safe
 from weftline.operators.matching import LOOKUP_NAME, name_scores
-from weftline.plans.mapping import Field, Finding, Plan, Rule, Schema, plan_for, route_allowed
+from weftline.plans.mapping import Field, Finding, Plan, Rule, Schema, plan_for, route_allowed, route_allowed_column
 
 STABLE_NAME = 0.88
 
@@ -65,6 +65,21 @@ def build(source: Schema, target: Schema, decisions: list[tuple[str, str | None,
     return plan_for(source, target, tuple(rules), version)
 
 
+def rules(decisions: DataFrame, source: DataFrame, target: DataFrame, allow_review: bool = False) -> DataFrame:
+    """decisions (pair, source_id, target_id, status) of many schema pairs as rules: pair, source_id, target_id, transform.
+
+    The field tables (pair, id, data_type, sensitivity) are joined on the pair and the field. For targets without relations: a foreign
+    key needs `build`, which looks for a lookup. What the route policy forbids has `refused` set and no transform.
+    """
+    taken = decisions.filter(F.col("target_id").isNotNull() & F.col("status").isin("auto", *(["review"] if allow_review else [])))
+    of = lambda df, side: df.select("pair", F.col("id").alias(f"{side}_id"), F.col("data_type").alias(f"__{side}_type"), F.col("sensitivity").alias(f"__{side}_level"))
+    rows = taken.join(of(source, "source"), ["pair", "source_id"]).join(of(target, "target"), ["pair", "target_id"])
+    whole = (F.col("__source_type") == "integer") & (F.col("__target_type") == "integer")
+    transform = F.when(F.col("__source_level").isin(*NOT_TRANSFORMABLE), "opaque_forward").when(whole, "parse_integer").otherwise("copy")
+    allowed = route_allowed_column(F.col("__source_level"), F.col("__target_level"), transform)
+    return rows.select("pair", "source_id", "target_id", F.when(allowed, transform).alias("transform"), (~allowed).alias("refused"))
+
+
 def contract_safe(s: Field, t: Field, schema: Schema) -> bool:
     if s.sensitivity != t.sensitivity or (s.nullable and not t.nullable):
         return False

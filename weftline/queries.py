@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -212,31 +212,39 @@ def column_type_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = ("Customer Number", "E-Mail", "api_token", "IBAN", "Passwort", "order no", "Vorname", "unit price", "Tax ID", "Kennung", "notes", "Debitor Nr", "Access Token", "Birthday", "card number", "total")
-_NAME_ROWS = ", ".join(f"('{n}')" for n in _NAMES)
-_SECRET, _CONF, _PERS, _KEYS = (p.replace("(?i)", "") for p in (types.SECRET_NAMES, types.CONFIDENTIAL_NAMES, types.PERSONAL_NAMES, types.KEY_NAMES))
+#: What each name must be found to be, written down by hand.
+_CLASSES = ("internal natural_key", "personal value", "secret credential", "confidential value", "secret credential", "internal natural_key", "personal value", "internal value", "confidential natural_key",
+  "internal natural_key", "internal value", "internal natural_key", "secret credential", "personal value", "confidential natural_key", "internal value")
+_CLASS_ROWS = ", ".join(f"({i}, '{n}', '{c.split()[0]}', '{c.split()[1]}')" for i, (n, c) in enumerate(zip(_NAMES, _CLASSES, strict=True)))
 
 
-@query(f"""select name, case when regexp_matches(name, '{_SECRET}', 'i') then 'secret' when regexp_matches(name, '{_CONF}', 'i') then 'confidential' when regexp_matches(name, '{_PERS}', 'i') then 'personal' else 'internal' end as sensitivity,
-case when regexp_matches(name, '{_SECRET}', 'i') then 'credential' when regexp_matches(name, '{_KEYS}', 'i') then 'natural_key' else 'value' end as role from (values {_NAME_ROWS}) v(name)""")
+@query(f"""select p_partkey, name || ' ' || p_size as name, sensitivity, role from part join (values {_CLASS_ROWS}) v(i, name, sensitivity, role) on i = p_partkey % {len(_NAMES)}""")
 def field_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in _NAMES], "name string")
-    return names.select("name", types.sensitivity_of(F.col("name")).alias("sensitivity"), types.role_of(F.col("name")).alias("role"))
+    """A field name for each part, from a vocabulary with a number behind it."""
+    names = F.array(*[F.lit(n) for n in _NAMES])
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.get(names, (F.col("p_partkey") % len(_NAMES)).cast("int")), "p_size").alias("name"))
+    return part.select("p_partkey", "name", types.sensitivity_of(F.col("name")).alias("sensitivity"), types.role_of(F.col("name")).alias("role"))
 
 
 _RANKS = ", ".join(f"('{s}', {i})" for i, s in enumerate(types.SENSITIVITY))
 
 
-@query(f"""with r as (select * from (values {_RANKS}) v(s, r)), t as (select * from (values ('copy'), ('trim'), ('opaque_forward')) v(transform))
-select a.s as source, b.s as target, transform, b.r >= a.r and (a.s not in ('secret', 'opaque') or transform in ('copy', 'opaque_forward'))
-and (transform = 'opaque_forward' or (a.s <> 'opaque' and b.s <> 'opaque')) as allowed from r a, r b, t""")
+_N = len(types.SENSITIVITY)
+
+
+@query(f"""with r as (select * from (values {_RANKS}) v(s, r)), p as (select p_partkey, p_partkey % {_N} as a, p_partkey // {_N} % {_N} as b, ['copy', 'trim', 'opaque_forward'][p_partkey // {_N * _N} % 3 + 1] as transform from part)
+select p_partkey, a.s as source, b.s as target, transform, b.r >= a.r and (a.s not in ('secret', 'opaque') or transform in ('copy', 'opaque_forward'))
+and (transform = 'opaque_forward' or (a.s <> 'opaque' and b.s <> 'opaque')) as allowed from p join r a on a.r = p.a join r b on b.r = p.b""")
 def route_policy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (s, t, x, mapping.route_allowed(mapping.Field("s", "s", sensitivity=s), mapping.Field("t", "t", sensitivity=t), x))
-        for s in types.SENSITIVITY
-        for t in types.SENSITIVITY
-        for x in ("copy", "trim", "opaque_forward")
-    ]
-    return spark.createDataFrame(rows, "source string, target string, transform string, allowed boolean")
+    """A route for each part: every pair of sensitivities with every transform comes up."""
+    level, key = F.array(*[F.lit(x) for x in types.SENSITIVITY]), F.col("p_partkey")
+    routes = table(spark, sf_dir, "part").select(
+        key,
+        F.get(level, (key % _N).cast("int")).alias("source"),
+        F.get(level, (F.floor(key / _N) % _N).cast("int")).alias("target"),
+        F.get(F.array(*map(F.lit, ("copy", "trim", "opaque_forward"))), (F.floor(key / (_N * _N)) % 3).cast("int")).alias("transform"),
+    )
+    return routes.withColumn("allowed", mapping.route_allowed_column(F.col("source"), F.col("target"), F.col("transform")))
 
 
 # ---- quality
@@ -277,19 +285,20 @@ def formula_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- matching
 
 _PAIRS = (("customer number", "client no"), ("order date", "datum"), ("unit price", "preis netto"), ("e mail", "email"), ("invoice total", "rechnung betrag"), ("product name", "artikel bezeichnung"), ("tax", "vat"))
-_PAIR_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in _PAIRS)
-_SYN_ROWS = ", ".join(f"('{w}', '{g}')" for w, g in matching.CANONICAL.items())
+#: Of each pair: words (synonyms by group) that both have, and that either has, counted by hand.
+_PAIR_COUNTS = ((2, 2), (1, 2), (1, 3), (1, 2), (2, 2), (2, 2), (0, 2))
+_PAIR_ROWS = ", ".join(f"({i}, '{a}', '{b}', {c}, {e})" for i, ((a, b), (c, e)) in enumerate(zip(_PAIRS, _PAIR_COUNTS, strict=True)))
 
 
-@query(f"""with p as (select * from (values {_PAIR_ROWS}) v(a, b)), s as (select * from (values {_SYN_ROWS}) v(w, g)),
-l as (select distinct a, b, coalesce(g, w0) as t from (select a, b, unnest(string_split(a, ' ')) as w0 from p) q left join s on w = w0),
-r as (select distinct a, b, coalesce(g, w0) as t from (select a, b, unnest(string_split(b, ' ')) as w0 from p) q left join s on w = w0),
-u as (select a, b, count(distinct t) as n from (select * from l union all select * from r) q group by 1, 2), i as (select a, b, count(*) as n from l join r using (a, b, t) group by 1, 2)
-select a, b, round(coalesce(i.n, 0) / u.n, 6) as jaccard from u left join i using (a, b)""")
+@query(f"""select p_partkey, a || ' x' || p_size % 3 as a, b || ' x' || p_partkey % 3 as b, round((common + (p_size % 3 = p_partkey % 3)::int) / (either + case when p_size % 3 = p_partkey % 3 then 1 else 2 end), 6) as jaccard
+from part join (values {_PAIR_ROWS}) v(i, a, b, common, either) on i = p_partkey % {len(_PAIRS)}""")
 def name_token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame(list(_PAIRS), "a string, b string")
+    """A pair of names for each part; a word from the part's size and one from its key are added to them."""
+    at = (F.col("p_partkey") % len(_PAIRS)).cast("int")
+    side = lambda k, word: F.concat(F.get(F.array(*[F.lit(p[k]) for p in _PAIRS]), at), F.lit(" x"), word.cast("string"))
+    pairs = table(spark, sf_dir, "part").select("p_partkey", side(0, F.col("p_size") % 3).alias("a"), side(1, F.col("p_partkey") % 3).alias("b"))
     of = lambda c: F.array_distinct(matching.tokens(matching.normalize_name(F.col(c))))
-    return pairs.select("a", "b", F.round(matching.jaccard(of("a"), of("b")), 6).alias("jaccard"))
+    return pairs.select("p_partkey", "a", "b", F.round(matching.jaccard(of("a"), of("b")), 6).alias("jaccard"))
 
 
 _GRAMS = "list_distinct(list_transform(range(1, greatest(length(x) - 1, 1)), lambda i: substr(x, i, 3)))"
@@ -320,21 +329,43 @@ _TARGET_FIELDS = [
 ]
 
 
-def _fields(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(_SOURCE_FIELDS, _FIELDS), spark.createDataFrame(_TARGET_FIELDS, _FIELDS)
+def _fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A pair of schemas for each supplier. Of three, one has no target for amounts, and one whose order date may not be null."""
+    kind = spark.createDataFrame([], _FIELDS).schema
+    key = F.col("s_suppkey").cast("string")
+
+    def rows(fields: list[tuple], keep: Column) -> DataFrame:
+        made = F.array(*[F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).cast(f.dataType).alias(f.name) for v, f in zip(r, kind, strict=True)]) for r in fields])
+        each = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(made).alias("f")).filter(keep)
+        pair = {"pair": F.concat(F.lit("p"), key), "id": F.concat(F.col("f.id"), F.lit(":"), key)}
+        return each.select("s_suppkey", *[pair.get(f.name, F.col(f"f.{f.name}")).alias(f.name) for f in kind])
 
+    target = rows(_TARGET_FIELDS, (F.col("s_suppkey") % 3 != 1) | (F.col("f.id") != "amount"))
+    target = target.withColumn("nullable", F.col("nullable") & ~((F.col("s_suppkey") % 3 == 2) & F.col("id").startswith("ordered_on")))
+    return rows(_SOURCE_FIELDS, F.lit(True)).drop("s_suppkey"), target.drop("s_suppkey")
 
-@query("""select * from (values ('c1', 'customer_number', 'auto'), ('c2', 'amount', 'auto'), ('c3', 'ordered_on', 'auto'), ('c4', 'api_token', 'auto'), ('c5', null, 'blocked')) v(source_id, target_id, status)""")
+
+#: What must be decided, by hand: all but the comment are clear; without a target amounts are blocked, and nulls need a review.
+_DECIDED = """select s_suppkey as k, f || ':' || s_suppkey as source_id, case when t is null or (f = 'c2' and s_suppkey % 3 = 1) then null else t || ':' || s_suppkey end as target_id,
+  case when t is null or (f = 'c2' and s_suppkey % 3 = 1) then 'blocked' when f = 'c3' and s_suppkey % 3 = 2 then 'review' else 'auto' end as status
+  from supplier, (values ('c1', 'customer_number'), ('c2', 'amount'), ('c3', 'ordered_on'), ('c4', 'api_token'), ('c5', null)) v(f, t)"""
+
+
+@query(f"""select source_id, target_id, status from ({_DECIDED}) d""")
 def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, target = _fields(spark)
+    source, target = _fields(spark, sf_dir)
     return matching.decide(matching.candidates(source, target)).select("source_id", "target_id", "status")
 
 
-@query("""select 5::bigint as fields, 4::bigint as automatic, 0::bigint as unsafe_automatic, 1.0::double as auto_precision, 1.0::double as auto_coverage, 1.0::double as suggestion_accuracy""")
+@query(f"""select count(*) as fields, count(*) filter (where status = 'auto') as automatic, 0::bigint as unsafe_automatic, 1.0::double as auto_precision,
+round(count(*) filter (where status = 'auto') / count(*) filter (where target_id is not null), 6) as auto_coverage, 1.0::double as suggestion_accuracy from ({_DECIDED}) d""")
 def mapping_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = [("c1", "customer_number"), ("c2", "amount"), ("c3", "ordered_on"), ("c4", "api_token"), ("c5", None)]
-    source, target = _fields(spark)
-    return metrics.mapping_benchmark(matching.decide(matching.candidates(source, target)), spark.createDataFrame(labels, "source_id string, expected string"))
+    source, target = _fields(spark, sf_dir)
+    aims = F.create_map(*[F.lit(x) for pair in zip(("c1", "c2", "c3", "c4"), ("customer_number", "amount", "ordered_on", "api_token"), strict=True) for x in pair])
+    found = target.select(F.col("id").alias("expected"))
+    labels = source.select(F.col("id").alias("source_id"), F.concat(F.try_element_at(aims, F.split_part("id", F.lit(":"), F.lit(1))), F.lit(":"), F.split_part("id", F.lit(":"), F.lit(2))).alias("expected"))
+    labels = labels.join(found.withColumn("there", F.lit(True)), "expected", "left").select("source_id", F.when(F.col("there"), F.col("expected")).alias("expected"))
+    return metrics.mapping_benchmark(matching.decide(matching.candidates(source, target)), labels)
 
 
 @query("""with s as (select p_size as pair, 's' || p_partkey as source_id, p_name as t from part where p_partkey % 2 = 0), g as (select p_size as pair, 't' || p_partkey as target_id, p_name as t from part where p_partkey % 2 = 1),
@@ -513,16 +544,20 @@ _TRANSITION_ROWS = """(null, 'claim', 'claimed', false), ('claimed', 'start_writ
   ('quarantined', 'rearm', 'claimed', false), ('write_started', 'rearm', 'replay_claimed', false), ('batch_write_started', 'rearm', 'replay_claimed', false),
   ('replay_write_started', 'rearm', 'replay_claimed', false), ('uncertain', 'rearm', 'replay_claimed', false), ('batch_uncertain', 'rearm', 'replay_claimed', false),
   ('replay_uncertain', 'rearm', 'replay_claimed', false), ('replay_quarantined', 'rearm', 'replay_claimed', false)"""
-_STATES = sorted({t[2] for t in state.TRANSITIONS})
-_EVENTS = sorted({t[1] for t in state.TRANSITIONS})
+_STATES = ("claimed", "replay_claimed", "write_started", "batch_write_started", "replay_write_started", "committed", "uncertain", "batch_uncertain", "replay_uncertain", "quarantined", "replay_quarantined", None)
+_EVENTS = ("claim", "start_write", "start_write_many", "start_replay_write", "commit", "uncertain", "quarantine", "rearm")
+_WORDS = lambda words: ", ".join("null" if w is None else f"'{w}'" for w in words)
 
 
-@query(f"""with t as (select * from (values {_TRANSITION_ROWS}) v(s, e, n, live)), a as (select * from (select unnest([{", ".join(f"'{s}'" for s in _STATES)}, null]) as state) x, (select unnest([{", ".join(f"'{e}'" for e in _EVENTS)}]) as event) y, (select unnest([true, false]) as claim_live) z)
-select state, event, claim_live, n is not null and (not live or claim_live) as accepted, case when n is not null and (not live or claim_live) then n else state end as next_state from a left join t on s is not distinct from state and e = event""")
+@query(f"""with t as (select * from (values {_TRANSITION_ROWS}) v(s, e, n, live)),
+a as (select event_id, [{_WORDS(_STATES)}][event_id % 12 + 1] as state, [{_WORDS(_EVENTS)}][event_id // 12 % 8 + 1] as event, user_id % 2 = 0 as claim_live from events)
+select event_id, state, event, claim_live, n is not null and (not live or claim_live) as accepted, case when n is not null and (not live or claim_live) then n else state end as next_state from a left join t on s is not distinct from state and e = event""")
 def ledger_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attempts = [(s, e, c) for s in [*_STATES, None] for e in _EVENTS for c in (True, False)]
-    rows = state.advance(spark, spark.createDataFrame(attempts, "state string, event string, claim_live boolean"))
-    return rows.select("state", "event", "claim_live", "accepted", "next_state")
+    """An attempt for each event: every step from every state comes up, with a live claim and without."""
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words)), n.cast("int"))
+    key = F.col("event_id")
+    attempts = table(spark, sf_dir, "events").select("event_id", pick(_STATES, key % 12).alias("state"), pick(_EVENTS, F.floor(key / 12) % 8).alias("event"), (F.col("user_id") % 2 == 0).alias("claim_live"))
+    return state.advance(spark, attempts).select("event_id", "state", "event", "claim_live", "accepted", "next_state")
 
 
 @query(f"""select event_id, attempt, case when attempt = 1 then 'enqueued' when event_type not like '%-changed' then 'duplicate' else 'replay_detected' end as outcome from {duck("replay_events")} q""")
@@ -656,18 +691,13 @@ def lookup_key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unique_keys(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey"])
 
 
-@query("""select * from (values ('c1', 'customer_number', 'copy'), ('c2', 'amount', 'copy'), ('c3', 'ordered_on', 'copy'), ('c4', 'api_token', 'opaque_forward')) v(source_id, target_id, transform)""")
+@query(f"""select source_id, target_id, case when source_id like 'c4:%' then 'opaque_forward' else 'copy' end as transform from ({_DECIDED}) d where status = 'auto'""")
 def plan_from_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions of the matcher compiled to a plan's rules."""
+    """Decisions of the matcher compiled to the rules of each supplier's plan."""
     from weftline.plans import planning
 
-    def schema(name: str, rows: list[tuple]) -> mapping.Schema:
-        return mapping.Schema(name, tuple(mapping.Field(r[1], r[2], r[4], r[5], r[6], r[7], tuple(r[3])) for r in rows))
-
-    source, target = _fields(spark)
-    decisions = [(r["source_id"], r["target_id"], r["status"]) for r in matching.decide(matching.candidates(source, target)).collect()]
-    plan = planning.build(schema("source", _SOURCE_FIELDS), schema("target", _TARGET_FIELDS), sorted(decisions))
-    return spark.createDataFrame([(r.source, r.target, r.transform) for r in plan.rules], "source_id string, target_id string, transform string")
+    source, target = _fields(spark, sf_dir)
+    return planning.rules(matching.decide(matching.candidates(source, target)), source, target).select("source_id", "target_id", "transform")
 
 
 from weftline import state_queries as _state_queries  # noqa: E402,F401  its queries register themselves here

@@ -160,9 +160,13 @@ def batch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.budget(table(spark, sf_dir, "events"), F.octet_length("props"), 100_000_000, 1_000)
 
 
-@query("""select ['extra'] as missing, ['o_orderdate', 'o_orderpriority', 'o_orderstatus', 'o_totalprice'] as unexpected""")
+_FIELD_SETS = """select event_id, case event_id % 4 when 0 then concat(left(props, length(props) - 1), ', "extra": 1, "b": null', chr(125)) when 1 then concat(chr(123), chr(125)) when 2 then null else props end as body from events"""
+
+
+@query(f"""select missing, unexpected, count(*) as records from (select case when event_id % 4 in (1, 2) then ['k'] else [] end as missing, case when event_id % 4 = 0 then ['b', 'extra'] else [] end as unexpected from ({_FIELD_SETS}) b) q group by 1, 2""")
 def mapped_field_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.field_set_exact(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "extra"])
+    """The field names of each event's own record against the one that is expected."""
+    return lifecycle.field_sets(_sql(spark, sf_dir, _FIELD_SETS), F.json_object_keys("body"), ["k"])
 
 
 _OPERATIONAL = """select event_id, case event_id % 7 when 0 then 'workflow_started' when 1 then 'workflow_completed' when 2 then 'batch_completed' when 3 then 'stage_summary' when 4 then 'delivery' when 5 then 'delivery_batch' else 'other' end as event_type,
