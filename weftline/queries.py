@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import transforms, types
-from weftline.operators import chunking, matching, metrics, quality, state
+from weftline.operators import chunking, matching, metrics, nearest, quality, state
 from weftline.plans import mapping
 from weftline.plans.derived import duck, view
 from weftline.session import shared_dir, table
@@ -396,33 +396,8 @@ def schema_drift_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as score from q, embeddings e where e.vec_id <> q.vec_id)
 select query_id, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s) r where place <= 4""")
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four nearest of each query vector (ids divisible by 20) among all vectors: blocks of vectors against blocks of queries."""
-    import numpy as np
-    import pyarrow as pa
-
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = vectors.filter("vec_id % 20 = 0 and embedding is not null").select(F.expr("vec_id div 20480").alias("qblock"), "vec_id", "embedding")
-    blocks = asked.groupBy("qblock").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    parts = vectors.filter("embedding is not null").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, spark.sparkContext.defaultParallelism))))
-    left = parts.groupBy("part", F.expr("vec_id div 65536").alias("vblock")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("vectors"))
-
-    def nearest(batches):
-        for batch in batches:
-            for queries, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                qi, vi = np.array([q["vec_id"] for q in queries]), np.array([v["vec_id"] for v in found])
-                q, v = (matching.unit(np.array([x["embedding"] for x in xs], float)) for xs in (queries, found))
-                scores = np.round(q @ v.T, 6)
-                rows: list[tuple] = []
-                for a, s in zip(qi, scores, strict=True):
-                    keep = vi != a
-                    best = np.lexsort((vi[keep], -s[keep]))[:4]
-                    rows += [(a, b, c) for b, c in zip(vi[keep][best], s[keep][best], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "vec_id", "score"])
-
-    met = left.join(blocks, F.lit(True)).select("queries", "vectors")
-    near = met.mapInArrow(nearest, "query_id long, vec_id long, score double")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("place", place).filter("place <= 4").drop("place")
+    """The four nearest of each query vector (ids divisible by 20) among all vectors."""
+    return nearest.topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, "vec_id", "embedding").found
 
 
 # ---- events, runs, batches
