@@ -19,6 +19,69 @@ def event_summary(events: DataFrame, keys: list[str], order: str, event_id: str,
     )
 
 
+#: What events are counted by, beside the whole run.
+FACETS = ("component", "event_type", "status", "reason_code")
+
+
+def event_stream_summary(events: DataFrame, run: str, order: str, event_id: str, first: str, last: tuple[str, ...]) -> DataFrame:
+    """By run, and by run and each of FACETS: run, facet (`run` or the column), value, events, duplicate_ids, first_at, last_at,
+    first_type, last_type, contract_valid (all events are, as `valid` says); for whole runs lifecycle_valid too, else null.
+
+    One shuffle serves all groupings. A run's life cycle is sound if it begins with `first`, ends with one of `last` and has each once.
+    """
+    sets = [[F.col(run)], *[[F.col(run), F.col(c)] for c in FACETS]]
+    kind, at = F.col("event_type"), F.struct(order, event_id)
+    facet = F.lit("run")
+    value = F.lit(None).cast("string")
+    for c in FACETS:
+        # grouping() is 0 for the columns of the set that a row belongs to.
+        facet = F.when(F.grouping(c) == 0, c).otherwise(facet)
+        value = F.when(F.grouping(c) == 0, F.col(c)).otherwise(value)
+    # The kind of event is read as an ordinary column too, which the sets must not set to null.
+    rows = events.withColumn("__kind", kind)
+    kind = F.col("__kind")
+    sound = (F.min_by(kind, at) == first) & F.max_by(kind, at).isin(*last) & (F.count_if(kind == first) == 1) & (F.count_if(kind.isin(*last)) == 1)
+    whole = F.lit(True)
+    for c in FACETS:
+        whole = whole & (F.grouping(c) == 1)
+    return rows.groupingSets(sets, run, *FACETS).agg(
+        facet.alias("facet"),
+        value.alias("value"),
+        F.count(F.lit(1)).alias("events"),
+        (F.count(F.lit(1)) - F.count_distinct(event_id)).alias("duplicate_ids"),
+        F.min(order).alias("first_at"),
+        F.max(order).alias("last_at"),
+        F.min_by(kind, at).alias("first_type"),
+        F.max_by(kind, at).alias("last_type"),
+        F.bool_and(F.coalesce("valid", F.lit(False))).alias("contract_valid"),
+        F.when(whole, F.coalesce(sound, F.lit(False))).alias("lifecycle_valid"),
+    ).select(run, "facet", "value", "events", "duplicate_ids", "first_at", "last_at", "first_type", "last_type", "contract_valid", "lifecycle_valid")
+
+
+#: Latencies that a stage keeps.
+RESERVOIR = 10_000
+
+
+def stage_accumulator(calls: DataFrame, stage: list[str], id: str, wall: str, cpu: str, items: str, reservoir: int = RESERVOIR) -> DataFrame:
+    """By stage: calls, items, wall and cpu sums, throughput (items for each unit of wall), and p50 and p95 of a reservoir of
+    latencies: those `reservoir` calls whose ids have the smallest SHA-256. The choice depends on the ids alone, so every run,
+    and every order of merging, keeps the same calls. Each task hands on no more than the reservoir of a stage."""
+    sums = calls.groupBy(*stage).agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.sum(items).alias("items"),
+        F.sum(wall).alias("wall"),
+        F.sum(cpu).alias("cpu"),
+        F.try_divide(F.sum(items), F.sum(wall)).alias("throughput"),
+    )
+    digest = F.sha2(F.coalesce(F.col(id).cast("string"), F.lit("")), 256)
+    chosen = calls.select(*stage, F.col(wall).alias("__wall"), digest.alias("__digest"), F.col(id).alias("__id"))
+    # The limit on the row number is taken before the shuffle as well as after it.
+    place = F.row_number().over(W.partitionBy(*stage).orderBy("__digest", "__id", "__wall"))
+    kept = chosen.withColumn("__place", place).filter(F.col("__place") <= reservoir)
+    ranks = kept.groupBy(*stage).agg(F.percentile("__wall", 0.5).alias("p50"), F.percentile("__wall", 0.95).alias("p95"), F.count(F.lit(1)).alias("kept"))
+    return _joined(sums, ranks, stage)
+
+
 #: Rows up to which a group's values may be held in one task for exact percentiles; more are ranked in two levels.
 HELD_ROWS = 2_000_000
 #: Ranges of values into which a group is dealt.

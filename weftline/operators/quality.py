@@ -78,13 +78,16 @@ def not_finite(c: Column) -> Column:
     return F.isnan(c) | (F.abs(c) == float("inf"))
 
 
-def findings(df: DataFrame, required: tuple[str, ...] = (), expected: tuple[str, ...] | None = None) -> DataFrame:
-    """One row for each row and field with a finding: all columns of df, and code, field."""
+def findings(df: DataFrame, required: tuple[str, ...] = (), expected: tuple[str, ...] | None = None, delimited: bool = False) -> DataFrame:
+    """One row for each row and field with a finding: all columns of df, and code, field.
+
+    delimited: df was read from delimited text, which cannot tell a null from an empty cell, so that a null text counts as empty.
+    """
     texts = [name for name, kind in df.dtypes if kind == "string" and (expected is None or name in expected)]
-    return apart(df, texts, lambda rows, composing: _findings(rows, required, expected, composing))
+    return apart(df, texts, lambda rows, composing: _findings(rows, required, expected, composing, delimited))
 
 
-def _findings(df: DataFrame, required: tuple[str, ...], expected: tuple[str, ...] | None, composing: bool) -> DataFrame:
+def _findings(df: DataFrame, required: tuple[str, ...], expected: tuple[str, ...] | None, composing: bool, delimited: bool = False) -> DataFrame:
     checks: list[Column] = []
     for name, kind in df.dtypes:
         if expected is not None and name not in expected:
@@ -94,7 +97,7 @@ def _findings(df: DataFrame, required: tuple[str, ...], expected: tuple[str, ...
             checks.append(_code(F.col(name).isNull(), "null_in_required_field", name))
         if kind == "string":
             c = F.col(name)
-            checks += [_code(empty(c), "empty_string", name), _code(outer_whitespace(c), "outer_whitespace", name), _code(control_character(c), "embedded_control_character", name)]
+            checks += [_code(empty(c) | (c.isNull() if delimited else F.lit(False)), "empty_string", name), _code(outer_whitespace(c), "outer_whitespace", name), _code(control_character(c), "embedded_control_character", name)]
             if composing:
                 checks.append(_code(not_normalized(c), "non_normalized_unicode", name))
         if kind in ("double", "float"):

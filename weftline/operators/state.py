@@ -79,7 +79,8 @@ def first_delivery(df: DataFrame, identity: list[str], digest: Column, order: li
 
 
 def pending_prefix(df: DataFrame, scope: list[str], order: list[str], size: str, budget: int, limit: int) -> DataFrame:
-    """The rows of each scope that fit: in order, while the running size stays in the budget and the count in the limit.
+    """The rows of each scope that fit: in order, while the running size stays in the budget and the count in the limit. A scope
+    whose first row alone is beyond the budget could never be emptied: that fails the job.
 
     Only the first `limit` rows of a scope can fit. They are found in parts first, so that a hot scope is not sorted in one
     task; the running size then goes over few rows.
@@ -88,7 +89,10 @@ def pending_prefix(df: DataFrame, scope: list[str], order: list[str], size: str,
     df = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(64))).withColumn("__at", F.row_number().over(salt)).filter(F.col("__at") <= limit).drop("__salt", "__at")
     w = W.partitionBy(*scope).orderBy(*order)
     running = df.withColumn("running", F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
-    return running.filter((F.col("running") <= budget) & (F.col("place") <= limit))
+    stuck = (F.col("place") == 1) & (F.col("running") > budget)
+    message = F.concat(F.lit(f"the first row of a scope is larger than the budget of {budget}: "), F.to_json(F.struct(*scope, *order)))
+    checked = running.withColumn("running", F.when(stuck, F.raise_error(message)).otherwise(F.col("running")))
+    return checked.filter((F.col("running") <= budget) & (F.col("place") <= limit))
 
 
 def chain(df: DataFrame, stream: str, order: str, event: str) -> DataFrame:

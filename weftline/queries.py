@@ -403,10 +403,10 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- events, runs, batches
 
 
-@query("""select event_type, count(*) as events, count(*) - count(distinct event_id) as duplicate_ids, min(ts) as first_at, max(ts) as last_at,
-arg_min(user_id, {'a': ts, 'b': event_id}) as first_type, arg_max(user_id, {'a': ts, 'b': event_id}) as last_type from events group by 1""")
+@query("""select user_id, count(*) as events, count(*) - count(distinct event_id) as duplicate_ids, min(ts) as first_at, max(ts) as last_at,
+arg_min(event_type, {'a': ts, 'b': event_id}) as first_type, arg_max(event_type, {'a': ts, 'b': event_id}) as last_type from events group by 1""")
 def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.event_summary(table(spark, sf_dir, "events"), ["event_type"], "ts", "event_id", "user_id")
+    return metrics.event_summary(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", "event_type")
 
 
 @query("""select event_id, event_type in ('click', 'error', 'purchase', 'signup', 'view') and value >= 0 and user_id is not null and (event_type <> 'purchase' or value > 0) as valid from events""")

@@ -7,6 +7,7 @@ import io
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators.quality import formula_like
@@ -91,22 +92,137 @@ def breaks_lines(lines: DataFrame) -> bool:
     return bool(lines.filter(F.regexp_count("value", F.lit('"')) % 2 == 1).limit(1).count())
 
 
+def _ends(line: str, inside: bool, sep: str) -> bool:
+    """Whether a line ends within a quoted cell, if it begins within one or not. Quotes open a cell at its beginning only."""
+    at = 0
+    while True:
+        if inside or line[at : at + 1] == '"':
+            at += not inside
+            while True:
+                at = line.find('"', at)
+                if at < 0:
+                    return True
+                if line[at + 1 : at + 2] != '"':
+                    break
+                at += 2
+            inside = False
+        at = line.find(sep, at)
+        if at < 0:
+            return False
+        at += len(sep)
+
+
+def records(spark: SparkSession, path: str, sep: str, encoding: str = "UTF-8") -> DataFrame:
+    """record and leads (the first of its file): the records of delimited files whose quoted cells may hold line ends, read by ranges.
+
+    Whether a range begins within a quoted cell depends on all ranges before. So each range first says, for both cases, how it
+    would end; these answers, one row for each range, are composed along the file. Then each range puts its lines together to
+    records, and hands on the pieces of those that go over its borders, at most two.
+    """
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path).select(*where, "value")
+    ends = _ends
+
+    def runs(batch):
+        """Slices of a batch that lie in one range."""
+        import pyarrow.compute as pc
+
+        files, starts = batch.column(0), batch.column(1)
+        same = pc.and_(pc.equal(files.slice(1), files.slice(0, len(files) - 1)), pc.equal(starts.slice(1), starts.slice(0, len(starts) - 1))).to_pylist() if batch.num_rows > 1 else []
+        edges = [0, *(i + 1 for i, x in enumerate(same) if not x), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                yield (files[a].as_py(), starts[a].as_py()), batch.slice(a, b - a)
+
+    def both(batches):
+        import pyarrow as pa
+
+        key, out, inn = None, False, True
+        row = lambda: pa.RecordBatch.from_pylist([{"file": key[0], "start": key[1], "out": out, "inn": inn}], pa.schema([("file", pa.string()), ("start", pa.int64()), ("out", pa.bool_()), ("inn", pa.bool_())]))
+        for batch in batches:
+            for own, part in runs(batch):
+                if own != key:
+                    if key is not None:
+                        yield row()
+                    key, out, inn = own, False, True
+                for line in part.column(2).to_pylist():
+                    if '"' in line:
+                        out, inn = ends(line, out, sep), ends(line, inn, sep)
+        if key is not None:
+            yield row()
+
+    ranges = lines.mapInArrow(both, "file string, start long, out boolean, inn boolean")
+    # One row for each range of the input, folded along each file.
+    each = F.array_sort(F.collect_list(F.struct("start", "out", "inn")))
+    begin = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<start:long,inside:boolean>>").alias("found"))
+    step = lambda acc, r: F.struct(F.when(acc["inside"], r["inn"]).otherwise(r["out"]).alias("inside"), F.concat(acc["found"], F.array(F.struct(r["start"].alias("start"), acc["inside"].alias("inside")))).alias("found"))
+    settled = ranges.groupBy("file").agg(each.alias("r")).select("file", F.explode(F.aggregate("r", begin, step)["found"]).alias("f")).select("file", "f.start", "f.inside")
+
+    def whole(batches):
+        import pyarrow as pa
+
+        key, inside, held, lead, first = None, False, [], False, False
+        rows: list[tuple] = []
+
+        def batch_of():
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "start", "kind", "record", "leads"])
+            rows.clear()
+            return made
+
+        for batch in batches:
+            states = batch.column(3)
+            at = 0
+            for own, part in runs(batch):
+                if own != key:
+                    if held:
+                        rows.append((*key, "head" if lead else "tail", "\n".join(held), first))
+                    key, held = own, []
+                    inside = lead = states[at].as_py()
+                    first = own[1] == 0
+                at += part.num_rows
+                for line in part.column(2).to_pylist():
+                    held.append(line)
+                    if inside or '"' in line:
+                        inside = ends(line, inside, sep)
+                    if not inside:
+                        rows.append((*key, "end" if lead else "whole", "\n".join(held), first))
+                        held, lead, first = [], False, False
+            yield batch_of()
+        if held:
+            rows.append((*key, "head" if lead else "tail", "\n".join(held), first))
+        yield batch_of()
+
+    known = lines.join(F.broadcast(settled), ["file", "start"]).select("file", "start", "value", "inside")
+    pieces = known.mapInArrow(whole, "file string, start long, kind string, record string, leads boolean")
+    parts = pieces.filter("kind <> 'whole'")
+    # A record that is cut begins with a tail, goes over heads (ranges within it), and stops with an end.
+    number = F.sum(F.when(F.col("kind") == "tail", 1).otherwise(0)).over(W.partitionBy("file").orderBy("start", F.when(F.col("kind") == "tail", 1).otherwise(0)))
+    joined = parts.withColumn("n", number).groupBy("file", "n").agg(F.array_sort(F.collect_list(F.struct("start", "record", "leads"))).alias("p"))
+    cut = joined.select(F.array_join(F.col("p.record"), "\n").alias("record"), F.col("p")[0]["leads"].alias("leads"))
+    return pieces.filter("kind = 'whole'").select("record", "leads").unionByName(cut).withColumn("record", F.regexp_replace("record", r"\r\z", ""))
+
+
 def read(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8", skip_repeated_headers: bool = True, multi_line: bool | None = None) -> DataFrame:
     """Records as text columns c1..cn with their header names in the columns' metadata; blanks are null, blank rows skipped,
     short rows padded. Rows longer than the header fail the job that reads them.
 
-    multi_line: whether quoted cells may hold line ends, so that a file can't be split; None: found by a pass over all lines.
+    multi_line: whether quoted cells may hold line ends; None: found by a pass over all lines. Such files are read by ranges too.
     """
     lines = spark.read.option("encoding", encoding).text(path)
-    sample = "\n".join(r[0] for r in lines.limit(SAMPLE_ROWS).collect()).lstrip("﻿")
+    sample = "\n".join(r[0] for r in lines.limit(SAMPLE_ROWS).collect()).lstrip("\ufeff")
     sep = delimiter or detect_delimiter(spark, sample)
     multi_line = breaks_lines(lines) if multi_line is None else multi_line
     header = next(csv.reader(io.StringIO(sample), delimiter=sep))
     names = header_names(header)
     ids = [f"c{i}" for i in range(1, len(names) + 1)]
     schema = ", ".join(f"`{c}` string" for c in [*ids, "__more"])
-    reader = spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("header", True).option("enforceSchema", True)
-    rows = reader.option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}
+    if multi_line:
+        rows = records(spark, path, sep, encoding).filter("not leads").select(F.from_csv("record", F.lit(schema), options).alias("r")).select("r.*")
+    else:
+        rows = spark.read.schema(schema).options(**options).option("encoding", encoding).option("header", True).option("enforceSchema", True).csv(path)
     rows = rows.withColumn("__wide", F.when(F.col("__more").isNotNull(), F.raise_error(F.lit("a row is longer than the header"))))
     cells = [F.when(F.trim(c) == "", F.lit(None)).otherwise(F.col(c)).alias(c) for c in ids]
     filled = rows.filter(F.col("__wide").isNull()).select(*cells).filter(~_all_blank(ids))

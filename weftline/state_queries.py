@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import contracts, lifecycle
+from weftline.operators import contracts, lifecycle, metrics
 from weftline.queries import query
 from weftline.session import table
 
@@ -188,6 +188,32 @@ def operational_event_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.events_judged(_sql(spark, sf_dir, _OPERATIONAL)).select("event_id", "valid")
 
 
+@query(f"""with v as (select event_id % 9 < 7 as valid, user_id % 40 as run, ts as place, event_id // 2 as id, component, o.event_type as event_type, status, reason_code, o.event_type as kind from events join ({_OPERATIONAL}) o using (event_id)
+), g as (select run, case when grouping(component) = 0 then 'component' when grouping(event_type) = 0 then 'event_type' when grouping(status) = 0 then 'status' when grouping(reason_code) = 0 then 'reason_code' else 'run' end as facet,
+  case when grouping(component) = 0 then component when grouping(event_type) = 0 then event_type when grouping(status) = 0 then status when grouping(reason_code) = 0 then reason_code end as value,
+  count(*) as events, count(*) - count(distinct id) as duplicate_ids, min(place) as first_at, max(place) as last_at, arg_min(kind, {{'a': place, 'b': id}}) as first_type, arg_max(kind, {{'a': place, 'b': id}}) as last_type, bool_and(valid) as contract_valid,
+  count(*) filter (where kind = 'workflow_started') as starts, count(*) filter (where kind = 'workflow_completed') as ends
+  from v group by grouping sets ((run), (run, component), (run, event_type), (run, status), (run, reason_code)))
+select run, facet, value, events, duplicate_ids, first_at, last_at, first_type, last_type, contract_valid,
+  case when facet = 'run' then first_type = 'workflow_started' and last_type = 'workflow_completed' and starts = 1 and ends = 1 end as lifecycle_valid from g""")
+def event_stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").selectExpr("event_id", "user_id % 40 as run", "ts as place", "event_id div 2 as id", "event_id % 9 < 7 as valid")
+    return metrics.event_stream_summary(_sql(spark, sf_dir, _OPERATIONAL).join(own, "event_id"), "run", "place", "id", "workflow_started", ("workflow_completed",))
+
+
+@query("""with r as (select *, row_number() over (partition by event_type order by sha256(event_id::varchar), event_id) as p from events),
+k as (select event_type, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.95) as p95, count(*) as kept from r where p <= 500 group by 1),
+s as (select event_type, count(*) as calls, sum(user_id % 7)::bigint as items, sum((value * 100)::bigint)::bigint as wall, sum(user_id)::bigint as cpu from events group by 1)
+select event_type, calls, items, wall, cpu, round(items / wall, 9) as throughput, round(p50, 6) as p50, round(p95, 6) as p95, kept from s join k using (event_type)""")
+def stage_accumulator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as latencies of the event types as stages, with a reservoir small enough to leave some out."""
+    events = table(spark, sf_dir, "events").select("event_type", "event_id", "value", F.col("user_id").alias("cpu"), (F.col("user_id") % 7).alias("items"))
+    found = metrics.stage_accumulator(events, ["event_type"], "event_id", "value", "cpu", "items", reservoir=500)
+    cents = events.groupBy("event_type").agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    joined = found.join(cents, "event_type")
+    return joined.select("event_type", "calls", "items", F.col("cents").alias("wall"), "cpu", F.round(F.col("items") / F.col("cents"), 9).alias("throughput"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "kept")
+
+
 _DECISIONS = """select p_partkey, concat('s', cast(p_partkey % 30 as varchar(9))) as source_id, case when p_partkey % 4 = 0 then null else concat('t', cast(p_partkey % 25 as varchar(9))) end as target_id,
   case p_partkey % 5 when 0 then 'auto' when 1 then 'review' when 2 then 'blocked' when 3 then 'maybe' end as status, p_size / 45.0 as score, (p_size - 3) / 50.0 as margin from part"""
 
