@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch, fresh, ship, small, text_of
@@ -233,18 +234,30 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
 
 
-def dealt(members: DataFrame, unit: str, sizes: DataFrame) -> DataFrame:
-    """members with mine (their block), i and j (a pair of blocks with i <= j that holds mine), for each such pair.
+def dealt(members: DataFrame, unit: str, share: Column, scratch: Scratch) -> DataFrame:
+    """members with mine (their block), i and j (a pair of blocks with i <= j that holds mine), for each such pair that may hold a link.
 
-    sizes: unit and blocks, the number of blocks in which the unit's rows are dealt.
+    share: what part of a block a group of members fills (an aggregate). A label that fills more than one block of a unit has
+    blocks of its own, and these do not meet each other, as a label's members are linked already: they meet the unit's other blocks
+    alone. So a large group that was found before is dealt once for each block of others, not for each block of itself.
     """
-    out = members.join(small(sizes), unit).withColumn("mine", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
-
-
-def sized(members: DataFrame, unit: str, blocks: Column, scratch: Scratch) -> DataFrame:
-    return scratch.table(members.groupBy(unit).agg(blocks.cast("int").alias("blocks")))
+    counts = scratch.table(members.groupBy(unit, "label").agg(share.alias("share")))
+    big = counts.filter("share > 1").select(unit, "label", F.ceil("share").cast("int").alias("own"))
+    # Labels that fill blocks of their own are no more than a unit's blocks.
+    before = F.coalesce(F.sum("own").over(W.partitionBy(unit).orderBy("label").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    big = big.withColumn("before", before)
+    units = counts.groupBy(unit).agg(
+        F.coalesce(F.ceil(F.sum(F.when(F.col("share") <= 1, F.col("share")))), F.lit(0)).cast("int").alias("mixed"), F.coalesce(F.sum(F.when(F.col("share") > 1, F.ceil("share"))), F.lit(0)).cast("int").alias("pure")
+    )
+    out = members.join(small(scratch.table(units)), unit).join(small(scratch.table(big)), [unit, "label"], "left")
+    hashed = F.xxhash64("number")
+    own = F.col("own").isNotNull()
+    first = F.col("mixed") + F.col("before").cast("int")
+    out = out.withColumn("mine", F.when(own, first + F.pmod(hashed, F.col("own")).cast("int")).otherwise(F.pmod(hashed, F.greatest("mixed", F.lit(1))).cast("int")))
+    every = F.sequence(F.lit(0), F.col("mixed") + F.col("pure") - 1)
+    others = F.filter(every, lambda b: ~own | (b < first) | (b >= first + F.col("own")))
+    out = out.withColumn("other", F.explode(others))
+    return out.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "mixed", "pure", "own", "before")
 
 
 def _edges(a: list[int], b: list[int]) -> pa.Table:
@@ -292,7 +305,7 @@ def likely(members: DataFrame, classes: DataFrame, need: int, percent: int, scra
             m._merge(part, k, other)
         return m._edges(a, b)
 
-    rows = dealt(members, "band", sized(members, "band", F.ceil(F.count(F.lit(1)) / BLOCK), scratch)).join(classes, "number")
+    rows = dealt(members, "band", F.count(F.lit(1)) / BLOCK, scratch).join(classes, "number")
     # Dealt by pairs of blocks, so that those of one bucket go to different tasks.
     return rows.repartition("band", "i", "j").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
 
@@ -338,8 +351,8 @@ def held(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
             m._merge(part, k, other)
         return m._edges(a, b)
 
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / SET_BLOCK), F.ceil(F.sum("n_shingles") / SET_ITEMS))
-    rows = dealt(members, "unit", sized(members, "unit", blocks, scratch)).drop("n_shingles").join(sets, "number")
+    share = F.greatest(F.count(F.lit(1)) / SET_BLOCK, F.sum("n_shingles") / SET_ITEMS)
+    rows = dealt(members, "unit", share, scratch).drop("n_shingles").join(sets, "number")
     return rows.repartition("unit", "i", "j").groupBy("unit", "i", "j").applyInArrow(compare, "a long, b long")
 
 
