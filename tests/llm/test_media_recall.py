@@ -62,6 +62,68 @@ def test_enlarged_copies(side):
     assert found >= 18
 
 
+@pytest.mark.parametrize("side", [64, 96, 150])
+@pytest.mark.parametrize("share", [0.9, 0.8, 0.6, 1.7])
+def test_resized_pictures(side, share):
+    """Recall of at least 0.9 for whole pictures at other sizes."""
+    rng = np.random.default_rng(11)
+    found = 0
+    for _ in range(40):
+        image = picture(rng, side)
+        other = media.resize(image, round(side * share), round(side * share))
+        found += media.agree(packed(media.write_pgm(image)), packed(media.write_pgm(other))) >= media.VOTES
+    assert found >= 36
+
+
+def brute_groups(raws):
+    """The smallest number that the links of agree() reach from each image."""
+    images = [media.read_image(r) for r in raws]
+    key = [xxhash.xxh3_128_digest(str(x.shape).encode() + np.ascontiguousarray(x).tobytes()) for x in images]
+    feats = {k: packed(r) for k, r in zip(key, raws, strict=True)}
+    order = sorted(feats)
+    label = {k: key.index(k) for k in order}
+    for j, b in enumerate(order):
+        for a in order[:j]:
+            if label[a] != label[b] and media.agree(feats[a], feats[b]) >= media.VOTES:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return [label[k] for k in key]
+
+
+@pytest.mark.parametrize("blocks", [(8, 2, 1 << 24), (2048, 256, 4000), (2048, 256, 1 << 24)])
+def test_groups_match_all_pairs(spark, monkeypatch, blocks):
+    """Planted crops and edits, chains of crops that overlap only with their neighbours; small blocks split cells and components."""
+    for name, value in zip(("BLOCK", "PAIR_BLOCK", "PAIR_BYTES"), blocks, strict=True):
+        monkeypatch.setattr(media, name, value)
+    rng = np.random.default_rng(7)
+    raws = []
+    for _ in range(4):
+        image = picture(rng, 96)
+        raws += [media.write_pgm(x) for x in (image[8:56, 20:68], image[30:74, 5:49], image, image, *[e(image, rng) for e in EDITS.values()])]
+    wide = media.resize(rng.random((10, 60)) * 255, 80, 480)
+    raws += [media.write_pgm(wide[:, x : x + 80]) for x in range(0, 400, 40)]
+    raws += [media.write_pgm(picture(rng, 64)) for _ in range(25)]
+    raws = [raws[k] for k in rng.permutation(len(raws))]
+    df = spark.createDataFrame(list(enumerate(raws)), "id long, image binary")
+    got = {r["id"]: r["group_id"] for r in media.groups(df).collect()}
+    want = brute_groups(raws)
+    assert [got[i] for i in range(len(raws))] == want and len(set(want)) < len(raws) - 25
+
+
+def test_groups_of_a_large_component(spark):
+    """Many near copies and pictures that meet them by single corners: every pair of components with a link is joined, equal rows too."""
+    rng = np.random.default_rng(12)
+    image = picture(rng, 96)
+    raws = [media.write_pgm(image + rng.normal(0, 6, image.shape)) for _ in range(60)] + [media.write_pgm(picture(rng, 64)) for _ in range(20)] + [None, b"", b"junk"]
+    raws.append(raws[0])
+    df = spark.createDataFrame([(i, r, "x") for i, r in enumerate(raws)] + [(None, raws[1], "y")], "id long, image binary, pixels string")
+    got = {r["id"]: (r["class_id"], r["group_id"]) for r in media.groups(df).collect()}
+    want = brute_groups([r for r in raws if r and r[:2] == b"P5"])
+    assert [got[i][1] for i in range(80)] == want[:80]
+    assert got[83] == (0, 0) and got[None] == (1, 0) and [got[80 + k] for k in range(3)] == [(None, None)] * 3
+    assert media.groups(df.limit(0)).count() == 0
+
+
 def brute_links(raws):
     """Links of each image, from agree() over all pairs of classes, in the order of their pixels."""
     images = [media.read_image(r) for r in raws]

@@ -1,12 +1,13 @@
 """Media columns: copies of images by local descriptors.
 
-Images with equal pixels are one class. Each class gets corners on several scales (Harris response, local maxima), each
-corner an orientation (intensity centroid) and 256 binary intensity tests turned by it. Two descriptors within RADIUS
+Images with equal pixels are one class. Each class gets corners on several scales, some of fixed size, which whole images that
+were resized have in common (Harris response, local maxima), each corner an orientation (intensity centroid) and 256 binary intensity tests turned by it. Two descriptors within RADIUS
 bits of each other agree in at least one of TABLES equal parts of their bits; the parts are the keys of Hamming tables.
 Descriptors that share a cell are compared in whole, cells of more than BLOCK descriptors in pairs of blocks, so that all
 matches of all classes are found, each in the first table that holds it. The matches of two classes vote for a scale, a
 turn and a shift, and a pair is linked when VOTES of them agree, which holds for crops, for changes of brightness and
-contrast, and for noise, recompression and rescaling that leave VOTES corners within RADIUS.
+contrast, and for noise, recompression and rescaling that leave VOTES corners within RADIUS. groups() returns what the links
+join and writes out no group as pairs; copies() counts the links themselves, which are as many as a group's square.
 
 Images are given as bytes (PNG with 8 bits a channel and no interlace, PGM, PPM). Defined cases: null, empty or unreadable
 bytes have no class and no links, like a PNG whose data are longer than its size says; images without corners link with
@@ -22,14 +23,18 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch, ship, small
+from weftline.llm.hyperminhash import components, dealt
 
 SCALES = (1.0, 0.84, 0.71, 0.59, 0.5)
+#: The larger side of levels of fixed size is this number times a power of two, so that a resized image has a level of its original's.
+SIDE = 64
 #: Corners kept in each square of TILE x TILE pixels of each scale, the strongest; part of the descriptor's definition.
 CORNERS = 24
 TILE = 64
@@ -47,6 +52,9 @@ BLOCK = 2048
 #: Tables whose cells are compared in one job; the others wait, so that few are on the disk at a time.
 AT_ONCE = 2
 VOTES = 4
+#: Classes, and bytes of their features, in one block of a pair of components.
+PAIR_BLOCK = 256
+PAIR_BYTES = 1 << 24
 #: Steps of the votes: scale (log 2), turn (radians) and shift (share of the larger side).
 STEP_SCALE, STEP_TURN, STEP_SHIFT = 0.5, math.pi / 6, 0.125
 RECORD = struct.Struct("<ffff32s")
@@ -151,13 +159,23 @@ def _box(image: np.ndarray, r: int) -> np.ndarray:
     return (sums[n:, n:] - sums[:-n, n:] - sums[n:, :-n] + sums[:-n, :-n]) / (n * n)
 
 
+def levels(side: int) -> list[float]:
+    """Scales at which an image with this larger side is described: shares of its size, which crops have too, and the two
+    largest fixed sizes within it, of which images of between half and all of each other's size have one in common. Images
+    of between SIDE / 2 and SIDE are enlarged to SIDE."""
+    power = max(0, math.floor(math.log2(side / SIDE))) if side else 0
+    fixed = {SIDE << power, SIDE << max(0, power - 1)}
+    return [*SCALES, *sorted((f / side for f in fixed if 2 * side >= f), reverse=True)]
+
+
 def features(image: np.ndarray) -> list[tuple[float, float, float, float, bytes]]:
     """Corners: x, y (in the image), scale, angle, descriptor."""
-    out = []
-    for scale in SCALES:
+    out, known = [], set()
+    for scale in levels(max(image.shape)):
         h, w = round(image.shape[0] * scale), round(image.shape[1] * scale)
-        if min(h, w) < 2 * PATCH + 6:
+        if min(h, w) < 2 * PATCH + 6 or (h, w) in known:
             continue
+        known.add((h, w))
         level = _box(image if scale == 1.0 else resize(image, h, w), 1)
         gy, gx = np.gradient(level)
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
@@ -287,6 +305,162 @@ def copies(images: DataFrame, votes: int = VOTES) -> DataFrame:
     return found.unionByName(blank)
 
 
+def groups(images: DataFrame, votes: int = VOTES) -> DataFrame:
+    """images (id, image) to one row for each row: id, class_id (smallest id with the same pixels), group_id (smallest id that links reach).
+
+    The links are those that copies() counts, but no group is written out as pairs:
+    1. In each cell the classes are linked to the cell's first class, where features of both agree (see voted).
+    2. In cells whose classes still lie in several components, matches between components are sought. For each pair of components the
+       most matches that two of its classes have in a cell are summed over the cells; below `votes` no link is possible.
+    3. For the pairs of components that are left, the classes with matches in the other one are compared in whole, in blocks,
+       up to the first link, which joins the two.
+    """
+    ship(images.sparkSession)
+    scratch = Scratch(images.sparkSession)
+    rows = scratch.table(describe(images.select(F.col("id").cast("long").alias("id"), "image")).drop("places"))
+    seen = rows.filter("pixels is not null")
+    classes = seen.groupBy("pixels").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats"))
+    classes = scratch.table(classes.withColumn("number", F.monotonically_increasing_id()))
+    cells = scratch.table(celled(classes))
+    links = scratch.table(starred(cells, classes, votes, scratch))
+    found = components(links, scratch)
+    further = scratch.table(crossing(cells, found, classes, votes, scratch))
+    if further.limit(1).count():
+        found = components(links.unionByName(further), scratch)
+    named = scratch.table(classes.select("pixels", "number", "class_id").join(found, F.col("number") == F.col("node"), "left").select("pixels", "class_id", F.coalesce("label", "number").alias("label")))
+    # Written first, so that a large group's classes can be split when they meet their root.
+    roots = scratch.table(named.groupBy("label").agg(F.min("class_id").alias("group_id")))
+    ids = scratch.table(named.join(roots, "label").drop("label"))
+    scratch.drop(cells)
+    out = seen.select("id", "pixels").join(ids, "pixels").select("id", "class_id", "group_id")
+    none = F.lit(None).cast("long")
+    return out.unionByName(rows.filter("pixels is null").select("id", none.alias("class_id"), none.alias("group_id")))
+
+
+def celled(classes: DataFrame) -> DataFrame:
+    """number, corner, t, cell, bits: each corner of each class in the cells of the tables that other classes are in too."""
+    size, lead = RECORD.size, PLACE.size
+    corners = classes.filter("length(feats) > 0").select("number", "feats", F.explode(F.expr(f"sequence(0, cast(length(feats) div {size} as int) - 1)")).alias("corner"))
+    corners = corners.select("number", "corner", F.expr(f"substring(feats, corner * {size} + {lead + 1}, {size - lead})").alias("bits"))
+    keyed = corners.withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])))
+    keyed = keyed.withColumn("cell", F.expr(f"substring(bits, t * {PART} + 1, {PART})"))
+    shared = keyed.groupBy("t", "cell").agg(F.min("number").alias("first"), F.max("number").alias("last")).filter("first != last")
+    return keyed.join(shared.select("t", "cell", "first"), ["t", "cell"])
+
+
+def starred(cells: DataFrame, classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between classes and the first classes of their cells."""
+    met = cells.filter("number != first").groupBy("first", "number", "corner").agg(F.lit(1).alias("x"))
+    met = met.groupBy("first", "number").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= votes)
+    # Written first, so that a class that is the first one of many can be split.
+    met = scratch.table(met.select(F.col("first").alias("a"), F.col("number").alias("b")))
+    side = lambda c: classes.select(F.col("number").alias(c), F.struct("pixels", "feats").alias(f"of_{c}"))
+    both = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a.pixels", "of_a.feats", F.col("of_b.pixels").alias("pixels_b"), F.col("of_b.feats").alias("feats_b"))
+
+    def work(batches):
+        from weftline.llm import media as m
+
+        for batch in batches:
+            a, b, pixels_a, feats_a, pixels_b, feats_b = (batch.column(i).to_pylist() for i in range(6))
+            keep = []
+            for k in range(batch.num_rows):
+                # From the smaller pixels to the larger, as the numbers may differ from run to run.
+                x, y = (feats_a[k], feats_b[k]) if pixels_a[k] < pixels_b[k] else (feats_b[k], feats_a[k])
+                if m.agree(x, y, votes) >= votes:
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
+
+    return both.mapInArrow(work, "a long, b long")
+
+
+def crossing(cells: DataFrame, found: DataFrame, classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join components of `found` (node, label): one or more for each two components that have any."""
+    labelled = cells.drop("first").join(found, F.col("number") == F.col("node"), "left").withColumn("label", F.coalesce("label", "number")).drop("node")
+    labelled = scratch.table(labelled.withColumn("unit", F.xxhash64("t", "cell")))
+    mixed = labelled.groupBy("unit").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y").select("unit", "n")
+    open_ = scratch.table(labelled.join(scratch.table(mixed), "unit"))
+    scratch.drop(labelled)
+    # Cells of at most BLOCK descriptors are one block.
+    whole = open_.filter(F.col("n") <= BLOCK).select("t", "cell", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("mine"), "number", "label", "bits")
+    parts = dealt(open_.filter(F.col("n") > BLOCK), "unit", F.count(F.lit(1)) / BLOCK, scratch)
+    every = scratch.table(whole.unionByName(parts.select("t", "cell", F.col("i").alias("low"), F.col("j").alias("high"), "mine", "number", "label", "bits")))
+
+    def sought(rows: DataFrame, work, schema: str) -> DataFrame:
+        rows = rows.repartition("t", "cell", "low", "high").sortWithinPartitions("t", "cell", "low", "high")
+        return scratch.table(rows.select("t", "low", "high", "mine", "number", "label", "bits").mapInArrow(work, schema))
+
+    bounds = sought(every, _bounds, "la long, lb long, most long")
+    pairs = scratch.table(bounds.groupBy("la", "lb").agg(F.sum("most").alias("most")).filter(F.col("most") >= votes).select("la", "lb"))
+    ends = scratch.table(pairs.select(F.col("la").alias("label")).unionByName(pairs.select(F.col("lb").alias("label"))).distinct())
+    met = sought(every.join(small(ends), "label", "left_semi"), _members, "la long, lb long, number long, label long")
+    units = met.distinct().join(small(pairs), ["la", "lb"]).select(F.xxhash64("la", "lb").alias("unit"), "number", "label")
+    units = scratch.table(units.join(classes.select("number", F.length("feats").alias("size")), "number"))
+    share = F.greatest(F.count(F.lit(1)) / PAIR_BLOCK, F.sum("size") / PAIR_BYTES)
+    dealt_out = dealt(units, "unit", share, scratch).drop("size").join(classes.select("number", "pixels", "feats"), "number")
+    scratch.drop(open_)
+
+    def compare(table: pa.Table) -> pa.Table:
+        from weftline.llm import media as m
+
+        return m.first_link(table, votes)
+
+    return dealt_out.repartition("unit", "i", "j").groupBy("unit", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _met(batches):
+    """The matches between components in rows (t, low, high, mine, number, label, bits), sorted as in _by_cell: la < lb, a, b, group."""
+    for (low, high, mine, number, label, bits), ends, t in _by_cell(batches):
+        i, j = alike(low, high, mine, bits, ends, t)
+        other = label[i] != label[j]
+        i, j = i[other], j[other]
+        turn = label[i] > label[j]
+        i, j = np.where(turn, j, i), np.where(turn, i, j)
+        yield pd.DataFrame({"la": label[i], "lb": label[j], "a": number[i], "b": number[j], "group": np.searchsorted(ends, i, "right")})
+
+
+def _bounds(batches):
+    """For each pair of components the most matches that two of their classes have in a cell, summed over cells."""
+    for met in _met(batches):
+        most = met.groupby(["la", "lb", "group", "a", "b"]).size().groupby(level=["la", "lb", "group"]).max().groupby(level=["la", "lb"]).sum()
+        most = most.rename("most").reset_index()
+        yield pa.RecordBatch.from_pandas(most.astype("int64"), preserve_index=False)
+
+
+def _members(batches):
+    """The classes with matches in another component, for each pair of components."""
+    for met in _met(batches):
+        a = met[["la", "lb", "a"]].rename(columns={"a": "number"}).assign(label=met["la"])
+        b = met[["la", "lb", "b"]].rename(columns={"b": "number"}).assign(label=met["lb"])
+        yield pa.RecordBatch.from_pandas(pd.concat([a, b]).drop_duplicates().astype("int64"), preserve_index=False)
+
+
+def first_link(table: pa.Table, votes: int) -> pa.Table:
+    """A link (a, b) between the two components of a pair of blocks, if there is one; rows: number, label, mine, i, j, pixels, feats."""
+    number, label, mine = (table.column(c).to_numpy() for c in ("number", "label", "mine"))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    pixels, parts = table.column("pixels").to_pylist(), [_parts(f) for f in table.column("feats").to_pylist()]
+    names = np.unique(label)
+    out = ([], [])
+    for one, two in ((names[0], names[-1]), (names[-1], names[0]))[: 1 if i == j else 2]:
+        left, right = np.flatnonzero((label == one) & (mine == i)), np.flatnonzero((label == two) & (mine == j))
+        if out[0] or one == two or not len(left) or not len(right):
+            continue
+        bits = np.concatenate([parts[y][1] for y in right])
+        owner = np.repeat(right, [len(parts[y][1]) for y in right])
+        for x in left:
+            hits = np.concatenate([owner[at + _near(parts[x][1], bits[at : at + 8192])[1]] for at in range(0, len(bits), 8192)])
+            near, times = np.unique(hits, return_counts=True)
+            for y in near[times >= votes]:
+                # From the smaller pixels to the larger, as the numbers may differ from run to run.
+                (pa_, da), (pb_, db) = (parts[x], parts[y]) if pixels[x] < pixels[y] else (parts[y], parts[x])
+                if voted(pa_, pb_, *_near(da, db), votes) >= votes:
+                    out[0].append(int(number[x])), out[1].append(int(number[y]))
+                    break
+            if out[0]:
+                break
+    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+
 def meetings(classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of classes by number that have at least `votes` matches, with matches array<long> (corner of a << 32 | corner of b)."""
     size, lead = RECORD.size, PLACE.size
@@ -316,6 +490,13 @@ def meetings(classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
 
 def _match(batches):
     """Matches of rows (t, low, high, mine, number, corner, bits) that are sorted by table, cell and pair of blocks."""
+    for rows, ends, t in _by_cell(batches):
+        yield matched(rows, ends, t)
+
+
+def _by_cell(batches):
+    """Rows (t, low, high, mine, two numbers, bits), sorted by table, cell and pair of blocks, as whole groups of one table:
+    the columns after t, the groups' ends, t."""
     from weftline.llm import media as m
 
     rest = None
@@ -336,14 +517,13 @@ def _match(batches):
             for k in np.unique(t[:end]):
                 # Groups of one table stand together.
                 a, b = np.searchsorted(t[:end], [k, k + 1])
-                yield m.matched([x[a:b] for x in rows[1:]], ends[(ends >= a) & (ends <= b)] - a, int(k))
+                yield [x[a:b] for x in rows[1:]], ends[(ends >= a) & (ends <= b)] - a, int(k)
     if rest is not None and len(rest[0]):
-        yield m.matched(rest[1:], np.array([0, len(rest[0])]), int(rest[0][0]))
+        yield rest[1:], np.array([0, len(rest[0])]), int(rest[0][0])
 
 
-def matched(rows: list[np.ndarray], ends: np.ndarray, t: int) -> pa.RecordBatch:
-    """Matches inside the groups rows[ends[k] : ends[k + 1]], without those that an earlier table than t holds."""
-    low, high, mine, number, corner, bits = rows
+def alike(low: np.ndarray, high: np.ndarray, mine: np.ndarray, bits: np.ndarray, ends: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i, j inside the groups ends[k] : ends[k + 1] that are within RADIUS, without those that an earlier table than t holds."""
     sizes = np.diff(ends)
     left, right = [], []
     # Small groups: rows at a distance of 1, 2, ... in the same group.
@@ -372,8 +552,16 @@ def matched(rows: list[np.ndarray], ends: np.ndarray, t: int) -> pa.RecordBatch:
             left.append(one[i]), right.append(two[j])
     i, j = np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
     parts = bits.view(np.uint8).reshape(len(bits), TABLES, PART)
-    fresh = (parts[i, :t] != parts[j, :t]).any(axis=2).all(axis=1) & (number[i] != number[j])
-    i, j = i[fresh], j[fresh]
+    fresh = (parts[i, :t] != parts[j, :t]).any(axis=2).all(axis=1)
+    return i[fresh], j[fresh]
+
+
+def matched(rows: list[np.ndarray], ends: np.ndarray, t: int) -> pa.RecordBatch:
+    """Matches of different classes inside the groups rows[ends[k] : ends[k + 1]]."""
+    low, high, mine, number, corner, bits = rows
+    i, j = alike(low, high, mine, bits, ends, t)
+    other = number[i] != number[j]
+    i, j = i[other], j[other]
     turn = number[i] > number[j]
     i, j = np.where(turn, j, i), np.where(turn, i, j)
     packed = (corner[i].astype(np.int64) << 32) | corner[j].astype(np.int64)

@@ -64,7 +64,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return media.copies(media.render(vectors)).select(F.col("id").alias("vec_id"), "class_id", "n_links")
+    return media.groups(media.render(vectors)).select(F.col("id").alias("vec_id"), "class_id", "group_id")
 
 
 def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
