@@ -1,8 +1,9 @@
 """Media columns: copies of images by local descriptors.
 
 Images with equal pixels are one class. Each class gets corners on several scales, some of fixed size, which whole images that
-were resized have in common (Harris response, local maxima), each corner an orientation (intensity centroid) and 256 binary intensity tests turned by it. Two descriptors within RADIUS
-bits of each other agree in at least one of TABLES equal parts of their bits; the parts are the keys of Hamming tables.
+were resized have in common (Harris response, local maxima), each corner an orientation (intensity centroid) and 256 binary
+intensity tests turned by it. Two descriptors within RADIUS bits of each other agree in at least one of TABLES equal parts of
+their bits; the parts are the keys of Hamming tables.
 Descriptors that share a cell are compared in whole, cells of more than BLOCK descriptors in pairs of blocks, so that all
 matches of all classes are found, each in the first table that holds it. The matches of two classes vote for a scale, a
 turn and a shift, and a pair is linked when VOTES of them agree, which holds for crops, for changes of brightness and
@@ -18,6 +19,7 @@ id and image are read, so further columns may have any names; an empty table giv
 
 from __future__ import annotations
 
+import gc
 import math
 import struct
 import zlib
@@ -26,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch, ship, small
@@ -52,6 +54,8 @@ BLOCK = 2048
 #: Tables whose cells are compared in one job; the others wait, so that few are on the disk at a time.
 AT_ONCE = 2
 VOTES = 4
+#: Tables whose cells link classes before components are compared: enough to join nearly all near copies.
+STAR_TABLES = 2
 #: Classes, and bytes of their features, in one block of a pair of components.
 PAIR_BLOCK = 256
 PAIR_BYTES = 1 << 24
@@ -309,51 +313,72 @@ def groups(images: DataFrame, votes: int = VOTES) -> DataFrame:
     """images (id, image) to one row for each row: id, class_id (smallest id with the same pixels), group_id (smallest id that links reach).
 
     The links are those that copies() counts, but no group is written out as pairs:
-    1. In each cell the classes are linked to the cell's first class, where features of both agree (see voted).
-    2. In cells whose classes still lie in several components, matches between components are sought. For each pair of components the
-       most matches that two of its classes have in a cell are summed over the cells; below `votes` no link is possible.
+    1. In the cells of some tables each corner meets the smallest class that it matches; classes are linked where features agree (see voted).
+    2. In the cells of all tables matches between components are sought. For each pair of components the most matches that two of
+       its classes have in a cell are summed over the cells; below `votes` no link is possible.
     3. For the pairs of components that are left, the classes with matches in the other one are compared in whole, in blocks,
        up to the first link, which joins the two.
     """
     ship(images.sparkSession)
     scratch = Scratch(images.sparkSession)
-    rows = scratch.table(describe(images.select(F.col("id").cast("long").alias("id"), "image")).drop("places"))
-    seen = rows.filter("pixels is not null")
-    classes = seen.groupBy("pixels").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats"))
+    described = scratch.table(describe(images.select(F.col("id").cast("long").alias("id"), "image")).drop("places"))
+    classes = described.filter("pixels is not null").groupBy("pixels").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats"))
     classes = scratch.table(classes.withColumn("number", F.monotonically_increasing_id()))
-    cells = scratch.table(celled(classes))
-    links = scratch.table(starred(cells, classes, votes, scratch))
+    rows = scratch.table(described.select("id", "pixels"))
+    scratch.drop(described)
+    links = scratch.table(starred(classes, votes, scratch))
     found = components(links, scratch)
-    further = scratch.table(crossing(cells, found, classes, votes, scratch))
+    further = scratch.table(crossing(found, classes, votes, scratch))
     if further.limit(1).count():
         found = components(links.unionByName(further), scratch)
     named = scratch.table(classes.select("pixels", "number", "class_id").join(found, F.col("number") == F.col("node"), "left").select("pixels", "class_id", F.coalesce("label", "number").alias("label")))
     # Written first, so that a large group's classes can be split when they meet their root.
     roots = scratch.table(named.groupBy("label").agg(F.min("class_id").alias("group_id")))
     ids = scratch.table(named.join(roots, "label").drop("label"))
-    scratch.drop(cells)
-    out = seen.select("id", "pixels").join(ids, "pixels").select("id", "class_id", "group_id")
+    out = rows.filter("pixels is not null").join(ids, "pixels").select("id", "class_id", "group_id")
     none = F.lit(None).cast("long")
     return out.unionByName(rows.filter("pixels is null").select("id", none.alias("class_id"), none.alias("group_id")))
 
 
-def celled(classes: DataFrame) -> DataFrame:
-    """number, corner, t, cell, bits: each corner of each class in the cells of the tables that other classes are in too."""
+def celled(classes: DataFrame, tables: range) -> DataFrame:
+    """number, label, corner, t, cell, bits: each corner of each class (number, label, feats) in its cell of each of the tables."""
     size, lead = RECORD.size, PLACE.size
-    corners = classes.filter("length(feats) > 0").select("number", "feats", F.explode(F.expr(f"sequence(0, cast(length(feats) div {size} as int) - 1)")).alias("corner"))
-    corners = corners.select("number", "corner", F.expr(f"substring(feats, corner * {size} + {lead + 1}, {size - lead})").alias("bits"))
-    keyed = corners.withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])))
-    keyed = keyed.withColumn("cell", F.expr(f"substring(bits, t * {PART} + 1, {PART})"))
-    shared = keyed.groupBy("t", "cell").agg(F.min("number").alias("first"), F.max("number").alias("last")).filter("first != last")
-    return keyed.join(shared.select("t", "cell", "first"), ["t", "cell"])
-
-
-def starred(cells: DataFrame, classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between classes and the first classes of their cells."""
-    met = cells.filter("number != first").groupBy("first", "number", "corner").agg(F.lit(1).alias("x"))
-    met = met.groupBy("first", "number").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= votes)
-    # Written first, so that a class that is the first one of many can be split.
-    met = scratch.table(met.select(F.col("first").alias("a"), F.col("number").alias("b")))
+    corners = classes.filter("length(feats) > 0").select("number", "label", "feats", F.explode(F.expr(f"sequence(0, cast(length(feats) div {size} as int) - 1)")).alias("corner"))
+    corners = corners.select("number", "label", "corner", F.expr(f"substring(feats, corner * {size} + {lead + 1}, {size - lead})").alias("bits"))
+    keyed = corners.withColumn("t", F.explode(F.array(*[F.lit(t) for t in tables])))
+    return keyed.withColumn("cell", F.expr(f"substring(bits, t * {PART} + 1, {PART})"))
+
+
+def searched(classes: DataFrame, tables: range, second: str, blocks, work, schema: str, scratch: Scratch) -> DataFrame:
+    """What `work` makes of the cells of some tables, as a written table. Cells of more than BLOCK descriptors are dealt out by
+    `blocks` (rows of large cells with unit and n, to rows with i, j and mine), the others are one block."""
+    cells = celled(classes, tables)
+    large = scratch.table(cells.groupBy("t", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).withColumn("unit", F.xxhash64("t", "cell")))
+    known = small(large)
+    whole = cells.join(known, ["t", "cell"], "left_anti").select("t", "cell", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("mine"), "number", second, "bits")
+    parts = blocks(cells.join(known, ["t", "cell"])).select("t", "cell", F.col("i").alias("low"), F.col("j").alias("high"), "mine", "number", second, "bits")
+    every = whole.unionByName(parts).repartition("t", "cell", "low", "high").sortWithinPartitions("t", "cell", "low", "high")
+    return scratch.table(every.select("t", "low", "high", "mine", "number", second, "bits").mapInArrow(work, schema))
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def starred(classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of classes with the smallest class that their corners match in a block of a cell, by STAR_TABLES of the tables."""
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        mine = F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / BLOCK)).cast("int")
+        return rows.withColumn("mine", mine).withColumn("i", F.col("mine")).withColumn("j", F.col("mine"))
+
+    labelled = classes.select("number", F.col("number").alias("label"), "feats")
+    met = searched(labelled, range(STAR_TABLES), "corner", blocks, _smallest, "a long, b long, corner long", scratch).distinct()
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= votes)
+    # Written first, so that a class that is the smallest one of many can be split.
+    met = scratch.table(met.select("a", "b"))
     side = lambda c: classes.select(F.col("number").alias(c), F.struct("pixels", "feats").alias(f"of_{c}"))
     both = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a.pixels", "of_a.feats", F.col("of_b.pixels").alias("pixels_b"), F.col("of_b.feats").alias("feats_b"))
 
@@ -373,38 +398,51 @@ def starred(cells: DataFrame, classes: DataFrame, votes: int, scratch: Scratch)
     return both.mapInArrow(work, "a long, b long")
 
 
-def crossing(cells: DataFrame, found: DataFrame, classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
+def crossing(found: DataFrame, classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join components of `found` (node, label): one or more for each two components that have any."""
-    labelled = cells.drop("first").join(found, F.col("number") == F.col("node"), "left").withColumn("label", F.coalesce("label", "number")).drop("node")
-    labelled = scratch.table(labelled.withColumn("unit", F.xxhash64("t", "cell")))
-    mixed = labelled.groupBy("unit").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y").select("unit", "n")
-    open_ = scratch.table(labelled.join(scratch.table(mixed), "unit"))
-    scratch.drop(labelled)
-    # Cells of at most BLOCK descriptors are one block.
-    whole = open_.filter(F.col("n") <= BLOCK).select("t", "cell", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("mine"), "number", "label", "bits")
-    parts = dealt(open_.filter(F.col("n") > BLOCK), "unit", F.count(F.lit(1)) / BLOCK, scratch)
-    every = scratch.table(whole.unionByName(parts.select("t", "cell", F.col("i").alias("low"), F.col("j").alias("high"), "mine", "number", "label", "bits")))
-
-    def sought(rows: DataFrame, work, schema: str) -> DataFrame:
-        rows = rows.repartition("t", "cell", "low", "high").sortWithinPartitions("t", "cell", "low", "high")
-        return scratch.table(rows.select("t", "low", "high", "mine", "number", "label", "bits").mapInArrow(work, schema))
-
-    bounds = sought(every, _bounds, "la long, lb long, most long")
+    spark = classes.sparkSession
+    named = classes.join(found, F.col("number") == F.col("node"), "left").withColumn("label", F.coalesce("label", "number")).select("number", "label", "pixels", "feats")
+    named = scratch.table(named)
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        return dealt(rows, "unit", F.count(F.lit(1)) / BLOCK, scratch)
+
+    def passed(of: DataFrame, work, schema: str) -> DataFrame:
+        parts = None
+        for first in range(0, TABLES, AT_ONCE):
+            freed(spark)
+            part = searched(of, range(first, min(first + AT_ONCE, TABLES)), "label", blocks, work, schema, scratch)
+            parts = part if parts is None else parts.unionByName(part)
+        return parts
+
+    bounds = passed(named, _bounds, "la long, lb long, most long")
     pairs = scratch.table(bounds.groupBy("la", "lb").agg(F.sum("most").alias("most")).filter(F.col("most") >= votes).select("la", "lb"))
     ends = scratch.table(pairs.select(F.col("la").alias("label")).unionByName(pairs.select(F.col("lb").alias("label"))).distinct())
-    met = sought(every.join(small(ends), "label", "left_semi"), _members, "la long, lb long, number long, label long")
+    open_ = scratch.table(named.join(small(ends), "label", "left_semi"))
+    met = passed(open_, _members, "la long, lb long, number long, label long")
     units = met.distinct().join(small(pairs), ["la", "lb"]).select(F.xxhash64("la", "lb").alias("unit"), "number", "label")
-    units = scratch.table(units.join(classes.select("number", F.length("feats").alias("size")), "number"))
+    units = scratch.table(units.join(open_.select("number", F.length("feats").alias("size")), "number"))
+    freed(spark)
     share = F.greatest(F.count(F.lit(1)) / PAIR_BLOCK, F.sum("size") / PAIR_BYTES)
-    dealt_out = dealt(units, "unit", share, scratch).drop("size").join(classes.select("number", "pixels", "feats"), "number")
-    scratch.drop(open_)
+    out = dealt(units, "unit", share, scratch).drop("size").join(open_.select("number", "pixels", "feats"), "number")
 
     def compare(table: pa.Table) -> pa.Table:
         from weftline.llm import media as m
 
         return m.first_link(table, votes)
 
-    return dealt_out.repartition("unit", "i", "j").groupBy("unit", "i", "j").applyInArrow(compare, "a long, b long")
+    return out.repartition("unit", "i", "j").groupBy("unit", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _smallest(batches):
+    """For each corner the smallest class that it matches, if smaller than its own; rows as in _by_cell with number and corner."""
+    for (low, high, mine, number, corner, bits), ends, t in _by_cell(batches):
+        i, j = alike(low, high, mine, bits, ends, t)
+        least = number.copy()
+        np.minimum.at(least, i, number[j])
+        np.minimum.at(least, j, number[i])
+        at = np.flatnonzero(least < number)
+        yield pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()) for x in (least, number, corner)], ["a", "b", "corner"])
 
 
 def _met(batches):
