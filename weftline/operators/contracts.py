@@ -74,7 +74,7 @@ def decision_reasons(decisions: DataFrame, sources: DataFrame, targets: DataFram
         (acts & F.col("target_id").isNotNull() & F.col("__target").isNull(), "decision_for_unknown_target"),
     )
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), F.lit(name)) for when, name in broken]))
-    found = decisions.join(F.broadcast(known), "source_id", "left").join(F.broadcast(aims), "target_id", "left")
+    found = decisions.join(known, "source_id", "left").join(aims, "target_id", "left")
     return found.select(*decisions.columns, reasons.alias("reasons"))
 
 

@@ -107,46 +107,121 @@ def role_compatible(s: Column, t: Column) -> Column:
     return (s == t) | (((s == "value") | (t == "value")) & (s != "credential") & (t != "credential"))
 
 
+def _variants(pairs: DataFrame) -> DataFrame:
+    """__row, ns, nt, overlap, same for each two variants of a pair: normalised names, the share of words and whether they are equal."""
+    each = pairs.select("__row", F.explode("s_variants").alias("s"), "t_variants").select("__row", "s", F.explode("t_variants").alias("t"))
+    each = each.select("__row", normalize_name(F.col("s")).alias("ns"), normalize_name(F.col("t")).alias("nt"))
+    words = F.array_distinct(tokens(F.col("ns"))), F.array_distinct(tokens(F.col("nt")))
+    return each.withColumn("overlap", jaccard(*words)).withColumn("same", (F.col("ns") == F.col("nt")) & (F.col("ns") != ""))
+
+
+def _scored(pairs: DataFrame, best: DataFrame, *scores: tuple[str, str]) -> DataFrame:
+    """pairs joined to best (__row, alias and a best score) with each score: exact 1, alias .98, else the best of all variants."""
+    first = normalize_name(F.element_at("s_variants", 1)), normalize_name(F.element_at("t_variants", 1))
+    exact = (first[0] == first[1]) & (first[0] != "")
+    out = pairs.join(best, "__row")
+    for found, name in scores:
+        out = out.withColumn(name, F.when(exact, 1.0).when(F.col("alias"), ALIAS).otherwise(F.col(found)))
+    return out.drop("alias", *[found for found, _ in scores])
+
+
 def name_scores(pairs: DataFrame, with_sequence: bool = True) -> DataFrame:
     """pairs (s_variants, t_variants: arrays, the name first) with name_score: exact 1, alias .98, else the best of all variants."""
     ids = pairs.withColumn("__row", F.struct("source_id", "target_id", "pair"))
-    each = ids.select("__row", F.explode("s_variants").alias("s"), "t_variants").select("__row", "s", F.explode("t_variants").alias("t"))
-    each = each.withColumn("ns", normalize_name(F.col("s"))).withColumn("nt", normalize_name(F.col("t")))
-    words = F.array_distinct(tokens(F.col("ns"))), F.array_distinct(tokens(F.col("nt")))
     sequence = sequence_ratio("ns", "nt") if with_sequence else F.lit(0.0)
-    each = each.withColumn("score", JACCARD * jaccard(*words) + SEQUENCE * sequence)
-    best = each.groupBy("__row").agg(F.max("score").alias("best"), F.bool_or((F.col("ns") == F.col("nt")) & (F.col("ns") != "")).alias("alias"))
-    first = F.element_at("s_variants", 1), F.element_at("t_variants", 1)
-    joined = ids.join(best, "__row")
-    exact = (normalize_name(first[0]) == normalize_name(first[1])) & (normalize_name(first[0]) != "")
-    return joined.withColumn("name_score", F.when(exact, 1.0).when(F.col("alias"), ALIAS).otherwise(F.col("best"))).drop("__row", "best", "alias")
+    each = _variants(ids).withColumn("score", JACCARD * F.col("overlap") + SEQUENCE * sequence)
+    best = each.groupBy("__row").agg(F.max("score").alias("best"), F.bool_or("same").alias("alias"))
+    return _scored(ids, best, ("best", "name_score")).drop("__row")
 
 
-def candidates(source: DataFrame, target: DataFrame, with_sequence: bool = True, semantic: DataFrame | None = None) -> DataFrame:
-    """All pairs of a schema pair's fields with det (deterministic) and score.
+def common_letters(a: Column, b: Column) -> Column:
+    """How many letters two texts share, each as often as both hold it: no common subsequence is longer."""
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    letters = F.filter(F.array_distinct(F.split(a, "")), lambda c: c != "")
+    return F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
 
-    source, target: pair, id, name, aliases, data_type, nullable, sensitivity, role, position; target may have lookup_keys
-    (array<struct<name,data_type>>). semantic: optional (pair, source_id, target_id, semantic in 0..1).
-    """
+
+def name_bounds(pairs: DataFrame) -> DataFrame:
+    """pairs with name_low and name_high, between which name_score lies: the sequence's share is nothing at least, and at most
+    what the letters in common allow. No Python takes part."""
+    ids = pairs.withColumn("__row", F.struct("source_id", "target_id", "pair"))
+    most = F.coalesce(F.try_divide(2.0 * common_letters(F.col("ns"), F.col("nt")), F.length("ns") + F.length("nt")), F.lit(0.0))
+    each = _variants(ids).withColumn("low", JACCARD * F.col("overlap")).withColumn("high", F.col("low") + SEQUENCE * most)
+    best = each.groupBy("__row").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.bool_or("same").alias("alias"))
+    return _scored(ids, best, ("low", "name_low"), ("high", "name_high")).drop("__row")
+
+
+def _pairs(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Each source field with each target field of its schema pair."""
     names = ["id", "name", "aliases", "data_type", "nullable", "sensitivity", "role", "position"]
     left = source.select("pair", *[F.col(c).alias(f"s_{c}") for c in names]).withColumnRenamed("s_id", "source_id")
     keys = F.col("lookup_keys") if "lookup_keys" in target.columns else F.expr("cast(array() as array<struct<name:string,data_type:string>>)")
     right = target.select("pair", *[F.col(c).alias(f"t_{c}") for c in names], keys.alias("lookup_keys")).withColumnRenamed("t_id", "target_id")
     variants = lambda side: F.concat(F.array(f"{side}_name"), F.coalesce(f"{side}_aliases", F.expr("cast(array() as array<string>)")))
-    pairs = left.join(right, "pair").withColumn("s_variants", variants("s")).withColumn("t_variants", variants("t"))
-    scored = name_scores(pairs, with_sequence).join(lookup_paths(pairs, with_sequence), ["pair", "source_id", "target_id"], "left")
-    scored = scored.withColumn("lookup", F.coalesce("lookup", F.lit(False)))
+    return left.join(right, "pair").withColumn("s_variants", variants("s")).withColumn("t_variants", variants("t"))
+
+
+def _det(name: Column) -> Column:
+    """The deterministic score by a name score, in which it grows."""
     type_score = type_compatibility(F.col("s_data_type"), F.col("t_data_type"))
     role_score = F.when(F.col("s_role") == F.col("t_role"), 1.0).otherwise(ROLE_MISMATCH)
     lifted = lambda c: F.when(F.col("lookup"), F.greatest(c, F.lit(LOOKUP_LIFT))).otherwise(c)
-    det = NAME * F.col("name_score") + TYPE * lifted(type_score) + ROLE * lifted(role_score) + F.when(F.col("lookup"), LOOKUP_BONUS).otherwise(0.0)
+    det = NAME * name + TYPE * lifted(type_score) + ROLE * lifted(role_score) + F.when(F.col("lookup"), LOOKUP_BONUS).otherwise(0.0)
     allowed = rank(F.col("t_sensitivity")) >= rank(F.col("s_sensitivity"))
-    out = scored.withColumn("det", F.when(allowed, F.least(F.lit(1.0), det)).otherwise(0.0))
+    return F.when(allowed, F.least(F.lit(1.0), det)).otherwise(0.0)
+
+
+def _mixed(det: str, semantic: DataFrame | None) -> Column:
+    """The score by a deterministic one, in which it grows."""
     if semantic is None:
-        return out.withColumn("score", F.col("det"))
-    joined = out.join(semantic, ["pair", "source_id", "target_id"], "left")
-    mixed = (1 - SEMANTIC) * F.col("det") + SEMANTIC * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("semantic")))
-    return joined.withColumn("score", F.coalesce(mixed, F.col("det")))
+        return F.col(det)
+    mixed = (1 - SEMANTIC) * F.col(det) + SEMANTIC * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("semantic")))
+    return F.coalesce(mixed, F.col(det))
+
+
+def _with_evidence(pairs: DataFrame, with_sequence: bool, semantic: DataFrame | None) -> DataFrame:
+    out = pairs.join(lookup_paths(pairs, with_sequence), ["pair", "source_id", "target_id"], "left").withColumn("lookup", F.coalesce("lookup", F.lit(False)))
+    return out if semantic is None else out.join(semantic, ["pair", "source_id", "target_id"], "left")
+
+
+def candidates(source: DataFrame, target: DataFrame, with_sequence: bool = True, semantic: DataFrame | None = None) -> DataFrame:
+    """All pairs of a schema pair's fields with det (deterministic) and score.
+
+    source, target: pair, id, name, aliases, data_type, nullable, sensitivity, role, position; target may have lookup_keys
+    (array<struct<name,data_type>>). semantic: optional (pair, source_id, target_id, semantic in 0..1).
+    """
+    scored = _with_evidence(name_scores(_pairs(source, target), with_sequence), with_sequence, semantic)
+    return scored.withColumn("det", _det(F.col("name_score"))).withColumn("score", _mixed("det", semantic))
+
+
+def contenders(source: DataFrame, target: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """The pairs of candidates() that can be the first or second of their source by score or by det, with the bounds det_low,
+    det_high, score_low and score_high. What is left out lies below two others whatever the letters' order adds, so no decision
+    depends on it; ties stay."""
+    pairs = _with_evidence(name_bounds(_pairs(source, target)), True, semantic)
+    for end in ("low", "high"):
+        pairs = pairs.withColumn(f"det_{end}", _det(F.col(f"name_{end}"))).withColumn(f"score_{end}", _mixed(f"det_{end}", semantic))
+    of = W.partitionBy("pair", "source_id")
+    for kind in ("det", "score"):
+        by = of.orderBy(F.desc(f"{kind}_low"), "t_position", "target_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        pairs = pairs.withColumn(f"__{kind}", F.coalesce(F.nth_value(f"{kind}_low", 2).over(by), F.lit(-1.0)))
+    # Sums of doubles are rounded; a pair that misses by less than this is kept.
+    reach = lambda kind: F.col(f"{kind}_high") + 1e-9 >= F.col(f"__{kind}")
+    return pairs.filter(reach("det") | reach("score")).drop("__det", "__score")
+
+
+def leading(source: DataFrame, target: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """candidates() of the contenders alone: equal decisions, with the letters' order compared for few pairs. Each two different
+    names are compared once, however many schema pairs hold them, and only variants that can be a pair's best."""
+    kept = contenders(source, target, semantic).withColumn("__row", F.struct("source_id", "target_id", "pair"))
+    each = _variants(kept).join(kept.select("__row", F.col("name_low").alias("__least")), "__row")
+    most = F.coalesce(F.try_divide(2.0 * common_letters(F.col("ns"), F.col("nt")), F.length("ns") + F.length("nt")), F.lit(0.0))
+    each = each.withColumn("__open", ~F.col("same") & (JACCARD * F.col("overlap") + SEQUENCE * most + 1e-9 >= F.col("__least")))
+    names = each.filter("__open").select("ns", "nt").distinct().withColumn("ratio", sequence_ratio("ns", "nt"))
+    found = each.join(names, ["ns", "nt"], "left").withColumn("value", JACCARD * F.col("overlap") + SEQUENCE * F.coalesce("ratio", F.lit(0.0)))
+    best = found.groupBy("__row").agg(F.max("value").alias("best"), F.bool_or("same").alias("alias"))
+    scored = _scored(kept, best, ("best", "name_score")).drop("__row", "name_low", "name_high", "det_low", "det_high", "score_low", "score_high")
+    return scored.withColumn("det", _det(F.col("name_score"))).withColumn("score", _mixed("det", semantic))
 
 
 def lookup_paths(pairs: DataFrame, with_sequence: bool = True) -> DataFrame:
@@ -156,15 +231,14 @@ def lookup_paths(pairs: DataFrame, with_sequence: bool = True) -> DataFrame:
     fitting = F.filter("lookup_keys", lambda k: copy_safe_column(F.col("s_data_type"), k["data_type"]))
     keys = able.select("pair", "source_id", F.col("target_id").alias("of"), "s_variants", F.explode(fitting).alias("k"))
     keys = keys.select("pair", "source_id", "of", "s_variants", F.array("k.name").alias("t_variants"), F.concat_ws("\0", "of", "k.name").alias("target_id"))
+    if with_sequence:
+        keys = name_bounds(keys).filter(F.col("name_high") + 1e-9 >= LOOKUP_NAME).select(keys.columns)
     near = name_scores(keys, with_sequence).filter(F.col("name_score") >= LOOKUP_NAME)
     return near.select("pair", "source_id", F.col("of").alias("target_id"), F.lit(True).alias("lookup")).distinct()
 
 
-def decide(scored: DataFrame) -> DataFrame:
-    """pair, source_id, target_id, status, score, margin: automatic only where the deterministic winner stands out too.
-
-    Sources that claim one target, automatic or for review, all go to review.
-    """
+def _winners(scored: DataFrame) -> DataFrame:
+    """pair, source_id, target_id, status, score, margin of each source for itself."""
     of = W.partitionBy("pair", "source_id")
     by_score, by_det = of.orderBy(F.desc("score"), "t_position"), of.orderBy(F.desc("det"), F.desc("score"), "t_position")
     contract = (F.col("s_sensitivity") == F.col("t_sensitivity")) & (~F.col("s_nullable") | F.col("t_nullable"))
@@ -181,9 +255,42 @@ def decide(scored: DataFrame) -> DataFrame:
     sound = (F.col("det_place") == 1) & (F.col("det") >= DET_AUTO) & (F.col("det_margin") >= DET_MARGIN) & F.col("safe")
     status = F.when((F.col("score") >= AUTO) & (F.col("margin") >= MARGIN) & sound, "auto").when((F.col("score") >= REVIEW) | (F.col("det_top") >= REVIEW), "review").otherwise("blocked")
     decided = top.withColumn("status", status).withColumn("target_id", F.when(F.col("status") != "blocked", F.col("target_id")))
-    claims = F.count(F.when(F.col("target_id").isNotNull(), 1)).over(W.partitionBy("pair", "target_id"))
-    final = decided.withColumn("status", F.when(F.col("target_id").isNotNull() & (claims > 1), "review").otherwise(F.col("status")))
-    return final.select("pair", "source_id", "target_id", "status", "score", "margin")
+    return decided.select("pair", "source_id", "target_id", "status", "score", "margin")
+
+
+def _conflicts(decided: DataFrame) -> DataFrame:
+    """Sources that claim one target, automatic or for review, all go to review."""
+    claims = F.count("target_id").over(W.partitionBy("pair", "target_id"))
+    status = F.when(F.col("target_id").isNotNull() & (claims > 1), "review").otherwise(F.col("status"))
+    return decided.withColumn("status", status).select("pair", "source_id", "target_id", "status", "score", "margin")
+
+
+def decide(scored: DataFrame) -> DataFrame:
+    """pair, source_id, target_id, status, score, margin: automatic only where the deterministic winner stands out too.
+
+    Sources that claim one target, automatic or for review, all go to review.
+    """
+    return _conflicts(_winners(scored))
+
+
+def propose(source: DataFrame, target: DataFrame, concepts: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
+    """The decisions of all fields. What is not automatic and shares a glossary concept (concepts: term, concept) with exactly one
+    other target goes to review with that target, a score of at least .55 and no margin; conflicts are judged after that."""
+    decided = _winners(leading(source, target, semantic))
+    if concepts is None:
+        return _conflicts(decided)
+    advised = glossary_matches(source, target, concepts).withColumnRenamed("target_id", "__advised")
+    rows = decided.join(advised, ["pair", "source_id"], "left")
+    takes = (F.col("status") != "auto") & F.col("__advised").isNotNull() & ~F.col("__advised").eqNullSafe(F.col("target_id"))
+    rows = rows.withColumns(
+        {
+            "target_id": F.when(takes, F.col("__advised")).otherwise(F.col("target_id")),
+            "status": F.when(takes, "review").otherwise(F.col("status")),
+            "score": F.when(takes, F.greatest(F.col("score"), F.lit(REVIEW))).otherwise(F.col("score")),
+            "margin": F.when(takes, 0.0).otherwise(F.col("margin")),
+        }
+    )
+    return _conflicts(rows)
 
 
 def glossary_matches(source: DataFrame, target: DataFrame, concepts: DataFrame) -> DataFrame:

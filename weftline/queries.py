@@ -354,7 +354,7 @@ _DECIDED = """select s_suppkey as k, f || ':' || s_suppkey as source_id, case wh
 @query(f"""select source_id, target_id, status from ({_DECIDED}) d""")
 def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = _fields(spark, sf_dir)
-    return matching.decide(matching.candidates(source, target)).select("source_id", "target_id", "status")
+    return matching.propose(source, target).select("source_id", "target_id", "status")
 
 
 @query(f"""select count(*) as fields, count(*) filter (where status = 'auto') as automatic, 0::bigint as unsafe_automatic, 1.0::double as auto_precision,
@@ -365,7 +365,7 @@ def mapping_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = target.select(F.col("id").alias("expected"))
     labels = source.select(F.col("id").alias("source_id"), F.concat(F.try_element_at(aims, F.split_part("id", F.lit(":"), F.lit(1))), F.lit(":"), F.split_part("id", F.lit(":"), F.lit(2))).alias("expected"))
     labels = labels.join(found.withColumn("there", F.lit(True)), "expected", "left").select("source_id", F.when(F.col("there"), F.col("expected")).alias("expected"))
-    return metrics.mapping_benchmark(matching.decide(matching.candidates(source, target)), labels)
+    return metrics.mapping_benchmark(matching.propose(source, target), labels)
 
 
 @query("""with s as (select p_size as pair, 's' || p_partkey as source_id, p_name as t from part where p_partkey % 2 = 0), g as (select p_size as pair, 't' || p_partkey as target_id, p_name as t from part where p_partkey % 2 = 1),
@@ -672,7 +672,7 @@ def plan_from_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.plans import planning
 
     source, target = _fields(spark, sf_dir)
-    return planning.rules(matching.decide(matching.candidates(source, target)), source, target).select("source_id", "target_id", "transform")
+    return planning.rules(matching.propose(source, target), source, target).select("source_id", "target_id", "transform")
 
 
 from weftline import state_queries as _state_queries  # noqa: E402,F401  its queries register themselves here
