@@ -678,3 +678,4 @@ def plan_from_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 from weftline import state_queries as _state_queries  # noqa: E402,F401  its queries register themselves here
 from weftline import report_queries as _report_queries  # noqa: E402,F401
 from weftline import stream_queries as _stream_queries  # noqa: E402,F401
+from weftline import review_queries as _review_queries  # noqa: E402,F401
