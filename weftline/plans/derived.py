@@ -49,7 +49,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
     "formula_text": (
         "documents",
-        """select doc_id, concat(case when doc_id % 9 = 0 then '=' when doc_id % 14 = 0 then concat(chr(9), '@') else '' end, substr(text, 1, 20)) as cell from {t}""",
+        """select doc_id, concat(case when doc_id % 9 = 0 then '=' when doc_id % 14 = 0 then concat(chr(9), '@') else '' end, text) as cell from {t}""",
     ),
 }
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.state import TRANSITIONS
-from weftline.queries import query
+from weftline.plans.derived import view
+from weftline.queries import _FINDINGS, ORDERS_PLAN, ORDERS_SOURCE, ORDERS_TARGET, _customers, query
 from weftline.session import shared_dir, table
-from weftline.streaming import leases
+from weftline.sources.commits import Table
+from weftline.streaming import leases, receipts
 
 TTL_HOURS = 12
 TTL = TTL_HOURS * 3_600_000
@@ -103,3 +107,57 @@ select route, seq, outcome, nullif(generation, 0) as generation, case when gener
 def checkpoint_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = _replayed(spark, sf_dir, PROPOSALS, ["route"], leases.checkpoint_rules())
     return spark.read.parquet(judged).select("route", "seq", "outcome", "generation", "committed_total")
+
+
+# ---- tables with a commit log
+
+
+@query("""with r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) select user_id, event_id, event_type from r where n = 1""")
+def commit_table_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's latest event: three upserts that bring them out of order, one of them sent twice, and a compaction."""
+    kept = Table(spark, f"{shared_dir(spark)}/latest", ["user_id"], buckets=16)
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    for number, third in enumerate((2, 0, 1, 1)):
+        kept.upsert(events.filter(F.col("event_id") % 3 == third), order=["ts", "event_id"], batch=("events", min(number, 2)), keep_newest=True)
+    kept.compact()
+    return kept.read().select("user_id", "event_id", "event_type")
+
+
+@query("""select p::bigint as version, count(*) as records, sum(o_orderkey)::bigint as keys from orders join (values (1), (2), (3), (4)) v(p) on o_orderkey % 4 < p group by 1""")
+def commit_table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each version of a table of appends held, read after the table was compacted."""
+    kept = Table(spark, f"{shared_dir(spark)}/orders")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    numbers = [kept.append(orders.filter(F.col("o_orderkey") % 4 == part)) for part in range(4)]
+    kept.compact()
+    read = [kept.read(v).agg(F.count(F.lit(1)).alias("records"), F.sum("o_orderkey").cast("long").alias("keys")).select(F.lit(v).cast("long").alias("version"), "records", "keys") for v in numbers]
+    return reduce(DataFrame.unionByName, read)
+
+
+# ---- delivery from claim to receipt: most orders in one batch, all of them in the next, some of those twice or with another price
+
+_FIRST = "o_orderkey % 3 <> 0"
+
+
+@query(f"""with f as (select o_orderkey, bool_or(code <> 'foreign_key_lookup_failed') as broken from ({_FINDINGS}) x group by 1),
+j as (select o_orderkey, case when o_orderkey % 17 = 0 then 'transport_verification_failed' when broken then 'destination_contract_failed' when broken is not null then 'destination_resolution_failed' end as bad from orders left join f using (o_orderkey)),
+b as (select 0 as batch, o_orderkey, 1 as copy from orders where {_FIRST} union all select 1, o_orderkey, 1 from orders union all select 1, o_orderkey, 2 from orders where o_orderkey % 7 = 0),
+s as (select batch, o_orderkey, copy, bad, case when batch = 0 then case when bad is null then 'delivered' else 'quarantined' end
+  when {_FIRST} then case when o_orderkey % 10 = 0 then 'replay_detected' when bad is null then 'duplicate' else 'ambiguous' end
+  when copy = 1 then case when bad is null then 'delivered' else 'quarantined' end
+  else case when bad is null then 'duplicate' else 'ambiguous' end end as status from b join j using (o_orderkey))
+select batch::bigint as batch, status, case status when 'quarantined' then bad when 'ambiguous' then 'previous_delivery_ambiguous' end as reason_code, count(*) as n, sum(o_orderkey)::bigint as keys from s group by 1, 2, 3
+union all select -1, 'target', null, count(*), sum(o_orderkey)::bigint from s where status = 'delivered'""")
+def delivery_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = shared_dir(spark)
+    probe = view(spark, sf_dir, "fk_probe").select("o_orderkey", F.col("customer_business_key").alias("customer"))
+    keys = view(spark, sf_dir, "text_orders").select("o_orderkey", F.col("key_raw").alias("key"))
+    price = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    rows = keys.join(probe, "o_orderkey").join(price, "o_orderkey").withColumn("place", F.col("o_orderkey") * 2)
+    changed = rows.withColumn("price", F.when((F.col("o_orderkey") % 10 == 0) & F.expr(_FIRST), F.col("price") + 1).otherwise(F.col("price")))
+    again = changed.unionByName(changed.filter("o_orderkey % 7 = 0").withColumn("place", F.col("place") + 1))
+    for number, batch in ((0, rows.filter(_FIRST)), (1, again), (1, again)):
+        receipts.deliver_batch(batch, number, root, ["o_orderkey"], "place", ORDERS_PLAN, ORDERS_SOURCE, ORDERS_TARGET, _customers(spark, sf_dir), F.col("o_orderkey") % 17 != 0)
+    found = receipts.receipts(spark, root).read().groupBy("batch", "status", "reason_code").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").cast("long").alias("keys"))
+    written = receipts.target_rows(spark, root).agg(F.count(F.lit(1)).alias("n"), F.sum("order_id").cast("long").alias("keys"))
+    return found.unionByName(written.select(F.lit(-1).cast("long").alias("batch"), F.lit("target").alias("status"), F.lit(None).cast("string").alias("reason_code"), "n", "keys"))
