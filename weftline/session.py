@@ -38,8 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share, spark.checkpoint.dir; without it a local session gets a temporary
-    one, and a cluster an error, as it has none that all its machines see."""
+    """A new folder in the one that driver and executors share, spark.checkpoint.dir, which goes with the session; without it a local
+    session gets a temporary one, and a cluster an error, as it has none that all its machines see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -49,4 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/engine-{uuid.uuid4().hex}"
+    root = f"{found.rstrip('/')}/engine-{uuid.uuid4().hex}"
+    remove_at_exit(spark, root)
+    return root
+
+
+def remove_at_exit(spark: SparkSession, root: str) -> None:
+    """Makes a folder and has it removed when the driver's JVM ends: what reads it has ended too by then, lost executors or not."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
