@@ -58,12 +58,17 @@ def small(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors; drop() removes one early."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors; drop() removes one early. What is left
+    goes when the driver's JVM ends: results that read it must be written before."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
         self.count = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def table(self, df: DataFrame) -> DataFrame:
         self.count += 1
