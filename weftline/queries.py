@@ -570,7 +570,7 @@ select user_id, count(*) filter (where kept) as events, not bool_or((kept and ev
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain for each user is built in order, some events are then forged and others lost, and it is verified in parallel.
     A chain that lost its end alone still verifies, and its head tells."""
-    root = shared_dir(spark)
+    root = f"{shared_dir(spark)}/chain"
     state.chain(table(spark, sf_dir, "events").select("user_id", "event_id", "props"), "user_id", "event_id", "props").write.parquet(root)
     built = spark.read.parquet(root)
     held = built.filter("event_id % 101 <> 5").withColumn("props", F.expr("if(event_id % 97 = 3, concat(props, '!'), props)"))
