@@ -65,7 +65,9 @@ def normalize_name(name: Column) -> Column:
     """plain_name as a column, for tables of fields, which are small: its rows pass through Python where a plan holds it."""
     opened = F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])", " "))
     simple = F.trim(F.regexp_replace(opened, r"[^a-z0-9]+", " "))
-    return F.when(name.rlike(r"[^\x00-\x7f]"), _plain(name)).otherwise(simple)
+    odd = name.rlike(r"[^\x00-\x7f]")
+    # All rows pass through Python, which only works on those that are not null.
+    return F.when(odd, _plain(F.when(odd, name))).otherwise(simple)
 
 
 def tokens(normalized: Column) -> Column:
@@ -294,12 +296,17 @@ def propose(source: DataFrame, target: DataFrame, concepts: DataFrame | None = N
 
 
 def glossary_matches(source: DataFrame, target: DataFrame, concepts: DataFrame) -> DataFrame:
-    """pair, source_id, target_id where a source field shares a concept (term, concept) with exactly one target field."""
+    """pair, source_id, target_id where a source field shares a concept (term, concept) with exactly one target field.
+
+    Fields never meet in pairs: of each concept of a schema pair only the smallest and greatest target are kept, which are one
+    exactly where there is one target; so it is with the smallest and greatest of all concepts of a source.
+    """
     term = concepts.select(normalize_name(F.col("term")).alias("term"), "concept").distinct()
     of = lambda df, out: df.select("pair", F.col("id").alias(out), normalize_name(F.col("name")).alias("term")).join(term, "term").select("pair", out, "concept")
-    met = of(source, "source_id").join(of(target, "target_id"), ["pair", "concept"]).select("pair", "source_id", "target_id").distinct()
-    one = met.groupBy("pair", "source_id").agg(F.count_distinct("target_id").alias("n"), F.min("target_id").alias("target_id"))
-    return one.filter("n = 1").select("pair", "source_id", "target_id")
+    ends = lambda low, high: (F.min(low).alias("low"), F.max(high).alias("high"))
+    aims = of(target, "target_id").groupBy("pair", "concept").agg(*ends("target_id", "target_id"))
+    found = of(source, "source_id").join(aims, ["pair", "concept"]).groupBy("pair", "source_id").agg(*ends("low", "high"))
+    return found.filter("low = high").select("pair", "source_id", F.col("low").alias("target_id"))
 
 
 def drift(old: DataFrame, new: DataFrame) -> DataFrame:
