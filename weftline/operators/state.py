@@ -61,21 +61,31 @@ def claim_outcome(state: Column, lease_live: Column, same_digest: Column) -> Col
     )
 
 
-def first_delivery(df: DataFrame, identity: list[str], digest: Column, order: list[str]) -> DataFrame:
+def first_delivery(df: DataFrame, identity: list[str], digest: Column, order: list[str], free: Column | None = None, carried: Column | None = None) -> DataFrame:
     """Each row with status: delivered (the first of its identity), duplicate (same digest), replay_detected (another digest).
 
     The first row of each identity is found by a pre-aggregated minimum and joined back, null-safe: rows without an identity
-    are one identity. Of rows that tie in order and digest one is delivered; only such rows are numbered.
+    are one identity. Of rows that tie in order and digest one is delivered; only such rows are numbered, which are those whose
+    equal rows were counted to be more than one. The digest is made anew after the join instead of travelling with each row.
+
+    free: the rows that take part; the others are neither first nor given a status (null). carried: a value of each row that
+    decides last between those that tie; with it there is a column `carried`, the value of the identity's first row.
     """
-    order_, digest_, first_, tie = "__order", "__digest", "__first", "__tie"
-    marked = df.withColumn(digest_, digest).withColumn(order_, F.struct(*order))
-    first = marked.groupBy(*identity).agg(F.min(F.struct(order_, digest_)).alias(first_))
-    joined = met(marked, first, identity).withColumn(tie, F.struct(order_, digest_) == F.col(first_))
-    same = F.when(F.col(digest_).eqNullSafe(F.col(f"{first_}.{digest_}")), "duplicate").otherwise("replay_detected")
-    others = joined.filter(~F.coalesce(tie, F.lit(False))).withColumn("status", same)
-    place = F.row_number().over(W.partitionBy(*identity).orderBy(order_))
-    tied = joined.filter(tie).withColumn("status", F.when(place == 1, "delivered").otherwise("duplicate"))
-    return tied.unionByName(others).drop(digest_, order_, first_, tie)
+    order_, digest_, value, first_, tie, n = "__order", "__digest", "__value", "__first", "__tie", "__n"
+    free, own = F.lit(True) if free is None else F.coalesce(free, F.lit(False)), F.lit(None).cast("int") if carried is None else carried
+    marked = df.filter(free).select(*identity, F.struct(*order).alias(order_), digest.alias(digest_), own.alias(value))
+    equal = marked.groupBy(*identity, order_, digest_, value).agg(F.count(F.lit(1)).alias(n))
+    first = equal.groupBy(*identity).agg(F.min(F.struct(order_, digest_, value, n)).alias(first_))
+    same = digest.eqNullSafe(F.col(f"{first_}.{digest_}"))
+    leads = free & (F.struct(*order) == F.col(f"{first_}.{order_}")) & same & own.eqNullSafe(F.col(f"{first_}.{value}"))
+    joined = met(df, first, identity).withColumn(tie, F.coalesce(leads, F.lit(False)))
+    if carried is not None:
+        joined = joined.withColumn("carried", F.col(f"{first_}.{value}"))
+    several = F.col(tie) & (F.col(f"{first_}.{n}") > 1)
+    alone = joined.filter(~several).withColumn("status", F.when(F.col(tie), "delivered").when(free, F.when(same, "duplicate").otherwise("replay_detected")))
+    place = F.row_number().over(W.partitionBy(*identity).orderBy(*order))
+    tied = joined.filter(several).withColumn("status", F.when(place == 1, "delivered").otherwise("duplicate"))
+    return tied.unionByName(alone).drop(first_, tie)
 
 
 def pending_prefix(df: DataFrame, scope: list[str], order: list[str], size: str, budget: int, limit: int) -> DataFrame:
