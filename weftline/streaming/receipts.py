@@ -71,7 +71,7 @@ def deliver_batch(
 
 
 def _checked(records, identity, place, fields, plan, source, target, dimensions, verified) -> DataFrame:
-    """identity, place, digest, record (as mapped) and reason_code of each record by itself."""
+    """identity, place, digest, record (as mapped; null if it cannot be delivered) and reason_code of each record by itself."""
     # Digest and verification are taken before the lookups add columns.
     body = F.to_json(F.struct(*[F.col(c) for c in sorted(fields)]), {"ignoreNullFields": "false"})
     opened = F.lit(True) if verified is None else F.coalesce(verified, F.lit(False))
@@ -83,7 +83,7 @@ def _checked(records, identity, place, fields, plan, source, target, dimensions,
         .when(F.exists("findings", lambda f: ~lookup(f)), "destination_contract_failed")
         .when(F.exists("findings", lookup), "destination_resolution_failed")
     )
-    return rows.select(*identity, place, F.col("__digest_of").alias("digest"), reason.alias("reason_code"), F.struct(*[value(r).alias(r.target) for r in plan.rules]).alias("record"))
+    return rows.select(*identity, place, F.col("__digest_of").alias("digest"), reason.alias("reason_code"), F.when(reason.isNull(), F.struct(*[value(r).alias(r.target) for r in plan.rules])).alias("record"))
 
 
 def _past(ledger: Table, identity: list[str]) -> DataFrame | None:
@@ -95,21 +95,24 @@ def _past(ledger: Table, identity: list[str]) -> DataFrame | None:
 
 
 def _judged(rows: DataFrame, past: DataFrame | None, identity: list[str], place: str) -> DataFrame:
-    """identity, place, digest, status, reason_code, record (of delivered rows)."""
-    none = F.lit(None).cast("struct<status:string,digest:string>")
-    rows = rows.withColumn("__past", none) if past is None else met(rows, past, identity)
+    """identity, place, digest, status, reason_code, record (of delivered rows). Each row is dealt by its identity once, with the
+    digest in 32 bytes, and meets the past and the first of its identity there."""
+    rows = rows.withColumn("digest", F.unhex("digest"))
+    none = F.lit(None).cast("struct<status:string,digest:binary>")
+    if past is None:
+        rows = rows.withColumn("__past", none)
+    else:
+        rows = met(rows, past.withColumn("__past", F.struct(F.col("__past.status").alias("status"), F.unhex("__past.digest").alias("digest"))), identity)
     was = F.col("__past.status")
     other = F.col("__past").isNotNull() & ~F.col("digest").eqNullSafe(F.col("__past.digest"))
     known = F.when(other, "replay_detected").when(was == "delivered", "duplicate").when(was == "quarantined", "ambiguous")
-    held = rows.withColumn("status", known).filter(F.col("status").isNotNull())
-    free = first_delivery(rows.withColumn("__known", known).filter(F.col("__known").isNull()).drop("__known"), identity, F.col("digest"), [place])
-    first = free.filter("status = 'delivered'").select(*identity, F.struct(F.col("reason_code").isNull().alias("ok")).alias("__first"))
-    free = met(free, first, identity)
-    own = F.when(F.col("status") == "replay_detected", "replay_detected").when(F.col("status") == "delivered", F.when(F.col("__first.ok"), "delivered").otherwise("quarantined"))
-    free = free.withColumn("status", F.coalesce(own, F.when(F.col("__first.ok"), "duplicate").otherwise("ambiguous"))).drop("__first")
-    out = held.unionByName(free)
+    rows = rows.withColumn("__known", known).drop("__past")
+    out = first_delivery(rows, identity, F.col("digest"), [place], F.col("__known").isNull(), ~F.col("reason_code").isNull())
+    fails = F.col("carried")
+    own = F.when(F.col("status") == "replay_detected", "replay_detected").when(F.col("status") == "delivered", F.when(fails, "quarantined").otherwise("delivered"))
+    out = out.withColumn("status", F.coalesce("__known", own, F.when(fails, "ambiguous").otherwise("duplicate")))
     reason = F.when(F.col("status") == "quarantined", F.col("reason_code")).when(F.col("status") == "ambiguous", "previous_delivery_ambiguous")
-    return out.select(*identity, place, "digest", "status", reason.alias("reason_code"), F.when(F.col("status") == "delivered", F.col("record")).alias("record"))
+    return out.select(*identity, place, F.lower(F.hex("digest")).alias("digest"), "status", reason.alias("reason_code"), F.when(F.col("status") == "delivered", F.col("record")).alias("record"))
 
 
 def rearm(identities: DataFrame, root: str, identity: list[str], number: int, writer: str = "delivery") -> int:
