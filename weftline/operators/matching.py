@@ -109,30 +109,38 @@ def role_compatible(s: Column, t: Column) -> Column:
     return (s == t) | (((s == "value") | (t == "value")) & (s != "credential") & (t != "credential"))
 
 
+def _by_names(pairs: DataFrame) -> DataFrame:
+    """pairs with __row, the names of both fields, which are all that a name score knows: each two lists of variants are compared
+    once, however many pairs have them."""
+    return pairs.withColumn("__row", F.struct("s_variants", "t_variants"))
+
+
 def _variants(pairs: DataFrame) -> DataFrame:
-    """__row, ns, nt, overlap, same for each two variants of a pair: normalised names, the share of words and whether they are equal."""
-    each = pairs.select("__row", F.explode("s_variants").alias("s"), "t_variants").select("__row", "s", F.explode("t_variants").alias("t"))
-    each = each.select("__row", normalize_name(F.col("s")).alias("ns"), normalize_name(F.col("t")).alias("nt"))
+    """__row (the names), ns, nt, overlap, same, exact for each two variants of each two lists of names: normalised, the share of
+    words, whether they are equal, and whether the lists' first ones are."""
+    rows = pairs.select("__row").distinct()
+    each = rows.select("__row", F.explode("__row.s_variants").alias("s")).select("__row", "s", F.explode("__row.t_variants").alias("t"))
+    first = normalize_name(F.element_at("__row.s_variants", 1)), normalize_name(F.element_at("__row.t_variants", 1))
+    exact = (first[0] == first[1]) & (first[0] != "")
+    each = each.select("__row", normalize_name(F.col("s")).alias("ns"), normalize_name(F.col("t")).alias("nt"), exact.alias("exact"))
     words = F.array_distinct(tokens(F.col("ns"))), F.array_distinct(tokens(F.col("nt")))
     return each.withColumn("overlap", jaccard(*words)).withColumn("same", (F.col("ns") == F.col("nt")) & (F.col("ns") != ""))
 
 
 def _scored(pairs: DataFrame, best: DataFrame, *scores: tuple[str, str]) -> DataFrame:
-    """pairs joined to best (__row, alias and a best score) with each score: exact 1, alias .98, else the best of all variants."""
-    first = normalize_name(F.element_at("s_variants", 1)), normalize_name(F.element_at("t_variants", 1))
-    exact = (first[0] == first[1]) & (first[0] != "")
+    """pairs joined to best (__row, alias, exact and a best score) with each score: exact 1, alias .98, else the best of all variants."""
     out = pairs.join(best, "__row")
     for found, name in scores:
-        out = out.withColumn(name, F.when(exact, 1.0).when(F.col("alias"), ALIAS).otherwise(F.col(found)))
-    return out.drop("alias", *[found for found, _ in scores])
+        out = out.withColumn(name, F.when(F.col("exact"), 1.0).when(F.col("alias"), ALIAS).otherwise(F.col(found)))
+    return out.drop("alias", "exact", *[found for found, _ in scores])
 
 
 def name_scores(pairs: DataFrame, with_sequence: bool = True) -> DataFrame:
     """pairs (s_variants, t_variants: arrays, the name first) with name_score: exact 1, alias .98, else the best of all variants."""
-    ids = pairs.withColumn("__row", F.struct("source_id", "target_id", "pair"))
+    ids = _by_names(pairs)
     sequence = sequence_ratio("ns", "nt") if with_sequence else F.lit(0.0)
     each = _variants(ids).withColumn("score", JACCARD * F.col("overlap") + SEQUENCE * sequence)
-    best = each.groupBy("__row").agg(F.max("score").alias("best"), F.bool_or("same").alias("alias"))
+    best = each.groupBy("__row").agg(F.max("score").alias("best"), F.bool_or("same").alias("alias"), F.bool_or("exact").alias("exact"))
     return _scored(ids, best, ("best", "name_score")).drop("__row")
 
 
@@ -146,10 +154,10 @@ def common_letters(a: Column, b: Column) -> Column:
 def name_bounds(pairs: DataFrame) -> DataFrame:
     """pairs with name_low and name_high, between which name_score lies: the sequence's share is nothing at least, and at most
     what the letters in common allow. No Python takes part."""
-    ids = pairs.withColumn("__row", F.struct("source_id", "target_id", "pair"))
+    ids = _by_names(pairs)
     most = F.coalesce(F.try_divide(2.0 * common_letters(F.col("ns"), F.col("nt")), F.length("ns") + F.length("nt")), F.lit(0.0))
     each = _variants(ids).withColumn("low", JACCARD * F.col("overlap")).withColumn("high", F.col("low") + SEQUENCE * most)
-    best = each.groupBy("__row").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.bool_or("same").alias("alias"))
+    best = each.groupBy("__row").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.bool_or("same").alias("alias"), F.bool_or("exact").alias("exact"))
     return _scored(ids, best, ("low", "name_low"), ("high", "name_high")).drop("__row")
 
 
@@ -215,13 +223,13 @@ def contenders(source: DataFrame, target: DataFrame, semantic: DataFrame | None
 def leading(source: DataFrame, target: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
     """candidates() of the contenders alone: equal decisions, with the letters' order compared for few pairs. Each two different
     names are compared once, however many schema pairs hold them, and only variants that can be a pair's best."""
-    kept = contenders(source, target, semantic).withColumn("__row", F.struct("source_id", "target_id", "pair"))
-    each = _variants(kept).join(kept.select("__row", F.col("name_low").alias("__least")), "__row")
+    kept = _by_names(contenders(source, target, semantic))
+    each = _variants(kept).join(kept.groupBy("__row").agg(F.min("name_low").alias("__least")), "__row")
     most = F.coalesce(F.try_divide(2.0 * common_letters(F.col("ns"), F.col("nt")), F.length("ns") + F.length("nt")), F.lit(0.0))
     each = each.withColumn("__open", ~F.col("same") & (JACCARD * F.col("overlap") + SEQUENCE * most + 1e-9 >= F.col("__least")))
     names = each.filter("__open").select("ns", "nt").distinct().withColumn("ratio", sequence_ratio("ns", "nt"))
     found = each.join(names, ["ns", "nt"], "left").withColumn("value", JACCARD * F.col("overlap") + SEQUENCE * F.coalesce("ratio", F.lit(0.0)))
-    best = found.groupBy("__row").agg(F.max("value").alias("best"), F.bool_or("same").alias("alias"))
+    best = found.groupBy("__row").agg(F.max("value").alias("best"), F.bool_or("same").alias("alias"), F.bool_or("exact").alias("exact"))
     scored = _scored(kept, best, ("best", "name_score")).drop("__row", "name_low", "name_high", "det_low", "det_high", "score_low", "score_high")
     return scored.withColumn("det", _det(F.col("name_score"))).withColumn("score", _mixed("det", semantic))
 
