@@ -92,7 +92,7 @@ def percentiles(df: DataFrame, keys: list[str], points: dict[str, tuple[str, flo
     """keys and a column for each of points (name: value column and share): exact, by linear interpolation; nulls and NaN don't count.
 
     Large tables are never gathered by group. For each value column the rows are counted by distinct value, the values are
-    dealt into ranges of about equal content (by an approximate sketch of bounded size), ranks go on from range to range
+    dealt into ranges of about as many values each (by an approximate sketch of bounded size), ranks go on from range to range
     by running sums over the few ranges, and only the ranges that hold a wanted rank are sorted.
     """
     if df.limit((HELD_ROWS if held_rows is None else held_rows) + 1).count() <= (HELD_ROWS if held_rows is None else held_rows):
@@ -117,8 +117,14 @@ def _ranked(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
     counts = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
     steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    bounds = rows.groupBy(*keys).agg(F.percentile_approx("v", steps, 10 * RANGES).alias("bounds"), F.count(F.lit(1)).alias("all"))
-    dealt = _joined(counts, bounds, keys).withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    # What a range costs is its distinct values, so it is those that are dealt evenly: the sketch, which is dear, sees each once.
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx("v", steps, 10 * RANGES).alias("bounds"), F.sum("n").alias("all"))
+    # The number of bounds below the value, by halving: beyond the last bound nothing is there, which counts as not below.
+    dealt = _joined(counts, bounds, keys).withColumn("range", F.lit(0))
+    for step in (2**i for i in reversed(range((RANGES - 1).bit_length()))):
+        below = F.get("bounds", F.col("range") + F.lit(step - 1)) < F.col("v")
+        dealt = dealt.withColumn("range", F.col("range") + F.when(below, step).otherwise(0))
+    dealt = dealt.drop("bounds")
     ranges = dealt.groupBy(*keys, "range").agg(F.sum("n").alias("n"), F.first("all").alias("all"))
     before = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
