@@ -50,6 +50,8 @@ LEAST_ODDS = 2.5
 LEAST_EVIDENCE = 16.0
 BEGINNINGS = (3, 4, 5, 6, 7)
 DEFAULT_WEIGHT = 4.0
+#: Texts whose strings a worker holds at a time.
+TEXTS = 256
 
 
 class _Table(dict):
@@ -234,8 +236,11 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     ship(spark)
     given = spark.sparkContext.broadcast(lexicon)
     columns = [c for c in docs.columns if c != "score"]
+    # A text that is handed on is scored where it stands: beside it there is no second copy for the worker to hold.
+    own = dict(docs.dtypes).get(text) == "string" and text in columns and columns.count(text) == 1
     (at,) = fresh(docs, "__text")
-    rows = docs.select(*columns, text_of(text).alias(at))
+    rows = docs.select(*columns) if own else docs.select(*columns, text_of(text).alias(at))
+    place, kept = (columns.index(text), len(columns)) if own else (len(columns), len(columns))
 
     def work(batches):
         from weftline.llm import toxicity
@@ -243,8 +248,11 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
         lexicon = given.value
         automaton = lexicon.automaton()
         for batch in batches:
-            s = [lexicon.score(lexicon.measure(toxicity.fold(t), automaton)) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], [*columns, "score"])
+            s: list[float] = []
+            # Strings of a few texts at a time.
+            for begin in range(0, batch.num_rows, toxicity.TEXTS):
+                s += [lexicon.score(lexicon.measure(toxicity.fold(t or ""), automaton)) for t in batch.column(place).slice(begin, toxicity.TEXTS).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(s, pa.float64())], [*columns, "score"])
 
     schema = rows.drop(at).schema.add("score", "double")
     return rows.mapInArrow(work, schema)
