@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh, ship, text_of
+from weftline.llm.common import fresh, kept_by, ship, text_of
 
 END = "</w>"
 #: Distinct words that a worker keeps with their ids; beyond it the table of words starts anew.
@@ -225,17 +225,15 @@ class Coder:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def load(path: str, content: str | None = None) -> Coder:
-    """The coder of a tokenizer file, compiled once in each process."""
-    if path not in _CODERS:
+    """The coder of a tokenizer file, compiled once in each process that no other operator uses meanwhile."""
+    coders = kept_by("bpe_automaton")
+    if path not in coders:
         if content is None:
             with open(path, encoding="utf-8") as f:
                 content = f.read()
-        _CODERS[path] = Coder(json.loads(content))
-    return _CODERS[path]
+        coders[path] = Coder(json.loads(content))
+    return coders[path]
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:

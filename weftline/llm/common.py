@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +102,22 @@ def ship(spark: SparkSession) -> None:
     sc._weftline_shipped = True
 
 
+#: What an operator keeps in this process from task to task, by the operator's name: one operator's at a time.
+_KEPT: dict[str, Any] = {}
+
+
+def kept_by(owner: str, make: Callable[[], Any] = dict) -> Any:
+    """What `owner` keeps in this process, made when it is asked for first. Spark hands Python workers on from one stage to the next, so
+    what other operators have kept here is let go; otherwise a worker of a pipeline would hold the tables of all its stages."""
+    if owner not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
 #: Private-use characters that wrap matches, and the one that stands in for them where a text holds them.
 OPEN, CLOSE, INSTEAD = "\ue000", "\ue001", "\ue002"
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, fresh, ship, small, text_of
+from weftline.llm.common import Scratch, fresh, kept_by, ship, small, text_of
 
 BANDS = 48
 ROWS = 5
@@ -72,15 +72,12 @@ class _Words(dict):
         return out
 
 
-_WORDS = _Words()
-
-
 def shingles(text: str, size: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a text with fewer words is one shingle."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept_by("hyperminhash", _Words).__getitem__, words), np.uint64, len(words))
     n = min(size, len(words))
     with np.errstate(over="ignore"):
         out = _mix(h[: len(h) - n + 1] + np.uint64(n))

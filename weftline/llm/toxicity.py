@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, fresh, ship, text_of
+from weftline.llm.common import Scratch, fresh, kept_by, ship, text_of
 
 #: The starting lexicon, exception phrases in which its words are harmless, and characters that stand for others.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -157,6 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Lex
     def families(batches):
         from weftline.llm import toxicity
 
+        # Makes room first.
+        toxicity.kept_by("toxicity")
         for batch in batches:
             folded = [toxicity.fold(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folded, pa.string()), pa.array(map(toxicity.family, folded), pa.int64())], ["toxic", "text", "family"])
@@ -245,6 +247,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     def work(batches):
         from weftline.llm import toxicity
 
+        toxicity.kept_by("toxicity")
         lexicon = given.value
         automaton = lexicon.automaton()
         for batch in batches:
