@@ -5,8 +5,8 @@ order of `seq` against the state that the ones before have left, also those of f
 checkpoint folder holds the state. A timer in event time wakes the state when its lease has run out; a lapse is a row of the output.
 
 Rows within one batch may come in any order. Across batches `seq` must go upwards for an identity. Rows older than the watermark are
-dropped by Spark, which counts them in the query's progress: `late` must cover the disorder of the source. A null identity is one
-identity. Requests of one identity in one batch are held by one task, so the source's rate limit (files or bytes for each trigger)
+dropped by Spark, which counts them in the query's progress: `late` must cover the disorder of the source. Rules that never wake have no
+watermark and drop nothing. A null identity is one identity. Requests of one identity in one batch are held by one task, so the source's rate limit (files or bytes for each trigger)
 bounds it.
 """
 
@@ -18,25 +18,29 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from weftline.operators.state import REPLAY_SAFE, TRANSITIONS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Outcomes of an identity that leave Python as one row of arrays: a row for each would cost far more than judging it.
+PACK = 4096
+
 
 class Rules(NamedTuple):
     """What an identity holds (DDL), how a request changes it, when it wants to be woken, and what happens then.
 
     step(held or None, request) and lapse(held) return the outcome and what is held afterwards; wake(held) returns milliseconds or None.
     `request` has the columns named in `needs`, `seq`, `action` and `at_ms`. All three run on executors and refer to nothing of this package.
+    Without wake and lapse nothing depends on time: there are no timers, no watermark and no `at_ms`.
     """
 
     held: str
     needs: tuple[str, ...]
     step: Callable
-    wake: Callable
-    lapse: Callable
+    wake: Callable | None = None
+    lapse: Callable | None = None
 
 
 def ledger_rules(ttl_ms: int, keep_ms: int | None = None) -> Rules:
@@ -130,50 +134,66 @@ def checkpoint_rules() -> Rules:
             return "stale", held
         return "advanced", (generation + 1, r["run_id"], r["receipt_digest"], total + r["committed"])
 
-    return Rules("generation long, run_id string, receipt_digest string, committed_total long", ("expected_generation", "run_id", "receipt_digest", "committed"), step, lambda held: None, lambda held: ("", held))
+    return Rules("generation long, run_id string, receipt_digest string, committed_total long", ("expected_generation", "run_id", "receipt_digest", "committed"), step)
 
 
 def _processor(rules: Rules, keys: int, names: list[str]) -> StatefulProcessor:
     """The fold of one identity; the class is made here so that it travels to the executors by value."""
-    fields, step, wake, lapse = rules.held, rules.step, rules.wake, rules.lapse
+    fields, step, wake, lapse, pack = rules.held, rules.step, rules.wake, rules.lapse, PACK
 
     class Fold(StatefulProcessor):
         def init(self, handle):
+            from pyspark.sql import Row
+
             self.handle = handle
             self.state = handle.getValueState("held", fields)
+            self.made = Row(*names)
+            self.blank = (None,) * (len(names) - keys - 3)
 
         def read(self):
-            return tuple(self.state.get()) if self.state.exists() else None
+            held = self.state.get()
+            return None if held is None else tuple(held)
 
-        def keep(self, held):
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
+        def keep(self, before, held):
+            """An identity that holds something has the timer that it asks for, and no other."""
             if held is None:
-                self.state.clear()
+                if before is not None:
+                    self.state.clear()
+            elif held != before:
+                self.state.update(held)
+            if wake is None:
                 return
-            self.state.update(held)
-            at = wake(held)
-            if at is not None:
-                self.handle.registerTimer(at)
-
-        def row(self, key, seq, action, outcome, held):
-            from pyspark.sql import Row
-
-            values = (*tuple(key)[:keys], seq, action, outcome, *(held or (None,) * (len(names) - keys - 3)))
-            return Row(**dict(zip(names, values, strict=True)))
+            was, at = (None if x is None else wake(x) for x in (before, held))
+            if was != at:
+                if was is not None:
+                    self.handle.deleteTimer(was)
+                if at is not None:
+                    self.handle.registerTimer(at)
+
+        def packed(self, key, results):
+            """results (seq, action, outcome, held) as a row of arrays."""
+            columns = zip(*((seq, action, outcome, *(held or self.blank)) for seq, action, outcome, held in results), strict=True)
+            return self.made(*tuple(key)[:keys], *map(list, columns))
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-            held = self.read()
-            for r in sorted(rows, key=lambda r: r["seq"]):
+            before = held = self.read()
+            results = []
+            # Fields of a dictionary are found faster than those of a row.
+            for r in sorted((r.asDict() for r in rows), key=lambda r: r["seq"]):
                 outcome, held = step(held, r)
-                yield self.row(key, r["seq"], r["action"], outcome, held)
-            self.keep(held)
+                results.append((r["seq"], r["action"], outcome, held))
+                if len(results) == pack:
+                    yield self.packed(key, results)
+                    results = []
+            if results:
+                yield self.packed(key, results)
+            self.keep(before, held)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
             before = self.read()
             outcome, held = lapse(before)
-            yield self.row(key, None, "expire", outcome, held or before)
-            self.keep(held)
+            yield self.packed(key, [(None, "expire", outcome, held or before)])
+            self.keep(before, held)
 
         def close(self):
             pass
@@ -184,12 +204,16 @@ def _processor(rules: Rules, keys: int, names: list[str]) -> StatefulProcessor:
 def judged(requests: DataFrame, identity: list[str], rules: Rules, late: str = "10 minutes") -> DataFrame:
     """requests (a stream of identity, seq, at, action and what the rules need) with outcome and what is held after each; lapses have
     no seq and the action `expire`."""
-    timed = requests.withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
-    rows = timed.select(*identity, "seq", "at", "at_ms", "action", *rules.needs).groupBy(*identity)
-    held = StructType.fromDDL(rules.held)
+    columns = [*identity, "seq", "action", *rules.needs]
+    if rules.wake is None:
+        rows, mode = requests.select(*columns), "None"
+    else:
+        rows, mode = requests.withWatermark("at", late).withColumn("at_ms", F.unix_millis("at")).select(*columns, "at", "at_ms"), "EventTime"
     keys = requests.select(*identity).schema
-    out = StructType([*keys.fields, *StructType.fromDDL("seq long, action string, outcome string").fields, *held.fields])
-    return rows.transformWithState(_processor(rules, len(identity), out.names), out, "Append", "EventTime")
+    made = [*StructType.fromDDL("seq long, action string, outcome string").fields, *StructType.fromDDL(rules.held).fields]
+    out = StructType([*keys.fields, *(StructField(f.name, ArrayType(f.dataType)) for f in made)])
+    packed = rows.groupBy(*identity).transformWithState(_processor(rules, len(identity), out.names), out, "Append", mode)
+    return packed.select(*identity, F.inline(F.arrays_zip(*[f.name for f in made])))
 
 
 def run(requests: DataFrame, identity: list[str], rules: Rules, target: str, checkpoint: str, late: str = "10 minutes"):
