@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import mmap
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh, kept_by, ship, text_of
+from weftline.llm.common import fresh, hand_back, kept_by, ship, text_of
 
 END = "</w>"
 #: Distinct words that a worker keeps with their ids; beyond it the table of words starts anew.
 WORDS_KEPT = 400_000
+#: Ids of a text that are turned into labels at a time.
+LABELLED = 1 << 16
 SPACES = regex.compile(r"\p{White_Space}+")
 
 
@@ -58,8 +62,10 @@ class Automaton:
         rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
         # No more states than tokens that something may follow, and the start.
         most = 2 + sum(not t.endswith(END) for t in vocab)
-        # Eight states to a row, so that a state's arcs lie together; a token's arcs are a column.
-        arcs = np.zeros(((most + 7) // 8, self.size), np.uint8)
+        # Eight states to a row, so that a state's arcs lie together; a token's arcs are a column. They stay where they are built, as a
+        # copy would take as much again of each worker's memory; pages that no state reaches are never touched.
+        self.arcs = mmap.mmap(-1, (most + 7) // 8 * self.size, flags=mmap.MAP_PRIVATE | mmap.MAP_ANONYMOUS)
+        arcs = np.frombuffer(self.arcs, np.uint8).reshape(-1, self.size)
         node = np.zeros(self.size, np.int32)
         made = {w for _, _, w in rules}
         base = [t for t in vocab.values() if t not in made]
@@ -91,7 +97,6 @@ class Automaton:
                 arcs[old >> 3, v] &= 255 ^ (1 << (old & 7))
         self.states = states
         self.node = node.tolist()
-        self.arcs = arcs[: (states + 7) // 8].tobytes()
 
     def follows(self, state: int, token: int) -> int:
         return self.arcs[(state >> 3) * self.size + token] >> (state & 7) & 1
@@ -114,46 +119,46 @@ class Coder:
         self.automaton = Automaton(vocab, merges)
         # Tokens by their bytes, inside words and at words' ends.
         byte_of = {s: b for b, s in enumerate(byte_symbols())}
-        self.inner: dict[bytes, int] = {}
-        self.final: dict[bytes, int] = {}
+        inner: dict[bytes, int] = {}
+        final: dict[bytes, int] = {}
         for token, i in vocab.items():
             last = token.endswith(END)
             raw = bytes(byte_of[c] for c in (token.removesuffix(END)))
-            (self.final if last else self.inner)[raw] = i
-        self._byte_table()
+            (final if last else inner)[raw] = i
+        self._byte_table(inner, final)
 
-    def _byte_table(self) -> None:
+    def _byte_table(self, inner: dict[bytes, int], final: dict[bytes, int]) -> None:
         """Byte transitions: child by (node << 8 | byte), the node of the longest proper suffix, and the tokens that end at each
         node, longest first, as (length, token)."""
         child: dict[int, int] = {}
-        own: list[dict[bool, tuple[int, int]]] = [{}]
-        parent: list[tuple[int, int]] = [(0, 0)]
-        for last, tokens in ((False, self.inner), (True, self.final)):
+        own: dict[bool, dict[int, tuple[int, int]]] = {False: {}, True: {}}
+        # The transition that leads to each node, as in child.
+        parent = array("q", [0])
+        for last, tokens in ((False, inner), (True, final)):
             for raw, token in tokens.items():
                 node = 0
                 for byte in raw:
                     key = node << 8 | byte
                     node = child.get(key, 0)
                     if not node:
-                        node = child[key] = len(own)
-                        own.append({})
-                        parent.append((key >> 8, byte))
-                own[node][last] = (len(raw), token)
-        depth = [0] * len(own)
-        for node in range(1, len(own)):
-            depth[node] = depth[parent[node][0]] + 1
-        suffix = [0] * len(own)
-        ends: list[tuple] = [()] * len(own)
-        finals: list[tuple] = [()] * len(own)
+                        node = child[key] = len(parent)
+                        parent.append(key)
+                own[last][node] = (len(raw), token)
+        depth = array("q", bytes(8 * len(parent)))
+        for node in range(1, len(parent)):
+            depth[node] = depth[parent[node] >> 8] + 1
+        suffix = [0] * len(parent)
+        ends: list[tuple] = [()] * len(parent)
+        finals: list[tuple] = [()] * len(parent)
         # Shorter nodes first, as a node's suffix is shorter than the node.
-        for node in sorted(range(1, len(own)), key=depth.__getitem__):
-            up, byte = parent[node]
+        for node in sorted(range(1, len(parent)), key=depth.__getitem__):
+            up, byte = parent[node] >> 8, parent[node] & 255
             at = suffix[up]
             while up and at and (at << 8 | byte) not in child:
                 at = suffix[at]
             suffix[node] = child.get(at << 8 | byte, 0) if up else 0
-            ends[node] = ((own[node][False],) if False in own[node] else ()) + ends[suffix[node]]
-            finals[node] = ((own[node][True],) if True in own[node] else ()) + finals[suffix[node]]
+            ends[node] = ((own[False][node],) if node in own[False] else ()) + ends[suffix[node]]
+            finals[node] = ((own[True][node],) if node in own[True] else ()) + finals[suffix[node]]
         self.child, self.suffix, self.ends, self.finals = child, suffix, ends, finals
 
     def path(self, word: bytes) -> list[int]:
@@ -193,20 +198,16 @@ class Coder:
         text = text.lower() if text.isascii() or "Σ" not in text else "".join(c.lower() for c in text)
         return self.split.findall(text)
 
-    def new_word(self, word: str) -> tuple[bytes, str, int]:
-        ids = self.path(word.encode())
-        return np.array(ids, "<u4").tobytes(), self.decode(ids), len(ids)
+    def new_word(self, word: str) -> bytes:
+        return np.array(self.path(word.encode()), "<u4").tobytes()
 
-    def encode(self, text: str, seen: dict[str, tuple[bytes, str, int]]) -> tuple[int, bytes, str]:
-        """Number of ids, the ids as little-endian 32-bit integers, and the decoded text."""
+    def encode(self, text: str, seen: dict[str, bytes]) -> tuple[int, bytes, str]:
+        """Number of ids, the ids as little-endian 32-bit integers, and the decoded text. seen keeps the ids of words, and not what they
+        decode to, which would take as much memory again."""
         ids: list[bytes] = []
-        labels: list[str] = []
-        count = 0
         for k, part in enumerate(self.specials.split(text) if self.specials and "<" in text else [text]):
             if k % 2:
                 ids.append(self.special[part].to_bytes(4, "little"))
-                labels.append(part)
-                count += 1
                 continue
             for word in self.words(part):
                 found = seen.get(word)
@@ -216,10 +217,12 @@ class Coder:
                     found = self.new_word(word)
                     if len(word) <= 64:
                         seen[word] = found
-                ids.append(found[0])
-                labels.append(found[1])
-                count += found[2]
-        return count, b"".join(ids), " ".join(labels)
+                ids.append(found)
+        packed = b"".join(ids)
+        every = np.frombuffer(packed, "<u4")
+        # In parts, as a long text has many ids.
+        plain = " ".join(self.decode(every[at : at + LABELLED].tolist()) for at in range(0, len(every), LABELLED))
+        return len(every), packed, plain
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
@@ -233,6 +236,7 @@ def load(path: str, content: str | None = None) -> Coder:
             with open(path, encoding="utf-8") as f:
                 content = f.read()
         coders[path] = Coder(json.loads(content))
+        hand_back()
     return coders[path]
 
 

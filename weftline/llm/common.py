@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -111,13 +112,26 @@ def kept_by(owner: str, make: Callable[[], Any] = dict) -> Any:
     what other operators have kept here is let go; otherwise a worker of a pipeline would hold the tables of all its stages."""
     if owner not in _KEPT:
         if _KEPT:
-            _KEPT.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+            let_go()
         _KEPT[owner] = make()
     return _KEPT[owner]
 
 
+def let_go() -> None:
+    """Ends what operators keep in this process: for the end of a task whose tables are made anew in no time, as workers that wait for
+    the next stage count too."""
+    _KEPT.clear()
+    hand_back()
+
+
+def hand_back() -> None:
+    """Gives memory that is free in this process back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 #: Private-use characters that wrap matches, and the one that stands in for them where a text holds them.
 OPEN, CLOSE, INSTEAD = "\ue000", "\ue001", "\ue002"
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, fresh, kept_by, ship, small, text_of
+from weftline.llm.common import Scratch, fresh, kept_by, let_go, ship, small, text_of
 
 BANDS = 48
 ROWS = 5
@@ -152,6 +152,8 @@ def sketches(docs: DataFrame, text: str, size: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())],
                 ["doc_id", "text_key", "n_shingles", "set_key", "registers"],
             )
+        batch = known = None
+        m.let_go()
 
     rows = docs.select(F.col("doc_id").cast("long"), key_of(text).alias("text_key"), text_of(text).alias("text"))
     return rows.mapInArrow(work, "doc_id long, text_key binary, n_shingles long, set_key binary, registers binary")
@@ -185,6 +187,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str, size: int, scratch:
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     items.append(s.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["set_key", "items"])
+        batch = None
+        m.let_go()
 
     wanted = scratch.table(wanted)
     ids = small(wanted.select(F.col("cdoc").alias("__wanted")).distinct())

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, fresh, kept_by, ship, text_of
+from weftline.llm.common import Scratch, fresh, kept_by, let_go, ship, text_of
 
 #: The starting lexicon, exception phrases in which its words are harmless, and characters that stand for others.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -256,6 +256,8 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
             for begin in range(0, batch.num_rows, toxicity.TEXTS):
                 s += [lexicon.score(lexicon.measure(toxicity.fold(t or ""), automaton)) for t in batch.column(place).slice(begin, toxicity.TEXTS).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(s, pa.float64())], [*columns, "score"])
+        batch = None
+        toxicity.let_go()
 
     schema = rows.drop(at).schema.add("score", "double")
     return rows.mapInArrow(work, schema)
