@@ -4,8 +4,9 @@ Images with equal pixels are one class. Each class gets corners on several scale
 were resized have in common (Harris response, local maxima), each corner an orientation (intensity centroid) and 256 binary
 intensity tests turned by it. Two descriptors within RADIUS bits of each other agree in at least one of TABLES equal parts of
 their bits; the parts are the keys of Hamming tables.
-Descriptors that share a cell are compared in whole, cells of more than BLOCK descriptors in pairs of blocks, so that all
-matches of all classes are found, each in the first table that holds it. The matches of two classes vote for a scale, a
+Descriptors that share a cell are compared in whole. Cells of more than BLOCK descriptors are split once more by the bits that
+are left, so that a descriptor is dealt out PIECES times at most; what is still larger is compared in pairs of blocks. So all
+matches of all classes are found, each in the first table (and piece) that holds it. The matches of two classes vote for a scale, a
 turn and a shift, and a pair is linked when VOTES of them agree, which holds for crops, for changes of brightness and
 contrast, and for noise, recompression and rescaling that leave VOTES corners within RADIUS. groups() returns what the links
 join and writes out no group as pairs; copies() counts the links themselves, which are as many as a group's square.
@@ -49,8 +50,12 @@ RADIUS = 7
 #: One more than RADIUS, so that descriptors within RADIUS agree in a table.
 TABLES = 8
 PART = BITS // 8 // TABLES
-#: Cells of a table with more descriptors than this are compared in pairs of blocks.
+#: Cells of a table with more descriptors than this are split by the bits that are left.
 BLOCK = 2048
+#: Parts of those bits, one more than RADIUS, so that descriptors within RADIUS that share a cell agree in one of them too.
+PIECES = 8
+#: Where they begin in the bytes beside a table's part, and the end of the last.
+CUTS = tuple(k * (BITS // 8 - PART) // PIECES for k in range(PIECES + 1))
 #: Tables whose cells are compared in one job; the others wait, so that few are on the disk at a time.
 AT_ONCE = 2
 VOTES = 4
@@ -75,6 +80,21 @@ def _pattern() -> np.ndarray:
 TESTS = _pattern()
 
 
+def _shared() -> np.ndarray:
+    """For each table and piece (the last stands for none) the bits that descriptors of a group have in common, as four words."""
+    every = np.arange(BITS // 8)
+    out = np.zeros((TABLES, PIECES + 1, len(every)), np.uint8)
+    for t in range(TABLES):
+        own = every // PART == t
+        out[t, :, own] = 255
+        for k in range(PIECES):
+            out[t, k, every[~own][CUTS[k] : CUTS[k + 1]]] = 255
+    return out.view(np.uint64)
+
+
+SHARED = _shared()
+
+
 def read_image(raw: bytes | None) -> np.ndarray | None:
     """Grey values as float, or None."""
     try:
@@ -350,15 +370,37 @@ def celled(classes: DataFrame, tables: range) -> DataFrame:
 
 
 def searched(classes: DataFrame, tables: range, second: str, blocks, work, schema: str, scratch: Scratch) -> DataFrame:
-    """What `work` makes of the cells of some tables, as a written table. Cells of more than BLOCK descriptors are dealt out by
-    `blocks` (rows of large cells with unit and n, to rows with i, j and mine), the others are one block."""
+    """What `work` makes of the cells of some tables, as a written table. `blocks` deals out rows of cells, with n where a cell has
+    more than BLOCK descriptors, to rows with piece, key (what a piece's descriptors have in common), i, j and mine."""
     cells = celled(classes, tables)
-    large = scratch.table(cells.groupBy("t", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).withColumn("unit", F.xxhash64("t", "cell")))
-    known = small(large)
-    whole = cells.join(known, ["t", "cell"], "left_anti").select("t", "cell", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("mine"), "number", second, "bits")
-    parts = blocks(cells.join(known, ["t", "cell"])).select("t", "cell", F.col("i").alias("low"), F.col("j").alias("high"), "mine", "number", second, "bits")
-    every = whole.unionByName(parts).repartition("t", "cell", "low", "high").sortWithinPartitions("t", "cell", "low", "high")
-    return scratch.table(every.select("t", "low", "high", "mine", "number", second, "bits").mapInArrow(work, schema))
+    large = scratch.table(cells.groupBy("t", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK))
+    parts = blocks(cells.join(small(large), ["t", "cell"], "left")).select("t", "piece", "key", F.col("i").alias("low"), F.col("j").alias("high"), "mine", "number", second, "bits")
+    every = parts.repartition("t", "piece", "key", "low", "high").sortWithinPartitions("t", "piece", "key", "low", "high")
+    return scratch.table(every.select("t", "piece", "low", "high", "mine", "number", second, "bits").mapInArrow(work, schema))
+
+
+def pieced(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (t, cell, n, number, label, bits; n is null where a cell is not large) with piece, key, i, j and mine, so that
+    descriptors of two labels that are within RADIUS meet.
+
+    A cell that is not large is one group (piece -1). In a large one each descriptor goes to a group for each piece of the bits that
+    are left, so it is dealt out PIECES times however large its cell is. Only groups that agree in a piece too and still have more
+    than BLOCK descriptors are dealt out in pairs of blocks.
+    """
+    pieces = F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(PIECES - 1)))
+    begins = ", ".join(str(c + 1) for c in CUTS[:-1])
+    sizes = ", ".join(str(b - a) for a, b in zip(CUTS, CUTS[1:], strict=False))
+    rest = f"concat(substring(bits, 1, t * {PART}), substring(bits, (t + 1) * {PART} + 1))"
+    key = F.expr(f"if(piece < 0, cell, concat(cell, substring({rest}, get(array({begins}), piece), get(array({sizes}), piece))))")
+    fine = rows.withColumn("piece", F.explode(pieces)).withColumn("key", key).drop("n")
+    by = ["t", "piece", "key"]
+    heavy = scratch.table(fine.filter("piece >= 0").groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select(*by, F.xxhash64(*by).alias("unit")))
+    one = {c: F.lit(0) for c in ("i", "j", "mine")}
+    if not heavy.limit(1).count():
+        return fine.withColumns(one)
+    known = small(heavy)
+    parts = dealt(fine.join(known, by), "unit", F.count(F.lit(1)) / BLOCK, scratch).drop("unit")
+    return fine.join(known, by, "left_anti").withColumns(one).unionByName(parts)
 
 
 def freed(spark: SparkSession) -> None:
@@ -371,8 +413,8 @@ def starred(classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) of classes with the smallest class that their corners match in a block of a cell, by STAR_TABLES of the tables."""
 
     def blocks(rows: DataFrame) -> DataFrame:
-        mine = F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / BLOCK)).cast("int")
-        return rows.withColumn("mine", mine).withColumn("i", F.col("mine")).withColumn("j", F.col("mine"))
+        mine = F.pmod(F.xxhash64("number"), F.ceil(F.coalesce("n", F.lit(1)) / BLOCK)).cast("int")
+        return rows.withColumns({"mine": mine, "i": mine, "j": mine, "piece": F.lit(-1), "key": F.col("cell")})
 
     labelled = classes.select("number", F.col("number").alias("label"), "feats")
     met = searched(labelled, range(STAR_TABLES), "corner", blocks, _smallest, "a long, b long, corner long", scratch).distinct()
@@ -405,7 +447,7 @@ def crossing(found: DataFrame, classes: DataFrame, votes: int, scratch: Scratch)
     named = scratch.table(named)
 
     def blocks(rows: DataFrame) -> DataFrame:
-        return dealt(rows, "unit", F.count(F.lit(1)) / BLOCK, scratch)
+        return pieced(rows, scratch)
 
     def passed(of: DataFrame, work, schema: str) -> DataFrame:
         parts = None
@@ -436,8 +478,8 @@ def crossing(found: DataFrame, classes: DataFrame, votes: int, scratch: Scratch)
 
 def _smallest(batches):
     """For each corner the smallest class that it matches, if smaller than its own; rows as in _by_cell with number and corner."""
-    for (low, high, mine, number, corner, bits), ends, t in _by_cell(batches):
-        i, j = alike(low, high, mine, bits, ends, t)
+    for (piece, low, high, mine, number, corner, bits), ends, t in _by_cell(batches):
+        i, j = alike(piece, low, high, mine, bits, ends, t)
         least = number.copy()
         np.minimum.at(least, i, number[j])
         np.minimum.at(least, j, number[i])
@@ -446,9 +488,9 @@ def _smallest(batches):
 
 
 def _met(batches):
-    """The matches between components in rows (t, low, high, mine, number, label, bits), sorted as in _by_cell: la < lb, a, b, group."""
-    for (low, high, mine, number, label, bits), ends, t in _by_cell(batches):
-        i, j = alike(low, high, mine, bits, ends, t)
+    """The matches between components in rows (t, piece, low, high, mine, number, label, bits), sorted as in _by_cell: la < lb, a, b, group."""
+    for (piece, low, high, mine, number, label, bits), ends, t in _by_cell(batches):
+        i, j = alike(piece, low, high, mine, bits, ends, t)
         other = label[i] != label[j]
         i, j = i[other], j[other]
         turn = label[i] > label[j]
@@ -501,52 +543,41 @@ def first_link(table: pa.Table, votes: int) -> pa.Table:
 
 def meetings(classes: DataFrame, votes: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of classes by number that have at least `votes` matches, with matches array<long> (corner of a << 32 | corner of b)."""
-    size, lead = RECORD.size, PLACE.size
-    corners = classes.filter("length(feats) > 0").select("number", "feats", F.explode(F.expr(f"sequence(0, cast(length(feats) div {size} as int) - 1)")).alias("corner"))
-    corners = corners.select("number", "corner", F.expr(f"substring(feats, corner * {size} + {lead + 1}, {size - lead})").alias("bits"))
-
-    def cells(tables: range) -> DataFrame:
-        keyed = corners.withColumn("t", F.explode(F.array(*[F.lit(t) for t in tables])))
-        return keyed.withColumn("cell", F.expr(f"substring(bits, t * {PART} + 1, {PART})"))
-
-    large = cells(range(TABLES)).groupBy("t", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    large = small(scratch.table(large))
+    labelled = classes.select("number", F.col("number").alias("label"), "feats")
     found = None
     for first in range(0, TABLES, AT_ONCE):
-        dealt = cells(range(first, min(first + AT_ONCE, TABLES))).join(large, ["t", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        dealt = dealt.withColumn("mine", F.expr("cast(pmod(xxhash64(number, corner), blocks) as int)"))
-        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        dealt = dealt.select("t", "cell", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "number", "corner", "bits")
-        dealt = dealt.repartition("t", "cell", "low", "high").sortWithinPartitions("t", "cell", "low", "high")
-        matches = scratch.table(dealt.select("t", "low", "high", "mine", "number", "corner", "bits").mapInArrow(_match, "a long, b long, corners long"))
+        tables = range(first, min(first + AT_ONCE, TABLES))
+        matches = searched(labelled, tables, "corner", lambda rows: pieced(rows, scratch), _match, "a long, b long, corners long", scratch)
         found = matches if found is None else found.unionByName(matches)
-        # Lets Spark's cleaner remove the tables' shuffle files.
-        classes.sparkSession._jvm.System.gc()
+        freed(classes.sparkSession)
     pairs = found.repartition("a", "b").groupBy("a", "b").agg(F.collect_list("corners").alias("matches"))
     return pairs.filter(F.size("matches") >= votes)
 
 
 def _match(batches):
-    """Matches of rows (t, low, high, mine, number, corner, bits) that are sorted by table, cell and pair of blocks."""
+    """Matches of rows (t, piece, low, high, mine, number, corner, bits) that are sorted by table, piece, cell and pair of blocks."""
     for rows, ends, t in _by_cell(batches):
         yield matched(rows, ends, t)
 
 
 def _by_cell(batches):
-    """Rows (t, low, high, mine, two numbers, bits), sorted by table, cell and pair of blocks, as whole groups of one table:
-    the columns after t, the groups' ends, t."""
+    """Rows (t, piece, low, high, mine, two numbers, bits), sorted by table, piece, cell and pair of blocks, as whole groups of one
+    table: the columns after t, the groups' ends, t."""
     from weftline.llm import media as m
 
     rest = None
     for batch in batches:
-        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-        rows.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, m.BITS // 64))
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+        rows.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, m.BITS // 64))
         rows = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
         if not len(rows[0]):
             continue
-        t, low, high = rows[:3]
-        cell = rows[6].view(np.uint32)[np.arange(len(t)), t]
-        new = np.flatnonzero((t[1:] != t[:-1]) | (cell[1:] != cell[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        t = rows[0]
+        own = rows[7] & m.SHARED[t, rows[1]]
+        new = (own[1:] != own[:-1]).any(axis=1)
+        for x in rows[:4]:
+            new |= x[1:] != x[:-1]
+        new = np.flatnonzero(new) + 1
         # The last group may go on in the next batch.
         end = new[-1] if len(new) else 0
         rest = [x[end:] for x in rows]
@@ -560,8 +591,9 @@ def _by_cell(batches):
         yield rest[1:], np.array([0, len(rest[0])]), int(rest[0][0])
 
 
-def alike(low: np.ndarray, high: np.ndarray, mine: np.ndarray, bits: np.ndarray, ends: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i, j inside the groups ends[k] : ends[k + 1] that are within RADIUS, without those that an earlier table than t holds."""
+def alike(piece: np.ndarray, low: np.ndarray, high: np.ndarray, mine: np.ndarray, bits: np.ndarray, ends: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i, j inside the groups ends[k] : ends[k + 1] that are within RADIUS, without those that an earlier table than t or an earlier
+    piece of their cell holds."""
     sizes = np.diff(ends)
     left, right = [], []
     # Small groups: rows at a distance of 1, 2, ... in the same group.
@@ -591,13 +623,16 @@ def alike(low: np.ndarray, high: np.ndarray, mine: np.ndarray, bits: np.ndarray,
     i, j = np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
     parts = bits.view(np.uint8).reshape(len(bits), TABLES, PART)
     fresh = (parts[i, :t] != parts[j, :t]).any(axis=2).all(axis=1)
+    for k in range(PIECES - 1):
+        later = np.flatnonzero(fresh & (piece[i] > k))
+        fresh[later] = ((bits[i[later]] ^ bits[j[later]]) & SHARED[t, k]).any(axis=1)
     return i[fresh], j[fresh]
 
 
 def matched(rows: list[np.ndarray], ends: np.ndarray, t: int) -> pa.RecordBatch:
     """Matches of different classes inside the groups rows[ends[k] : ends[k + 1]]."""
-    low, high, mine, number, corner, bits = rows
-    i, j = alike(low, high, mine, bits, ends, t)
+    piece, low, high, mine, number, corner, bits = rows
+    i, j = alike(piece, low, high, mine, bits, ends, t)
     other = number[i] != number[j]
     i, j = i[other], j[other]
     turn = number[i] > number[j]
