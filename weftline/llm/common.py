@@ -14,7 +14,7 @@ from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of all text contracts: blank and the control characters from tab to carriage return.
@@ -57,9 +57,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows, as counted; else as it is, for an ordinary join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows, as counted; else as it is, for an ordinary join.
+
+    rows: how many it has at most, where that is known."""
+    if rows is None:
+        rows = df.limit(BROADCAST_ROWS + 1).count()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 class Scratch:
@@ -83,6 +87,15 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def counted(self, df: DataFrame, **sums: Column) -> tuple[DataFrame, dict[str, Any]]:
+        """table(df), and its number of rows as `rows` beside further aggregates, gathered as it is written and not by jobs of their
+        own: each job, its plan and its tasks take memory of the driver."""
+        aggregates = [F.count(F.lit(1)).alias("rows"), *(c.alias(name) for name, c in sums.items())]
+        seen = Observation()
+        out = self.table(df.observe(seen, *aggregates))
+        # A plan that turns out empty as it runs may lose what observes it.
+        return out, seen.get or out.agg(*aggregates).first().asDict()
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)

@@ -190,11 +190,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str, size: int, scratch:
         batch = None
         m.let_go()
 
-    wanted = scratch.table(wanted)
-    ids = small(wanted.select(F.col("cdoc").alias("__wanted")).distinct())
+    wanted, of = scratch.counted(wanted)
+    ids = small(wanted.select(F.col("cdoc").alias("__wanted")).distinct(), of["rows"])
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), text_of(text).alias("text"))
     found = texts.join(ids, F.col("__id") == F.col("__wanted"), "left_semi").select("text").mapInArrow(work, "set_key binary, items array<long>")
-    return scratch.table(found.join(small(wanted.select("set_key", "number")), "set_key").dropDuplicates(["number"]).select("number", "items"))
+    return scratch.table(found.join(small(wanted.select("set_key", "number"), of["rows"]), "set_key").dropDuplicates(["number"]).select("number", "items"))
 
 
 #: Stands in for a null doc_id where a number is needed; larger than all others.
@@ -214,25 +214,30 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, si
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, label (the component's smallest node) for nodes with edges (a, b): large stars and small stars in turn."""
+    """node, label (the component's smallest node) for nodes with edges (a, b): large stars and small stars in turn.
+
+    It ends when only stars around their smallest nodes are left, which the nodes' least neighbours tell as they are written. A
+    round hands on as many edges as it gets at most, so equal ones may stay until the next round makes them distinct.
+    """
     current = scratch.table(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi != lo").distinct())
-    state = None
+    ends = F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    below = F.when(F.col("v") < F.col("u"), F.col("v"))
     while True:
-        both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        both = current.select(F.explode(ends).alias("end")).select("end.u", "end.v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top"), F.max(below).alias("below"))
+        # No star has a node with two smaller neighbours, or with a smaller and a greater one.
+        open_ = F.col("below").isNotNull() & ((F.col("m") < F.col("below")) | (F.col("top") > F.col("u")))
         # Written first: a hub's links can then be split over tasks when they are joined.
-        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi")
-        small = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(small.select("hi", F.col("m").alias("lo"))).filter("hi != lo").distinct()
-        following = scratch.table(small)
-        now = following.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("h")).first()
-        scratch.drop(current)
-        current = following
-        if now == state:
+        least, seen = scratch.counted(least.select("u", F.least("u", "m").alias("m"), open_.alias("open")), open=F.count_if("open"))
+        if not seen["open"]:
             break
-        state = now
-    return current.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
+        large = both.join(small(least.select("u", "m"), seen["rows"]), "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        stars = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
+        following = scratch.table(stars.select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")))
+        scratch.drop(current, least)
+        current = following
+    scratch.drop(current)
+    return least.filter("m < u").select(F.col("u").alias("node"), F.col("m").alias("label"))
 
 
 def dealt(members: DataFrame, unit: str, share: Column, scratch: Scratch) -> DataFrame:
@@ -250,7 +255,8 @@ def dealt(members: DataFrame, unit: str, share: Column, scratch: Scratch) -> Dat
     units = counts.groupBy(unit).agg(
         F.coalesce(F.ceil(F.sum(F.when(F.col("share") <= 1, F.col("share")))), F.lit(0)).cast("int").alias("mixed"), F.coalesce(F.sum(F.when(F.col("share") > 1, F.ceil("share"))), F.lit(0)).cast("int").alias("pure")
     )
-    out = members.join(small(scratch.table(units)), unit).join(small(scratch.table(big)), [unit, "label"], "left")
+    (units, n_units), (big, n_big) = scratch.counted(units), scratch.counted(big)
+    out = members.join(small(units, n_units["rows"]), unit).join(small(big, n_big["rows"]), [unit, "label"], "left")
     hashed = F.xxhash64("number")
     own = F.col("own").isNotNull()
     first = F.col("mixed") + F.col("before").cast("int")
@@ -358,14 +364,14 @@ def held(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
 
 
 def further(members: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, text: str, size: int, percent: int, scratch: Scratch) -> DataFrame | None:
-    """Links (a, b) between different labels of `found` (node, label) in buckets of `members` (band, no, number); None: nothing to compare."""
+    """Links (a, b) between different labels of `found` (node, label) in buckets of `members` (band, no, number); None: there are none."""
     need = least_equal(percent / 100)
     labelled = members.join(found, F.col("number") == F.col("node"), "left").select("band", "number", F.coalesce("label", "number").alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
     # Written first, so that the joins that follow deal both sides anew and a hot bucket can be split.
     open_ = scratch.table(labelled.join(scratch.table(mixed), "band"))
-    edges = scratch.table(likely(open_, classes.select("number", "registers", "n_shingles"), need, percent, scratch).distinct())
-    if not edges.limit(1).count():
+    edges, seen = scratch.counted(likely(open_, classes.select("number", "registers", "n_shingles"), need, percent, scratch).distinct())
+    if not seen["rows"]:
         return None
     groups = scratch.table(components(edges, scratch).withColumnRenamed("label", "cluster"))
     groups = groups.unionByName(groups.select(F.col("cluster").alias("node"), "cluster").distinct()).distinct()
@@ -373,14 +379,14 @@ def further(members: DataFrame, found: DataFrame, classes: DataFrame, docs: Data
     inside = scratch.table(open_.join(groups, F.col("number") == F.col("node")).select("band", "number", "label", "cluster"))
     squares = inside.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("by_bucket"))
     whole = groups.groupBy("cluster").agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("at_once")).join(squares, "cluster")
-    whole = scratch.table(whole.select("cluster", (F.col("at_once") <= F.col("by_bucket")).alias("one")))
+    whole, seen = scratch.counted(whole.select("cluster", (F.col("at_once") <= F.col("by_bucket")).alias("one")))
     unit = F.when(F.col("one"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.xxhash64(F.col("band"), "cluster"))
-    units = inside.join(small(whole), "cluster").select(unit.alias("unit"), "number", "label").distinct()
+    units = inside.join(small(whole, seen["rows"]), "cluster").select(unit.alias("unit"), "number", "label").distinct()
     units = scratch.table(units.join(classes.select("number", "n_shingles"), "number"))
     sets = full_sets(docs, classes.select("set_key", "number", "cdoc").join(units.select("number").distinct(), "number", "left_semi"), text, size, scratch)
-    out = scratch.table(held(units, sets, percent, scratch).distinct())
+    out, seen = scratch.counted(held(units, sets, percent, scratch).distinct())
     scratch.drop(open_, edges, inside, units, sets)
-    return out
+    return out if seen["rows"] else None
 
 
 def grouped(docs: DataFrame, text: str, size: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -403,7 +409,7 @@ def grouped(docs: DataFrame, text: str, size: int, percent: int, scratch: Scratc
     links = confirm(candidates, classes, docs, text, size, percent, scratch)
     found = components(links, scratch)
     extra = further(members, found, classes, docs, text, size, percent, scratch)
-    if extra is not None and extra.limit(1).count():
+    if extra is not None:
         found = components(links.unionByName(extra), scratch)
 
     named = classes.select("set_key", "cdoc", "number").join(found, F.col("number") == F.col("node"), "left").select("set_key", "cdoc", F.coalesce("label", "number").alias("label"))
@@ -430,13 +436,14 @@ def keep_first(docs: DataFrame, text: str = "text", size: int = 5, percent: int
     winners = scratch.table(found.groupBy("label").agg(F.min(F.struct("doc", "text_key")).alias("stays")))
     judged = found.join(winners, "label").withColumn("wins", F.struct("doc", "text_key") == F.col("stays"))
     id_, key = fresh(docs, "__id", "__key")
-    judged = scratch.table(judged.filter("not wins or times > 1").select(F.col("doc").alias(id_), F.col("text_key").alias(key), "wins"))
+    judged = judged.filter("not wins or times > 1").select(F.col("doc").alias(id_), F.col("text_key").alias(key), "wins")
+    judged, seen = scratch.counted(judged, tied=F.count_if("wins"))
     # Few enough of them, counted, are broadcast, and the texts stay where they are; else both sides are dealt out.
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col(id_)) & (key_of(text) == F.col(key))
-    out = docs.join(small(judged.select(id_, key)), same, "left_anti")
+    out = docs.join(small(judged.select(id_, key), seen["rows"]), same, "left_anti")
     tied = judged.filter("wins").select(id_, key)
-    if not tied.limit(1).count():
+    if not seen["tied"]:
         return out
     # Rows that repeat doc_id and text: one of them stays.
-    again = docs.join(small(tied), same).dropDuplicates([id_, key]).select(*docs.columns)
+    again = docs.join(small(tied, seen["tied"]), same).dropDuplicates([id_, key]).select(*docs.columns)
     return out.unionByName(again)

@@ -94,7 +94,7 @@ def mix(
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text_of(text).cast("binary")))).alias("order"),
         )
     )
-    per = scratch.table(targets(sized, weights, max_repeats))
+    per, of = scratch.counted(targets(sized, weights, max_repeats))
     plan = per.agg(F.max("total").alias("total"), F.max("source_rows").alias("rows")).first()
     total, most_rows = plan["total"] or 0, plan["rows"] or 0
     block = max(least_block, math.ceil(total / most_slots))
@@ -102,7 +102,7 @@ def mix(
     # Buckets by the leading hexadecimal digits of the hashed order, so many that each holds about CHUNK documents of a source.
     digits = max(0, math.ceil(math.log(max(1, most_rows / CHUNK), 16)))
 
-    named = sized.join(small(per.select("source", "source_no", "source_size", "target")), sized["source"].eqNullSafe(per["source"]), "left").select(
+    named = sized.join(small(per.select("source", "source_no", "source_size", "target"), of["rows"]), sized["source"].eqNullSafe(per["source"]), "left").select(
         sized["doc_id"], sized["source"], *carry, "size", "order", "source_no", "source_size", "target", F.substring("order", 1, digits).alias("bucket")
     )
     local = W.partitionBy("source_no", "bucket").orderBy("order", "size", "doc_id")
@@ -117,7 +117,7 @@ def mix(
     upto = F.round(F.sum(F.coalesce("target", F.lit(0.0))).over(W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0))).cast("long")
     ends = per.withColumn("upto", upto).withColumn("share", F.col("upto") - F.coalesce(F.lag("upto").over(W.orderBy("source_no")), F.lit(0)))
     ends = ends.select("source_no", F.least("share", F.col("source_size") * max_repeats).alias("tape_end"))
-    pieces = tape.join(small(ends), "source_no", "left")
+    pieces = tape.join(small(ends, of["rows"]), "source_no", "left")
     epochs = F.sequence(F.lit(0), F.lit(max_repeats - 1))
     pieces = pieces.withColumn("epoch", F.explode(epochs))
     start = F.col("begin") + F.col("epoch") * F.col("source_size")
